@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html_text, mixing, quality, rules, substrings, toxicity, url_filter
+from tessera.llm import decontaminate, html_text, lm, minhash, mixing, quality, rules, substrings, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes_of(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +49,10 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_url_filter, op5_html_text, op7_decontaminate, op8_substrings, op9_rules)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_url_filter, op5_html_text, op6_minhash, op7_decontaminate, op8_substrings, op9_rules, op10_lm)}
 
 ORACLES = {"op4_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
