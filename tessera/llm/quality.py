@@ -160,10 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_train)
     ids = positives.withColumn("p", F.lit(1)).unionByName(chosen.distinct().withColumn("p", F.lit(0)))
     # at most 2 * max_train ids: a proven bound
-    rows = map_batches(narrow.join(F.broadcast(ids), "doc_id"), "doc_id long, p int, x array<double>", _statistics_of).toPandas()
-    rows = rows.sort_values(["p", "doc_id"], kind="stable")
-    x = np.array(rows.x.tolist(), float).reshape(len(rows), -1)
-    is_p = rows.p.to_numpy() == 1
+    rows = map_batches(narrow.join(F.broadcast(ids), "doc_id"), "doc_id long, p int, x array<double>", _statistics_of).toArrow()
+    p, ids = rows.column("p").to_numpy(), rows.column("doc_id").to_numpy()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(p), -1) if len(p) else np.zeros((0, len(statistics(None))))
+    order = np.lexsort((ids, p))
+    x, is_p = x[order], p[order] == 1
     return fit_arrays(x[is_p], x[~is_p])
 
 

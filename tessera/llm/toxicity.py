@@ -103,9 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
 
         return run
 
-    rows = map_batches(training_rows(docs, labels, label, max_train), "doc_id long, y int, x array<int>", start).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    xs, ys = [np.asarray(x, np.int64) for x in rows.x], rows.y.to_numpy()
+    # Arrow keeps the indices at 4 bytes each on their way and here
+    rows = map_batches(training_rows(docs, labels, label, max_train), "doc_id long, y int, x array<int>", start).toArrow().combine_chunks()
+    by_id = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    x = rows.column("x").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    flat, ends, ys = x.flatten().to_numpy(), np.r_[0, np.cumsum(x.value_lengths().to_numpy())].astype(np.int64), rows.column("y").to_numpy()
+    xs, ys = [flat[ends[k] : ends[k + 1]] for k in by_id], ys[by_id]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(xs)):
