@@ -83,7 +83,7 @@ def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int
     owner = F.last(F.when(F.col("is_draw") == 0, F.struct("no_source", "source")), ignorenulls=True).over(along)
     owned = starts.unionByName(points).withColumn("owner", owner).where("is_draw = 1")
     drawn = owned.groupBy("shard", "owner.no_source", "owner.source").agg(F.count("*").alias("drawn"))
-    s = s.join(drawn, ["shard", "no_source", "source"], "left").withColumn("slots", F.col("whole") + F.coalesce("drawn", F.lit(0)))
+    s = s.join(drawn.hint("merge"), ["shard", "no_source", "source"], "left").withColumn("slots", F.col("whole") + F.coalesce("drawn", F.lit(0)))
     before = Window.partitionBy("no_source", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long")))
     return s.select("no_source", "source", "shard", "slots", "first", "blocks")
@@ -124,6 +124,9 @@ def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BU
 def slots_of(sources: DataFrame, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """The mix as (shard, no_source, source, slot, block). Draws past a source's cap are void."""
     counts = shard_counts(sources.where(F.col("want") > 0), shard_blocks, seed).where("slots > 0")
+    # few short rows become very many: a fixed number of partitions, which isn't merged by their size before
+    wide = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.repartition(wide, "shard", "no_source", "source")
     slots = counts.select("shard", "no_source", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"))
     slots = slots.where(F.col("slot") < F.floor(F.col("blocks") * F.lit(float(cap))))
     place = permuted(F.col("slot"), F.col("blocks"), F.col("no_source"), F.col("source"), seed)
@@ -143,7 +146,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS,
     placed, sources = blocks_of(docs, block_words, buckets, cap, seed)
     placed, sources = materialise(placed), materialise(sources)
     taken = slots_of(sources, cap, shard_blocks, seed).groupBy("no_source", "source", "block").agg(F.count("*").alias("times"))
-    pieces = pieces_of(placed, block_words).join(taken, ["no_source", "source", "block"], "left")
+    # the planner takes exploded rows for as few as the table they come from: no broadcast here
+    pieces = pieces_of(placed, block_words).join(taken.hint("merge"), ["no_source", "source", "block"], "left")
     # an offset is one row's own: only rows of size 0 share theirs
     by_row = pieces.groupBy("no_source", "source", "off", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     empty = placed.where("size = 0").select("no_source", "source", "off", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
