@@ -236,12 +236,12 @@ def test_minhash_against_brute_force(spark):
         docs = docs_of(spark, [(i, t, "s") for i, t in texts])
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes_of(docs, size, 80).collect()}
         assert got == want
-    old = minhash.CELL, minhash.FIRST_TRIES
-    minhash.CELL, minhash.FIRST_TRIES = 8, 1  # many cells and several rounds
+    old = minhash.CELL
+    minhash.CELL = 8  # many cells
     try:
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes_of(docs, 2, 80).collect()}
     finally:
-        minhash.CELL, minhash.FIRST_TRIES = old
+        minhash.CELL = old
     assert got == brute_components(texts, 2, 80)
     one = minhash.one_of_each(docs, 5, 80)
     assert one.columns == docs.columns and one.count() == len({c for _, c in brute_components(texts, 5, 80).values()})
@@ -359,16 +359,16 @@ def test_backoff_against_brute_force(spark):
     n = sum(c1.values())
     want = []
     for (i, _, _), t in zip(rows, texts):
-        o1, o2, total, seen = collections.Counter(t), collections.Counter(zip(t, t[1:])), 0.0, 0
+        o2, total, seen = collections.Counter(zip(t, t[1:])), 0.0, 0
         for p in zip(t, t[1:]):
             k = c2[p] - o2[p]
             seen += k > 0
-            total += math.log(k / max(c1[p[0]] - o1[p[0]], 0.5)) if k else math.log(0.4 * max(c1[p[1]] - o1[p[1]], 0.5) / (n - len(t)))
+            total += math.log(k / c1[p[0]]) if k else math.log(0.4 * c1[p[1]] / n)
         pairs = max(0, len(t) - 1)
         want.append((i, pairs, seen, round(total / pairs, 4) if pairs else None))
     key = lambda r: (r[0], r[1], r[2], r[3] or 0)
     docs = docs_of(spark, rows)
-    for got in (lm.score(docs, pairs_per_part=500), lm.score(docs, vocabulary=3)):
+    for got in (lm.score(docs, pairs_per_part=500), lm.score(docs, vocabulary=30), lm.score(docs, vocabulary=0)):
         assert sorted(((r.doc_id, r.n_pairs, r.n_seen, r.score and round(r.score, 4)) for r in got.collect()), key=key) == sorted(want, key=key)
     assert lm.score(odd_docs(spark)).count() == 9 and lm.score(empty_docs(spark)).count() == 0
 
