@@ -9,19 +9,21 @@ large-star and small-star steps.
 No bucket is expanded into its pairs. First every class meets one hub, the least class of the buckets it
 shares most; that joins nearly all of a large group. What is then left in a bucket with classes of several
 components is compared in cells of bounded size: rows outside the bucket's largest component against each
-other and against that component, never that component against itself. A row's survivors against one component
-are verified best first, ``FIRST_TRIES`` at a time and four times as many in each later round, until every
-survivor was verified or its two components have become one. So no link between different texts is given up
-but by the banding and the posterior bound, whose miss probabilities are parameters.
+other and against that component, never that component against itself. A pair counts in the first band it
+shares. Classes with a pair that survives the posterior bound go to their cells once more with their full sets,
+where surviving pairs not yet joined are verified exactly; a cell returns a forest of confirmed links, fewer
+than it has rows. So no link between components is given up but by the banding and the posterior bound, whose
+miss probabilities are parameters.
 
 Defined cases: null, empty and word-less texts have no shingles and link with nothing; a text of fewer words
 than a shingle is one shingle; rows that repeat a doc_id are each
-classed by their own text; rows with a null
+classed by their own text (where those differ, candidates are verified by one of the texts); rows with a null
 doc_id take no part and get a null component; an empty table gives no rows; other columns are passed over.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 from math import comb
 
@@ -37,9 +39,11 @@ from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, map_batch
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
 #: Chosen miss probability of each look at a pair's signatures.
-MISS = 1e-5
-#: Rows of a cell's side, and verifications of a row against a component in the first round.
-CELL, FIRST_TRIES = 1024, 16
+MISS = 1e-4
+#: Rows of a cell's side.
+CELL = 512
+#: Rows of an Arrow batch where rows carry shingle sets.
+SET_BATCH = 500
 #: Bits of the filter that picks texts to read again.
 FILTER_BITS = 1 << 24
 
@@ -60,6 +64,17 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(h + np.uint64(run)))
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A sorted set as 6 bytes a shingle: its upper 48 bits, in order."""
+    return np.ascontiguousarray((found >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """Least value of each hash function over the shingles."""
     low = (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -131,32 +146,30 @@ def _described(size: int):
     return start
 
 
-def _banded():
-    places = np.arange(BANDS, dtype=np.uint64)
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket key of every band, by row."""
+    parts = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * K3, parts.shape[:2]).copy()
+    for k in range(ROWS):
+        key = mix(key * K1 + parts[:, :, k])
+    return key.view(np.int64)
 
+
+def _banded():
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sig = _signatures(b.column("sig")).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(places * K3, sig.shape[:2]).copy()
-        for k in range(ROWS):
-            key = mix(key * K1 + sig[:, :, k])
+        key = _band_keys(_signatures(b.column("sig")))
         take = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-        return batch(key=(key.ravel().view(np.int64), pa.int64()), node=b.column("node").take(take))
+        return batch(key=(key.ravel(), pa.int64()), node=b.column("node").take(take))
 
     return run
 
 
-def _pruned(threshold: float):
-    def start():
-        looks = Looks(threshold)
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            ok = looks.matches(_signatures(b.column("sa")), _signatures(b.column("sb"))) >= 0 if b.num_rows else np.zeros(0, bool)
-            kept = b.filter(pa.array(ok))
-            return batch(a=kept.column("a"), b=kept.column("b"))
-
-        return run
-
-    return start
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
 def _verified(percent: int):
@@ -164,14 +177,7 @@ def _verified(percent: int):
 
     def start():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            left, right = b.column("ha"), b.column("hb")
-            ok = []
-            for x, y in zip(left, right):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
+            ok = [_similar(unpacked(x), unpacked(y), percent) for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist())]
             kept = b.filter(pa.array(ok, pa.bool_()))
             return batch(a=kept.column("a"), b=kept.column("b"))
 
@@ -197,15 +203,15 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             p = b.column("p").to_numpy()
             b = b.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
-            sets = [shingles(hashes.of(blank_words(t)), size).view(np.int64) for t in b.column("text").to_pylist()]
+            sets = [packed(shingles(hashes.of(blank_words(t)), size)) for t in b.column("text").to_pylist()]
             keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
-            out = batch(node=b.column("doc_id"), hashes=(sets, pa.list_(pa.int64())))
-            return out.filter(keep)
+            return batch(node=b.column("doc_id"), hashes=(sets, pa.binary())).filter(keep)
 
         return run
 
     narrow = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
-    return map_batches(narrow, "node long, hashes array<bigint>", start)
+    found = map_batches(narrow, "node long, hashes binary", start).join(nodes, "node", "left_semi")
+    return found.groupBy("node").agg(F.min("hashes").alias("hashes"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Bucket rows (key, node, comp, sig) of several components, dealt to cells (key, i, j) of bounded size.
+    """Bucket rows (key, node, comp) of several components, dealt to cells (key, i, j) of bounded size.
 
     side 1: outside the bucket's largest component, 0: in it. Side 1 meets itself in cells (i, j), i <= j,
     and side 0 in cells (i, -1 - j).
@@ -248,110 +254,154 @@ def _cells(rows: DataFrame) -> DataFrame:
     with_zeros = F.transform(upto(zeros), lambda k: F.struct(F.col("own").alias("i"), (-1 - k).alias("j")))
     mine = F.transform(upto(ones), lambda k: F.struct(k.alias("i"), (-1 - F.col("own")).alias("j")))
     cell = F.when(F.col("side") == 1, F.concat(with_ones, with_zeros)).otherwise(mine)
-    return rows.select("key", "node", "comp", "sig", "side", "own", F.explode(cell).alias("cell")).select("key", "cell.i", "cell.j", "node", "comp", "sig", "side", "own")
+    return rows.select("key", "node", "comp", "side", "own", F.explode(cell).alias("cell")).select("key", "cell.i", "cell.j", "node", "comp", F.col("side").cast("long").alias("side"), "own")
+
+
+class Cell:
+    """The rows of one cell; which pairs of them survive the posterior bound."""
+
+    def __init__(self, key: tuple, rows: list[tuple], looks: Looks, percent: int):
+        self.i, self.j, self.looks, self.percent = key[1], key[2], looks, percent
+        self.node, self.comp, self.n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, HASHES)
+        self.side, self.own = (np.array([r[k] for r in rows], np.int64) for k in (4, 5))
+        keys = _band_keys(self.sig)
+        self.keys, self.band = keys, int(np.flatnonzero((keys == np.int64(key[0])).all(0))[0])
+
+    def pairs(self):
+        """(x, partners) by row x, for pairs of different components that share no earlier band, likeliest first."""
+        left = np.flatnonzero((self.side == 1) & (self.own == self.i))
+        right = np.flatnonzero(self.side == 0) if self.j < 0 else np.flatnonzero(self.own == self.j)
+        if self.j >= 0:
+            right = right[self.side[right] == 1]
+        for x in left:
+            y = right[self.comp[right] != self.comp[x]]
+            if self.i == self.j:
+                y = y[self.node[y] > self.node[x]]
+            small, large = np.minimum(self.n[y], self.n[x]), np.maximum(self.n[y], self.n[x])
+            y = y[100 * small >= self.percent * large]
+            if self.band and len(y):
+                y = y[~(self.keys[y, : self.band] == self.keys[x, : self.band]).any(1)]
+            if len(y):
+                m = self.looks.matches(self.sig[x], self.sig[y])
+                y, m = y[m >= 0], m[m >= 0]
+                if len(y):
+                    yield x, y[np.argsort(-m, kind="stable")]
+
 
+def _by_cell(batches, columns: tuple[str, ...]):
+    """Rows of batches sorted by (key, i, j), a cell at a time."""
+    cell, rows = None, []
+    for b in batches:
+        for key, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", *columns))):
+            if (key, i, j) != cell:
+                if len(rows) > 1:
+                    yield cell, rows
+                cell, rows = (key, i, j), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield cell, rows
 
-def _compared(threshold: float, tries: int):
-    """Rows of cells -> (a, b, deferred): each row's best ``tries`` surviving pairs with each other component."""
-    schema = "a long, b long, deferred boolean"
+
+_CELL = ("node", "comp", "n", "sig", "side", "own")
+
+
+def _plausible(threshold: float, percent: int):
+    """Rows of cells -> those that have a surviving pair there."""
 
     def run(batches):
         looks = Looks(threshold)
-        cell, rows = None, []
-
-        def finish():
-            i, j = cell[1], cell[2]
-            node = np.array([r[0] for r in rows])
-            comp = np.array([r[1] for r in rows])
-            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, HASHES)
-            side, own = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-            out = []
-            left = np.flatnonzero((side == 1) & (own == i))
-            right = np.flatnonzero(side == 0) if j < 0 else np.flatnonzero(own == j)
-            for x in left:
-                y = right[comp[right] != comp[x]]
-                if i == j:
-                    y = y[node[y] > node[x]]
-                if not len(y):
-                    continue
-                m = looks.matches(sig[x], sig[y])
-                y, m = y[m >= 0], m[m >= 0]
-                if not len(y):
-                    continue
-                best = np.lexsort((node[y], -m, comp[y]))
-                y = y[best]
-                starts = np.flatnonzero(np.r_[True, comp[y][1:] != comp[y][:-1]])
-                rank = np.arange(len(y)) - np.repeat(starts, np.diff(np.r_[starts, len(y)]))
-                late = bool((rank >= tries).any())
-                out += [(int(min(node[x], node[k])), int(max(node[x], node[k])), late) for k in y[rank < tries]]
-            return out
-
-        def made(out):
-            return batch(a=([r[0] for r in out], pa.int64()), b=([r[1] for r in out], pa.int64()), deferred=([r[2] for r in out], pa.bool_()))
-
-        for b in batches:
+        for cell, rows in _by_cell(batches, _CELL):
+            c = Cell(cell, rows, looks, percent)
+            used = np.zeros(len(rows), bool)
+            for x, y in c.pairs():
+                used[x] = True
+                used[y] = True
+            kept = np.flatnonzero(used)
+            k = len(kept)
+            if k:
+                place = {n: (np.full(k, cell[p]), pa.int64()) for p, n in enumerate(("key", "i", "j"))}
+                sig = ([rows[r][3] for r in kept], pa.binary())
+                yield batch(**place, node=(c.node[kept], pa.int64()), comp=(c.comp[kept], pa.int64()), n=(c.n[kept], pa.int64()), sig=sig, side=(c.side[kept], pa.int64()), own=(c.own[kept], pa.int64()))
+
+    return run
+
+
+def _joined_in_cells(threshold: float, percent: int):
+    """Rows of cells with full sets -> a forest (a, b) of confirmed links between their components."""
+
+    def run(batches):
+        looks = Looks(threshold)
+        for cell, rows in _by_cell(batches, (*_CELL, "hashes")):
+            c = Cell(cell, rows, looks, percent)
+            sets = [unpacked(r[6]) for r in rows]
+            up: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while up.setdefault(v, v) != v:
+                    up[v] = up[up[v]]
+                    v = up[v]
+                return v
+
             out = []
-            cols = [b.column(c).to_pylist() for c in ("key", "i", "j", "node", "comp", "sig", "side", "own")]
-            for key, i, j, *row in zip(*cols):
-                if (key, i, j) != cell:
-                    if len(rows) > 1:
-                        out += finish()
-                    cell, rows = (key, i, j), []
-                rows.append(row)
-            yield made(out)
-        if len(rows) > 1:
-            yield made(finish())
+            for x, ys in c.pairs():
+                for y in ys:
+                    p, q = find(int(c.comp[x])), find(int(c.comp[y]))
+                    if p != q and _similar(sets[x], sets[y], percent):
+                        up[max(p, q)] = min(p, q)
+                        out.append((int(min(c.node[x], c.node[y])), int(max(c.node[x], c.node[y]))))
+            if out:
+                yield batch(a=([r[0] for r in out], pa.int64()), b=([r[1] for r in out], pa.int64()))
 
-    return run, schema
+    return run
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row, (sid, node) of every class, and confirmed (a, b) links that join all components."""
     threshold = percent / 100
     rows = materialise(map_batches(docs.select("doc_id", "text"), "doc_id long, n long, sid binary, sig binary", _described(size)))
-    classes = rows.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
+    classes = rows.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = materialise(classes)
     sigs = classes.select("node", "sig")
-    buckets = materialise(map_batches(sigs, "key long, node long", _banded))
+    buckets = map_batches(sigs, "key long, node long", _banded)
     hubs = materialise(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    met = buckets.join(hubs, "key")
-    met = materialise(met)
-
-    def prune(pairs: DataFrame) -> DataFrame:
-        with_sigs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        return map_batches(with_sigs.select("a", "b", "sa", "sb"), "a long, b long", _pruned(threshold))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = _sets_of(docs, nodes, size).join(nodes, "node", "left_semi")
-        sets = materialise(sets.dropDuplicates(["node"]))
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-        return materialise(map_batches(full.select("a", "b", "ha", "hb"), "a long, b long", _verified(percent)))
-
-    # one hub a class: the one it shares most bands with
-    offered = met.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    met = materialise(buckets.join(hubs, "key"))
+
+    # one hub a class: the one it shares most bands with; a pair left out here is compared below
+    offered = met.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n")).where("n > 1")
     chosen = offered.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    first = materialise(prune(chosen.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
-    found = [verify(first)]
-    tested, tries = first, FIRST_TRIES
-    while True:
-        comps = components(reduce(DataFrame.unionByName, found))
-        labelled = met.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_rows = materialise(labelled.join(mixed, "key", "left_semi"))
-        cells = _cells(open_rows.join(sigs, "node"))
-        run, schema = _compared(threshold, tries)
-        best = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, schema)
-        best = materialise(best.groupBy("a", "b").agg(F.max("deferred").alias("deferred")))
-        late = not best.where("deferred").isEmpty()
-        fresh = materialise(best.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            found.append(verify(fresh))
-            tested = tested.unionByName(fresh)
-        if not late:
-            break
-        tries *= 4
-    return rows.select("doc_id", "n", "sid"), classes.select("sid", "node"), reduce(DataFrame.unionByName, found)
+    pairs = materialise(chosen.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    of = lambda side: _sets_of(docs, _nodes(pairs, side), size).select(F.col("node").alias(side), F.col("hashes").alias(f"h{side}"))
+    full = pairs.join(of("b"), "b").join(of("a"), "a")
+    with _batches_of(docs.sparkSession, SET_BATCH):
+        first = materialise(map_batches(full.select("a", "b", "ha", "hb"), "a long, b long", _verified(percent)))
+
+    # what is left: buckets with several components
+    labelled = materialise(met.select("key", "node").join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    cells = materialise(_cells(labelled))
+    place = ["key", "i", "j"]
+    dealt = cells.join(classes.select("node", "n", "sig"), "node").select(*place, *_CELL).repartition(*place).sortWithinPartitions(*place)
+    wanted = materialise(dealt.mapInArrow(_plausible(threshold, percent), "key long, i long, j long, node long, comp long, n long, sig binary, side long, own long"))
+    again = wanted.join(_sets_of(docs, _nodes(wanted, "node"), size), "node").repartition(*place).sortWithinPartitions(*place)
+    with _batches_of(docs.sparkSession, SET_BATCH):
+        second = materialise(again.select(*place, *_CELL, "hashes").mapInArrow(_joined_in_cells(threshold, percent), "a long, b long"))
+    return rows.select("doc_id", "n", "sid"), classes.select("sid", "node"), first.unionByName(second)
+
+
+def _nodes(df: DataFrame, *columns: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select(F.col(c).alias("node")) for c in columns]).distinct()
+
+
+@contextmanager
+def _batches_of(spark, rows: int):
+    """Arrow batches of fewer rows while jobs inside run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def classes_of(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
