@@ -192,9 +192,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     The filter is a fixed number of bits set on the executors; it spares shuffling the texts.
     """
     at = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("p"))
-    words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).toPandas()
+    words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).toArrow()
     held = np.zeros(FILTER_BITS // 64, np.int64)
-    held[words.w.to_numpy()] = words.v.to_numpy()
+    held[words.column("w").to_numpy()] = words.column("v").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def start():
