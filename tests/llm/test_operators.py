@@ -322,6 +322,33 @@ def test_substring_dedup_against_brute_force(spark, sf):
     assert got == want and any(want[i] != t for i, t in docs)
 
 
+def test_substring_dedup_finds_passages_at_any_offset(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(2000)]
+    some = lambda n, stop: " ".join(rng.choice(words) + (". " if stop and rng.random() < 0.08 else "") for _ in range(n))
+    rows, passages = [], []
+    for k in range(60):
+        stop = k % 2 == 1
+        passages.append(some(51 + k % 3 * 15, stop).split())
+        for j in range(2):
+            rows.append((1000 * j + k, f"{some(rng.randint(1, 60), stop)} {' '.join(passages[k])} {some(rng.randint(1, 60), stop)}", "s"))
+    got = {r.doc_id: r.text for r in substrings.dedup(docs_of(spark, rows)).collect()}
+    for k, p in enumerate(passages):
+        assert got[k] == rows[2 * k][1]
+        left = sum(w.rstrip(".") in {x.rstrip(".") for x in p} for w in got[1000 + k].split())
+        assert left <= len(p) // 2, (k, left)
+
+
+def test_substring_dedup_joins_short_sentences(spark):
+    short = " ".join(f"Word{i}{'' if i % 5 == 4 else '.'}" for i in range(60))
+    rows = [(1, f"This is the first. {short} Its end is here.", "s"), (2, f"That other one. {short} And there it stops.", "s")]
+    for per_part in (substrings.CHARS_PER_PART, 20):
+        assert substrings.repeated_runs(docs_of(spark, rows), chars_per_part=per_part).count() == 1
+    got = {r.doc_id: r.text for r in substrings.dedup(docs_of(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and len(got[2].split()) <= 7 + 30
+    assert substrings.dedup(docs_of(spark, rows).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))).where("n_removed > 0").count() == 1
+
+
 # quality rules
 
 
