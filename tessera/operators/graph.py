@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(root, id, depth): every node within ``max_depth`` steps of a root, at its least depth; ends early when a frontier is empty."""
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = 20) -> DataFrame:
+    """(root, id, depth): every node within ``max_depth`` steps of a root (None: any number), at its least depth; ends early when a frontier is empty."""
     seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
     frontier = seen
     step = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         frontier = frontier.join(step, "id").select("root", F.col("next").alias("id"), F.lit(depth).alias("depth")).distinct()
         frontier = _cut(frontier.join(seen, ["root", "id"], "left_anti"))
         if frontier.isEmpty():
@@ -36,7 +38,7 @@ def would_cycle(edges: DataFrame, candidates: DataFrame, max_depth: int = 20) ->
     return candidates.join(found.select(F.col("root").alias("to_id"), F.col("id").alias("from_id")), ["to_id", "from_id"], "left_semi")
 
 
-def causal_chains(edges: DataFrame, relations: tuple[str, ...] = ("caused_by", "resolved_by"), max_depth: int = 20) -> DataFrame:
+def causal_chains(edges: DataFrame, relations: tuple[str, ...] = ("caused_by", "resolved_by"), max_depth: int | None = None) -> DataFrame:
     """(root, id, depth, is_resolved): chains from nodes with no incoming causal edge; resolved if any edge of theirs is resolved_by."""
     causal = edges.where(F.col("relation_type").isin(*relations))
     roots = causal.select(F.col("from_id").alias("id")).distinct().join(causal.select(F.col("to_id").alias("id")), "id", "left_anti")

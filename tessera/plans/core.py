@@ -244,20 +244,19 @@ def g04(spark, sf_dir):
 
 @register("g06_causal_chains")
 def g06(spark, sf_dir):
-    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by') and weight >= 4.5")
-    return graph.causal_chains(edges, max_depth=10)
+    return graph.causal_chains(view(spark, sf_dir, "links"))
 
 
 @register("g05_would_cycle")
 def g05(spark, sf_dir):
-    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by') and weight >= 3.5")
-    return graph.would_cycle(edges, edges.where("from_id < 20").select("from_id", "to_id"), 6)
+    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by')")
+    return graph.would_cycle(edges, edges.select("from_id", "to_id"))
 
 
 @register("g07_unresolved")
 def g07(spark, sf_dir):
     links = view(spark, sf_dir, "links")
-    return graph.unresolved(view(spark, sf_dir, "fragments"), links, graph.causal_chains(links.where("weight >= 4.5"), max_depth=10))
+    return graph.unresolved(view(spark, sf_dir, "fragments"), links, graph.causal_chains(links))
 
 
 _SEEDS = "select id from @fragments where id in (3, 14, 15, 92, 65)"

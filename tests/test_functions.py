@@ -108,6 +108,21 @@ def test_reachability_and_cycles(spark):
     assert chains == {(1, 1, True), (1, 2, True), (1, 3, True), (5, 5, False), (5, 6, False)}
 
 
+def test_causal_queries_follow_long_weak_chains(spark, monkeypatch):
+    from tessera.plans import core
+
+    step = lambda a, b, kind="caused_by": (a, b, kind, 1.0)
+    links = [step(100 + k, 101 + k) for k in range(24)] + [step(124, 125, "resolved_by")] + [step(200 + k, 200 + (k + 1) % 15) for k in range(15)]
+    tables = {
+        "links": spark.createDataFrame(links, "from_id long, to_id long, relation_type string, weight double"),
+        "fragments": spark.createDataFrame([(115, "fact", "open"), (300, "fact", "open"), (301, "error", None)], "id long, type string, resolution_status string"),
+    }
+    monkeypatch.setattr(core, "view", lambda spark, sf_dir, name: tables[name])
+    assert {(r.root, r.id, r.depth, r.is_resolved) for r in core.g06(spark, "").collect()} == {(100, 100 + k, k, True) for k in range(26)}
+    assert {(r.from_id, r.to_id) for r in core.g05(spark, "").collect()} == {(a, b) for a, b, *_ in links if a >= 200}
+    assert {r.id for r in core.g07(spark, "").collect()} == {300, 301}
+
+
 def test_knn_blocks_agree(spark):
     import random
 
