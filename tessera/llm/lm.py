@@ -124,7 +124,7 @@ def _packed(batches, words: np.ndarray, counts: np.ndarray, total: int, parts: i
             backed = unit + log_c[first + 1]
             found.append((row, n, float((backed * times).sum())))
             rare = np.where(known, np.uint64(0), h)
-            pend.append((pair, (-log_c[first] - backed).astype(np.float32), np.minimum(times, 65535).astype(np.uint16), rare[first], rare[first + 1]))
+            pend.append((pair, (-log_c[first] - backed).astype(np.float32), times.astype(np.uint32), rare[first], rare[first + 1]))
             rows.append(row)
             held += len(pair)
             if held >= PACK_PAIRS or len(rows) >= PACK_DOCS:
@@ -151,7 +151,7 @@ def _joined(batches):
     def finish():
         keys = [np.frombuffer(p[0], np.uint64) for p in packs]
         each = [np.frombuffer(p[2], np.uint16).astype(np.int64) for p in packs]
-        times = [np.frombuffer(p[4], np.uint16).astype(np.int64) for p in packs]
+        times = [np.frombuffer(p[4], np.uint32).astype(np.int64) for p in packs]
         sums = [np.add.reduceat(t, np.r_[0, np.cumsum(e)[:-1]]) for t, e in zip(times, each)]
         table, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(back, np.concatenate(sums), len(table)).astype(np.int64)

@@ -400,6 +400,14 @@ def test_backoff_against_brute_force(spark):
     assert lm.score(odd_docs(spark)).count() == 9 and lm.score(empty_docs(spark)).count() == 0
 
 
+def test_backoff_counts_a_pair_in_full(spark):
+    n = 70_000
+    docs = docs_of(spark, [(1, "a " * (n + 1), "s"), (2, "a a", "s")])
+    got = {r.doc_id: (r.n_pairs, r.n_seen, r.score) for r in lm.score(docs).collect()}
+    assert got[1][:2] == (n, n) and got[1][2] == pytest.approx(math.log(1 / (n + 3)), abs=1e-4)
+    assert got[2][:2] == (1, 1) and got[2][2] == pytest.approx(math.log(n / (n + 3)), abs=1e-4)
+
+
 # queries
 
 
