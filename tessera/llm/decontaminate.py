@@ -10,7 +10,8 @@ Patterns are broadcast in chunks of at most ``chunk`` windows each (a proven bou
 a larger benchmark is searched chunk by chunk, and hit words and items are merged by row.
 
 Defined cases: null or empty texts have no words, are never contaminated, and null or empty items have no
-window; repeated rows are each judged; repeated items count by item_id once; an empty benchmark hits nothing.
+window; repeated rows are each judged; repeated items count by item_id once; items without an id
+are searched like others, count as one item together and are left out of items_sha256; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -61,16 +62,19 @@ class Table:
             at += 1
 
 
+def _in_order(items) -> list[str | None]:
+    """Ids in order; the missing one comes last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 def windows(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
     """Window -> ids of the items that have it."""
-    out: dict[tuple[bytes, ...], set[str]] = {}
+    out: dict[tuple[bytes, ...], set[str | None]] = {}
     for item_id, text in items:
-        if item_id is None:
-            continue
         words = tuple(alnum_words(text))
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            out.setdefault(words[i : i + window], set()).add(str(item_id))
-    return {k: sorted(v) for k, v in out.items()}
+            out.setdefault(words[i : i + window], set()).add(None if item_id is None else str(item_id))
+    return {k: _in_order(v) for k, v in out.items()}
 
 
 def tables(patterns: dict[tuple[bytes, ...], list[str]], window: int = WINDOW) -> list[Table]:
@@ -104,7 +108,7 @@ def _chunks(benchmark: DataFrame, window: int, chunk: int) -> Iterator[dict[tupl
     part: dict[tuple[bytes, ...], list[str]] = {}
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         for p, items in windows([(row.item_id, row.text)], window).items():
-            part[p] = sorted({*part.get(p, ()), *items})
+            part[p] = _in_order({*part.get(p, ()), *items})
         if len(part) >= chunk:
             yield part
             part = {}
@@ -114,7 +118,7 @@ def _chunks(benchmark: DataFrame, window: int, chunk: int) -> Iterator[dict[tupl
 
 def _digest(n: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
     hit = sum(b - a for a, b in spans)
-    return n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and 20 * hit >= n
+    return n, hit, len(items), hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest(), hit > 0 and 20 * hit >= n
 
 
 #: The digest's columns and their Arrow types.
@@ -151,7 +155,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, chunk: int) -> D
 
             def run(b: pa.RecordBatch) -> pa.RecordBatch:
                 found = [(r, *search(alnum_words(t), held)) for r, t in zip(b.column("__row").to_pylist(), b.column("text").to_pylist())]
-                found = [(r, [x for s in spans for x in s], sorted(items)) for r, spans, items in found if spans]
+                found = [(r, [x for s in spans for x in s], _in_order(items)) for r, spans, items in found if spans]
                 return batch(__row=([f[0] for f in found], pa.int64()), spans=([f[1] for f in found], pa.list_(pa.int32())), items=([f[2] for f in found], pa.list_(pa.string())))
 
             return run

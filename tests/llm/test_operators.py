@@ -283,6 +283,20 @@ def test_decontamination_against_brute_force(spark):
     assert clean.columns == odd_docs(spark).columns and clean.where("n_words = 9").count() == clean.count()
 
 
+def test_decontamination_takes_items_without_id(spark):
+    items = [(None, "alpha beta gamma"), (None, "delta epsilon"), (7, "zeta eta"), (7, None)]
+    rows = [(1, "x alpha beta gamma y delta epsilon", "s"), (2, "zeta eta alpha beta gamma", "s"), (3, "zeta eta", "s"), (4, "none", "s")]
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents as select * from (values " + ", ".join(f"({i}, '{t}')" for i, t, _ in rows) + ") d(doc_id, text)")
+    con.execute("create table benchmark as select * from (values (null, 'alpha beta gamma'), (null, 'delta epsilon'), (7, 'zeta eta'), (7, null)) b(item_id, text)")
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(con.execute(f"select {', '.join(names)} from ({queries.ORACLES['op7_decontaminate']})").fetchall())
+    for chunk in (1000, 1):
+        assert sorted(map(tuple, decontaminate.judge(docs, bench, chunk=chunk).select(*names).collect())) == want
+    assert [r[2:4] for r in want] == [(5, 1), (5, 2), (2, 1), (0, 0)]
+
+
 # substring dedup
 
 
