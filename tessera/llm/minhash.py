@@ -39,7 +39,7 @@ from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, map_batch
 BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
 #: Chosen miss probability of each look at a pair's signatures.
-MISS = 1e-4
+MISS = 1e-5
 #: Rows of a cell's side.
 CELL = 512
 #: Rows of an Arrow batch where rows carry shingle sets.
