@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Folders made for sessions that name no shared one, by application.
 _OWN_DIRS: dict[str, str] = {}
+#: Where materialised tables lie.
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
 #: Odd multipliers of the mixing functions below.
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -66,20 +71,53 @@ def lower_ascii(col):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Only a local master may do without; it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _OWN_DIRS.get(app) or _OWN_DIRS.setdefault(app, tempfile.mkdtemp(prefix="tessera-"))
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+@contextmanager
+def settings(spark: SparkSession, **values: object):
+    """Session settings (dots written as two underscores) while jobs inside run."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, **options: object) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What the write shuffled is removed at its end; ``discard`` removes the table. ``options`` go to the Parquet
+    writer, dots written as two underscores.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.options(**{k.replace("__", "."): v for k, v in options.items()}).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that nothing still to be run reads."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

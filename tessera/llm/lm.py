@@ -1,58 +1,98 @@
-"""LM scoring: stupid backoff over word pairs, from n-gram count tables partitioned by hash.
+"""LM scoring: stupid backoff over word pairs, computed relationally.
 
-A pair (w1, w2) that some other document has scores c(w1 w2) / c(w1), where the pair's count leaves the scored
-document's own out; any other scores ``ALPHA`` * c(w2) / N. A document's score is the mean natural log over its
-pairs. Counts cover every document of the input. Leaving own pairs out is what lets backoff happen at all when
-the scored documents are the corpus.
+A pair (b, c) that some other document has scores n(b c) / n(b), where the pair's count leaves the scored document's
+own occurrences out; any other scores ``ALPHA`` * n(c) / N. The counts of single words, n(b), n(c) and N, are those of
+the whole corpus, the scored document included: the own document is left out exactly where it would decide whether the
+model backs off. A document's score is the mean natural log over its pairs. Counts cover every document of the input.
 
-The relational plan: texts are exploded to distinct pairs with their count in the document; pairs travel to the
-partition of their hash, where the count table of that hash range is made and joined to them; what each
-partition adds to a document's score is summed by document. A map task packs the pairs it sends to a partition
-into one row of sorted arrays (about 10 bytes a pair instead of 30 or more), so a pair that stands in a third of all
-documents is spread over as many packed entries and never forms a group of rows. The number of hash partitions
-follows the input (``PAIRS_PER_PART``), which bounds what a task holds.
+The relational plan: texts become rows of word hashes once (``tokens``). Words and pairs are counted by aggregations
+whose map side has summed each batch, so a very frequent pair reaches the count table as one row a task. The count
+table keeps pairs counted at least twice; no other can be seen elsewhere. Documents are exploded to distinct pairs with
+their count in the document, joined to the count table by the hash of the pair (a shuffle join of its own, which spills
+and whose hot keys AQE splits), and what each pair adds is summed by document. Pairs are taken in ``slices`` of their
+keys, one after another; what a slice shuffles is gone before the next, which bounds the disk.
 
-Word counts come first, by an aggregation with map-side combine. The most frequent words, at most ``VOCABULARY`` of
-them (16 bytes each, 8 MB), travel to every task; what a rarer word adds is left open by the tasks, which send
-its hash and weight on to a join with the whole count table.
+The most frequent words, at most ``vocabulary`` of them (16 bytes each, 8 MB), travel to every task and are numbered, so
+a pair of two of them is an exact key of one number, from which its words' counts are found again. Pairs with a rarer word
+(``rare``) carry both words' hashes and find their counts by two more joins with the whole table of words: same scores, longer rows.
 
 Defined cases: a text of fewer than two words has no pair and score null; a null text has no words; repeated rows
-are documents of their own, each part of the other's corpus; a null doc_id passes through; an empty table gives no
-rows; other columns are passed over.
+are documents of their own, each part of the other's corpus; a null doc_id passes through, and ids may have any type;
+an empty table gives no rows; other columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, map_batches, materialise, mix
+from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, ddl, discard, map_batches, materialise, mix, settings
 
 ALPHA = 0.4
 VOCABULARY = 500_000
-PAIRS_PER_PART = 2_000_000
-#: Documents whose pairs are packed together; their places fit in 16 bits.
-PACK_DOCS, PACK_PAIRS = 60_000, 3_000_000
+SLICES = 2
+#: Texts of an Arrow batch; pairs that a task holds before it counts them.
+BATCH, HELD = 1000, 3_000_000
+#: Bits of a word's number in the key of a pair.
+WORD_BITS = 31
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, words) of every row: word hashes in order, written once."""
+
+    def start():
+        hashes = WordHashes()
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            every = [hashes.of(blank_words(t)) for t in b.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, every)], dtype=np.int32)
+            flat = np.concatenate(every).view(np.int64) if every else np.zeros(0, np.int64)
+            return batch(row=b.column("row"), doc_id=b.column("doc_id"), words=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+
+        return run
+
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH):
+        # words repeat: a wide dictionary page keeps them at two or three bytes each
+        return materialise(map_batches(narrow, f"{ddl(narrow.select('row', 'doc_id'))}, words array<long>", start), parquet__dictionary__page__size=16 << 20)
 
 
-def _words_counted():
-    hashes = WordHashes()
+def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a batch and, for each, the number of its text in the batch."""
+    col = b.column("words")
+    flat = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if b.num_rows else np.zeros(0, np.uint64)
+    return flat, np.repeat(np.arange(b.num_rows, dtype=np.uint16 if b.num_rows < 65_536 else np.int64), col.value_lengths().to_numpy(zero_copy_only=False))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        every = [hashes.of(blank_words(t)) for t in b.column("text").to_pylist()]
-        w, c = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return batch(w=(w.view(np.int64), pa.int64()), c=(c.astype(np.int64), pa.int64()))
+
+def _counted(of, name: str):
+    """A task's batches -> (name, c): how often each key that ``of`` finds in a batch occurs, summed over HELD of them."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            return batch(**{name: (k.view(np.int64), pa.int64())}, c=(c.astype(np.int64), pa.int64()))
+
+        for b in batches:
+            held.append(of(b))
+            n += len(held[-1])
+            if n >= HELD:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
 
     return run
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(made: DataFrame) -> DataFrame:
     """(w, c): count of every word of the corpus by its 64-bit hash."""
-    counted = map_batches(docs.select("text"), "w long, c long", _words_counted)
-    return counted.groupBy("w").agg(F.sum("c").alias("c"))
+    return made.select("words").mapInArrow(_counted(lambda b: _words(b)[0], "w"), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def frequent(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
@@ -70,142 +110,106 @@ def frequent(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.
     return w[order], np.asarray(c, np.int64)[order]
 
 
-_PACK = "part long, keys binary, gain binary, each binary, place binary, times binary, ids binary, open binary, row long, doc_id long, n_pairs long, base double"
-
-
-def _packed(batches, words: np.ndarray, counts: np.ndarray, total: int, parts: int):
-    """Batches of (row, doc_id, text) -> one row a document (part < 0) and rows of packed pairs by part.
-
-    ``gain`` is log(seen score / c12) - log(backed-off score) of a pair, as far as its words are frequent; ``open`` lists the
-    pair's places and hashes of words that aren't: first words, then second words.
-    """
-    hashes = WordHashes()
-    logs = np.log(np.maximum(counts, 1))
-    unit = float(np.log(ALPHA / max(total, 1)))
-    pend: list[tuple] = []
-    rows: list[int] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal held
-        pair, gain, times, w1, w2 = (np.concatenate([p[k] for p in pend]) for k in range(5))
-        place = np.repeat(np.arange(len(pend), dtype=np.uint16), [len(p[0]) for p in pend])
-        order = np.argsort(pair, kind="stable")
-        pair, gain, times, w1, w2, place = (x[order] for x in (pair, gain, times, w1, w2, place))
-        part = (pair >> np.uint64(33)).astype(np.int64) * parts >> 31  # ascends with the pair
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        ids = np.array(rows, np.int64)
-        out = []
-        for a, b in zip(starts, np.r_[starts[1:], len(part)]):
-            used, back = np.unique(place[a:b], return_inverse=True)
-            first = np.flatnonzero(np.r_[True, pair[a + 1 : b] != pair[a : b - 1]]) + a
-            each = np.diff(np.r_[first, b]).astype(np.uint16)
-            rare = [np.flatnonzero(w[first]) for w in (w1, w2)]
-            left = b"".join(np.array([len(r)], np.int64).tobytes() + r.astype(np.int64).tobytes() + w[first][r].tobytes() for r, w in zip(rare, (w1, w2)))
-            out.append((int(part[a]), pair[first].tobytes(), gain[first].tobytes(), each.tobytes(), back.astype(np.uint16).tobytes(), times[a:b].tobytes(), ids[used].tobytes(), left))
-        pend.clear()
-        rows.clear()
-        held = 0
-        blobs = {n: ([r[k + 1] for r in out], pa.binary()) for k, n in enumerate(("keys", "gain", "each", "place", "times", "ids", "open"))}
-        return batch(part=([r[0] for r in out], pa.int64()), **blobs, row=pa.nulls(len(out), pa.int64()), doc_id=pa.nulls(len(out), pa.int64()), n_pairs=pa.nulls(len(out), pa.int64()), base=pa.nulls(len(out), pa.float64()))
-
-    for b in batches:
-        found = []
-        for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
-            h = hashes.of(blank_words(text))
-            n = max(0, len(h) - 1)
-            if not n:
-                found.append((row, 0, 0.0))
-                continue
-            at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-            known = words[at] == h if len(words) else np.zeros(len(h), bool)
-            log_c = np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(h))
-            pair, first, times = np.unique(mix(h[:-1] * K1 + h[1:] * K3), return_index=True, return_counts=True)
-            backed = unit + log_c[first + 1]
-            found.append((row, n, float((backed * times).sum())))
-            rare = np.where(known, np.uint64(0), h)
-            pend.append((pair, (-log_c[first] - backed).astype(np.float32), times.astype(np.uint32), rare[first], rare[first + 1]))
-            rows.append(row)
-            held += len(pair)
-            if held >= PACK_PAIRS or len(rows) >= PACK_DOCS:
-                yield flush()
-        none = {n: pa.nulls(len(found), pa.binary()) for n in ("keys", "gain", "each", "place", "times", "ids", "open")}
-        yield batch(part=([-1 - r[0] % parts for r in found], pa.int64()), **none, row=([r[0] for r in found], pa.int64()), doc_id=b.column("doc_id"), n_pairs=([r[1] for r in found], pa.int64()), base=([r[2] for r in found], pa.float64()))
-    if pend:
-        yield flush()
-
-
-_SUMS = "row long, doc_id long, n_pairs long, added double, seen long, w long"
-
-
-def _sums(row, added, seen=None, n_pairs=None, w=None, doc_id=None) -> pa.RecordBatch:
-    k = len(row)
-    made = lambda x: pa.nulls(k, pa.int64()) if x is None else (x, pa.int64())
-    return batch(row=(row, pa.int64()), doc_id=pa.nulls(k, pa.int64()) if doc_id is None else doc_id, n_pairs=made(n_pairs), added=(added, pa.float64()), seen=made(seen), w=made(w))
-
-
-def _joined(batches):
-    """Packed rows sorted by part -> what they add to documents; with ``w`` set, a weight of the log count of that word."""
-    part, packs = None, []
-
-    def finish():
-        keys = [np.frombuffer(p[0], np.uint64) for p in packs]
-        each = [np.frombuffer(p[2], np.uint16).astype(np.int64) for p in packs]
-        times = [np.frombuffer(p[4], np.uint32).astype(np.int64) for p in packs]
-        sums = [np.add.reduceat(t, np.r_[0, np.cumsum(e)[:-1]]) for t, e in zip(times, each)]
-        table, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate(sums), len(table)).astype(np.int64)
-        begin = 0
-        for p, k, e, t in zip(packs, keys, each, times):
-            other = np.repeat(total[back[begin : begin + len(k)]], e) - t
-            begin += len(k)
-            gain, place, docs = np.repeat(np.frombuffer(p[1], np.float32), e), np.frombuffer(p[3], np.uint16), np.frombuffer(p[5], np.int64)
-            there = other > 0
-            worth = np.where(there, (np.log(np.maximum(other, 1)) + gain) * t, 0.0)
-            yield _sums(docs, np.bincount(place, worth, len(docs)), np.bincount(place, there * t, len(docs)).astype(np.int64))
-            left, ends = p[6], np.cumsum(e)
-            for seen, sign in ((True, -1.0), (False, 1.0)):
-                n = int(np.frombuffer(left[:8], np.int64)[0])
-                at, w = np.frombuffer(left[8 : 8 + 8 * n], np.int64), np.frombuffer(left[8 + 8 * n : 8 + 16 * n], np.int64)
-                left = left[8 + 16 * n :]
-                if n:
-                    span = e[at]
-                    entry = np.repeat(ends[at] - span, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                    ok = there[entry] == seen
-                    entry = entry[ok]
-                    yield _sums(docs[place[entry]], sign * t[entry], w=np.repeat(w, span)[ok])
-
-    for b in batches:
-        own = b.filter(pc.less(b.column("part"), 0))
-        if own.num_rows:
-            yield _sums(own.column("row").to_numpy(), own.column("base").to_numpy(), np.zeros(own.num_rows, np.int64), own.column("n_pairs").to_numpy(), doc_id=own.column("doc_id"))
-        rest = b.filter(pc.greater_equal(b.column("part"), 0))
-        for where, *pack in zip(*(rest.column(c).to_pylist() for c in ("part", "keys", "gain", "each", "place", "times", "ids", "open"))):
-            if where != part:
-                if packs:
-                    yield from finish()
-                part, packs = where, []
-            packs.append(pack)
-    if packs:
-        yield from finish()
-
-
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, pairs_per_part: int = PAIRS_PER_PART) -> DataFrame:
+def _pairs(b: pa.RecordBatch, known: np.ndarray):
+    """Every pair of a batch: place of its first word, key, whether a word is rare; and the words, and the text of each."""
+    w, doc = _words(b)
+    first = np.flatnonzero(doc[1:] == doc[:-1])
+    if len(known):
+        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+        rare = known[at] != w
+    else:
+        at, rare = np.zeros(len(w), np.int64), np.ones(len(w), bool)
+    odd = rare[first] | rare[first + 1]
+    exact = at[first].astype(np.int64) << WORD_BITS | at[first + 1]
+    hashed = ~(mix(w[first] * K1 + w[first + 1] * K3) >> np.uint64(1)).view(np.int64)  # below 0
+    return first, np.where(odd, hashed, exact), odd, w, doc
+
+
+def pair_counts(made: DataFrame, sent) -> DataFrame:
+    """(key, c) of the pairs that occur twice or more in the corpus."""
+    keys = made.select("words").mapInArrow(_counted(lambda b: _pairs(b, sent.value)[1], "key"), "key long, c long")
+    return keys.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1")
+
+
+def exploded(made: DataFrame, sent, rare: bool, part: int = 0, parts: int = 1) -> DataFrame:
+    """(key, row, times), and for rare pairs the hashes b and c: distinct pairs of each row with their count in it."""
+
+    def start():
+        known = sent.value
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            first, key, odd, w, doc = _pairs(b, known)
+            take = odd == rare
+            if parts > 1:
+                take &= mix(key.view(np.uint64) * K1) % np.uint64(parts) == part
+            first, key, whose = first[take], key[take], doc[first[take]]
+            order = np.argsort(key, kind="stable")
+            order = order[np.argsort(whose[order], kind="stable")]
+            key, whose, first = key[order], whose[order], first[order]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (whose[1:] != whose[:-1])]) if len(key) else np.zeros(0, int)
+            times = np.diff(np.r_[new, len(key)])
+            words = {"b": (w[first[new]].view(np.int64), pa.int64()), "c": (w[first[new] + 1].view(np.int64), pa.int64())} if rare else {}
+            return batch(key=(key[new], pa.int64()), row=b.column("row").take(pa.array(whose[new])), times=(times, pa.int64()), **words)
+
+        return run
+
+    return map_batches(made.select("row", "words"), f"key long, row long, times long{', b long, c long' if rare else ''}", start)
+
+
+def _summed(found: DataFrame, total: int) -> DataFrame:
+    """(row, n_pairs, n_seen, added) from pairs with count n of the pair, nb and nc of its words."""
+    other = F.coalesce("n", F.lit(0)) - F.col("times")
+    seen = F.log(other) - F.log("nb")
+    unseen = F.log("nc") + float(np.log(ALPHA)) - float(np.log(max(total, 1)))
+    added = F.sum(F.when(other > 0, seen).otherwise(unseen) * F.col("times")).alias("added")
+    return found.groupBy("row").agg(F.sum("times").alias("n_pairs"), F.sum(F.when(other > 0, F.col("times")).otherwise(0)).alias("n_seen"), added)
+
+
+def score(docs: DataFrame, vocabulary: int = VOCABULARY, slices: int = SLICES) -> DataFrame:
     """(doc_id, n_pairs, n_seen, score) of every row; score is the mean log of stupid-backoff scores."""
-    counts = materialise(word_counts(docs))
-    total = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    sent = docs.sparkSession.sparkContext.broadcast(frequent(counts, vocabulary))
-    parts = max(1, -(-total // pairs_per_part))
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-
-    def pack(batches):
-        yield from _packed(batches, *sent.value, total, parts)
-
-    packed = keyed.mapInArrow(pack, _PACK)
-    sums = materialise(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_joined, _SUMS))
-    known = sums.where("w is null").drop("w")
-    # a word's rows: at most one for each document and pair, so none is hot but by words that aren't rare
-    rare = sums.where("w is not null").groupBy("w", "row").agg(F.sum("added").alias("added")).join(counts, "w")
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_pairs"), (F.col("added") * F.log("c")).alias("added"), F.lit(None).cast("long").alias("seen"))
-    by_row = known.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_pairs").alias("n_pairs"), F.sum("added").alias("added"), F.sum("seen").alias("n_seen"))
-    return by_row.select("doc_id", "n_pairs", "n_seen", F.when(F.col("n_pairs") > 0, F.col("added") / F.col("n_pairs")).alias("score"))
+    spark = docs.sparkSession
+    made = tokens(docs)
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH):
+        counts = materialise(word_counts(made))
+        total = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+        known, times = frequent(counts, vocabulary)
+        sent = spark.sparkContext.broadcast(known)
+        numbered = pa.table({"id": pa.array(np.arange(len(known)), pa.int64()), "nw": pa.array(times, pa.int64())})
+        numbered = materialise(spark.createDataFrame(numbered, "id long, nw long"))  # at most ``vocabulary`` rows
+        table = materialise(pair_counts(made, sent)).withColumnRenamed("c", "n")
+
+        sums = []
+        for k in range(slices):
+            found = exploded(made, sent, False, k, slices).join(table.hint("merge"), "key", "left")
+            for word, name in ((F.shiftright("key", WORD_BITS), "nb"), (F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1)), "nc")):
+                of = numbered.select(F.col("id").alias(f"id_{name}"), F.col("nw").alias(name))
+                found = found.join(F.broadcast(of), word == F.col(f"id_{name}"))
+            sums.append(materialise(_summed(found, total)))
+        found = exploded(made, sent, True).join(table.hint("merge"), "key", "left")
+        found = found.join(counts.select(F.col("w").alias("b"), F.col("c").alias("nb")).hint("merge"), "b")
+        found = found.join(counts.select(F.col("w").alias("c"), F.col("c").alias("nc")).hint("merge"), "c")
+        sums.append(materialise(_summed(found, total)))
+    discard(counts, numbered)
+    by_row = reduce(DataFrame.unionByName, sums).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n_pairs", "n_seen", "added")))
+    out = made.select("row", "doc_id").join(by_row, "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", zero("n_pairs"), zero("n_seen"), F.when(F.col("n_pairs") > 0, F.col("added") / F.col("n_pairs")).alias("score"))
+
+
+ORACLE = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+words as (select w, count(*) as n from (select unnest(w) as w from d) group by w),
+own as (select r, w[i] as b, w[i + 1] as c, count(*) as times from (select r, w, unnest(range(1, len(w))) as i from d) group by all),
+pairs as (select b, c, sum(times) as n from own group by all),
+added as (
+  select o.r, o.times, p.n > o.times as seen,
+    case when p.n > o.times then ln(p.n - o.times) - ln(nb.n) else ln(nc.n) + ln(0.4) - ln((select sum(n) from words)) end as score
+  from own o join pairs p using (b, c) join words nb on nb.w = o.b join words nc on nc.w = o.c),
+sums as (
+  select r, sum(times) as n_pairs, sum(times) filter (seen) as n_seen, sum(score * times) as added from added group by r)
+select d.doc_id, cast(coalesce(n_pairs, 0) as bigint) as n_pairs, cast(coalesce(n_seen, 0) as bigint) as n_seen, round(added / n_pairs, 6) as score
+from d left join sums using (r)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, html_text, lm, minhash, mixing, quality, rules, substrings, toxicity, url_filter
 from tessera.llm.common import table
@@ -50,9 +51,9 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_url_filter, op5_html_text, op6_minhash, op7_decontaminate, op8_substrings, op9_rules, op10_lm)}
 
-ORACLES = {"op4_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op4_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_lm": lm.ORACLE}

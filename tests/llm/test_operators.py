@@ -409,9 +409,13 @@ def test_backoff_against_brute_force(spark):
         want.append((i, pairs, seen, round(total / pairs, 4) if pairs else None))
     key = lambda r: (r[0], r[1], r[2], r[3] or 0)
     docs = docs_of(spark, rows)
-    for got in (lm.score(docs, pairs_per_part=500), lm.score(docs, vocabulary=30), lm.score(docs, vocabulary=0)):
+    for got in (lm.score(docs, slices=3), lm.score(docs, vocabulary=30), lm.score(docs, vocabulary=0)):
         assert sorted(((r.doc_id, r.n_pairs, r.n_seen, r.score and round(r.score, 4)) for r in got.collect()), key=key) == sorted(want, key=key)
-    assert lm.score(odd_docs(spark)).count() == 9 and lm.score(empty_docs(spark)).count() == 0
+    odd = sorted(((r.doc_id, r.n_pairs, r.n_seen) for r in lm.score(odd_docs(spark)).collect()), key=str)
+    assert odd == sorted([(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 3, 3), (5, 3, 3), (6, 3, 3), (None, 3, 0), (7, 29_999, 0)], key=str)
+    assert lm.score(empty_docs(spark)).count() == 0
+    named = docs.select(F.concat(F.lit("id"), "doc_id").alias("doc_id"), "text")
+    assert {r.doc_id for r in lm.score(named).collect()} == {f"id{i}" for i, _, _ in rows}
 
 
 def test_backoff_counts_a_pair_in_full(spark):
