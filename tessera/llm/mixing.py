@@ -1,19 +1,20 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 The words of a source's documents, in a pseudorandom document order, are one stream cut into blocks of
-``block_words``. Output shards of ``shard_blocks`` slots each take the whole part of their expected count
-from every source, and multinomial draws of the fractional parts fill the rest. A source's slots are
-numbered through all shards; slot i takes block perm(i mod blocks), perm being a keyed affine permutation
-of the source's block numbers, so that every block comes before any comes again. Slots and blocks are
-joined by (source, block).
+``block_words``. A source has as many output slots as its target is blocks (rounded, so no target is missed by more than half a
+block and its last short one), and every slot falls to an output shard by a uniform draw: given the totals, a source's counts over
+the shards are multinomial. Shards number one for every ``shard_blocks`` slots. Slot i of a source takes block
+perm(i mod blocks), perm being a keyed pseudorandom permutation of the source's block numbers, so that every block
+comes before any comes again. Slots and blocks are joined by (source, block): ``mixed`` has one row for every part of a
+document in a slot, ``texts`` cuts out the words, and ``mix`` sums what each document gave.
 
 Sources sorted by code point (null last) weigh 1, 2, 3, repeating, unless weights are given; a target stops
 at ``cap`` times its source's size and the excess is reshared by weight, which is the level where the sum
 of min(cap * size, weight * level) reaches the total.
 
-Document offsets come from sums over (source, bucket of documents) and a running sum inside a bucket, so a
-source with a third of all rows is spread over ``buckets`` groups. One row a source is gathered to rank and
-fill targets: that table has as many rows as there are sources.
+Document offsets come from sums over (source, bucket of documents) and a running sum inside a bucket of some
+``rows_per_bucket`` documents, so a source with a third of all rows is spread over its buckets. One row a source is
+gathered to rank and fill targets: that table has as many rows as there are sources.
 
 Defined cases: null or empty texts have size 0 and are never taken; a source of no words has target 0; an
 empty table gives no rows; repeated rows each hold a place of their own in the stream; other columns are
@@ -29,7 +30,9 @@ from tessera.llm.common import materialise
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 65_536
-BUCKETS = 1024
+ROWS_PER_BUCKET = 65_536
+#: Slots that one row is exploded to.
+CHUNK = 65_536
 SEED = 20_240_101
 
 
@@ -59,34 +62,26 @@ def target_table(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return ranked.select("no_source", "source", "source_size", "weight", target.alias("target"))
 
 
-def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(no_source, source, shard, taken slots, first slot) from sources with ``blocks`` and ``want`` (slots wanted).
+def drawn(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(no_source, source, blocks, slot, shard) from sources with ``blocks`` and ``want`` (slots wanted): every slot's shard."""
+    zero = F.lit(0).cast("long")
+    s = sources.withColumn("slots", F.round("want").cast("long")).where("slots > 0").select("no_source", "source", "blocks", "slots")
+    shards = -(-(s.agg(F.sum("slots")).first()[0] or 0) // shard_blocks)
+    s = s.withColumn("chunk", F.explode(F.sequence(zero, F.floor((F.col("slots") - 1) / CHUNK).cast("long"))))
+    # few short rows become very many: a fixed number of partitions, which isn't merged by their size before
+    wide = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = s.repartition(wide, "no_source", "source", "chunk")
+    last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
+    s = s.select("no_source", "source", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
+    shard = F.floor(_unit(F.col("no_source"), F.col("source"), F.col("slot"), F.lit(seed + 2)) * shards).cast("long")
+    return s.select("no_source", "source", "blocks", "slot", shard.alias("shard"))
 
-    Each shard has the whole parts of its expected counts; the slots left over, fewer than there are
-    sources, are drawn one by one from the fractional parts.
-    """
-    everything = Window.partitionBy(F.lit(1))
-    s = sources.withColumn("all_want", F.sum("want").over(everything)).where(F.col("all_want") > 0)
-    s = s.withColumn("shards", F.ceil(F.col("all_want") / shard_blocks).cast("long"))
-    s = s.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    s = s.withColumn("mean", F.col("want") / F.col("shards"))
-    s = s.withColumn("whole", F.floor("mean").cast("long")).withColumn("part", F.col("mean") - F.col("whole"))
-    by_shard = Window.partitionBy("shard")
-    s = s.withColumn("low", F.coalesce(F.sum("part").over(by_shard.orderBy("no_source", "source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    # multinomial: every leftover draw is an independent uniform point on the line of fractional parts,
-    # and falls to the last source that begins at or before it
-    parts = s.groupBy("shard").agg(F.sum("part").alias("parts")).where(F.round("parts") >= 1)
-    draws = parts.select("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.round("parts").cast("long"))).alias("draw"), "parts")
-    points = draws.select("shard", (_unit(F.col("shard"), F.col("draw"), F.lit(seed)) * F.col("parts")).alias("at"), F.lit(1).alias("is_draw"), F.lit(None).cast("boolean").alias("no_source"), F.lit(None).cast("string").alias("source"))
-    starts = s.where(F.col("part") > 0).select("shard", F.col("low").alias("at"), F.lit(0).alias("is_draw"), "no_source", "source")
-    along = by_shard.orderBy("at", "is_draw", "no_source", "source").rowsBetween(Window.unboundedPreceding, 0)
-    owner = F.last(F.when(F.col("is_draw") == 0, F.struct("no_source", "source")), ignorenulls=True).over(along)
-    owned = starts.unionByName(points).withColumn("owner", owner).where("is_draw = 1")
-    drawn = owned.groupBy("shard", "owner.no_source", "owner.source").agg(F.count("*").alias("drawn"))
-    s = s.join(drawn.hint("merge"), ["shard", "no_source", "source"], "left").withColumn("slots", F.col("whole") + F.coalesce("drawn", F.lit(0)))
+
+def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(no_source, source, shard, slots, first): how many slots of a source each shard drew, and how many earlier shards did."""
+    s = drawn(sources, shard_blocks, seed).groupBy("no_source", "source", "shard").agg(F.count("*").alias("slots"))
     before = Window.partitionBy("no_source", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long")))
-    return s.select("no_source", "source", "shard", "slots", "first", "blocks")
+    return s.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long")))
 
 
 def permuted(i: Column, blocks: Column, no_source: Column, source: Column, seed: int = SEED, rounds: int = 16) -> Column:
@@ -104,9 +99,11 @@ def permuted(i: Column, blocks: Column, no_source: Column, source: Column, seed:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.pmod(i, blocks).cast("long"), swap)
 
 
-def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, cap: float = 3.0, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in their source's stream, and the sources with sizes, targets and block counts."""
+def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS, rows_per_bucket: int = ROWS_PER_BUCKET, cap: float = 3.0, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in their source's stream, and the sources with sizes, targets and block counts; the texts are read once."""
     sized = docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("size"))
+    sized = materialise(sized)
+    buckets = 1 + sized.count() // rows_per_bucket
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
     sums = sized.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     of_source = Window.partitionBy("no_source", "source")
@@ -118,39 +115,59 @@ def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BU
     placed = sized.join(sums.drop("bucket_size"), ["no_source", "source", "bucket"])
     inside = Window.partitionBy("no_source", "source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
     placed = placed.withColumn("off", F.col("base") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    return placed.drop("base", "bucket"), sources
+    return materialise(placed.drop("base", "bucket")), materialise(sources)
 
 
-def slots_of(sources: DataFrame, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """The mix as (shard, no_source, source, slot, block). Draws past a source's cap are void."""
-    counts = shard_counts(sources.where(F.col("want") > 0), shard_blocks, seed).where("slots > 0")
-    # few short rows become very many: a fixed number of partitions, which isn't merged by their size before
-    wide = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = counts.repartition(wide, "shard", "no_source", "source")
-    slots = counts.select("shard", "no_source", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"))
-    slots = slots.where(F.col("slot") < F.floor(F.col("blocks") * F.lit(float(cap))))
+def slots_of(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """The mix as (shard, no_source, source, slot, block)."""
     place = permuted(F.col("slot"), F.col("blocks"), F.col("no_source"), F.col("source"), seed)
-    return slots.select("shard", "no_source", "source", "slot", place.alias("block"))
+    return drawn(sources, shard_blocks, seed).select("shard", "no_source", "source", "slot", place.alias("block"))
 
 
 def pieces_of(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The part of each document in each block of its source: (no_source, source, block, off, doc_id, size, words)."""
+    """The part of each document in each block of its source: (no_source, source, block, off, doc_id, size, from, words)."""
     last = F.floor((F.col("off") + F.col("size") - 1) / block_words).cast("long")
     full = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / block_words).cast("long"), last)))
-    words = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("off"), F.col("block") * block_words)
-    return full.withColumn("words", words)
+    begin = F.greatest(F.col("off"), F.col("block") * block_words)
+    words = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block_words) - begin
+    return full.withColumns({"from": begin - F.col("off"), "words": words})
+
 
+def mixed(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """The mixed corpus by reference: (shard, no_source, source, slot, block, off, doc_id, size, from, words), a row for each part of a document in a slot.
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row."""
-    placed, sources = blocks_of(docs, block_words, buckets, cap, seed)
-    placed, sources = materialise(placed), materialise(sources)
-    taken = slots_of(sources, cap, shard_blocks, seed).groupBy("no_source", "source", "block").agg(F.count("*").alias("times"))
+    A slot holds the parts of its block in order of ``off``: ``words`` words of the document from word ``from`` on. A block is in at most ``cap`` slots.
+    """
     # the planner takes exploded rows for as few as the table they come from: no broadcast here
-    pieces = pieces_of(placed, block_words).join(taken.hint("merge"), ["no_source", "source", "block"], "left")
+    return slots_of(sources, shard_blocks, seed).join(pieces_of(placed, block_words).hint("merge"), ["no_source", "source", "block"])
+
+
+def texts(docs: DataFrame, **options: object) -> DataFrame:
+    """The mixed corpus itself: (shard, no_source, source, slot, text), a block of words joined by blanks in each row.
+
+    Documents are found again by (doc_id, source, size); of rows alike in these, any may give the words.
+    """
+    block = {k: v for k, v in options.items() if k in {"block_words", "seed"}}
+    parts = mixed(*blocks_of(docs, **options), **block)
+    source = F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    found = docs.select("doc_id", *source, n_words(F.col("text")).alias("size"), words.alias("all")).dropDuplicates(["doc_id", "no_source", "source", "size"])
+    same = parts.doc_id.eqNullSafe(found.doc_id) & (parts.no_source == found.no_source) & (parts.source == found.source) & (parts["size"] == found["size"])
+    cut = F.array_join(F.slice("all", F.col("from").cast("int") + 1, F.col("words").cast("int")), " ")
+    cut = parts.join(found, same).select("shard", parts.no_source, parts.source, "slot", F.struct("off", cut.alias("t")).alias("part"))
+    # at most ``block_words`` parts a slot
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["t"]), " ")
+    return cut.groupBy("shard", "no_source", "source", "slot").agg(joined.alias("text"))
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, rows_per_bucket: int = ROWS_PER_BUCKET, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row: what the mixed corpus has of it."""
+    placed, sources = blocks_of(docs, block_words, rows_per_bucket, cap, seed)
     # an offset is one row's own: only rows of size 0 share theirs
-    by_row = pieces.groupBy("no_source", "source", "off", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    empty = placed.where("size = 0").select("no_source", "source", "off", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    own = ["no_source", "source", "off", "doc_id", "size"]
+    taken = mixed(placed, sources, block_words, shard_blocks, seed).groupBy(*own).agg(F.sum("words").alias("taken"))
+    none = placed.select(*own, F.lit(0).cast("long").alias("taken"))
+    by_row = taken.unionByName(none.where("size > 0")).groupBy(*own).agg(F.max("taken").alias("taken")).unionByName(none.where("size = 0"))
     # one row a source: broadcast by the optimiser when it is small, else joined by shuffle
-    out = by_row.unionByName(empty).join(sources.select("no_source", "source", "source_size", "target"), ["no_source", "source"])
+    out = by_row.join(sources.select("no_source", "source", "source_size", "target"), ["no_source", "source"])
     return out.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "taken")
