@@ -1,13 +1,14 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Texts with equal shingle sets form a class, stood for by its least doc_id. Class signatures are cut into bands;
+Texts with equal shingle sets form a class (``node``). Class signatures are cut into bands;
 classes with an equal band are candidates. A candidate pair's signatures are compared batch by batch, and the pair
 is dropped as soon as the posterior probability (uniform prior) of a similarity at or above the threshold falls
 under ``miss``; survivors are verified on their full shingle sets. Confirmed links are closed to components by
 large-star and small-star steps.
 
 No bucket is expanded into its pairs. First every class meets one hub, the least class of the buckets it
-shares most; that joins nearly all of a large group. What is then left in a bucket with classes of several
+shares most (in two bands or more): their signatures are compared batch by batch and survivors verified, which joins nearly all of a large
+group; a hub with many classes is copied to as many salted keys as they need. What is then left in a bucket with classes of several
 components is compared in cells of bounded size: rows outside the bucket's largest component against each
 other and against that component, never that component against itself. A pair counts in the first band it
 shares. Classes with a pair that survives the posterior bound go to their cells once more with their full sets,
@@ -16,15 +17,14 @@ than it has rows. So no link between components is given up but by the banding a
 miss probabilities are parameters.
 
 Defined cases: null, empty and word-less texts have no shingles and link with nothing; a text of fewer words
-than a shingle is one shingle; rows that repeat a doc_id are each
-classed by their own text (where those differ, candidates are verified by one of the texts); rows with a null
-doc_id take no part and get a null component; an empty table gives no rows; other columns are passed over.
+than a shingle is one shingle; rows that repeat a doc_id are each classed by their own text, whatever other texts
+have that id; rows with a null doc_id take no part and get a null component; ids may have any type with an order;
+an empty table gives no rows; other columns are passed over, whatever their names. Shingles are compared by 48 bits of a
+64-bit hash: two different ones pass for the same with probability 4e-15.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, map_batches, materialise, mix
+from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, ddl, map_batches, materialise, mix, settings
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
@@ -44,8 +44,10 @@ MISS = 1e-5
 CELL = 512
 #: Rows of an Arrow batch where rows carry shingle sets.
 SET_BATCH = 500
-#: Bits of the filter that picks texts to read again.
-FILTER_BITS = 1 << 24
+#: Classes that one copy of a hub meets.
+HUB_ROWS = 2048
+#: Most bits of the filter that picks texts to read again (16 MB); it has 16 a class, or these.
+FILTER_BITS = 1 << 27
 
 _SEEDS = np.random.default_rng(20_240_607)
 _XOR = _SEEDS.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
@@ -186,14 +188,39 @@ def _verified(percent: int):
     return start
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the texts whose doc_id is a node, and of a few others that pass the filter.
+def _likely(threshold: float):
+    """Pairs with signatures -> those that the posterior bound leaves."""
 
-    The filter is a fixed number of bits set on the executors; it spares shuffling the texts.
+    def start():
+        looks = Looks(threshold)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            kept = b.filter(pa.array(looks.matches(_signatures(b.column("sa")), _signatures(b.column("sb"))) >= 0))
+            return batch(**{c: kept.column(c) for c in ("a", "b", "sid_a", "sid_b")})
+
+        return run
+
+    return start
+
+
+def _salted(pairs: DataFrame, hubs: DataFrame, hot: DataFrame, on: str) -> DataFrame:
+    """Pairs joined to their hubs' rows by ``on`` and salt: a hub of the (small) table hot, with salts, is copied that many times."""
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("salts")
+    copies = hubs.join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("salts", "a")
+    return dealt.join(copies, [on, "salt"]).drop("salt")
+
+
+def _sets_of(docs: DataFrame, sids: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(sid, hashes) of the classes (sid) asked for; the texts are shingled again.
+
+    A filter over the classes' documents, of bounded size and set on the executors, spares the other texts.
     """
-    at = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("p"))
+    sids = sids.distinct()
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * sids.count()).bit_length()))
+    at = sids.join(classes, "sid").select(F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("p"))
     words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).toArrow()
-    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held = np.zeros(bits // 64, np.int64)
     held[words.column("w").to_numpy()] = words.column("v").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
@@ -203,15 +230,13 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             p = b.column("p").to_numpy()
             b = b.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
-            sets = [packed(shingles(hashes.of(blank_words(t)), size)) for t in b.column("text").to_pylist()]
-            keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
-            return batch(node=b.column("doc_id"), hashes=(sets, pa.binary())).filter(keep)
+            sets = [x for x in (shingles(hashes.of(blank_words(t)), size) for t in b.column("text").to_pylist()) if len(x)]
+            return batch(sid=([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), hashes=([packed(x) for x in sets], pa.binary()))
 
         return run
 
-    narrow = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
-    found = map_batches(narrow, "node long, hashes binary", start).join(nodes, "node", "left_semi")
-    return found.groupBy("node").agg(F.min("hashes").alias("hashes"))
+    narrow = docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p"))
+    return map_batches(narrow, "sid binary, hashes binary", start).join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("hashes").alias("hashes"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,7 +328,7 @@ def _by_cell(batches, columns: tuple[str, ...]):
         yield cell, rows
 
 
-_CELL = ("node", "comp", "n", "sig", "side", "own")
+_CELL = ("node", "comp", "n", "sig", "side", "own", "sid")
 
 
 def _plausible(threshold: float, percent: int):
@@ -322,7 +347,7 @@ def _plausible(threshold: float, percent: int):
             if k:
                 place = {n: (np.full(k, cell[p]), pa.int64()) for p, n in enumerate(("key", "i", "j"))}
                 sig = ([rows[r][3] for r in kept], pa.binary())
-                yield batch(**place, node=(c.node[kept], pa.int64()), comp=(c.comp[kept], pa.int64()), n=(c.n[kept], pa.int64()), sig=sig, side=(c.side[kept], pa.int64()), own=(c.own[kept], pa.int64()))
+                yield batch(**place, node=(c.node[kept], pa.int64()), comp=(c.comp[kept], pa.int64()), n=(c.n[kept], pa.int64()), sig=sig, side=(c.side[kept], pa.int64()), own=(c.own[kept], pa.int64()), sid=([rows[r][6] for r in kept], pa.binary()))
 
     return run
 
@@ -334,7 +359,7 @@ def _joined_in_cells(threshold: float, percent: int):
         looks = Looks(threshold)
         for cell, rows in _by_cell(batches, (*_CELL, "hashes")):
             c = Cell(cell, rows, looks, percent)
-            sets = [unpacked(r[6]) for r in rows]
+            sets = [unpacked(r[7]) for r in rows]
             up: dict[int, int] = {}
 
             def find(v: int) -> int:
@@ -357,12 +382,13 @@ def _joined_in_cells(threshold: float, percent: int):
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every row, (sid, node) of every class, and confirmed (a, b) links that join all components."""
-    threshold = percent / 100
-    rows = materialise(map_batches(docs.select("doc_id", "text"), "doc_id long, n long, sid binary, sig binary", _described(size)))
-    classes = rows.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    classes = materialise(classes)
-    sigs = classes.select("node", "sig")
+    """(doc_id, n, sid) of every row, (sid, node, doc, ...) of every class, and confirmed (a, b) links of nodes that join all components."""
+    spark, threshold = docs.sparkSession, percent / 100
+    small = {"spark__sql__execution__arrow__maxRecordsPerBatch": SET_BATCH}
+    rows = materialise(map_batches(docs.select("doc_id", "text"), f"{ddl(docs.select('doc_id'))}, n long, sid binary, sig binary", _described(size)))
+    classes = rows.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
+    names, sigs = classes.select("sid", "doc"), classes.select("node", "sig")
     buckets = map_batches(sigs, "key long, node long", _banded)
     hubs = materialise(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = materialise(buckets.join(hubs, "key"))
@@ -371,50 +397,45 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     offered = met.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n")).where("n > 1")
     chosen = offered.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     pairs = materialise(chosen.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    of = lambda side: _sets_of(docs, _nodes(pairs, side), size).select(F.col("node").alias(side), F.col("hashes").alias(f"h{side}"))
-    full = pairs.join(of("b"), "b").join(of("a"), "a")
-    with _batches_of(docs.sparkSession, SET_BATCH):
+    hot = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("salts")).where("salts > 1"))
+    of = lambda side: classes.select(F.col("node").alias(side), F.col("sig").alias(f"s{side}"), F.col("sid").alias(f"sid_{side}"))
+    own = of("a").join(pairs.select("a").distinct(), "a")
+    hub = F.col("a").alias("hub")
+    signed = _salted(pairs.join(of("b"), "b").select("*", hub), own.select("*", hub), hot, "hub")
+    likely = materialise(map_batches(signed.select("a", "b", "sa", "sb", "sid_a", "sid_b"), "a long, b long, sid_a binary, sid_b binary", _likely(threshold)))
+    sets = lambda side: _sets_of(docs, likely.select(F.col(f"sid_{side}").alias("sid")), names, size).select(F.col("sid").alias(f"sid_{side}"), F.col("hashes").alias(f"h{side}"))
+    named = likely.select("a", "sid_a").distinct()
+    full = _salted(likely.join(sets("b"), "sid_b"), sets("a").join(named, "sid_a"), hot, "sid_a")
+    with settings(spark, **small):
         first = materialise(map_batches(full.select("a", "b", "ha", "hb"), "a long, b long", _verified(percent)))
 
     # what is left: buckets with several components
     labelled = materialise(met.select("key", "node").join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     cells = materialise(_cells(labelled))
     place = ["key", "i", "j"]
-    dealt = cells.join(classes.select("node", "n", "sig"), "node").select(*place, *_CELL).repartition(*place).sortWithinPartitions(*place)
-    wanted = materialise(dealt.mapInArrow(_plausible(threshold, percent), "key long, i long, j long, node long, comp long, n long, sig binary, side long, own long"))
-    again = wanted.join(_sets_of(docs, _nodes(wanted, "node"), size), "node").repartition(*place).sortWithinPartitions(*place)
-    with _batches_of(docs.sparkSession, SET_BATCH):
+    dealt = cells.join(classes.select("node", "n", "sig", "sid"), "node").select(*place, *_CELL).repartition(*place).sortWithinPartitions(*place)
+    wanted = materialise(dealt.mapInArrow(_plausible(threshold, percent), "key long, i long, j long, node long, comp long, n long, sig binary, side long, own long, sid binary"))
+    again = wanted.join(_sets_of(docs, wanted.select("sid"), names, size), "sid").repartition(*place).sortWithinPartitions(*place)
+    with settings(spark, **small):
         second = materialise(again.select(*place, *_CELL, "hashes").mapInArrow(_joined_in_cells(threshold, percent), "a long, b long"))
-    return rows.select("doc_id", "n", "sid"), classes.select("sid", "node"), first.unionByName(second)
-
-
-def _nodes(df: DataFrame, *columns: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [df.select(F.col(c).alias("node")) for c in columns]).distinct()
-
-
-@contextmanager
-def _batches_of(spark, rows: int):
-    """Arrow batches of fewer rows while jobs inside run."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return rows.select("doc_id", "n", "sid"), classes.select("sid", "node", "doc"), first.unionByName(second)
 
 
 def classes_of(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows, classes, edges = links(docs, size, percent)
-    comps = components(edges)
-    named = classes.join(comps, "node", "left").select("sid", F.coalesce("comp", "node").alias("component_id"))
-    out = rows.join(named, "sid", "left")
+    named = classes.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    named = materialise(named.join(least, "comp").select("sid", "component_id"))
     own = F.coalesce("component_id", "doc_id")
+    out = rows.join(named, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with the columns it came with; documents that link with nothing, and rows without an id, stay."""
-    gone = classes_of(docs, size, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left_anti").select(*docs.columns)
+    judged = classes_of(docs, size, percent).where(F.col("doc_id").isNotNull())
+    # rows that repeat an id stand and fall together: an id goes if none of its rows is kept
+    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("any")).where(~F.col("any")).select("doc_id").alias("gone")
+    mine = docs.alias("docs")
+    return mine.join(gone, F.col("docs.doc_id") == F.col("gone.doc_id"), "left_anti").select(*docs.columns)
