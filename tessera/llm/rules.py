@@ -1,9 +1,14 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
-``base_counts`` gives exact per-document counts. Each labelling rule votes good (1), bad (-1) or abstains
-(0). Votes are counted by pattern, at most 3 ** rules rows however many documents there are; expectation
-maximisation over that table estimates each rule's accuracies and the prior; a document's posterior is a
-sum of log ratios picked by its votes. ``kept`` is false where a hard base rule fails, else posterior >= 0.5.
+``base_counts`` gives exact per-document counts. Each labelling rule votes good (1), bad (-1) or abstains (0). Votes are
+counted by pattern, at most 3 ** rules rows however many documents there are. Expectation maximisation over that table
+fits a latent class model: one class of good texts and one for each family of junk (``FAMILIES``), each with its own
+probabilities of every rule's votes, which are the rules' accuracies. Kinds of junk rarely meet in one text, so with a single class
+of bad texts the largest kind would take it and the rest would pass for habits of good texts. A document's posterior is
+that of the good class. ``kept`` is false where a hard base rule fails, else posterior >= 0.5: what one rule holds against
+a text may be outvoted.
+
+The texts are read once: the counts, a few numbers a document, are written, and both the patterns and the result come from them.
 
 Defined cases: null text has no words (all counts 0, base_failed); an empty table gives no rows and the
 initial parameters; repeated rows are each judged; other columns are passed over.
@@ -16,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialise
+
 #: White space between words.
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -27,7 +34,7 @@ def _blank_count(c: Column) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_digits, n_ends, n_distinct)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letters, n_upper, n_ends, n_distinct)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -55,8 +62,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"),
-        without(r"[A-Z]+").cast("long").alias("n_upper"),
-        without(r"[0-9]+").cast("long").alias("n_digits"),
+        without(r"\p{L}+").cast("long").alias("n_letters"),
+        without(r"\p{Lu}+").cast("long").alias("n_upper"),
         without(r"[.!?]+").cast("long").alias("n_ends"),
         F.size(F.array_distinct("h")).cast("long").alias("n_distinct"),
     )
@@ -67,84 +74,90 @@ def base_failed() -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """Rule name -> vote from the base counts.
-
-    Kinds of junk rarely meet in one text, so a rule that misses its kind says nothing about the others:
-    these rules vote bad or abstain. A rule may also vote good (1); the estimation takes both.
-    """
+    """Rule name -> vote from the base counts; between a rule's two thresholds it abstains."""
     n, chars = F.col("n_words"), F.col("word_chars")
     share = lambda a, b: a / F.greatest(b, F.lit(1))
 
-    def vote(bad: Column) -> Column:
-        return F.when(bad, BAD).otherwise(ABSTAIN)
+    def vote(bad: Column, good: Column) -> Column:
+        return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
 
-    symbols, caps, ends = share(F.col("n_symbols"), chars), share(F.col("n_upper"), chars), share(F.col("n_ends"), n)
-    repeats, lines, mean = share(F.col("n_repeat_words"), n), share(F.col("n_dup_lines"), F.col("n_lines")), share(chars, n)
-    variety = F.col("n_distinct") / F.greatest(F.pow(n, F.lit(0.75)), F.lit(1.0))
+    symbols, letters, caps = share(F.col("n_symbols"), chars), share(F.col("n_letters"), chars), share(F.col("n_upper"), F.col("n_letters"))
+    ends, repeats, lines, mean = share(F.col("n_ends"), n), share(F.col("n_repeat_words"), n), share(F.col("n_dup_lines"), F.col("n_lines")), share(chars, n)
+    variety = F.col("n_distinct") / F.greatest(F.pow(n, F.lit(0.85)), F.lit(1.0))
     return {
-        "length": vote(n < 10),
-        "symbols": vote(symbols > 0.05),
-        "repeats": vote(repeats > 0.2),
-        "dup_lines": vote(lines > 0.3),
-        "word_length": vote((mean < 2.5) | (mean > 12)),
-        "capitals": vote(caps > 0.3),
-        "endings": vote(ends > 0.6),
-        "variety": vote((variety < 0.5) & (n >= 20)),
+        "length": vote(n < 10, n >= 50),
+        "symbols": vote(symbols > 0.03, symbols < 0.002),
+        "letters": vote(letters < 0.88, letters > 0.94),
+        "word_length": vote((mean < 3.5) | (mean > 7), (mean >= 4) & (mean <= 6.3)),
+        "capitals": vote(caps > 0.3, caps < 0.06),
+        "endings": vote(ends > 0.5, ends < 0.25),
+        "repeats": vote(repeats > 0.2, repeats <= 0.02),
+        "dup_lines": vote(lines > 0.3, lines <= 0.05),
+        "variety": vote((variety < 0.6) & (n >= 20), variety >= 1.2),
     }
 
 
-#: What a rule is believed to vote before any text is seen, by class: (P(vote | good), P(vote | bad)).
-PRIOR_VOTES = {GOOD: (1e-6, 1e-6), ABSTAIN: (0.995 - 1e-6, 0.75 - 1e-6), BAD: (0.005, 0.25)}
+#: Families of junk and the rules that see them first.
+FAMILIES = {
+    "repetition": ("repeats", "dup_lines", "variety"),
+    "markup": ("symbols", "letters", "word_length"),
+    "shouting": ("capitals", "endings", "letters"),
+}
+#: Where estimation begins: P(bad), P(abstain), P(good) of a rule in good texts, in junk of another family and in its own.
+IN_GOOD, ELSEWHERE, AT_HOME = (0.02, 0.28, 0.7), (0.1, 0.4, 0.5), (0.7, 0.2, 0.1)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 60, prior: float = 0.85, belief: float = 0.1, false_alarms: float = 0.001) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """EM over (votes, count) patterns: the prior of good and, by rule and vote, (P(vote | good), P(vote | bad)).
+def estimate(
+    patterns: list[tuple[tuple[int, ...], int]], rules: list[str], families: dict[str, tuple[str, ...]] | None = None, rounds: int = 200, prior: float = 0.85, smooth: float = 1.0
+) -> tuple[list[float], list[list[list[float]]]]:
+    """EM over (votes, count) patterns -> class weights (good first) and P(vote | class) as tables[class][rule][vote + 1].
 
-    Rules vote bad on their own kind of junk only, so bad votes hardly ever agree, and free estimates would
-    explain a kind that meets no other as a habit of good texts. Hence one constraint on each maximisation:
-    no rule calls more than ``false_alarms`` of the good texts bad. ``PRIOR_VOTES`` counts as ``belief`` times all texts in each class (a Dirichlet prior): without it the two
-    classes may settle on any split of the texts, such as short against long.
+    Only the start says which rules see which family; every probability is then estimated, with ``smooth`` texts added
+    to each vote of each rule. Stops when no weight moves by more than 1e-9.
     """
-    tables = [dict(PRIOR_VOTES) for _ in range(rules)]
+    families = FAMILIES if families is None else families
+    tables = [[list(IN_GOOD) for _ in rules]] + [[list(AT_HOME if r in home else ELSEWHERE) for r in rules] for home in families.values()]
+    weights = [prior] + [(1 - prior) / len(families)] * len(families)
     total = sum(c for _, c in patterns)
-    if not total:
-        return prior, tables
-    for _ in range(rounds):
-        good = [{v: belief * total * p for v, (p, _) in PRIOR_VOTES.items()} for _ in range(rules)]
-        bad = [{v: belief * total * p for v, (_, p) in PRIOR_VOTES.items()} for _ in range(rules)]
-        mass = 0.0
+    for _ in range(rounds if total else 0):
+        sums = [[[smooth] * 3 for _ in rules] for _ in tables]
+        mass = [1.0] * len(tables)
         for pattern, count in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, pattern))
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-            mass += p * count
-            for j, v in enumerate(pattern):
-                good[j][v] += p * count
-                bad[j][v] += (1 - p) * count
-        prior = min(max((mass + 1) / (total + 2), 0.02), 0.98)
-        tables = []
-        for g, b in zip(good, bad):
-            alarm = min(g[BAD] / sum(g.values()), false_alarms)
-            rest = (1 - alarm) / (g[GOOD] + g[ABSTAIN])
-            tables.append({v: (alarm if v == BAD else g[v] * rest, b[v] / sum(b.values())) for v in PRIOR_VOTES})
-    return prior, tables
+            for k, p in enumerate(posterior(pattern, weights, tables)):
+                mass[k] += p * count
+                for j, v in enumerate(pattern):
+                    sums[k][j][v + 1] += p * count
+        tables = [[[x / sum(row) for x in row] for row in of] for of in sums]
+        before, weights = weights, [m / (total + len(tables)) for m in mass]
+        if max(abs(a - b) for a, b in zip(before, weights)) < 1e-9:
+            break
+    return weights, tables
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Base counts, base_failed, posterior and kept of every row.
+def posterior(pattern: tuple[int, ...], weights: list[float], tables: list[list[list[float]]]) -> list[float]:
+    """Probability of each class given the votes."""
+    logs = [math.log(w) + sum(math.log(t[v + 1]) for t, v in zip(of, pattern)) for w, of in zip(weights, tables)]
+    top = max(logs)
+    parts = [math.exp(x - top) for x in logs]
+    return [p / sum(parts) for p in parts]
 
-    Two passes over the texts: the first ends in at most 3 ** 8 pattern counts, the second applies them.
-    """
-    counts = base_counts(docs)
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Base counts, base_failed, posterior and kept of every row."""
+    counts = materialise(base_counts(docs))
     rules = votes()
     names = list(rules)
-    patterns = counts.select(*(rules[k].alias(k) for k in names)).groupBy(*names).count().collect()
-    prior, tables = estimate(sorted((tuple(r[k] for k in names), r["count"]) for r in patterns), len(names))
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for k, t in zip(names, tables):
-        score = {v: math.log(t[v][0] / t[v][1]) for v in (GOOD, ABSTAIN, BAD)}
-        odds = odds + F.when(rules[k] == GOOD, score[GOOD]).when(rules[k] == BAD, score[BAD]).otherwise(score[ABSTAIN])
-    return (
-        counts.withColumn("base_failed", base_failed())
-        .withColumn("posterior", 1 / (1 + F.exp(-odds)))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
-    )
+    patterns = counts.select(*(rules[k].alias(k) for k in names)).groupBy(*names).count().collect()  # at most 3 ** 9 rows
+    weights, tables = estimate(sorted((tuple(r[k] for k in names), r["count"]) for r in patterns), names)
+
+    def log_odds(k: int) -> Column:
+        """Log of the odds of class k against good."""
+        odds = F.lit(math.log(weights[k] / weights[0]))
+        for j, name in enumerate(names):
+            bad, none, good = (math.log(a / b) for a, b in zip(tables[k][j], tables[0][j]))
+            odds = odds + F.when(F.col(f"v_{name}") == BAD, bad).when(F.col(f"v_{name}") == GOOD, good).otherwise(none)
+        return odds
+
+    against = sum((F.exp(log_odds(k)) for k in range(1, len(weights))), F.lit(0.0))
+    judged = counts.withColumns({f"v_{k}": v for k, v in rules.items()}).withColumns({"base_failed": base_failed(), "posterior": 1 / (1 + against)})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*(f"v_{k}" for k in names))

@@ -154,6 +154,53 @@ def test_shards_follow_expectation(spark):
         assert abs(sum(m[2] for m in mine) - want) <= 10 and all(a[1] + a[2] == b[1] for a, b in zip(mine, mine[1:]))
 
 
+def test_taken_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(9_001, "one two three", None), (9_001, "one two three", None), (9_002, None, None), (9_003, "solo", "zz")]
+    docs = docs_of(spark, rows)
+    placed, sources = mixing.blocks_of(docs, block_words=16)
+    plan = {(r.no_source, r.source): r for r in sources.collect()}
+    slots = collections.defaultdict(list)
+    for r in mixing.slots_of(sources, shard_blocks=500).collect():
+        slots[r.no_source, r.source].append(r)
+    # each source's stream of words, rebuilt one word at a time
+    stream = collections.defaultdict(list)
+    for r in sorted(placed.collect(), key=lambda r: r.off):
+        assert not r["size"] or len(stream[r.no_source, r.source]) == r.off
+        stream[r.no_source, r.source] += [(r.doc_id, k) for k in range(r["size"])]
+    want = collections.Counter()
+    for key, mine in slots.items():
+        blocks = math.ceil(len(stream[key]) / 16)
+        times = collections.Counter(r.block for r in mine)
+        assert len(mine) == round(plan[key].want) and set(times) <= set(range(blocks)) and sorted(r.slot for r in mine) == list(range(len(mine)))
+        assert all(times[b] in (len(mine) // blocks, -(-len(mine) // blocks)) for b in range(blocks))
+        for b, n in times.items():
+            for doc_id, _ in stream[key][b * 16 : b * 16 + 16]:
+                want[doc_id] += n
+    got = collections.Counter()
+    for r in mixing.mix(docs, block_words=16, shard_blocks=500).collect():
+        got[r.doc_id] += r.taken
+        assert abs(r.target - plan[r.source is None, r.source or ""].target) < 1e-9
+    assert +got == +want
+    text = {i: (t or "").split() for i, t, _ in rows}
+    blocks = mixing.texts(docs, block_words=16).collect()
+    assert len(blocks) == sum(map(len, slots.values()))
+    for r in blocks[:200]:
+        b = next(x.block for x in slots[r.no_source, r.source] if x.slot == r.slot)
+        assert r.text.split() == [text[i][k] for i, k in stream[r.no_source, r.source][b * 16 : b * 16 + 16]]
+
+
+def test_shards_draw_multinomial_counts(spark):
+    sources = spark.createDataFrame([(False, "a", 100, 30_000.0), (False, "b", 300, 9_000.2), (True, "", 50, 1_000.4)], "no_source boolean, source string, blocks long, want double")
+    got = mixing.shard_counts(sources, shard_blocks=1000).collect()
+    for key, want in (("a", 30_000), ("b", 9_000), ("", 1_000)):
+        n = [r.slots for r in got if r.source == key]
+        assert sum(n) == want and max(r.shard for r in got) == 39
+        n += [0] * (40 - len(n))
+        spread = sum((x - want / 40) ** 2 for x in n) / (want / 40)
+        assert 18 < spread < 70  # chi square of 39 degrees: neither fixed counts nor clumps
+
+
 # URL filter
 
 
@@ -381,11 +428,72 @@ def test_base_counts_against_brute_force(spark, sf):
     assert rules.judge(empty_docs(spark)).count() == 0 and rules.judge(odd_docs(spark)).count() == 9
 
 
-def test_em_finds_a_rule_that_meets_no_other():
-    good, sym, rep = (0,) * 8, (0, -1, 0, 0, 0, 0, 0, 0), (0, 0, -1, -1, 0, -1, -1, 0)
-    prior, tables = rules.estimate([(good, 850), (sym, 80), (rep, 70)], 8)
-    odds = lambda p: math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, p))
-    assert odds(good) > 0 > odds(sym) and odds(rep) < 0 and 0.8 < prior < 0.95
+def vote_by_hand(t):
+    """Votes of one text by plain Python."""
+    w, lines = (t or "").encode().split(), [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    w = [x.decode() for x in w]
+    n, chars = len(w), sum(map(len, w))
+    letters, caps = sum(c.isalpha() for c in t or ""), sum(c.isupper() for c in t or "")
+    wins = collections.Counter(tuple(w[k : k + 5]) for k in range(n - 4))
+    rep = len({j for k in range(n - 4) if wins[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)})
+    share = lambda a, b: a / max(b, 1)
+    vote = lambda bad, good: -1 if bad else 1 if good else 0
+    sym, let, cap, end = share(sum((t or "").count(c) for c in "#*$%&|<>"), chars), share(letters, chars), share(caps, letters), share(sum((t or "").count(c) for c in ".!?"), n)
+    mean, dup, var, rep = share(chars, n), share(len(lines) - len(set(lines)), len(lines)), len(set(w)) / max(n**0.85, 1), share(rep, n)
+    return (
+        vote(n < 10, n >= 50), vote(sym > 0.03, sym < 0.002), vote(let < 0.88, let > 0.94), vote(mean < 3.5 or mean > 7, 4 <= mean <= 6.3), vote(cap > 0.3, cap < 0.06),
+        vote(end > 0.5, end < 0.25), vote(rep > 0.2, rep <= 0.02), vote(dup > 0.3, dup <= 0.05), vote(var < 0.6 and n >= 20, var >= 1.2),
+    )
+
+
+def test_posterior_against_brute_force(spark, sf):
+    """EM once more, over documents one by one with numpy."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    v = np.array([vote_by_hand(t) for t in texts.values()]) + 1
+    names = list(rules.votes())
+    t = np.array([[rules.IN_GOOD] * 9] + [[rules.AT_HOME if r in f else rules.ELSEWHERE for r in names] for f in rules.FAMILIES.values()])
+    pi = np.array([0.85, 0.05, 0.05, 0.05])
+    of = lambda: np.log(pi)[:, None] + sum(np.log(t[:, j, v[:, j]]) for j in range(9))
+    for _ in range(200):
+        p = np.exp(of() - of().max(0))
+        p /= p.sum(0)
+        t = np.stack([np.stack([1 + p[:, v[:, j] == x].sum(1) for x in range(3)], 1) for j in range(9)], 1)
+        t /= t.sum(2, keepdims=True)
+        before, pi = pi, (p.sum(1) + 1) / (v.shape[0] + 4)
+        if abs(pi - before).max() < 1e-9:
+            break
+    p = np.exp(of() - of().max(0))
+    want = dict(zip(texts, p[0] / p.sum(0)))
+    got = {r.doc_id: r for r in rules.judge(docs_of(spark, [(i, x, "s") for i, x in texts.items()])).collect()}
+    assert all(got[i].posterior == pytest.approx(want[i], abs=1e-6) for i in texts)
+    assert all(got[i].kept == (not got[i].base_failed and want[i] >= 0.5) for i in texts if abs(want[i] - 0.5) > 1e-6)
+
+
+def test_em_finds_planted_accuracies():
+    rng = np.random.default_rng(4)
+    names = [f"r{j}" for j in range(6)]
+    families = {"a": ("r0", "r1", "r2"), "b": ("r3", "r4", "r5")}
+    good, home, away = (0.04, 0.26, 0.7), (0.8, 0.15, 0.05), (0.06, 0.44, 0.5)
+    kind = rng.choice(3, 20_000, p=[0.8, 0.12, 0.08])
+    planted = np.array([[good] * 6, [home] * 3 + [away] * 3, [away] * 3 + [home] * 3])
+    draw = rng.random((len(kind), 6, 1))
+    votes = (draw > planted[kind].cumsum(2)[:, :, :2]).sum(2) - 1
+    patterns = collections.Counter(tuple(map(int, r)) for r in votes)
+    weights, tables = rules.estimate(sorted(patterns.items()), names, families)
+    assert weights == pytest.approx([0.8, 0.12, 0.08], abs=0.015)
+    assert np.abs(np.array(tables) - planted).max() < 0.05
+    assert rules.estimate([], names, families)[0] == pytest.approx([0.85, 0.075, 0.075])
+
+
+def test_one_bad_vote_is_outvoted(spark, sf):
+    rows = [(r.doc_id, r.text, "s") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(10_000 + i, t + "\n" + "\n".join(["One more line of it."] * k), "s") for k in (1,) for i, (_, t, _) in enumerate(rows) if t and len(t.split()) > 100][:40]
+    got = {r.doc_id: r for r in rules.judge(docs_of(spark, rows)).collect()}
+    votes = {i: vote_by_hand(t) for i, t, _ in rows}
+    one = [i for i in votes if votes[i].count(-1) == 1]
+    assert any(got[i].kept for i in one)
+    assert all(not got[i].kept for i in votes if votes[i].count(-1) >= 4)
+    assert all(r.kept for i, r in got.items() if votes[i].count(1) == 9)
 
 
 # language model
