@@ -1,21 +1,22 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are ordered by (host, path) and each is paired with the neighbour on its host whose path shares the
-longer prefix (the earlier on ties). The text lines (blocks) of the two pages are aligned by longest common
-subsequence, and shared lines, the host's template, are deleted. Markup then settles what differencing can't:
-lines inside menus, headers, footers, sidebars, forms, adverts, notices and comments go even if no other page
-has them, and lines inside an article or main element stay even if a near copy of the page shares them. Where
-a page has such an element, only its lines are kept; where it has none, shared lines are what is deleted, unless
-the pages share most of their text, in which case they are copies and not two fillings of one template.
+Pages are ordered by (host, path) and each is compared with its neighbours on the host, the pages of nearest URL: their text
+lines (blocks) are aligned by longest common subsequence. What a page shares with every neighbour is the host's template and is
+deleted; with two neighbours, a near copy on one side doesn't pass for a template, and a neighbour with the very same
+lines says nothing and isn't asked. Markup settles what differencing can't. Lines in menus, headers, footers, sidebars,
+forms, adverts, notices and comments go even if no other page has them: sites fill these in page by page. Lines in an article or main
+element stay even if near copies of the page share them. Any other line stays unless it is shared.
 
 Pages are dealt out by (host, path) ranges, so a host with a third of all rows lies in many partitions; each
-range also gets the last page of the range before and the first of the range after it. At most
-``MAX_BOUNDS`` keys and as many edge keys reach the driver, for any number of pages; ranges stream through a
+range also gets the last page of the range before and the first of the range after it. The ranges' bounds are a hash sample
+whose size follows the number of pages up to ``MAX_BOUNDS``; they and as many edge keys reach the driver. Ranges stream through a
 task in order and it holds three pages at a time. The result doesn't depend on the ranges.
 
 Defined cases: null html has no text; a null or bad url has empty host and path; a page alone on its host has
-nothing shared; ties in (host, path) are ordered by page_id; repeated rows are paired like any others; other
-columns are passed over.
+nothing shared; ties in (host, path) are ordered by page_id; repeated rows are neighbours like any others; other
+columns are passed over, whatever their names. A script, style, title, textarea or iframe that is never closed takes the rest
+of the page, as in a browser; of other elements without text of their own (buttons, drawings, players, choices) only the text up to
+the next tag is dropped then.
 """
 
 from __future__ import annotations
@@ -32,19 +33,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.url_filter import host_of, path_of
 
-MAX_BOUNDS = 2048
-#: Pages that share more of their unmarked text than this are copies.
-COPY_SHARE = 0.5
+MAX_BOUNDS, PAGES_PER_RANGE = 16_384, 500
 
 # Element names and class words by what they mean for extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select option button canvas audio video head".split())
+RAW = frozenset("script style title textarea iframe".split())
+MUTE = frozenset("head noscript template svg math object select option button canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 BOILER_TAGS = frozenset("nav aside footer form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
+#: Elements whose class tells of the page or site, not of a part.
+WHOLE_TAGS = MAIN_TAGS | {"html", "body"}
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu sidebar "
     "aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply "
@@ -72,11 +74,24 @@ def _zone(tag: str, attrs: str, zone: int) -> int:
             if name.lower() == "role":
                 if value.lower() in BOILER_ROLES:
                     return BOILER
-            elif {w.lower() for w in _WORD.findall(value)} & BOILER_WORDS:
+            elif tag not in WHOLE_TAGS and {w.lower() for w in _WORD.findall(value)} & BOILER_WORDS:
                 return BOILER
     return MAIN if tag in MAIN_TAGS else zone
 
 
+def _after(page: str, tag: str, at: int) -> int:
+    """Where an element without text of its own ends, others of its name inside it counted; unclosed: the next tag, or here for a head."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*?(/?)>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if m[2] else 1
+        if not depth:
+            return m.end()
+    if tag == "head":
+        return at
+    end = page.find("<", at)
+    return end if end >= 0 else len(page)
+
+
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(text, zone) of each text block in page order; character references decoded, white space collapsed."""
     out: list[tuple[str, int]] = []
@@ -125,11 +140,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                     flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag == "head" and not end:
-                continue
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if tag in MUTE:
+            if not attrs.endswith("/"):
+                at = _after(page, tag, at)
+            continue
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -205,31 +222,23 @@ def shared(a: list, b: list) -> list[int]:
     return sorted(out)
 
 
-def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    """What is left of a page's blocks beside its pair's."""
-    gone: set[int] = set()
-    if other:
+def template(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> set[int]:
+    """Places of the lines that are shared with every other page in turn; pages with the very same lines say nothing."""
+    gone: set[int] | None = None
+    for other in others:
+        if other == lines:
+            continue
         common = {t for t, _ in lines} & {t for t, _ in other}
         at = [k for k, (t, _) in enumerate(lines) if t in common]
-        gone = {at[k] for k in shared([lines[k][0] for k in at], [t for t, _ in other if t in common])}
-    has_main = any(z == MAIN for _, z in lines)
-    if has_main:
-        return "\n\n".join(t for t, z in lines if z == MAIN)
-    free = [k for k, (_, z) in enumerate(lines) if z == BODY]
-    total = sum(len(lines[k][0]) for k in free)
-    lost = sum(len(lines[k][0]) for k in free if k in gone)
-    if lost > COPY_SHARE * total:
-        gone = set()
-    return "\n\n".join(lines[k][0] for k in free if k not in gone)
-
-
-def _prefix(a: str, b: str) -> int:
-    k = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        k += 1
-    return k
+        mine = {at[k] for k in shared([lines[k][0] for k in at], [t for t, _ in other if t in common])}
+        gone = mine if gone is None else gone & mine
+    return gone or set()
+
+
+def main_text(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
+    """What is left of a page's blocks beside its neighbours'."""
+    gone = template(lines, others)
+    return "\n\n".join(t for k, (t, z) in enumerate(lines) if z == MAIN or (z == BODY and k not in gone))
 
 
 def extract(pages: DataFrame, max_bounds: int = MAX_BOUNDS) -> DataFrame:
@@ -237,8 +246,10 @@ def extract(pages: DataFrame, max_bounds: int = MAX_BOUNDS) -> DataFrame:
     spark = pages.sparkSession
     keys = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     place = ["host", "path", "page_id"]
-    # any bounds give the same result: these only deal rows out evenly
-    spread = keys.select(*place).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(max_bounds).collect()
+    # any bounds give the same result: these only deal rows out evenly. About as many rows as bounds are wanted
+    n = pages.count()
+    some = min(max_bounds, 1 + n // PAGES_PER_RANGE) / max(n, 1)
+    spread = keys.select(*place).where(F.shiftrightunsigned(F.xxhash64("page_id", "url"), 11) < F.lit(int(some * 2**53))).collect()
     order = lambda r: (r[0].encode("utf-8", "surrogatepass"), r[1].encode("utf-8", "surrogatepass"), r[2] is not None, r[2] or 0)
     bounds = sorted({order(r) for r in spread})
     hosts = [(b[0].decode("utf-8", "surrogatepass"), b[1].decode("utf-8", "surrogatepass"), b[3] if b[2] else None) for b in bounds]
@@ -261,13 +272,7 @@ def extract(pages: DataFrame, max_bounds: int = MAX_BOUNDS) -> DataFrame:
 
     def run(batches):
         def judged(before, page, after):
-            near = None
-            for side in (before, after):
-                if side and side[:2] == page[:2]:
-                    k = _prefix(side[2], page[2])
-                    if near is None or k > near[0]:
-                        near = (k, side[3])
-            return main_text(page[3], near and near[1])
+            return main_text(page[3], [side[3] for side in (before, after) if side and side[:2] == page[:2]])
 
         before = page = None
         rows: list[tuple] = []

@@ -234,10 +234,65 @@ def test_cascade_is_exact(spark):
 
 def test_html_blocks():
     page = "<head><title>t</title></head><body><nav>Home</nav><header>Site</header><article><header><h1>A &amp; b</h1></header><p class='intro'>x <b>y</b>z<br>w<script>bad()</script><p>1 &lt; 2 &#8364; &amp c<div class='share-bar'>Share</div><ul><li>one<li>two</ul><section id=comments><p>me too</section></article><aside>Side</aside><div class=ad>Buy</div><form><input>Go</form><footer>F</footer>"
-    assert html_text.main_text(html_text.blocks(page), None) == "A & b\n\nx yz w\n\n1 < 2 € & c\n\none\n\ntwo"
+    assert html_text.main_text(html_text.blocks(page), []) == "A & b\n\nx yz w\n\n1 < 2 € & c\n\none\n\ntwo"
     assert html_text.blocks(None) == [] and html_text.blocks("") == [] and html_text.blocks("<p>open <b>never closed") == [("open never closed", 1)]
 
 
+def test_html_that_is_not_well_formed():
+    text = lambda h, *others: html_text.main_text(html_text.blocks(h), [html_text.blocks(o) for o in others])
+    assert text("<article><p>one</p><button>Go<p>two</p></article>") == "one\n\ntwo"
+    assert text("<article><p>a</p><svg><svg><text>x</text></svg><text>y</text></svg><p>b</p></article>") == "a\n\nb"
+    assert text("<p>a<select><option>x<option>y</select> b<video>v</video><p>c<noscript>n") == "a b\n\nc"
+    assert text("<article class='promo'><p>kept</p></article><div id=content>beside</div><div class=promo>gone</div>") == "kept\n\nbeside"
+    assert text("<body class='search-results has-sidebar'><p>kept") == "kept" and text("<article>x</article><script>never closed <p>y") == "x"
+    assert text("<head><title>t</title><p>no end of head") == "no end of head" and text("<svg/><p>after") == "after"
+    long_page = "<p>" + "word " * 200_000 + "<p>".join(f"line {k}" for k in range(20_000))
+    assert len(text(long_page)) > 1_000_000
+    assert text("<div>top</div><p>mine</p>", "<div>top</div><p>theirs</p>") == "mine"
+    # a copy on one side is no template, and one with the same lines says nothing
+    assert text("<div>top</div><p>mine</p>", "<div>top</div><p>mine</p><p>more</p>", "<div>top</div><p>theirs</p>") == "mine"
+    assert text("<div>top</div><p>mine</p>", "<div>top</div><p>mine</p>") == "top\n\nmine"
+    assert text("<div>top</div><article>mine</article>", "<div>top</div><article>mine</article><p>x") == "mine"
+
+
+def test_differencing_against_brute_force(spark):
+    """Beside an article, shared lines go by alignment alone; pairing and alignment are done once more by hand."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        host, path = f"h{rng.choice('abc')}.org", f"/{rng.choice(['x', 'y/z', 'é'])}/{rng.randint(0, 30)}"
+        parts = rng.sample(range(6), rng.randint(0, 6))
+        lines = [f"<div>site {host} part {j}</div>" for j in (sorted(parts) if rng.random() < 0.8 else parts)]
+        own = f"<article><p>Story {k}</p></article>" if k % 3 else f"<div>Tale {k}</div>"
+        rows.append((k, f"http://{host}{path}", "".join([*lines[:3], own, *lines[3:]]), "clash", "clash", 3))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, lines string, range int")
+    split = lambda r: re.match(r"http://([^/]*)(.*)", r[1]).groups()
+    order = sorted(rows, key=lambda r: (*(x.encode() for x in split(r)), r[0]))
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    found = [{r.page_id: r.text for r in html_text.extract(pages, most).collect()} for most in (4, 4096)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    lost = 0
+    for at, r in enumerate(order):
+        mine, text = [t for t, _ in html_text.blocks(r[2])], found[0][r[0]].split("\n\n")
+        near = [[t for t, _ in html_text.blocks(o[2])] for o in order[max(at - 1, 0) : at + 2] if o is not r and split(o)[0] == split(r)[0]]
+        near = [o for o in near if o != mine]
+        kept, gone = [t for t in mine if t in text], [t for t in mine if t not in text]
+        assert kept == text and (f"Story {r[0]}" in text or f"Tale {r[0]}" in text)
+        # every line occurs once a page: what went is a common subsequence of all, and with one neighbour a longest one
+        assert all([t for t in o if t in gone] == gone for o in near) and (near or not gone)
+        if len(near) == 1:
+            assert len(gone) == lcs(mine, near[0])
+        lost += len(gone)
+    assert lost > 50
+
+
 def test_lcs_is_longest():
     rng = random.Random(5)
     for _ in range(500):
