@@ -12,7 +12,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders made for sessions that name no shared one, by application.
@@ -124,6 +124,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def least_hashed(ids: DataFrame, key: Column, most: int, *then: str) -> DataFrame:
+    """The ``most`` rows of least key, a hash. Only about that many rows of all partitions together are sorted."""
+    share = (most + 6 * most**0.5) / max(ids.count(), 1)
+    if share < 1:
+        ids = ids.where(key < F.lit(int(-(2**63) + share * 2**64)))
+    return ids.orderBy(key, *then).limit(most)
+
+
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """Run ``start()`` once a task and its result on every Arrow batch; columns keep their exact types, nulls included."""
 

@@ -7,7 +7,7 @@ minimises pi * R+(g) + max(0, Ru-(g) - pi * Rp-(g)) with the sigmoid loss, over
 document statistics. Both samples are bounded (``max_train`` rows each) and chosen by a hash of the id.
 
 Defined cases: a null or empty text has all statistics 0 and is scored like any other; rows that repeat
-are each scored; with no positives or no texts every score is 0.5; other columns are passed over.
+are each scored, and of rows that repeat a doc_id the least text is learnt from; ids may have any type with an order; with no positives or no texts every score is 0.5; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import appended, batch, ddl, map_batches, raw_bytes
+from tessera.llm.common import appended, batch, ddl, least_hashed, map_batches, raw_bytes
 from tessera.llm.toxicity import held_out
 
 MAX_TRAIN = 8192
@@ -154,17 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .select("doc_id")
         .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_train)
     )
-    chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_train)
+    positives = least_hashed(positives, F.xxhash64("doc_id"), max_train, "doc_id")
+    chosen = least_hashed(docs.select("doc_id").where(F.col("doc_id").isNotNull()), F.xxhash64("doc_id", F.lit(1)), max_train, "doc_id")
     ids = positives.withColumn("p", F.lit(1)).unionByName(chosen.distinct().withColumn("p", F.lit(0)))
-    # at most 2 * max_train ids: a proven bound
-    rows = map_batches(narrow.join(F.broadcast(ids), "doc_id"), "doc_id long, p int, x array<double>", _statistics_of).toArrow()
-    p, ids = rows.column("p").to_numpy(), rows.column("doc_id").to_numpy()
+    # at most 2 * max_train ids: a proven bound, and one text an id
+    found = narrow.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "p").agg(F.min("text").alias("text"))
+    rows = map_batches(found, f"{ddl(found.select('doc_id'))}, p int, x array<double>", _statistics_of).toArrow()
+    rows = rows.take(pc.sort_indices(rows, [("p", "ascending"), ("doc_id", "ascending")]))
+    p = rows.column("p").to_numpy()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(p), -1) if len(p) else np.zeros((0, len(statistics(None))))
-    order = np.lexsort((ids, p))
-    x, is_p = x[order], p[order] == 1
+    is_p = p == 1
     return fit_arrays(x[is_p], x[~is_p])
 
 

@@ -6,18 +6,19 @@ leaves few non-zero weights, so the model that is broadcast never exceeds ``2 **
 usually a few thousand.
 
 Defined cases: a null or empty text has no features and gets the bias alone; rows that repeat are each
-scored; labels with a null doc_id or label are ignored and repeated labels count as their maximum; with
-no labels every score is 0.5. Columns beside doc_id and text are passed over, whatever their names.
+scored, and of rows that repeat a labelled doc_id the least text is learnt from; labels with a null doc_id or label are
+ignored and repeated labels count as their maximum; with no labels every score is 0.5. Ids may have any type with an order. Columns beside doc_id and text are passed over, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _ALNUM, K1, K2, K3, WordHashes, appended, batch, ddl, map_batches, mix
+from tessera.llm.common import _ALNUM, K1, K2, K3, WordHashes, appended, batch, ddl, least_hashed, map_batches, mix
 
 BITS = 20
 MAX_TRAIN = 12_288
@@ -82,11 +83,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_train)
     )
+    picked = least_hashed(picked, F.xxhash64("doc_id"), max_train, "doc_id")
     # at most max_train rows of two numbers: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, epochs: int = 5, seed: int = 7) -> Ftrl:
@@ -104,8 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
         return run
 
     # Arrow keeps the indices at 4 bytes each on their way and here
-    rows = map_batches(training_rows(docs, labels, label, max_train), "doc_id long, y int, x array<int>", start).toArrow().combine_chunks()
-    by_id = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    chosen = training_rows(docs, labels, label, max_train)
+    rows = map_batches(chosen, f"{ddl(chosen.select('doc_id'))}, y int, x array<int>", start).toArrow().combine_chunks()
+    by_id = pc.sort_indices(rows.column("doc_id")).to_numpy() if rows.num_rows else np.zeros(0, int)
     x = rows.column("x").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
     flat, ends, ys = x.flatten().to_numpy(), np.r_[0, np.cumsum(x.value_lengths().to_numpy())].astype(np.int64), rows.column("y").to_numpy()
