@@ -59,6 +59,10 @@ def keys_of(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column
     return F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
 
 
+#: Bits of the largest level (32 MB): some ten million rules.
+MAX_BITS = 1 << 28
+
+
 def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level * 64 + k)), F.lit(bits)) for k in range(hashes)]
 
@@ -72,14 +76,16 @@ class Level:
         self.hashes = max(1, round(-math.log2(rate)))
         self.bits = max(64, 64 * math.ceil(1.4427 * max(expected, 1) * -math.log2(rate) / 64))
         at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, self.bits, self.hashes))).alias("b"))
+        if self.bits > MAX_BITS:
+            raise ValueError(f"a level of {self.bits} bits for {expected} keys; the filter is made for at most {MAX_BITS}")
         words = at.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).collect()
         held = dict((r.w, r.v) for r in words)  # at most bits / 64 words
-        self.words = [held.get(i, 0) for i in range(self.bits // 64)]
+        self.table = F.lit(b"".join(held.get(i, 0).to_bytes(8, "little", signed=True) for i in range(self.bits // 64)))
 
     def passes(self, key: Column) -> Column:
-        table = F.array(*(F.lit(w).cast("long") for w in self.words))
-        probes = _positions(key, self.level, self.bits, self.hashes)
-        tests = [F.getbit(F.get(table, F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1 for b in probes]
+        # one byte of the table, which is one literal of the plan, however often it is probed
+        byte = lambda b: F.conv(F.hex(F.substring(self.table, F.floor(b / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        tests = [F.getbit(byte(b), (b % 8).cast("int")) == 1 for b in _positions(key, self.level, self.bits, self.hashes)]
         out = tests[0]
         for t in tests[1:]:
             out = out & t
