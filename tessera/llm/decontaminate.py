@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,54 +127,63 @@ _DIGEST = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "i
 _OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _columns(rows: list[tuple]) -> dict:
-    return {f"__{k}": ([r[j] for r in rows], t) for j, (k, t) in enumerate(_DIGEST.items())}
+def _columns(rows: list[tuple], mark: str) -> dict:
+    return {mark + k: ([r[j] for r in rows], t) for j, (k, t) in enumerate(_DIGEST.items())}
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, window: int, chunk: int) -> DataFrame:
-    """The rows of docs with the digest's columns, each named with two leading underscores."""
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, chunk: int) -> tuple[DataFrame, str]:
+    """The rows of docs with the digest's columns, each with a mark before its name that no column of docs begins with; and the mark."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
     spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(p) for p in _chunks(benchmark, window, chunk)]
     names = docs.columns
-    schema = f"{ddl(docs)}, {', '.join('__' + c for c in _OUT.split(', '))}"
+    schema = f"{ddl(docs)}, {', '.join(mark + c for c in _OUT.split(', '))}"
+    parts = _chunks(benchmark, window, chunk)
+    first, second = next(parts, {}), next(parts, None)
+    sent = spark.sparkContext.broadcast(first)
 
     def single():
-        held = tables(sent[0].value, window) if sent else []
+        held = tables(sent.value, window)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             words = map(alnum_words, b.column("text").to_pylist())
-            return appended(b, names, **_columns([_digest(len(w), *search(w, held)) for w in words]))
+            return appended(b, names, **_columns([_digest(len(w), *search(w, held)) for w in words], mark))
 
         return run
 
-    if len(sent) <= 1:
-        return map_batches(docs, schema, single)
+    if second is None:
+        return map_batches(docs, schema, single), mark
 
-    def occurrences(which: int):
+    def occurrences(sent):
         def start():
-            held = tables(sent[which].value, window)
+            held = tables(sent.value, window)
 
             def run(b: pa.RecordBatch) -> pa.RecordBatch:
-                found = [(r, *search(alnum_words(t), held)) for r, t in zip(b.column("__row").to_pylist(), b.column("text").to_pylist())]
+                found = [(r, *search(alnum_words(t), held)) for r, t in zip(b.column(row).to_pylist(), b.column("text").to_pylist())]
                 found = [(r, [x for s in spans for x in s], _in_order(items)) for r, spans, items in found if spans]
-                return batch(__row=([f[0] for f in found], pa.int64()), spans=([f[1] for f in found], pa.list_(pa.int32())), items=([f[2] for f in found], pa.list_(pa.string())))
+                return batch(**{row: ([f[0] for f in found], pa.int64())}, spans=([f[1] for f in found], pa.list_(pa.int32())), items=([f[2] for f in found], pa.list_(pa.string())))
 
             return run
 
         return start
 
-    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    narrow, found = keyed.select("__row", "text"), None
-    for k in range(len(sent)):
-        one = map_batches(narrow, "__row long, spans array<int>, items array<string>", occurrences(k))
+    row, spans_of, items_of = (mark + c for c in ("row", "spans", "items"))
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow, found = keyed.select(row, "text"), None
+    # one chunk is held and sent at a time; each is one scan of the texts
+    for part in chain((first, second), parts):
+        sent = spark.sparkContext.broadcast(part)
+        one = materialise(map_batches(narrow, f"{row} long, spans array<int>, items array<string>", occurrences(sent)))
+        sent.destroy()
         found = one if found is None else found.unionByName(one)
     # at most one row a chunk for each document
-    merged = found.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    merged = found.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias(spans_of), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items_of))
 
     def summed():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for t, flat, items in zip(*(b.column(c).to_pylist() for c in ("text", "__spans", "__items"))):
+            for t, flat, items in zip(*(b.column(c).to_pylist() for c in ("text", spans_of, items_of))):
                 spans: list[tuple[int, int]] = []
                 for a, z in sorted(zip((flat or [])[::2], (flat or [])[1::2])):
                     if spans and a <= spans[-1][1]:
@@ -181,22 +191,23 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, chunk: int) -> D
                     else:
                         spans.append((a, z))
                 rows.append(_digest(len(alnum_words(t)), spans, set(items or ())))
-            return appended(b, names, **_columns(rows))
+            return appended(b, names, **_columns(rows, mark))
 
         return run
 
-    return map_batches(keyed.join(merged, "__row", "left").drop("__row"), schema, summed)
+    return map_batches(keyed.join(merged, row, "left").drop(row), schema, summed), mark
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    judged = _judged(docs.select("doc_id", "text"), benchmark, window, chunk)
-    return judged.select("doc_id", *(F.col(f"__{c}").alias(c) for c in _DIGEST))
+    judged, mark = _judged(docs.select("doc_id", "text"), benchmark, window, chunk)
+    return judged.select("doc_id", *(F.col(mark + c).alias(c) for c in _DIGEST))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    return _judged(docs, benchmark, WINDOW, CHUNK).where(~F.col("__contaminated")).select(*docs.columns)
+    judged, mark = _judged(docs, benchmark, WINDOW, CHUNK)
+    return judged.where(~F.col(f"{mark}contaminated")).select(*docs.columns)
 
 
 ORACLE = r"""
