@@ -20,7 +20,7 @@ when one is hot: both sides are written or shuffled for that join alone.
 
 Defined cases: null texts stay null, empty ones empty; a null doc_id sorts first; rows that repeat doc_id and
 text are one document and are treated alike; a text of fewer than ``span`` pieces or ``min_words`` words has no run; columns beside
-doc_id and text pass through unchanged.
+doc_id and text pass through unchanged, whatever their names, but that ``dedup`` replaces columns named n_sentences and n_removed.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, ddl, map_batches, materialise
+from tessera.llm.common import batch, ddl, fresh, map_batches, materialise
 
 SPAN, MIN_WORDS, MAX_WORDS = 3, 12, 8
 LEAST_PIECE = 4
@@ -166,14 +166,15 @@ def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, max_wor
     """Every row of docs with its repeated sentences removed from text; two columns more: n_sentences, n_removed."""
     cuts = repeated_runs(docs, span, min_words, max_words)
     names = [c for c in docs.columns if c not in {"n_sentences", "n_removed"}]
-    keyed = docs.select(*names).withColumn("__th", F.xxhash64("text"))
-    cuts = cuts.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__t"), F.col("cut").alias("__cut"))
-    joined = keyed.join(cuts, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__th", "__doc", "__t")
+    own, theirs, doc, at = fresh(docs, "own_th", "th", "cut_doc", "cut")
+    keyed = docs.select(*names).withColumn(own, F.xxhash64("text"))
+    cuts = cuts.select(F.col("doc_id").alias(doc), F.col("th").alias(theirs), F.col("cut").alias(at))
+    joined = keyed.join(cuts, (F.col(own) == F.col(theirs)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(own, doc, theirs)
 
     def start():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             texts, total, removed = [], [], []
-            for t, cut in zip(b.column("text").to_pylist(), b.column("__cut").to_pylist()):
+            for t, cut in zip(b.column("text").to_pylist(), b.column(at).to_pylist()):
                 pieces = sentences(t, max_words) if t else []
                 gone = {j for i in cut or () for j in range(i, i + span)}
                 texts.append("".join(p for j, p in enumerate(pieces) if j not in gone) if gone else t)
@@ -189,6 +190,6 @@ def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, max_wor
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Every document with its repeated sentences removed, with the columns it came with."""
-    clash = {c: f"__kept_{c}" for c in docs.columns if c in {"n_sentences", "n_removed"}}
+    clash = dict(zip(found := [c for c in docs.columns if c in {"n_sentences", "n_removed"}], fresh(docs, *found)))
     out = dedup(docs.withColumnsRenamed(clash)).drop("n_sentences", "n_removed")
     return out.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
