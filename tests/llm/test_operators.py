@@ -14,7 +14,7 @@ pytest.importorskip("tessera.llm")
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, html_text, lm, minhash, mixing, quality, queries, rules, substrings, toxicity, url_filter
-from tessera.llm.common import alnum_words, blank_words
+from tessera.llm.common import alnum_words, blank_words, least_hashed
 from tests_llm_helpers import brute_components, brute_hits
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words int, size int, kept boolean, path string"
@@ -95,6 +95,82 @@ def test_prior_and_risk_on_made_up_statistics():
     assert (model.score(good(400)) >= 0.3).mean() > 0.95 and (model.score(bad(400)) < 0.5).mean() > 0.85
 
 
+def test_ftrl_against_brute_force(spark, sf):
+    """The update rule once more, coordinate by coordinate, over the same features in the same order."""
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in spark.sql(f"select d.doc_id, d.text, max(l.toxic) toxic from parquet.`{sf}/documents.parquet` d join parquet.`{sf}/labels.parquet` l using (doc_id) where crc32(cast(cast(doc_id as string) as binary)) % 5 != 0 group by all").collect())
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, epochs=2)
+    hashes, z, n, bias, bias_n = toxicity._Hashes(), collections.defaultdict(float), collections.defaultdict(float), 0.0, 0.0
+    x = [sorted(set(map(int, hashes.features(t, model.bits)))) for _, t, _ in rows]
+    weight = lambda j: 0.0 if abs(z[j]) <= model.l1 else -(z[j] - math.copysign(model.l1, z[j])) / ((model.beta + math.sqrt(n[j])) / model.alpha + model.l2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            w = {j: weight(j) for j in x[i]}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - rows[i][2]
+            for j in x[i]:
+                sigma = (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / model.alpha
+                z[j] += g - sigma * w[j]
+                n[j] += g * g
+            bias_n += g * g
+            bias -= model.bias_rate * model.alpha * g / (model.beta + math.sqrt(bias_n))
+    at, w, b = model.sparse()
+    want = {j: weight(j) for j in z if weight(j)}
+    assert set(map(int, at)) == set(want) and b == pytest.approx(bias, abs=1e-9)
+    assert all(v == pytest.approx(want[int(j)], rel=1e-5) for j, v in zip(at, w))
+    for r in toxicity.score(docs, model).collect()[:60]:
+        t = next(d.text for d in docs.where(F.col("doc_id") == r.doc_id).collect()) if r.doc_id % 7 == 0 else None
+        if t is not None:
+            odds = bias + sum(want.get(j, 0.0) for j in set(map(int, hashes.features(t, model.bits))))
+            assert r.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-5)
+
+
+def test_samples_are_the_least_by_hash(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    key = F.xxhash64("doc_id")
+    for most in (1, 50, 3000, 30_000):
+        want = [r.doc_id for r in ids.orderBy(key, "doc_id").limit(most).collect()]
+        assert [r.doc_id for r in least_hashed(ids, key, most, "doc_id").collect()] == want
+    repeated = docs_of(spark, [(1, "z", "s"), (1, "a", "s"), (2, None, "s"), (2, "b", "s")])
+    got = toxicity.training_rows(repeated, labels_of(spark, [(1, 1, 1), (2, 1, 0), (9, 1, 1)]), "toxic", 10).collect()
+    assert sorted(map(tuple, got)) == sorted((i, t, y) for i, t, y in [(1, "a", 1), (2, "b", 0)] if not spark.range(1).select(toxicity.held_out(F.lit(i))).first()[0])
+
+
+def test_quality_against_brute_force(spark, sf):
+    """The sample is whole here: the same arrays and a plain reading of the model give the same scores."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.held_out("doc_id").alias("h")).collect()}
+    good = sorted({r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id in texts and not held[r.doc_id]})
+    model = quality.fit_arrays(np.array([quality.statistics(texts[i]) for i in good]), np.array([quality.statistics(texts[i]) for i in sorted(texts)]))
+    for r in quality.score(docs, quality.fit(docs, labels)).collect():
+        x = quality.statistics(texts[r.doc_id])
+        odds = model.bias + sum(model.weights[j][sum(e <= v for e in model.edges[j])] for j, v in enumerate(x))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9) and r.predicted == (r.score >= 0.3)
+
+
+def test_non_negative_risk_by_finite_differences():
+    """One small step of plain descent on the stated risk, whichever of its two branches holds."""
+    rng = np.random.default_rng(2)
+    ap, au = rng.integers(0, quality.BINS, (30, 3)), rng.integers(0, quality.BINS, (50, 3))
+    sig = lambda g: 1 / (1 + np.exp(-g))
+    for prior in (0.1, 0.9):
+        w, b = quality._descend(ap, au, prior, 1)
+        flat = lambda a, w, b: w[a + np.arange(3) * quality.BINS].sum(1) + b
+
+        def risk(w, b):
+            up, uu, pn = sig(-flat(ap, w, b)).mean(), sig(flat(au, w, b)).mean(), sig(flat(ap, w, b)).mean()
+            rest = uu - prior * pn
+            return prior * up + rest if rest >= 0 else -rest
+
+        z, eps = np.zeros(3 * quality.BINS), 1e-6
+        grad = np.array([(risk(z + eps * (np.arange(len(z)) == k), 0.0) - risk(z - eps * (np.arange(len(z)) == k), 0.0)) / (2 * eps) for k in range(len(z))])
+        sure = abs(grad) > 1e-5  # the first step of Adam goes against the sign of each partial derivative
+        assert sure.any() and (np.sign(w[sure]) == -np.sign(grad[sure])).all()
+        slope = (risk(z, eps) - risk(z, -eps)) / (2 * eps)
+        assert abs(slope) < 1e-5 or np.sign(b) == -np.sign(slope)
+
+
 # mixing
 
 
@@ -381,6 +457,10 @@ def test_decontamination_against_brute_force(spark):
     assert len(decontaminate.judge(odd_docs(spark), bench).collect()) == 9
     assert decontaminate.judge(empty_docs(spark), bench).count() == 0
     assert not any(r.n_hit for r in decontaminate.judge(odd_docs(spark), bench.limit(0)).collect())
+    marked = odd_docs(spark).withColumns({"__row": F.lit(1), "__n_words": F.lit(2), "_spans": F.lit("x")})
+    for chunk in (1000, 7):
+        judged, mark = decontaminate._judged(marked, bench, 13, chunk)
+        assert judged.count() == 9 and judged.columns[: len(marked.columns)] == marked.columns and mark == "___"
     clean = decontaminate.clean_documents(odd_docs(spark), bench)
     assert clean.columns == odd_docs(spark).columns and clean.where("n_words = 9").count() == clean.count()
 
@@ -418,6 +498,10 @@ def test_substring_dedup_removes_later_copies(spark):
     assert len(odd) == 9 and sum(r.text is None for r in odd) == 1
     assert substrings.dedup(empty_docs(spark)).count() == 0
     assert substrings.clean_documents(odd_docs(spark)).columns == odd_docs(spark).columns
+    clash = odd_docs(spark).withColumns({c: F.lit(7) for c in ("own_th", "th", "cut_doc", "cut", "n_removed", "__kept_n_removed")})
+    cleaned = substrings.clean_documents(clash)
+    assert cleaned.columns == clash.columns and {r.n_removed for r in cleaned.collect()} == {7}
+    assert {r.n_removed for r in substrings.dedup(clash).collect()} != {7}
 
 
 def test_substring_dedup_against_brute_force(spark, sf):
