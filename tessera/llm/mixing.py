@@ -12,8 +12,9 @@ Sources sorted by code point (null last) weigh 1, 2, 3, repeating, unless weight
 at ``cap`` times its source's size and the excess is reshared by weight, which is the level where the sum
 of min(cap * size, weight * level) reaches the total.
 
-Document offsets come from sums over (source, bucket of documents) and a running sum inside a bucket of some
-``rows_per_bucket`` documents, so a source with a third of all rows is spread over its buckets. One row a source is
+Document offsets come from sums over (source, bucket of documents) and a running sum inside a bucket. There are as many
+buckets as the square root of the number of rows, so that neither a bucket's rows nor a source's buckets become many, and a source
+with a third of all rows is spread over all of them. One row a source is
 gathered to rank and fill targets: that table has as many rows as there are sources.
 
 Defined cases: null or empty texts have size 0 and are never taken; a source of no words has target 0; an
@@ -23,6 +24,8 @@ passed over. Reruns agree: every draw is a hash.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,6 @@ from tessera.llm.common import materialise
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 65_536
-ROWS_PER_BUCKET = 65_536
 #: Slots that one row is exploded to.
 CHUNK = 65_536
 SEED = 20_240_101
@@ -99,11 +101,11 @@ def permuted(i: Column, blocks: Column, no_source: Column, source: Column, seed:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.pmod(i, blocks).cast("long"), swap)
 
 
-def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS, rows_per_bucket: int = ROWS_PER_BUCKET, cap: float = 3.0, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int | None = None, cap: float = 3.0, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Documents with their place in their source's stream, and the sources with sizes, targets and block counts; the texts are read once."""
     sized = docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("size"))
     sized = materialise(sized)
-    buckets = 1 + sized.count() // rows_per_bucket
+    buckets = buckets or 1 + isqrt(sized.count())
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
     sums = sized.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     of_source = Window.partitionBy("no_source", "source")
@@ -160,9 +162,9 @@ def texts(docs: DataFrame, **options: object) -> DataFrame:
     return cut.groupBy("shard", "no_source", "source", "slot").agg(joined.alias("text"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, rows_per_bucket: int = ROWS_PER_BUCKET, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int | None = None, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row: what the mixed corpus has of it."""
-    placed, sources = blocks_of(docs, block_words, rows_per_bucket, cap, seed)
+    placed, sources = blocks_of(docs, block_words, buckets, cap, seed)
     # an offset is one row's own: only rows of size 0 share theirs
     own = ["no_source", "source", "off", "doc_id", "size"]
     taken = mixed(placed, sources, block_words, shard_blocks, seed).groupBy(*own).agg(F.sum("words").alias("taken"))
