@@ -424,8 +424,9 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
 def classes_of(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     rows, classes, edges = links(docs, size, percent)
-    named = classes.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    named = materialise(classes.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    # written, so that the join below has shuffles of its own on both sides and a large component can be split
+    least = materialise(named.groupBy("comp").agg(F.min("doc").alias("component_id")))
     named = materialise(named.join(least, "comp").select("sid", "component_id"))
     own = F.coalesce("component_id", "doc_id")
     out = rows.join(named, "sid", "left")
