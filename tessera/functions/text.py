@@ -9,8 +9,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that carry no meaning as keywords.
-STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "have", "has", "not", "but", "you", "your", "can", "will", "into", "about"]
+# Words that carry no meaning as keywords, and particles that end a Korean word, longest first.
+STOP_WORDS = (
+    "이 그 저 것 수 등 및 를 을 에 의 가 는 은 도 로 와 과 한 하 the a an is are was were be been have has had do does did will would should could can may might "
+    "this that with from for and but or not in on at to of it its by as"
+).split()
+PARTICLES = "(까지|부터|에서|에게|으로|라는|에는|를|을|는|은|이|가|의|에|로|도|와|과|만)$"
 
 # What redaction looks for and puts in its place, in order.
 REDACTIONS = [
@@ -24,8 +28,33 @@ REDACTIONS = [
 UNCERTAIN = ["maybe", "might", "perhaps", "probably", "unclear", "possibly", "아마", "추정", "불확실"]
 NEGATIVE = [" not ", "n't ", " never ", " no longer ", "cannot", " without ", "않", "없", "못"]
 
-# Modal families.
-MODALITY = {"obligation": r"(?i)\b(must|should|shall|required)\b", "possibility": r"(?i)\b(may|might|could|possibly)\b", "certainty": r"(?i)\b(always|never|definitely|certainly)\b", "plan": r"(?i)\b(will|plans? to|going to)\b"}
+# Endings that tell of a modal family a text speaks in.
+MODALITY = {
+    "future": "(예정이|ㄹ 것이다|할 것이다|될 것이다|전망이|계획이|방침이)",
+    "intention": "(려 한다|려고 한다|하고자 한다|하겠다|하려는)",
+    "conjecture": "(것으로 보인다|듯하다|추정된다|가능성이 높다|일 수 있다)",
+    "obligation": "(해야 한다|하여야 한다|필요가 있다)",
+}
+
+# What the policy rules look for in a text.
+RATIONALE = "(?i)(근거|이유|because|reason|rationale|왜냐하면|기반|기반으로)"
+CAUSE_OR_FIX = r"(?i)(원인|이유|해결|조치|복구|cause|reason|fix|resolve|root\s*cause|workaround)"
+STEPS = r"(?i)(\b1\.\s|\b2\.\s|\bstep\s*\d|단계|\n\s*-\s|\n\s*\*\s|\n\s*\d+\)\s)"
+
+# Openings that point at something outside the text, of split children and of reflected items.
+PRONOUNS = ["이 ", "그 ", "저 ", "해당 ", "이로 인해", "그로 인해", "이것", "그것", "위 ", "아래 "]
+META_OPENINGS = ["이것", "그것", "위", "이번", "해당", "재작성을 통해"]
+
+# Keywords that end in a particle, and how a query speaks of an assistant's words.
+PARTICLE_ENDING = "[가-힣](를|을|는|은|이|가|의|에|로|도|와|과|만|까지|부터|에서|에게|으로|라는|에는)$"
+ASSISTANT_PHRASES = [
+    "어시스턴트가", "ai가", "클로드가", "봇이", "뭐라고 했", "뭐라고 답", "뭐라 했", "뭐라 답", "답변", "대답",
+    "assistant said", "ai said", "what did you say", "your response", "your answer", "you said", "you told", "you mentioned", "you replied", "bot said",
+]
+ASSISTANT_MARKS = ["Assistant:", "assistant:", "답변:"]
+
+# Words that a plain tokeniser drops.
+PLAIN_STOP_WORDS = ["이", "그", "저", "것", "수", "등", "및", "를", "을", "에", "의", "가", "는", "은", "도", "로", "와", "과", "한", "하", "the", "a", "an", "is", "are", "was", "were"]
 
 
 def redact(c: Column) -> Column:
@@ -59,18 +88,23 @@ def packed_sentences(c: Column, most: int = 300) -> Column:
 
 
 def keywords(df: DataFrame, key: str, content: str, most: int = 5) -> DataFrame:
-    """(key, keywords): identifiers first, then words of two letters or more by frequency; ties by first occurrence; stop words out.
+    """(key, keywords): names in camel, Pascal or snake case first, then words of two characters or more by frequency; ties by first occurrence; stop words out.
 
-    Words are counted by an aggregation, so a long text costs its length and no more.
+    Korean words lose their particle where two characters are left. Words are counted by an aggregation, so a long text costs its length and no more.
     """
     c = F.col(content)
-    identifiers = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])([a-z]+[A-Z][A-Za-z0-9]*|[A-Za-z0-9]+_[A-Za-z0-9_]+)(?![A-Za-z0-9_])"), 1)
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
-    tagged = [df.select(key, F.posexplode(found).alias("at", "w")).withColumn("kind", F.lit(kind)) for kind, found in ((0, identifiers), (1, words))]
+    names = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])(?:[A-Za-z][a-z0-9]*(?:[A-Z][A-Za-z0-9]*)+|[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+)(?![A-Za-z0-9_])"), 0)
+    bare = lambda w: F.regexp_replace(w, PARTICLES, "")
+    words = F.split(F.regexp_replace(F.lower(c), r"[^A-Za-z0-9_\sㄱ-ㅎ가-힣]", " "), r"\s+")
+    words = F.transform(words, lambda w: F.when(w.rlike("[가-힣]") & (F.length(bare(w)) >= 2), bare(w)).otherwise(w))
+    words = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
+    tagged = [df.select(key, F.posexplode(found).alias("at", "w")).withColumn("kind", F.lit(kind)) for kind, found in ((0, names), (1, words))]
     counted = tagged[0].unionByName(tagged[1]).groupBy(key, "kind", "w").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("kind", F.when(F.col("kind") == 1, -F.col("n")).otherwise(0), "at"))
-    best = counted.withColumn("rank", rank).where(F.col("rank") <= 2 * most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("found"))
-    listed = F.slice(F.array_distinct(F.transform("found", lambda s: s["w"])), 1, most)
+    order = ["kind", F.when(F.col("kind") == 1, -F.col("n")).otherwise(0), "at"]
+    first = counted.withColumn("again", F.row_number().over(Window.partitionBy(key, F.lower("w")).orderBy(*order))).where("again = 1")
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)
+    best = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("found"))
+    listed = F.transform("found", lambda s: s["w"])
     return df.select(key).join(best.select(key, listed.alias("keywords")), key, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
@@ -107,18 +141,92 @@ def valid_content(c: Column, type_: Column, topic: Column) -> Column:
 
 
 def policy_violations(f: dict[str, Column]) -> Column:
-    """Names of the policy rules a row breaks."""
+    """Names of the policy rules a row breaks, of columns content, type, linked (a count), resolution_status, case_id, assertion_status, rejected, workspace."""
+    text, kind = F.coalesce(f["content"], F.lit("")), f["type"]
     rules = {
-        "empty_content": F.length(F.trim(f["content"])) == 0,
-        "decision_without_topic": (f["type"] == "decision") & f["topic"].isNull(),
-        "error_without_status": (f["type"] == "error") & f["resolution_status"].isNull(),
-        "episode_without_session": (f["type"] == "episode") & f["session_id"].isNull(),
-        "importance_out_of_range": (f["importance"] < 0) | (f["importance"] > 1),
-        "anchor_of_low_importance": f["is_anchor"] & (f["importance"] < 0.3),
+        "decisionHasRationale": (kind == "decision") & (F.coalesce(f["linked"], F.lit(0)) < 2) & ~text.rlike(RATIONALE),
+        "errorHasResolutionPath": (kind == "error") & ~text.rlike(CAUSE_OR_FIX) & f["resolution_status"].isNull(),
+        "procedureHasStepMarkers": (kind == "procedure") & ~text.rlike(STEPS),
+        "caseIdHasResolutionStatus": f["case_id"].isNotNull() & f["resolution_status"].isNull(),
+        "assertionNotContradictory": (f["assertion_status"] == "verified") & f["rejected"],
+        "fragmentHasWorkspace": f["workspace"].isNull(),
     }
     return F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull())
 
 
+def _opens_with(c: Column, openings: list[str]) -> Column:
+    return F.greatest(*(c.startswith(p) for p in openings))
+
+
+def acceptable_child(c: Column) -> Column:
+    """Whether a piece of a split text may stand alone: 20 characters, no broken ones, no Han or kana among Hangul, no pronoun first."""
+    t = F.trim(c, F.lit(" \t\n\r"))
+    mixed = t.rlike("[가-힣]") & t.rlike("[\u3040-\u30ff\u4e00-\u9fff]")
+    return F.coalesce((F.length(t) >= 20) & ~F.contains(t, F.lit("\ufffd")) & ~mixed & ~_opens_with(t, PRONOUNS), F.lit(False))
+
+
+def self_contained(c: Column) -> Column:
+    """Whether a reflected item says something by itself: 20 characters (10 with Hangul) and no opening that points elsewhere."""
+    t = F.trim(c, F.lit(" \t\n\r"))
+    least = F.when(t.rlike("[가-힣ㄱ-ㅎㅏ-ㅣ]"), 10).otherwise(20)
+    return F.coalesce((F.length(t) >= least) & ~_opens_with(t, META_OPENINGS), F.lit(False))
+
+
+def polluted(keywords_of: Column) -> Column:
+    """Whether any keyword still carries a particle."""
+    return F.exists(keywords_of, lambda k: k.rlike(PARTICLE_ENDING))
+
+
+def hidden_identifier(content: Column, keywords_of: Column) -> Column:
+    """Whether the text has a camel-case name and no keyword does."""
+    return content.rlike("[a-z][A-Z]") & ~F.exists(keywords_of, lambda k: k.rlike("[a-z][A-Z]"))
+
+
+def asks_assistant(c: Column) -> Column:
+    """Whether a query is about what an assistant said."""
+    return F.coalesce(F.greatest(*(F.contains(F.lower(c), F.lit(p)) for p in ASSISTANT_PHRASES)), F.lit(False))
+
+
+def assistant_query(c: Column) -> Column:
+    """The query as it is embedded: with a prefix where it is about an assistant's words."""
+    return F.when(asks_assistant(c), F.concat(F.lit("Assistant: "), c)).otherwise(c)
+
+
+def assistant_boost(content: Column, importance: Column, boost: float = 0.02) -> Column:
+    """Importance of an assistant's words for such a query."""
+    said = F.greatest(*(F.contains(content, F.lit(m)) for m in ASSISTANT_MARKS))
+    return F.when(said, F.least(F.lit(1.0), F.coalesce(importance, F.lit(0.0)) + boost)).otherwise(importance)
+
+
+def merged_keywords(supplied: Column, extracted: Column, most: int = 10) -> Column:
+    """Supplied keywords, then extracted ones that aren't among them whatever their case, up to ``most`` in all."""
+    low = lambda a: F.transform(a, lambda k: F.lower(k))
+    keys = low(extracted)
+    new = F.filter(extracted, lambda k, i: ~F.array_contains(low(supplied), F.lower(k)) & (F.array_position(keys, F.lower(k)) == i + 1))
+    return F.concat(supplied, F.slice(new, 1, F.greatest(F.lit(most) - F.size(supplied), F.lit(0))))
+
+
+def plain_tokens(c: Column, most: int = 10) -> Column:
+    """Words of two characters or more without stop words, in order, repeats included."""
+    words = F.split(F.regexp_replace(F.lower(c), r"[^A-Za-z0-9_\sㄱ-ㅎ가-힣]", " "), r"\s+")
+    return F.slice(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*PLAIN_STOP_WORDS)), 1, most)
+
+
+def document_metadata(content: Column, path: Column) -> Column:
+    """(title, category, headings, words, bytes) of a markdown document: front matter first, then headings and the path."""
+    front = F.regexp_extract(content, r"(?s)\A---\n(.*?)\n---", 1)
+    field = lambda name: F.nullif(F.trim(F.regexp_extract(front, rf"(?m)^.*{name}:[ \t]*[\"']?(.+?)[\"']?[ \t]*$", 1)), F.lit(""))
+    headings = F.transform(F.regexp_extract_all(content, F.lit(r"(?m)^#[ \t]+(.+)$"), 1), lambda h: F.trim(h))
+    parts = F.split(path, "/")
+    return F.struct(
+        F.coalesce(field("title"), F.get(headings, F.lit(0))).alias("title"),
+        F.coalesce(field("category"), F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise("root")).alias("category"),
+        headings.alias("headings"),
+        F.size(F.filter(F.split(content, r"\s+"), lambda w: w != "")).alias("words"),
+        F.octet_length(content).alias("bytes"),
+    )
+
+
 def scripts(text: str | None) -> list[tuple[str, str]]:
     """Runs of one script: (hangul | kana | han | latin, run). Blanks and marks end a run."""
     names = (("hangul", r"[가-힣ㄱ-ㆎ]+"), ("kana", r"[぀-ヿ]+"), ("han", r"[一-鿿]+"), ("latin", r"[A-Za-zÀ-ɏ0-9_]+"))

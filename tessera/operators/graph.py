@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import index
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder."""
+    """Cut lineage in the shared checkpoint folder; only a local master may do without a named one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
@@ -64,3 +69,114 @@ def spread(edges: DataFrame, fragments: DataFrame, seeds: DataFrame, gain: float
     near = near.distinct().join(seeds.select("id"), "id", "left_anti")
     raised = F.greatest(F.col("ema"), F.least(F.lit(top), F.col("ema") + gain))
     return fragments.join(near, "id", "left_semi").select("id", F.round(raised, 6).alias("ema"))
+
+
+def chain_positions(chains: DataFrame) -> DataFrame:
+    """Chains (root, id, depth, ...) with the place of each node in its chain, from 0, by depth and id."""
+    return chains.withColumn("position", F.row_number().over(Window.partitionBy("root").orderBy("depth", "id")) - 1)
+
+
+def reconstruct(fragments: DataFrame, links: DataFrame, events: DataFrame, case_id: int, limit: int = 100) -> dict[str, DataFrame]:
+    """A case's history: ``timeline`` (id, place), ``chains`` (root, id, depth, is_resolved, position), ``unresolved`` and ``supporting`` (id), ``events``.
+
+    A case is a result list of at most 500 rows; only edges that touch it are followed, and of the chains only its own rows are kept.
+    A chain is resolved if a row of it is.
+    """
+    mine = fragments.where((F.col("case_id") == case_id) & F.col("valid_to_h").isNull()).orderBy("created_h", "id").limit(min(limit, 500))
+    timeline = _cut(mine.select("id", "created_h", "resolution_status").withColumn("place", F.row_number().over(Window.orderBy("created_h", "id")) - 1))
+    ids = F.broadcast(timeline.select("id"))
+    causal = links.where(F.col("relation_type").isin("caused_by", "resolved_by"))
+    touching = causal.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").unionByName(causal.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")).distinct()
+    reached = causal_chains(_cut(touching)).drop("is_resolved").join(timeline.select("id", "resolution_status"), "id")
+    solved = F.max(F.coalesce(F.col("resolution_status") == "resolved", F.lit(False))).over(Window.partitionBy("root"))
+    chains = chain_positions(reached.withColumn("is_resolved", solved).drop("resolution_status"))
+    still_open = timeline.where("resolution_status = 'open'").select("id").join(chains.where("is_resolved").select("id"), "id", "left_anti")
+    return {
+        "timeline": timeline.select("id", "place"), "chains": chains, "unresolved": still_open,
+        "supporting": timeline.select("id").join(chains.select("id"), "id", "left_anti"), "events": events.where(F.col("case_id") == case_id).orderBy("sequence_no"),
+    }
+
+
+# Order of the phases of work; any other phase fits anywhere.
+PHASES = {"planning": 0, "debugging": 1, "implementation": 1, "verification": 2}
+
+
+def _shared_keywords(a: DataFrame, b: DataFrame, by: str, sizes: Column) -> DataFrame:
+    """(a, b, overlap) of rows of two sides (id, by, keywords) that have ``by`` and a keyword in common; no other pair is formed."""
+    low = lambda d, key: d.select(by, F.col("id").alias(key), F.size("keywords").alias(f"n_{key}"), F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("kw"))
+    both = low(a, "a").join(low(b, "b"), [by, "kw"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return both.where("a != b").select("a", "b", (F.col("shared") / sizes).alias("overlap"))
+
+
+def session_links(fragments: DataFrame, edges: DataFrame, least: float = 0.6, depth: int = 20) -> DataFrame:
+    """(from_id, to_id, relation_type, accepted): in each session an error's best decision (caused_by) and a procedure's best error (resolved_by), by keywords in common; rows without keywords take no part.
+
+    Accepted if the overlap (of the smaller set) is ``least`` or more, the phases don't run backwards and no cycle arises over ``edges``; otherwise a suggestion.
+    """
+    f = fragments.select("id", "session_id", "type", "phase", "keywords").where("session_id is not null")
+    parts = []
+    for source, target, relation in (("error", "decision", "caused_by"), ("procedure", "error", "resolved_by")):
+        pairs = _shared_keywords(f.where(F.col("type") == source), f.where(F.col("type") == target), "session_id", F.least("n_a", "n_b"))
+        first = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "b"))
+        parts.append(pairs.withColumn("rn", first).where("rn = 1").select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit(relation).alias("relation_type"), "overlap"))
+    best = parts[0].unionByName(parts[1])
+    phase = F.create_map(*(F.lit(x) for kv in PHASES.items() for x in kv))
+    side = lambda key: f.select(F.col("id").alias(key), phase[F.col("phase")].alias(f"p_{key}"))
+    fit = best.join(side("from_id"), "from_id").join(side("to_id"), "to_id")
+    fit = fit.withColumn("fits", (F.col("overlap") >= least) & F.coalesce(F.col("p_from_id") <= F.col("p_to_id"), F.lit(True)))
+    fit = _cut(fit.select("from_id", "to_id", "relation_type", "fits"))
+    loops = would_cycle(edges, fit.where("fits").select("from_id", "to_id").distinct(), depth - 1).distinct().withColumn("loop", F.lit(True))
+    return fit.join(loops, ["from_id", "to_id"], "left").select("from_id", "to_id", "relation_type", (F.col("fits") & F.col("loop").isNull()).alias("accepted"))
+
+
+def topic_links(fragments: DataFrame, new: DataFrame, most: int = 3) -> DataFrame:
+    """(from_id, to_id) ``related`` links of new rows to the first of their topic, by importance, age and id, up to the row itself if it is among them."""
+    w = Window.partitionBy("topic").orderBy(F.desc("importance"), F.desc("created_h"), "id")
+    top = fragments.where("valid_to_h is null and importance >= 0.3").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most + 1).select("topic", F.col("id").alias("to_id"), "rn")
+    pairs = new.select(F.col("id").alias("from_id"), "topic").join(top, "topic")
+    own = F.min(F.when(F.col("from_id") == F.col("to_id"), F.col("rn"))).over(Window.partitionBy("from_id"))
+    return pairs.withColumn("own", own).where((F.col("rn") <= most) & (F.col("own").isNull() | (F.col("rn") < F.col("own")))).select("from_id", "to_id")
+
+
+# Keywords too general to tell that two rows belong together.
+GENERAL_WORDS = (
+    "사용자 변경 추가 수정 확인 설정 작업 완료 문제 해결 관리 처리 생성 삭제 적용 구현 실행 요청 결과 내용 "
+    "the and for with this that from into have has task issue update change fix add set user data test"
+).split()
+
+
+def telling(keywords: Column) -> Column:
+    """Keywords that count for overlap: lower case, two characters or more, no general words."""
+    low = F.transform(keywords, lambda k: F.trim(F.lower(k)))
+    return F.filter(low, lambda k: (F.length(k) >= 2) & ~k.startswith("rationale:") & ~k.isin(*GENERAL_WORDS))
+
+
+def proactive_links(fragments: DataFrame, new: DataFrame, conflicts: DataFrame, found: int = 5, least: float = 0.5) -> DataFrame:
+    """(from_id, to_id, overlap, reason): for new rows the ``found`` best rows by keyword search whose telling keywords overlap (of the larger set) by ``least``, through the link gate."""
+    active = fragments.where("valid_to_h is null")
+    kw = lambda d, key: d.select(F.col("id").alias(key), F.explode("keywords").alias("kw"))
+    hits = kw(new, "from_id").join(kw(active, "to_id"), "kw").groupBy("from_id", "to_id").agg(F.count("*").alias("met")).join(new.select(F.col("id").alias("from_id"), F.size("keywords").alias("asked")), "from_id")
+    hits = hits.join(active.select(F.col("id").alias("to_id"), "importance", "created_h", telling(F.col("keywords")).alias("theirs")), "to_id")
+    first = F.row_number().over(Window.partitionBy("from_id").orderBy(F.desc(F.col("met") / F.col("asked")), F.desc("importance"), F.desc("created_h"), "to_id"))
+    top = hits.withColumn("rn", first).where((F.col("rn") <= found) & (F.col("from_id") != F.col("to_id")))
+    top = top.join(new.select(F.col("id").alias("from_id"), F.array_distinct(telling(F.col("keywords"))).alias("mine")), "from_id")
+    common = F.size(F.filter("theirs", lambda k: F.array_contains("mine", k)))
+    top = top.withColumn("overlap", common / F.greatest(F.size("mine"), F.size("theirs"), F.lit(1))).where(F.col("overlap") >= least)
+    return index.gated(top.select("from_id", "to_id", "overlap", F.lit(None).cast("string").alias("quarantine_state")), fragments, conflicts).select("from_id", "to_id", "overlap", "reason")
+
+
+def polarity_conflicts(claims: DataFrame, least: float = 0.7) -> DataFrame:
+    """(a, b): claims (id, key_id, subject, predicate, object, polarity, confidence) of one tenant that say and deny the same with confidence, a < b."""
+    sure = claims.where((F.col("confidence") >= least) & F.col("polarity").isin("positive", "negative"))
+    yes, no = sure.where("polarity = 'positive'").alias("y"), sure.where("polarity = 'negative'").alias("n")
+    same = F.col("y.key_id").eqNullSafe(F.col("n.key_id")) & F.col("y.object").eqNullSafe(F.col("n.object"))
+    pairs = yes.join(no, same & (F.col("y.subject") == F.col("n.subject")) & (F.col("y.predicate") == F.col("n.predicate")))
+    return pairs.select(F.least("y.id", "n.id").alias("a"), F.greatest("y.id", "n.id").alias("b"))
+
+
+def workspace_in_text(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(id, workspace) of rows without one whose text has exactly one known name as a word; a name inside a longer one that is met doesn't count."""
+    padded = F.concat(F.lit(" "), F.lower("content"), F.lit(" "))
+    hits = F.filter(F.array(*map(F.lit, sorted(names, key=lambda n: (-len(n), n)))), lambda n: F.contains(padded, F.concat(F.lit(" "), F.lower(n), F.lit(" "))))
+    whole = F.filter("hits", lambda n: ~F.exists("hits", lambda m: (m != n) & F.contains(m, n)))
+    return rows.where("workspace is null").withColumn("hits", hits).withColumn("whole", whole).where(F.size("whole") == 1).select("id", F.get("whole", F.lit(0)).alias("workspace"))

@@ -14,39 +14,57 @@ def _overlap(a: set, b: set) -> float:
     return len(a & b) / most if most else 0.0
 
 
-def mmr_order(scores: list[float], sets: list[set], trade: float = 0.7) -> list[int]:
-    """Greedy maximal marginal relevance: next is the best of trade * score - (1 - trade) * nearest chosen."""
-    left, chosen = list(range(len(scores))), []
+def mmr_order(scores: list[float], sets: list[set], trade: float = 0.7, near: list[bool] | None = None) -> list[int]:
+    """Greedy maximal marginal relevance: next is the best of trade * score - (1 - trade) * nearest chosen.
+
+    Rows without a similarity (``near`` false) take no part and come last; the first of the others comes first.
+    """
+    near = [True] * len(scores) if near is None else near
+    left, rest = [i for i, n in enumerate(near) if n], [i for i, n in enumerate(near) if not n]
+    if len(left) <= 1:
+        return list(range(len(scores)))
+    chosen = [left.pop(0)]
     while left:
-        best = max(left, key=lambda i: (trade * scores[i] - (1 - trade) * max((_overlap(sets[i], sets[j]) for j in chosen), default=0.0), -i))
+        best = max(left, key=lambda i: (trade * scores[i] - (1 - trade) * max(_overlap(sets[i], sets[j]) for j in chosen), -i))
         chosen.append(best)
         left.remove(best)
-    return chosen
+    return chosen + rest
 
 
 def mmr(results: DataFrame, trade: float = 0.7) -> DataFrame:
-    """(query_id, id, score, keywords) lists -> (query_id, id, place); at most a few dozen rows a query."""
+    """(query_id, id, score, keywords, similarity) lists -> (query_id, id, place); at most a few dozen rows a query."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["score", "id"], ascending=[False, True])
-        order = mmr_order(g.score.tolist(), [set(k) if k is not None else set() for k in g.keywords], trade)
+        order = mmr_order(g.score.tolist(), [set(k) if k is not None else set() for k in g.keywords], trade, g.similarity.notna().tolist())
         return pd.DataFrame({"query_id": g.query_id.iloc[0], "id": g.id.to_numpy()[order], "place": range(1, len(g) + 1)})
 
     return results.groupBy("query_id").applyInPandas(run, "query_id long, id long, place int")
 
 
 def slot_trim(costs: list[int], tags: list[str | None], budget: int) -> list[bool]:
-    """Exact rows first within half the budget, supplements within a quarter, then the rest greedily, skipping what doesn't fit."""
-    keep, spent = [False] * len(costs), 0
+    """Exact rows first up to half the budget, supplements up to a quarter, each stopping at the first that doesn't fit; then all that are left, skipping what doesn't fit.
+
+    Without any tag the list is cut at the first row that doesn't fit.
+    """
+    keep, used = [False] * len(costs), 0
+    if not any(t in ("exact", "supplement") for t in tags):
+        for i, c in enumerate(costs):
+            if used + c > budget:
+                break
+            keep[i], used = True, used + c
+        return keep
     for tag, share in (("exact", 0.5), ("supplement", 0.25)):
-        used = 0
+        mine = 0
         for i, (c, t) in enumerate(zip(costs, tags)):
-            if t == tag and used + c <= budget * share:
-                keep[i], used = True, used + c
-        spent += used
-    for i, (c, t) in enumerate(zip(costs, tags)):
-        if t not in ("exact", "supplement") and spent + c <= budget:
-            keep[i], spent = True, spent + c
+            if t != tag:
+                continue
+            if mine + c > budget * share or used + c > budget:
+                break
+            keep[i], used, mine = True, used + c, mine + c
+    for i, c in enumerate(costs):
+        if not keep[i] and used + c <= budget:
+            keep[i], used = True, used + c
     return keep
 
 

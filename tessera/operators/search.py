@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, vectors
@@ -63,20 +64,114 @@ def within_budget(df: DataFrame, order: list, budget: int, cost: str = "tokens")
     return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
 
 
-def recall(fragments: DataFrame, vectors_of: DataFrame, links: DataFrame, query: list[str], vector: list[float], scope: Scope, now_h: int, budget: int = 4000) -> DataFrame:
-    """Hybrid recall: keyword (x2), vector (x1), graph (x1.5) and time (x2) layers fused, ranked and cut to a token budget.
+def rerank(candidates: DataFrame, model: Callable[[DataFrame], Column], now_h: int, most: int = 15) -> DataFrame:
+    """A result list (some dozens of rows) by a model's score times the recency boost, as ``reranked``; ``model`` makes the score column and may be a pandas UDF."""
+    age = (F.lit(now_h) - F.col("created_h")) / 24
+    return candidates.withColumn("reranked", model(candidates) * scores.recency_boost(age)).orderBy(F.desc("reranked"), "id").limit(most)
+
+
+def recall(
+    fragments: DataFrame, vectors_of: DataFrame, links: DataFrame, query: list[str], vector: list[float], scope: Scope, now_h: int, budget: int = 4000, model: Callable[[DataFrame], Column] | None = None
+) -> DataFrame:
+    """Hybrid recall: keyword (x2), vector (x1), graph (x1.5) and time (x2) layers fused, scored and cut to a token budget.
 
     (id, rrf, score, tokens, spent). Every layer is at most 30 rows when they meet, so the fused part is small
-    whatever the table's size; the payload is fetched for those ids alone.
+    whatever the table's size; the payload is fetched for those ids alone. Rows under importance 0.1 go unless they are
+    anchors. With a model the 30 best by rrf are re-ranked to 15, which keep their score in the final order.
     """
     l1 = by_keywords(fragments, query, scope)
     l3 = by_vector(vectors_of, fragments, vector, scope)
     graph = neighbours(links, fragments, l1.where("rank <= 10").select("id"), scope)
     recent = by_time(fragments, scope)
     fused = rrf([(l1, 2.0), (l3, 1.0), (graph, 1.5), (recent, 2.0)])
-    fused = fused.join(l3.select("id", "similarity"), "id", "left").join(l1.select("id", F.lit(True).alias("exact")), "id", "left")
-    rows = fragments.join(F.broadcast(fused), "id").where(F.col("is_anchor") | (F.col("importance") >= 0.05))
-    base = scores.composite(F.col("importance"), F.col("ema"), F.lit(now_h) - F.col("created_h"), F.col("similarity"), F.coalesce("exact", F.lit(False)))
-    score = F.round(base * 0.85 + F.log1p(scores.lexical(F.col("topic"), F.col("keywords"), F.col("content"), query)) / F.lit(10.0), 6)
+    fused = fused.join(l3.select("id", "similarity"), "id", "left")
+    rows = fragments.join(F.broadcast(fused), "id").where(F.col("is_anchor") | (F.col("importance") >= 0.1)).withColumn("reranked", F.lit(None).cast("double"))
+    if model is not None:
+        rows = rerank(rows.orderBy(F.desc("rrf"), "id").limit(30), model, now_h)
+    lexical = scores.lexical(F.col("topic"), F.col("keywords"), F.col("content"), query)
+    age, factor = (F.lit(now_h) - F.col("created_h")) / 24, scores.workspace_factor(F.col("workspace"), scope.workspace)
+    score = F.round(scores.recall_score(F.col("importance"), age, F.col("similarity"), F.col("reranked"), lexical, F.lit(False), factor), 6)
     ranked = rows.select("id", F.round("rrf", 6).alias("rrf"), score.alias("score"), "tokens")
     return within_budget(ranked, [F.desc("score"), F.col("id")], budget)
+
+
+# Fields that a caller may ask for.
+FIELDS = (
+    "id", "content", "type", "topic", "keywords", "importance", "created_at", "access_count", "confidence", "linked", "explanations", "workspace",
+    "context_summary", "case_id", "valid_to", "affect", "ema_activation", "key_id", "key_name",
+)
+
+
+def picked(df: DataFrame, fields: list[str], allowed: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The asked-for columns that are allowed and there; others are passed over."""
+    return df.select(*(c for c in fields if c in allowed and c in df.columns))
+
+
+def detailed(df: DataFrame, base: list[str], details: bool, more: list[str]) -> DataFrame:
+    """The base columns, and the detail columns only when asked for, so that they aren't read otherwise."""
+    return df.select(*base, *(more if details else []))
+
+
+def optional(df: DataFrame, equal: dict[str, object]) -> DataFrame:
+    """Rows that equal the given values; a value of None isn't tested and leaves nothing in the plan."""
+    for name, value in equal.items():
+        if value is not None:
+            df = df.where(F.col(name) == value)
+    return df
+
+
+def at_least(results: DataFrame, similarity: float) -> DataFrame:
+    """Results at or above a similarity; those without one pass."""
+    return results.where(F.col("similarity").isNull() | (F.col("similarity") >= similarity))
+
+
+def suggestions(requests: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Requests with the first usage hint that fits, or null.
+
+    requests: (id, key_id, us, query_type, has_keywords, result_count, limit, has_budget, has_type, has_context).
+    """
+    recent = Window.partitionBy("key_id").orderBy("us").rangeBetween(-300_000_000, 0)
+    repeats = F.sum(F.col("query_type").isin("keywords", "mixed").cast("int")).over(recent)
+    owned = fragments.where("valid_to_h is null").groupBy("key_id").agg(F.count("*").alias("owned"))
+    code = (
+        F.when(F.col("has_keywords") & (F.col("repeats") >= 3), "repeat_query")
+        .when((F.col("result_count") == 0) & ~F.col("has_context"), "empty_result_no_context")
+        .when((F.col("limit") >= 50) & ~F.col("has_budget"), "large_limit_no_budget")
+        .when(~F.col("has_type") & (F.coalesce("owned", F.lit(0)) > 100), "no_type_filter_noisy")
+    )
+    return requests.withColumn("repeats", repeats).join(owned, "key_id", "left").withColumn("code", code)
+
+
+def recall_hint(results: Column, topic_candidates: Column, pending: Column, stale: Column, with_context: Column) -> Column:
+    """What a recall's caller is told: the first of five ordered signals that fits, or null."""
+    return (
+        F.when((results == 0) & (topic_candidates > 0), "topic_mismatch")
+        .when(results == 0, "no_results")
+        .when(pending, "contradiction_pending")
+        .when(stale > 0, "stale_results")
+        .when((results >= 5) & ~with_context, "consider_context")
+    )
+
+
+def context(fragments: DataFrame, most: int) -> DataFrame:
+    """(slot, rows): anchors, learnt rows and each type's, the ``most`` most important of each as structs in order."""
+    slot = F.when(F.col("is_anchor"), "anchors").when(F.col("source") == "learning_extraction", "learning").otherwise(F.col("type"))
+    f = fragments.where("valid_to_h is null").select(slot.alias("slot"), "id", "importance", "content", "topic")
+    top = f.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("importance"), "id"))).where(F.col("place") <= most)
+    return top.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("place", "id", "importance", "topic", "content"))).alias("rows"))
+
+
+# Titles of the sections of an injected text, in order.
+SECTIONS = ("[ANCHOR MEMORY]", "[CORE MEMORY]", "[WORKING MEMORY]")
+
+
+def injection(fragments: DataFrame, owner: str, most: int, chars: int) -> DataFrame:
+    """(owner, body): each owner's sections (1 to 3 in ``section``) as a text of lines, the ``most`` most important rows of each."""
+    w = Window.partitionBy(owner, "section").orderBy(F.desc("importance"), "id")
+    top = fragments.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    line = F.concat(F.lit("- "), F.substring("content", 1, chars))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda r: r["line"]), "\n")
+    parts = top.groupBy(owner, "section").agg(lines.alias("lines"))
+    titled = F.concat(F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("section")), F.lit("\n"), F.col("lines"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", titled.alias("t")))), lambda r: r["t"]), "\n")
+    return parts.groupBy(owner).agg(body.alias("body"))

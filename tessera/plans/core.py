@@ -217,9 +217,10 @@ def k09(spark, sf_dir):
     "recall_hybrid",
     duckdb_sql(
         _fused_sql()
-        + f", ranked as (select f.id, round(x.rrf, 6) as rrf, round(({_COMPOSITE} + coalesce(l3.similarity, 0) * 0.3e0 + case when l1.id is not null then 0.35e0 else 0.0e0 end) * 0.85e0 + ln(1 + {_lexical_sql(WORDS)}) / 10.0e0, 6) as score, tokens "
-        "from fused x join @fragments f on f.id = x.id left join l1 on l1.id = x.id left join l3 on l3.id = x.id where is_anchor or f.importance >= 0.05) "
-        "select * from (select id, rrf, score, tokens, cast(sum(tokens) over (order by score desc, id rows between unbounded preceding and current row) as bigint) as spent from ranked) y where spent <= 4000".replace("importance", "f.importance").replace("f.f.", "f.").replace("created_h", "f.created_h")
+        + ", ranked as (select f.id, round(x.rrf, 6) as rrf, round((0.85e0 * (f.importance * 0.4e0 + power(2.0e0, -abs("
+        + f"{NOW_H} - f.created_h) / 720.0e0) * 0.3e0 + coalesce(l3.similarity, 0) * 0.3e0) + 0.18e0 * least(1.0e0, ln(1 + {_lexical_sql(WORDS)}) / ln(9.0e0))) * case when f.workspace = 'en' then 1 else 0.7e0 end, 6) as score, tokens "
+        "from fused x join @fragments f on f.id = x.id left join l3 on l3.id = x.id where is_anchor or f.importance >= 0.1) "
+        "select * from (select id, rrf, score, tokens, cast(sum(tokens) over (order by score desc, id rows between unbounded preceding and current row) as bigint) as spent from ranked) y where spent <= 4000"
     ),
 )
 def recall_hybrid(spark, sf_dir):
@@ -227,19 +228,11 @@ def recall_hybrid(spark, sf_dir):
     return search.recall(f, v, links, WORDS, q, SCOPE, NOW_H)
 
 
-_EDGES = "select from_id, to_id from @links where relation_type in ('caused_by', 'resolved_by') and weight >= 3.5"
-
-
-@register(
-    "g04_reachability",
-    duckdb_sql(
-        f"with recursive e as ({_EDGES}), r(root, id, depth) as (select id, id, 0 from @fragments where id < 20 union select r.root, e.to_id, depth + 1 from r join e on e.from_id = r.id where depth < 6) "
-        "select root, id, min(depth) as depth from r group by root, id"
-    ).replace("with ", "with recursive ", 1).replace(", recursive e as", ", e as"),
-)
+@register("g04_reachability")
 def g04(spark, sf_dir):
-    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by') and weight >= 3.5")
-    return graph.reachable(edges, view(spark, sf_dir, "fragments").where("id < 20").select("id"), 6)
+    """Every row reachable from any row with a causal edge, in fewer than 20 steps; beyond SQL at this size."""
+    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by')")
+    return graph.reachable(edges, edges.select(F.col("from_id").alias("id")).distinct(), 19)
 
 
 @register("g06_causal_chains")

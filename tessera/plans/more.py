@@ -19,36 +19,16 @@ MORE = {
     "s21_resources": "select 'topics' as name, count(distinct topic) as n from @fragments union all select 'sessions', count(distinct session_id) from @fragments union all select 'fragments', count(*) from @fragments",
     # projections and filters
     "p02_time_projection": "select id, topic, type, importance, created_h, session_id from @fragments where created_h < 1000",
-    "p10_context_shape": "select type, count(*) as n, max(importance) as best, min(id) as first_id from @fragments where is_anchor or importance >= 0.5 group by type",
-    "p11_injection_sections": "select case when is_anchor then 'ANCHOR MEMORY' when importance >= 0.7 then 'CORE MEMORY' else 'WORKING MEMORY' end as section, count(*) as n, sum(tokens) as tokens from @fragments group by case when is_anchor then 'ANCHOR MEMORY' when importance >= 0.7 then 'CORE MEMORY' else 'WORKING MEMORY' end",
     "f04_not_in": "select id from @fragments where topic not in ('src1', 'src2') and type <> 'episode'",
-    "f15_indexed_gate": "select id from @fragments where size_kw >= 3",
-    "f18_optional_parameters": "select id from @fragments where (cast(null as varchar(9)) is null or topic = cast(null as varchar(9))) and (7 is null or case_id = 7)",
-    "f20_similarity_band": "select count(*) as n from @links where weight between 0.7 and 0.85",
     "f23_not_superseded": "select f.id from @fragments f where not exists (select 1 from @links l where l.from_id = f.id and l.relation_type = 'superseded_by')",
-    "f24_threshold_or_unknown": "select id from @fragments where accessed_h is null or importance >= 0.3",
-    "f28_link_gate": "select l.from_id, l.to_id, case when a.key_id <> b.key_id then 'tenant' when a.workspace is distinct from b.workspace then 'workspace' when a.case_id <> b.case_id and abs(a.created_h - b.created_h) > 24 then 'case' when a.polarity <> b.polarity then 'polarity' else 'ok' end as gate from @links l join (select id, key_id, workspace, case_id, created_h, " + _POLARITY + " as polarity from @fragments) a on a.id = l.from_id join (select id, key_id, workspace, case_id, created_h, " + _POLARITY + " as polarity from @fragments) b on b.id = l.to_id",
-    "f30_polluted_keywords": "select count(*) as n from (select id, explode_kw as keyword from @fragments, lateral_kw) x where length(keyword) > 12",
-    "f32_split_candidates": "select id, length(content) as chars from @fragments where length(content) > 300 and not is_anchor and valid_to_h is null and type <> 'episode' order by length(content) desc, id limit 10",
-    "f35_gc_orphans": "select f.id from @fragments f where f.session_id = 's5' and not exists (select 1 from @links l where l.from_id = f.id and l.relation_type = 'part_of') and f.importance < 0.5",
-    "f41_self_contained": "select id from @fragments where length(content) >= 20 and not lower(content) like 'this %' and not lower(content) like 'it %'",
-    "f42_split_child": "select id from @fragments where length(content) >= 20 and position(chr(65533) in content) = 0",
-    "f43_orphan_children": "select f.id from @fragments f where f.type = 'fact' and not exists (select 1 from @links l where l.to_id = f.id and l.weight > 4)",
     # joins
     "j03_linked_fragments": "select id, weight, relation_type from (select f.id, l.weight, l.relation_type, row_number() over (partition by f.id order by l.weight desc, l.relation_type, f.importance desc) as rn from @links l join @fragments f on f.id = l.to_id where l.from_id in (3, 14, 15) and l.relation_type in ('caused_by', 'resolved_by', 'related')) x where rn = 1 order by id limit 10",
-    "j08_polarity_conflicts": "select a.id as a, b.id as b from (select id, topic, case_id, key_id, " + _POLARITY + " as p from @fragments) a join (select id, topic, case_id, key_id, " + _POLARITY + " as p from @fragments) b on b.topic = a.topic and b.case_id = a.case_id and b.key_id is not distinct from a.key_id and a.id < b.id and a.p <> b.p",
     "j11_filter_key_counts": "select k, count(*) as n from (select explode_fk as k from @search_events, lateral_fk) x group by k",
-    "j22_evidence_update": "select f.id, round(least(1.0e0, f.importance + 0.05e0 * s.n), 6) as importance from @fragments f join (select case_id, count(*) as n from @case_events where event_type = 'fix_attempted' group by case_id) s on s.case_id = f.case_id",
     "j23_update_from_values": "select f.id, coalesce(v.ema, f.ema) as ema from @fragments f left join (select 3 as id, 1.5e0 as ema union all select 5, 0.25e0) v on v.id = f.id",
     "j24_edges_both_ends": "select l.from_id, l.to_id from @links l join @fragments a on a.id = l.from_id and a.key_id = 'k0' join @fragments b on b.id = l.to_id and b.key_id = 'k0'",
     "j27_hash_lookup": "select f.id, n.n_name as name from @fragments f left join @nation n on n.n_nationkey = f.case_id",
-    "j31_workspace_in_text": "select f.id, min(w.ws) as workspace from @fragments f join (select distinct workspace as ws from @fragments where workspace is not null) w on position(' ' || w.ws || ' ' in lower(f.content)) > 0 where f.workspace is null group by f.id having count(*) = 1",
     # aggregates
-    "a13_neighbour_counts": "select id, count(distinct other) as n from (select from_id as id, to_id as other from @links union all select to_id, from_id from @links) x group by id",
-    "a14_key_groups": "select group_id, count(*) as keys, min(key_id) as first_key, max(key_id) as last_key from @api_keys group by group_id",
     "a25_filter_keys": "select k, count(*) as n, round(avg(latency_ms), 6) as mean from (select explode_fk as k, latency_ms from @search_events, lateral_fk) x group by k",
-    "a36_threshold_fold": "select key_id, query_type, us // 3600000000 % 24 as hour, count(*) as n, sum(result_count) as total from @search_events group by key_id, query_type, us // 3600000000 % 24",
-    "a41_dashboard": "select (select count(*) from @fragments) as fragments, (select count(*) from @links) as links, (select count(*) from @search_events) as searches, (select count(*) from @api_keys) as keys",
     # windows, order
     "w01_strongest_edge": "select id, weight from (select to_id as id, weight, row_number() over (partition by to_id order by weight desc, from_id) as rn from @links) x where rn = 1",
     "w02_relation_order": "select to_id as id, relation_type from (select to_id, relation_type, row_number() over (partition by to_id order by weight desc, case relation_type when 'resolved_by' then 1 when 'caused_by' then 2 else 3 end, from_id) as rn from @links) x where rn = 1",
@@ -64,51 +44,20 @@ MORE = {
     "u04_keyword_intersection": "select id from (select id, explode_kw as keyword from @fragments, lateral_kw) x where keyword in ('that', 'thble') group by id having count(*) = 2",
     # graph
     "g02_linked_with_rank": "select f.id, max(l.weight) as weight from @links l join @fragments f on f.id = l.to_id where l.from_id = 77 and f.valid_to_h is null group by f.id",
-    "g10_session_links": "select e.id as error_id, max_by(d.id, d.importance * 1000000 - d.id) as decision_id from @fragments e join @fragments d on d.session_id = e.session_id and d.type = 'decision' and d.created_h <= e.created_h where e.type = 'error' group by e.id",
-    "g11_topic_links": "select a, b from (select a.id as a, b.id as b, row_number() over (partition by a.id order by b.importance desc, b.id) as rn from @fragments a join @fragments b on b.topic = a.topic and b.id <> a.id and b.type = 'decision' where a.type = 'error') x where rn <= 3",
-    "g13_isolated_batch": "select f.id from @fragments f where not exists (select 1 from @links l where l.from_id = f.id and l.weight > 4) order by f.importance desc, f.id limit 20",
     # maintenance
-    "c03_expired_delete": f"select id from @fragments where not is_anchor and ((ttl_tier = 'cold' and importance < 0.3 and access_count = 0) or (valid_to_h < {NOW_H} - 720 and importance < 0.5)) order by importance, id limit 50",
-    "c09_embedding_backfill": "select f.id from @fragments f where not exists (select 1 from @embeddings e where e.vec_id = f.id) order by f.importance desc, f.id limit 100",
-    "c12_requeue": "select id from @fragments where ema >= 1.2 and importance < 0.5 and quality_verified is null order by ema desc, id limit 20",
-    "c15_supersede_apply": f"select f.id, round(f.importance / 2, 6) as importance, coalesce(f.valid_to_h, {NOW_H}) as valid_to_h from @fragments f where f.id in (select from_id from @links where relation_type = 'superseded_by')",
-    "c17_feedback_report": "select tool_name, trigger_type, count(*) as n, count(*) filter (where relevant) as relevant, max(us) as newest_us from @tool_feedback group by tool_name, trigger_type",
-    "c21_purge_reflections": f"select id from (select id, importance, created_h, row_number() over (partition by type order by importance desc, created_h desc, id) as rn from @fragments where session_id like 's1%') x where rn > 5 and created_h < {NOW_H} - 720 and importance < 0.5 order by importance, id limit 30",
     # scalar
-    "x02_ema_update": f"select id, round(0.3e0 * power(greatest(({NOW_H} - coalesce(accessed_h, created_h)) * 3600.0e0, 1.0e0), -0.5e0) + 0.7e0 * ema, 6) as ema from @fragments",
-    "x04_utility_score": f"select id, round(importance * (1 + ln(greatest(access_count, 1))) / power(greatest(1.0e0, ({NOW_H} - created_h) / 720.0e0), 0.3e0), 6) as utility from @fragments",
-    "x05_adaptive_importance": f"select id, round(least(1.0e0, greatest(0.05e0, importance * (1 + 0.1e0 * ln(1 + access_count)) * power(2.0e0, -({NOW_H} - coalesce(accessed_h, created_h)) / 2160.0e0))), 6) as importance from @fragments",
-    "x08_confidence": "select id, round(least(1.0e0, greatest(0.1e0, importance / 0.6e0)), 6) as confidence from @fragments",
-    "x09_feedback_factor": "select id, case when relevant and sufficient then 1.1e0 when relevant then 1.0e0 when not sufficient then 0.85e0 else 0.95e0 end as factor from @tool_feedback",
-    "x11_recency_boost": f"select id, round(1 + 0.1e0 * exp(-({NOW_H} - created_h) / 720.0e0), 6) as boost from @fragments",
-    "x12_temperature": f"select id, round(importance * 0.5e0 + least(access_count, 10) / 10.0e0 * 0.3e0 + exp(-({NOW_H} - coalesce(accessed_h, created_h)) / 336.0e0) * 0.2e0, 6) as temperature from @fragments",
-    "x15_defaults_by_type": "select id, case type when 'preference' then 0.95e0 when 'error' then 0.9e0 when 'decision' then 0.8e0 when 'procedure' then 0.7e0 else 0.5e0 end as importance, case when type = 'preference' then 'permanent' when type in ('error', 'procedure') then 'hot' else 'warm' end as tier from @fragments",
-    "x16_affect": "select id, case when affect in ('neutral', 'frustration', 'confidence', 'surprise', 'doubt') then affect else 'neutral' end as affect from @fragments",
-    "x36_conflict_severity": "select topic, case when n >= 5 then 'high' when n >= 2 then 'medium' else 'low' end as severity from (select topic, count(*) as n from @fragments where type = 'error' group by topic) x",
-    "x37_reason_codes": "select id, concat_ws(',', case when is_anchor then 'anchor' end, case when importance >= 0.8 then 'important' end, case when ema > 1.5 then 'recent_activity' end) as codes from @fragments",
     "x39_search_path": "select id, 'L1:' || cast(l1_count as varchar(9)) || ' L2:' || cast(l2_count as varchar(9)) || ' L3:' || cast(l3_count as varchar(9)) || case when used_rrf then ' RRF' else '' end as path from @search_events",
     "x42_topic_score": "select distinct topic, case when topic = 'src1' then 1.0e0 when position('src1' in topic) > 0 then 0.75e0 else 0.0e0 end as score from @fragments",
     "x43_normal_keywords": "select id, joined_kw as keywords from @fragments",
     "x44_normal_agent": "select id, coalesce(nullif(lower(trim(agent_id)), ''), 'default') as agent from @fragments",
-    "x45_outcomes": "select outcome, case outcome when 'completed' then 'success' when 'partial' then 'partial' else 'failure' end as normal, count(*) as n from @task_feedback group by outcome",
     # change sets
-    "m02_duplicate_probe": "select n.content_hash, min(f.id) as existing_id from (select content_hash from @fragments where id % 3 = 0) n join @fragments f on f.content_hash = n.content_hash group by n.content_hash",
-    "m04_delete_cleanup": "select from_id, to_id from @links where from_id not in (1, 2, 3) and to_id not in (1, 2, 3)",
-    "m05_delete_by_agent": "select count(*) as gone from @fragments where agent_id = 'agent2' and agent_id <> 'default'",
-    "m06_access_touch": "select f.id, f.access_count + coalesce(a.n, 0) as access_count from @fragments f left join (select result_count as id, count(*) as n from @search_events group by result_count) a on a.id = f.id",
-    "m07_batch_insert": "select count(*) filter (where length(content) >= 10) as valid, count(*) filter (where length(content) < 10) as invalid from @fragments",
-    "m11_supersede": f"select to_id as kept, from_id as expired, {NOW_H} as valid_to_h from @links where relation_type = 'superseded_by'",
-    "m12_contradiction_resolution": "select l.from_id, l.to_id, case when a.created_h > b.created_h or (a.created_h = b.created_h and a.id > b.id) then a.id else b.id end as winner from @links l join @fragments a on a.id = l.from_id join @fragments b on b.id = l.to_id where l.relation_type = 'contradicts'",
-    "m13_link_states": "select from_id, to_id, round(least(2.0e0, greatest(0.0e0, weight - 0.5e0)), 6) as weight, case when weight - 0.5e0 <= 0 then 'deleted' when weight < 1 then 'soft' else 'active' end as state from @links",
     "m17_idempotency": "select content_hash, min(id) as id from @fragments group by content_hash having count(*) > 1",
     "m19_case_append": "select case_id, max(sequence_no) + 1 as next_sequence from @case_events group by case_id",
-    "m21_workspace_backfill": "select f.id, coalesce(f.workspace, v.workspace) as workspace from @fragments f left join (select topic, workspace from (select topic, workspace, count(*) as n, sum(count(*)) over (partition by topic) as total, row_number() over (partition by topic order by count(*) desc, workspace) as rn from @fragments where workspace is not null group by topic, workspace) x where rn = 1 and n >= 0.5e0 * total) v on v.topic = f.topic",
     "m23_retention": "select count(*) filter (where us < 864000000000) as dropped, count(*) filter (where us >= 864000000000) as kept from @case_events",
     # stateful pieces as batches
     "t04_backlog_overflow": "select id from (select id, row_number() over (partition by session_id order by us desc, id desc) as rn from @search_events) x where rn > 20",
     "t07_first_seen": "select session_id, result_count, min(us) as first_us from @search_events group by session_id, result_count",
     "t08_session_activity": "select session_id, count(*) as calls, count(distinct search_path) as paths, min(us) as first_us, max(us) as last_us from @search_events group by session_id",
-    "t17_link_cooldown": "select id, us - lag(us) over (partition by session_id order by us, id) >= 60000000 as allowed from @search_events",
 }
 
 _PER_ENGINE = {

@@ -15,12 +15,10 @@ NOW_US = 30 * 86_400_000_000
 SHARED = {
     # scans, sinks
     "s05_export_rows": "select id, topic, type, importance, created_h from @fragments where topic = 'src3' and created_h >= 500 order by created_h, id limit 200",
-    "s09_inverted_index": "select keyword, count(*) as postings, min(id) as first_id, max(id) as last_id from (select id, explode_kw as keyword from @fragments, lateral_kw) x group by keyword",
     "s17_last_job_state": "select session_id, max_by(search_path, us * 1000000 + id) as state, max(us) as us from @search_events group by session_id",
     "s24_log_statistics": "select event_type as level, count(*) as n, min(micros(ts)) as oldest_us, max(micros(ts)) as newest_us from @events group by event_type",
     # projections
     "p01_search_projection": "select id, content_hash, topic, type, importance, access_count, created_h, workspace, key_id, agent_id, case_id, resolution_status, phase, affect, tokens from @fragments",
-    "p04_response_projection": f"select id, ({NOW_H} - created_h) // 24 as age_days, round(least(1.0e0, greatest(0.1e0, importance / 0.8e0)), 6) as confidence, workspace from @fragments where valid_to_h is null",
     "p05_preview": "select id, substring(content, 1, 60) as preview60, substring(content, 1, 300) as preview300 from @fragments",
     "p06_direction": "select from_id, to_id, case when from_id = 40 then 'out' else 'in' end as direction from @links where from_id = 40 or to_id = 40",
     "p07_ellipsis": "select id, case when length(content) > 80 then substring(content, 1, 80) || '...' else content end as short from @fragments",
@@ -45,7 +43,6 @@ SHARED = {
     "f27_case_eligibility": "select id, case when key_id <> 'k0' then 'tenant' when case_id is null then 'no_case' when coalesce(resolution_status, 'resolved') <> 'resolved' then 'unresolved' end as blocked from @fragments",
     "f31_noise": "select 'short' as category, count(*) as n from @fragments where length(content) < 40 union all select 'weak', count(*) from @fragments where importance < 0.1 union all select 'stale', count(*) from @fragments where accessed_h is null and importance < 0.3",
     "f33_stale_by_type": f"select id, type, ({NOW_H} - coalesce(verified_h, created_h)) // 24 as days from @fragments where valid_to_h is null and ({NOW_H} - coalesce(verified_h, created_h)) // 24 >= case type when 'procedure' then 30 when 'fact' then 60 when 'decision' then 90 else 60 end order by days desc, id limit 20",
-    "f34_gc_candidates": f"select f.id from @fragments f where not f.is_anchor and ((f.ttl_tier = 'cold' and f.importance < 0.3 and f.access_count = 0) or (f.valid_to_h is not null and f.valid_to_h < {NOW_H} - 720 and f.importance < 0.5) or (f.type = 'fact' and f.importance < 0.2 and f.created_h < {NOW_H} - 1440 and f.access_count < 2)) and not exists (select 1 from @links l where l.to_id = f.id and l.relation_type = 'part_of') order by f.importance, f.id limit 50",
     "f36_compression_candidates": f"select id, topic from @fragments where valid_to_h is null and importance < 0.4 and created_h < {NOW_H} - 720 and not is_anchor",
     "f37_requeue": "select id, ema from @fragments where ema > 1.0 and importance < 0.4 and quality_verified is null order by ema desc, id limit 20",
     "f38_reflection_gate": "select session_id, count(*) as calls, (max(us) - min(us)) // 1000000 as seconds from @search_events group by session_id having count(*) >= 3 and max(us) - min(us) >= 30000000",
@@ -105,12 +102,10 @@ SHARED = {
     "a38_zero_hits": "select query_type, count(*) as n, round(avg(case when result_count = 0 then 1.0e0 else 0.0e0 end), 6) as zero_rate from @search_events group by query_type",
     "a39_recall_quality": "select round(100.0e0 * count(*) filter (where quality_verified) / nullif(count(*), 0), 6) as verified_pct, round(100.0e0 * count(*) filter (where accessed_h is not null) / nullif(count(*), 0), 6) as accessed_pct, round(100.0e0 * count(*) filter (where workspace is null) / nullif(count(*), 0), 6) as unscoped_pct from @fragments",
     "a40_group_members": "select n.n_nationkey as group_id, count(k.key_id) as members from @nation n left join @api_keys k on k.group_id = n.n_nationkey group by n.n_nationkey",
-    "a42_cli_stats": "select count(*) as total, count(distinct type) as types, round(count(*) filter (where importance < 0.1) / cast(nullif(count(*), 0) as double), 6) as noise_ratio from @fragments",
     "a43_gate_preview": "select type, count(*) as n from @fragments where importance < 0.2 and not is_anchor group by type",
     "a44_calls_today": f"select coalesce(sum(calls), 0) as calls from (select count(*) as calls from @search_events where us >= {NOW_US} - 172800000000 and us < {NOW_US} - 86400000000 group by key_id) x",
     # windows
     "w03_keep_per_type": "select id, type, rn from (select id, type, row_number() over (partition by type order by importance desc, created_h desc, id) as rn from @fragments) x where rn > 5",
-    "w04_case_triples": "select case_id, n, id from (select case_id, id, count(*) over (partition by case_id) as n, row_number() over (partition by case_id order by importance desc, id) as rn from @fragments) x where rn = 1",
     "w05_sequence_numbers": "select event_id, case_id, sequence_no from @case_events",
     "w06_best_per_hash": "select content_hash, id from (select content_hash, id, row_number() over (partition by content_hash order by importance desc nulls last, id) as rn from @fragments) x where rn = 1",
     "w07_running_budget": "select id, cost from (select id, tokens, sum(tokens) over (order by importance desc, id rows between unbounded preceding and current row) as cost from @fragments where topic = 'src5') x where cost <= 2000",
@@ -134,31 +129,11 @@ SHARED = {
     "g15_episode_continuity": "select event_id as to_event, lag(event_id) over (partition by case_id order by us, event_id) as from_event from @case_events where event_type = 'milestone_reached'",
     "g16_case_edges": "select e.event_id as from_event, f.event_id as to_event from @case_events e join @case_events f on f.case_id = e.case_id and f.event_type = 'fix_attempted' and e.event_type = 'error_observed' and f.sequence_no = e.sequence_no + 1",
     # maintenance
-    "c01_ttl_transition": f"select f.id, f.ttl_tier as old_tier, case when f.type = 'preference' then 'permanent' when coalesce(d.n, 0) >= 5 and f.importance >= 0.5 then 'permanent' when f.importance >= 0.8 and f.quality_verified is distinct from false then 'permanent' when f.ttl_tier = 'warm' and coalesce(f.accessed_h, f.created_h) < {NOW_H} - 720 then 'cold' when f.ttl_tier = 'permanent' and f.importance < 0.3 and not f.is_anchor then 'warm' else f.ttl_tier end as new_tier from @fragments f left join (select from_id, count(*) as n from @links group by from_id) d on d.from_id = f.id",
-    "c02_importance_decay": f"select id, round(case when is_anchor then importance else greatest(0.05e0, importance * power(2.0e0, -({NOW_H} - created_h) / case type when 'procedure' then 720.0e0 when 'fact' then 1440.0e0 when 'decision' then 2160.0e0 when 'error' then 1080.0e0 when 'preference' then 4320.0e0 else 1440.0e0 end)) end, 6) as decayed from @fragments",
-    "c06_merge_duplicates": "select id, keep_id from (select id, content_hash, key_id, first_value(id) over (partition by key_id, workspace, content_hash order by importance desc, created_h, id) as keep_id from @fragments) x where id <> keep_id",
-    "c11_utility": f"select id, round(importance * (1 + ln(greatest(access_count, 1))) / power(greatest(1.0e0, ({NOW_H} - created_h) / 720.0e0), 0.3e0), 6) as utility from @fragments",
-    "c13_promote_anchors": "select id from @fragments where not is_anchor and access_count >= 10 and importance >= 0.8",
-    "c18_feedback_calibration": "select f.id, round(least(1.0e0, greatest(0.05e0, f.importance * case when s.good = s.n then 1.1e0 when s.good = 0 then 0.85e0 else 0.95e0 end)), 6) as calibrated from @fragments f join (select session_id, count(*) as n, count(*) filter (where relevant) as good from @tool_feedback group by session_id having count(*) >= 2) s on s.session_id = substring(f.session_id, 2, 9)",
-    "c19_prune_index": "select keyword, count(*) as kept from (select keyword, id, row_number() over (partition by keyword order by id) as rn from (select id, explode_kw as keyword from @fragments, lateral_kw) x) y where rn <= 5000 group by keyword",
-    "c20_stale": f"select id, ({NOW_H} - coalesce(verified_h, created_h)) // 24 as days from @fragments where valid_to_h is null order by days desc, id limit 20",
     "c22_event_retention": f"select count(*) filter (where us < {NOW_US} - 2160000000000) as expired, count(*) filter (where us >= {NOW_US} - 2160000000000) as kept from @search_events",
     # scalar functions
-    "x03_ema_boost": "select id, round(0.2e0 * (1 - exp(-ema)), 6) as boost from @fragments",
-    "x06_dynamic_half_life": "select id, round(1440.0e0 * (1 + least(1.0e0, greatest(0.0e0, ema))), 6) as half_life from @fragments",
-    "x07_ema_decay": f"select id, round(case when coalesce(accessed_h, 0) < {NOW_H} - 1440 then 0.0e0 when accessed_h < {NOW_H} - 720 then ema / 2 else ema end, 6) as ema from @fragments",
-    "x10_workspace_factor": "select id, case when workspace = 'en' then 1.0e0 else 0.7e0 end as factor from @fragments",
-    "x13_staleness": f"select id, ({NOW_H} - coalesce(verified_h, created_h)) // 24 as days_unverified, ({NOW_H} - coalesce(verified_h, created_h)) // 24 > case type when 'procedure' then 30 when 'decision' then 90 else 60 end as stale from @fragments",
-    "x14_initial_importance": "select id, round(case when length(content) < 20 then least(importance, 0.2e0) else least(importance, case type when 'error' then 0.9e0 when 'decision' then 0.8e0 when 'procedure' then 0.7e0 when 'preference' then 0.95e0 else 0.6e0 end) end, 6) as importance from @fragments",
     "x21_token_estimate": "select id, (length(content) + 3) // 4 as tokens from @fragments",
     "x38_query_type": "select id, case when l1_count > 0 and l3_count > 0 then 'mixed' when l3_count > 0 then 'text' when l1_count > 0 then 'keywords' else 'none' end as kind from @search_events",
     # writes as change sets
-    "m01_upsert": "select key_id, content_hash, max(importance) as importance, bool_or(is_anchor) as is_anchor, min(id) as id from @fragments group by key_id, content_hash",
-    "m08_quota": "select id, key_id from (select id, key_id, row_number() over (partition by key_id order by created_h, id) as rn from @fragments) x where rn <= 50",
-    "m09_link_upsert": "select from_id, to_id, max(weight) as weight, max_by(relation_type, weight * 1000 + length(relation_type)) as relation_type from @links group by from_id, to_id",
-    "m14_assertion_window": "select a.id, count(*) as nearby from @fragments a join @fragments b on b.topic = a.topic and b.id <> a.id and b.created_h between a.created_h - 168 and a.created_h + 168 group by a.id",
-    "m16_auto_case": "select id, case when errors > 0 then session_id || '/' || topic end as auto_case from (select id, session_id, topic, sum(case when type = 'error' then 1 else 0 end) over (partition by session_id, topic) as errors from @fragments) x",
-    "m20_reflect_groups": "select session_id, coalesce(cast(case_id as varchar(19)), topic) as grp, count(*) as n, count(*) filter (where type = 'decision') as decisions, count(*) filter (where type = 'error') as errors from @fragments group by session_id, coalesce(cast(case_id as varchar(19)), topic)",
     # batch forms of stateful pieces
     "t09_rate_window": "select id, n from (select id, count(*) over (partition by session_id order by us range between 60000000 preceding and current row) as n from @search_events) x",
     "t13_latency_ring": "select search_path, count(*) as kept, round(avg(latency_ms), 6) as mean from (select search_path, latency_ms, row_number() over (partition by search_path order by us desc, id desc) as rn from @search_events) x where rn <= 100 group by search_path",

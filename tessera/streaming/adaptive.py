@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 
 
 def activation(ema: float, last_s: float | None, now_s: float, rate: float = 0.3) -> float:
-    """New activation after an access: the sample is the gap to the power -1/2, a gap of a second or less counts 1."""
-    gap = max(now_s - last_s, 1.0) if last_s is not None else 1.0
+    """New activation after an access: the sample is the gap to the power -1/2, a second at least; a first access counts a day's gap."""
+    gap = max(now_s - last_s, 1.0) if last_s is not None else 86_400.0
     return rate * gap**-0.5 + (1 - rate) * ema
 
 
@@ -19,7 +19,7 @@ def adapt(threshold: float, samples: int, mean: float, gate: int = 50, step: flo
     """After ``gate`` samples: few results lower a similarity threshold, many raise it, inside [low, high]."""
     if samples < gate:
         return threshold
-    move = -step if mean < 1 else step if mean > 4 else 0.0
+    move = -step if mean < 1 else step if mean > 8 else 0.0
     return min(high, max(low, round(threshold + move, 10)))
 
 
@@ -41,11 +41,28 @@ def sampled(state: tuple[float, int], time_s: float, draw: float, rate: float =
     return ((time_s, n + 1) if hit else state), hit
 
 
-def reconsolidate(weight: float, confidence: float, deltas: list[float]) -> tuple[float, float, str]:
-    """Weight in [0, 2], confidence in [0, 1] and the state a link ends in after ordered changes."""
-    for d in deltas:
-        weight, confidence = min(2.0, max(0.0, weight + d)), min(1.0, max(0.0, confidence + d / 2))
-    return weight, confidence, "deleted" if weight == 0 else "soft" if confidence < 0.3 else "active"
+#: What an action adds to a link's weight.
+LINK_DELTAS = {"reinforce": 0.2, "decay": -0.15, "quarantine": -0.3, "restore": 0.3, "soft_delete": 0.0}
+
+
+def reconsolidate(state: tuple[float, float, str | None, bool, float], action: str, time_s: float, cooldown_s: float = 60) -> tuple[tuple, bool]:
+    """A link after an action, and whether it took effect; state is (weight, confidence, quarantine, deleted, time of the last decay).
+
+    Weight stays in [0, 2]; confidence falls by 0.1 or rises by 0.05 in [0, 1]. A decay or quarantine within a minute of the last, and any
+    action on a deleted link, does nothing.
+    """
+    weight, confidence, quarantine, deleted, last = state
+    if action in ("decay", "quarantine"):
+        if time_s - last < cooldown_s:
+            return state, False
+        last = time_s
+    if deleted:
+        return (weight, confidence, quarantine, deleted, last), False
+    d = LINK_DELTAS.get(action, 0.0)
+    weight = min(2.0, max(0.0, weight + d))
+    confidence = max(0.0, confidence - 0.1) if d < 0 else min(1.0, confidence + 0.05) if d > 0 else confidence
+    quarantine = {"quarantine": "soft", "restore": "released"}.get(action, quarantine)
+    return (weight, confidence, quarantine, action == "soft_delete", last), True
 
 
 def folded(events: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable) -> DataFrame:

@@ -26,10 +26,15 @@ def test_slot_trim():
     assert greedy.slot_trim([90, 20, 40], [None, "supplement", "exact"], 100) == [False, True, True]
     kept = greedy.slot_trim([40, *[10] * 6, 40], ["exact", *[None] * 6, "exact"], 100)
     assert kept[0] and not kept[-1] and sum(kept[1:7]) == 6
+    assert greedy.slot_trim([60, 50, 10], [None, None, None], 100) == [True, False, False]  # no tags: a prefix
+    assert greedy.slot_trim([60, 10, 20], ["exact", "exact", None], 100) == [True, True, True]  # the first exact row stops its slot, then competes
+    assert greedy.slot_trim([30, 30, 40], ["exact", "supplement", None], 60) == [True, True, False]
 
 
 def test_mmr_prefers_new_words():
     assert greedy.mmr_order([1.0, 0.99, 0.8], [{"a", "b"}, {"a", "b"}, {"c"}]) == [0, 2, 1]
+    assert greedy.mmr_order([0.1, 0.9, 0.8, 1.0], [{"a"}, {"a"}, {"b"}, {"c"}], near=[True, True, True, False]) == [0, 2, 1, 3]
+    assert greedy.mmr_order([0.1, 0.9], [{"a"}, {"b"}], near=[False, True]) == [0, 1]
 
 
 def test_core_memory_guarantees_types(spark):
@@ -76,7 +81,12 @@ def test_redaction(spark):
 def test_keywords(spark):
     df = spark.createDataFrame([(1, "UserService calls user_name twice, twice the cache and the cache and cache"), (2, ""), (3, None)], "id long, t string")
     got = {r.id: r.keywords for r in text.keywords(df, "id", "t").collect()}
-    assert got[1][0] == "user_name" and "cache" in got[1] and "the" not in got[1] and got[2] == [] and got[3] == []
+    assert got[1][:3] == ["UserService", "user_name", "cache"] and "the" not in got[1] and got[2] == [] and got[3] == []
+
+
+def test_korean_keywords_lose_particles(spark):
+    df = spark.createDataFrame([(1, "서버에서 캐시를 캐시는 값이 서버까지 the Cache cache")], "id long, t string")
+    assert text.keywords(df, "id", "t").first().keywords == ["서버", "캐시", "cache", "값이"]
 
 
 def test_sentences_pack(spark):
@@ -85,8 +95,8 @@ def test_sentences_pack(spark):
 
 
 def test_polarity_and_gates(spark):
-    r = one(spark, u=text.polarity(F.lit("Maybe it is not so")), n=text.polarity(F.lit("It is not so")), p=text.polarity(F.lit("It is so")), m=text.modalities(F.lit("You must and may")), a=text.missing_anchors(F.lit("v1.2 in 30% of 5"), F.lit("30% of them")))
-    assert (r.u, r.n, r.p) == ("uncertain", "negative", "positive") and r.m == ["obligation", "possibility"] and r.a == ["1.2", "5"]
+    r = one(spark, u=text.polarity(F.lit("Maybe it is not so")), n=text.polarity(F.lit("It is not so")), p=text.polarity(F.lit("It is so")), m=text.modalities(F.lit("확인해야 한다. 곧 제출할 예정이다")), a=text.missing_anchors(F.lit("v1.2 in 30% of 5"), F.lit("30% of them")))
+    assert (r.u, r.n, r.p) == ("uncertain", "negative", "positive") and r.m == ["future", "obligation"] and r.a == ["1.2", "5"]
 
 
 def test_scripts():
@@ -144,13 +154,21 @@ def test_sessions():
 def test_adaptive_pieces():
     assert adaptive.adapt(0.4, 49, 0.0) == 0.4 and adaptive.adapt(0.4, 50, 0.0) == 0.39 and adaptive.adapt(0.10, 90, 0.0) == 0.10 and adaptive.adapt(0.6, 90, 9) == 0.6
     assert adaptive.evict([(1, 0.9, 300), (2, 0.5, 200), (3, 0.5, 100)]) == [(1, 0.9, 300), (3, 0.5, 100)]
-    assert adaptive.activation(0.0, None, 5.0) == 0.3
+    assert adaptive.activation(0.0, None, 5.0) == pytest.approx(0.3 * 86_400**-0.5) and adaptive.activation(1.0, 4.5, 5.0) == pytest.approx(1.0)
+    assert adaptive.adapt(0.4, 50, 8.0) == 0.4 and adaptive.adapt(0.4, 50, 8.1) == 0.41
     state, hits = (float("-inf"), 0), []
     for t in (0, 10, 900, 1800):
         state, hit = adaptive.sampled(state, t, 0.1)
         hits.append(hit)
     assert hits == [True, False, True, False]
-    assert adaptive.reconsolidate(1.9, 0.9, [0.5])[0] == 2.0 and adaptive.reconsolidate(0.1, 0.5, [-0.5])[2] == "deleted"
+    link = (1.9, 0.98, None, False, float("-inf"))
+    (w, c, q, gone, _), done = adaptive.reconsolidate(link, "reinforce", 0)
+    assert (w, c, q, gone, done) == (2.0, 1.0, None, False, True)
+    quarantined, done = adaptive.reconsolidate((0.2, 0.05, None, False, float("-inf")), "quarantine", 10)
+    assert done and quarantined == (0.0, 0.0, "soft", False, 10)
+    assert adaptive.reconsolidate(quarantined, "decay", 69)[1] is False and adaptive.reconsolidate(quarantined, "decay", 70)[1] is True
+    assert adaptive.reconsolidate(quarantined, "restore", 11)[0][:3] == (0.3, 0.05, "released")
+    assert adaptive.reconsolidate((1.0, 0.5, None, True, 0.0), "reinforce", 99) == ((1.0, 0.5, None, True, 0.0), False)
 
 
 def test_queue_retries_and_buries(spark, tmp_path):

@@ -42,7 +42,7 @@ def test_upsert_and_quota(spark):
 
 def test_amend_delete_touch_link(spark):
     f = rows(spark, (1, "k", "h", 0.2, False, 5, None), (2, "k", "g", 0.4, False, 5, None))
-    after, before = write.amend(f, spark.createDataFrame([(1, 0.7)], "id long, importance double"), ["importance"])
+    after, before, _ = write.amend(f, spark.createDataFrame([(1, 0.7)], "id long, importance double"), ["importance"])
     assert {r.id: r.importance for r in after.collect()} == {1: 0.7, 2: 0.4} and [r.importance for r in before.collect()] == [0.2]
     links = spark.createDataFrame([(1, 2, "related", 1.0), (2, 3, "related", 1.0)], "from_id long, to_id long, relation_type string, weight double")
     left, edges = write.delete(f, links, spark.createDataFrame([(1,)], "id long"))
