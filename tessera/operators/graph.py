@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import index
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; only a local master may do without a named one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from tessera.sources.scratch import cut
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = 20) -> DataFrame:
@@ -30,10 +18,10 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = 20) ->
     step = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct()
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         frontier = frontier.join(step, "id").select("root", F.col("next").alias("id"), F.lit(depth).alias("depth")).distinct()
-        frontier = _cut(frontier.join(seen, ["root", "id"], "left_anti"))
+        frontier = cut(frontier.join(seen, ["root", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 
@@ -83,11 +71,11 @@ def reconstruct(fragments: DataFrame, links: DataFrame, events: DataFrame, case_
     A chain is resolved if a row of it is.
     """
     mine = fragments.where((F.col("case_id") == case_id) & F.col("valid_to_h").isNull()).orderBy("created_h", "id").limit(min(limit, 500))
-    timeline = _cut(mine.select("id", "created_h", "resolution_status").withColumn("place", F.row_number().over(Window.orderBy("created_h", "id")) - 1))
+    timeline = cut(mine.select("id", "created_h", "resolution_status").withColumn("place", F.row_number().over(Window.orderBy("created_h", "id")) - 1))
     ids = F.broadcast(timeline.select("id"))
     causal = links.where(F.col("relation_type").isin("caused_by", "resolved_by"))
     touching = causal.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").unionByName(causal.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")).distinct()
-    reached = causal_chains(_cut(touching)).drop("is_resolved").join(timeline.select("id", "resolution_status"), "id")
+    reached = causal_chains(cut(touching)).drop("is_resolved").join(timeline.select("id", "resolution_status"), "id")
     solved = F.max(F.coalesce(F.col("resolution_status") == "resolved", F.lit(False))).over(Window.partitionBy("root"))
     chains = chain_positions(reached.withColumn("is_resolved", solved).drop("resolution_status"))
     still_open = timeline.where("resolution_status = 'open'").select("id").join(chains.where("is_resolved").select("id"), "id", "left_anti")
@@ -124,7 +112,7 @@ def session_links(fragments: DataFrame, edges: DataFrame, least: float = 0.6, de
     side = lambda key: f.select(F.col("id").alias(key), phase[F.col("phase")].alias(f"p_{key}"))
     fit = best.join(side("from_id"), "from_id").join(side("to_id"), "to_id")
     fit = fit.withColumn("fits", (F.col("overlap") >= least) & F.coalesce(F.col("p_from_id") <= F.col("p_to_id"), F.lit(True)))
-    fit = _cut(fit.select("from_id", "to_id", "relation_type", "fits"))
+    fit = cut(fit.select("from_id", "to_id", "relation_type", "fits"))
     loops = would_cycle(edges, fit.where("fits").select("from_id", "to_id").distinct(), depth - 1).distinct().withColumn("loop", F.lit(True))
     return fit.join(loops, ["from_id", "to_id"], "left").select("from_id", "to_id", "relation_type", (F.col("fits") & F.col("loop").isNull()).alias("accepted"))
 

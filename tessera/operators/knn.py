@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def similar_pairs(vectors: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
-    """(topic, a, b, similarity) for a < b of one topic with cosine at or above ``floor``."""
+def _best(s: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each row's k largest entries, the least column id first among equals (to 9 places)."""
+    by_id = np.argsort(cols, kind="stable")
+    top = by_id[np.argsort(-np.round(s[:, by_id], 9), axis=1, kind="stable")[:, :k]]
+    out = np.zeros(s.shape, bool)
+    out[np.arange(len(rows))[:, None], top] = True
+    return out
+
+
+def similar_pairs(vectors: DataFrame, floor: float, block: int = BLOCK, k: int | None = None) -> DataFrame:
+    """(topic, a, b, similarity) for a < b of one topic with cosine at or above ``floor``; with ``k`` only pairs that are among the k best of either row in their unit of work."""
     sizes = vectors.groupBy("topic").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = vectors.where("embedding is not null").join(sizes, "topic").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
@@ -32,7 +41,11 @@ def similar_pairs(vectors: DataFrame, floor: float, block: int = BLOCK) -> DataF
             who, side = np.array(ids), np.array(own)
             left, right = np.flatnonzero(side == cell[1]), np.flatnonzero(side == cell[2])
             s = x[left] @ x[right].T
-            p, q = np.nonzero(s >= floor - 1e-12)
+            near = s >= floor - 1e-12
+            if k is not None and s.size:
+                t = np.where((who[left][:, None] == who[right][None, :]) | ~near, -2.0, s)
+                near &= _best(t, who[left], who[right], k) | _best(t.T, who[right], who[left], k).T
+            p, q = np.nonzero(near)
             a, b, v = who[left][p], who[right][q], s[p, q]
             keep = a < b if cell[1] == cell[2] else a != b
             a, b, v = a[keep], b[keep], v[keep]
@@ -63,7 +76,7 @@ def similar_pairs(vectors: DataFrame, floor: float, block: int = BLOCK) -> DataF
 
 def nearest(vectors: DataFrame, k: int, floor: float, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, similarity, rank): the k nearest rows of the same topic at or above the floor."""
-    pairs = similar_pairs(vectors, floor, block)
+    pairs = similar_pairs(vectors, floor, block, k)
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("neighbour"), "similarity"))
     w = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "neighbour")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

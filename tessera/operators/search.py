@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores, vectors
 from tessera.operators.scope import Scope
+from tessera.sources.scratch import written
 
 RRF_K = 60
 
@@ -71,20 +74,24 @@ def rerank(candidates: DataFrame, model: Callable[[DataFrame], Column], now_h: i
 
 
 def recall(
-    fragments: DataFrame, vectors_of: DataFrame, links: DataFrame, query: list[str], vector: list[float], scope: Scope, now_h: int, budget: int = 4000, model: Callable[[DataFrame], Column] | None = None
+    fragments: DataFrame, vectors_of: DataFrame, links: DataFrame, query: list[str], vector: list[float], scope: Scope, now_h: int, budget: int = 4000, model: Callable[[DataFrame], Column] | None = None, contents: DataFrame | None = None
 ) -> DataFrame:
     """Hybrid recall: keyword (x2), vector (x1), graph (x1.5) and time (x2) layers fused, scored and cut to a token budget.
 
     (id, rrf, score, tokens, spent). Every layer is at most 30 rows when they meet, so the fused part is small
     whatever the table's size; the payload is fetched for those ids alone. Rows under importance 0.1 go unless they are
     anchors. With a model the 30 best by rrf are re-ranked to 15, which keep their score in the final order.
+    ``contents`` (id, content) may hold the payload apart from fragments, whose narrow columns the layers read.
     """
     l1 = by_keywords(fragments, query, scope)
     l3 = by_vector(vectors_of, fragments, vector, scope)
     graph = neighbours(links, fragments, l1.where("rank <= 10").select("id"), scope)
     recent = by_time(fragments, scope)
     fused = rrf([(l1, 2.0), (l3, 1.0), (graph, 1.5), (recent, 2.0)])
-    fused = fused.join(l3.select("id", "similarity"), "id", "left")
+    # at most 120 rows, used more than once below
+    fused = written(fused.join(l3.select("id", "similarity"), "id", "left"))
+    if contents is not None:
+        fragments = fragments.join(contents.join(F.broadcast(fused.select("id")), "id"), "id")
     rows = fragments.join(F.broadcast(fused), "id").where(F.col("is_anchor") | (F.col("importance") >= 0.1)).withColumn("reranked", F.lit(None).cast("double"))
     if model is not None:
         rows = rerank(rows.orderBy(F.desc("rrf"), "id").limit(30), model, now_h)
@@ -175,3 +182,22 @@ def injection(fragments: DataFrame, owner: str, most: int, chars: int) -> DataFr
     titled = F.concat(F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("section")), F.lit("\n"), F.col("lines"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", titled.alias("t")))), lambda r: r["t"]), "\n")
     return parts.groupBy(owner).agg(body.alias("body"))
+
+
+def page(df: DataFrame, order: list, offset: int, size: int, most: int = 50) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of an order that ends with a unique key, at most ``most``; only that many of each partition are kept."""
+    return df.orderBy(*order).offset(offset).limit(min(size, most))
+
+
+def cursor(offset: int, anchor: int) -> str:
+    """An opaque place in a list: where to go on, and the time that the list was made for."""
+    return base64.urlsafe_b64encode(json.dumps({"offset": offset, "anchor": anchor}).encode()).decode().rstrip("=")
+
+
+def from_cursor(text: str | None) -> tuple[int, int | None]:
+    """(offset, anchor) of a cursor; the beginning for none or a broken one."""
+    try:
+        held = json.loads(base64.urlsafe_b64decode((text or "") + "=" * (-len(text or "") % 4)))
+        return max(0, int(held["offset"])), held.get("anchor")
+    except (ValueError, KeyError, TypeError):
+        return 0, None

@@ -8,6 +8,7 @@ from tessera.functions import scores, vectors
 from tessera.operators import graph, knn, search
 from tessera.operators.scope import Scope
 from tessera.plans.registry import register
+from tessera.sources import scratch
 from tessera.sources.views import NOW_H, duckdb_sql, view
 
 WORDS = ["that", "thation", "erenes", "thble", "thou", "with", "from"]
@@ -175,8 +176,9 @@ def _fused_sql(limit: int = 30) -> str:
 
 
 def _layers(spark, sf_dir):
+    """The fragments without their texts, written once for all layers; vectors, links and the query's vector."""
     f, v, links = (view(spark, sf_dir, n) for n in ("fragments", "vectors", "links"))
-    return f, v, links, _query_vector(spark, sf_dir)
+    return scratch.written(f.drop("content", "content_hash")), v, links, _query_vector(spark, sf_dir)
 
 
 @register("k06_rrf_merge", duckdb_sql(_fused_sql() + "select id, round(rrf, 6) as rrf, layers from fused"))
@@ -225,7 +227,7 @@ def k09(spark, sf_dir):
 )
 def recall_hybrid(spark, sf_dir):
     f, v, links, q = _layers(spark, sf_dir)
-    return search.recall(f, v, links, WORDS, q, SCOPE, NOW_H)
+    return search.recall(f, v, links, WORDS, q, SCOPE, NOW_H, contents=view(spark, sf_dir, "fragments").select("id", "content"))
 
 
 @register("g04_reachability")

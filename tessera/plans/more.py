@@ -35,7 +35,6 @@ MORE = {
     "w08_top_per_group": "select topic, id from (select topic, id, row_number() over (partition by topic order by importance desc, id) as rn from @fragments) x where rn <= 3",
     "w11_layer_ranks": "select id, row_number() over (order by importance desc, id) as rank from @fragments where topic = 'src4'",
     "k04_source_search": "select id from @fragments where session_id = 's12' order by created_h desc, id limit 20",
-    "k13_cursor_page": "select id from (select id, row_number() over (order by importance desc, id) as rn from @fragments where type = 'decision') x where rn > 10 and rn <= 20",
     "k15_ranked_injection": "select id, spent from (select id, sum(tokens) over (order by case when is_anchor then 0 else 1 end, 0.6e0 * importance + 0.4e0 * ema desc, id rows between unbounded preceding and current row) as spent from @fragments where session_id = 's8') x where spent <= 3000",
     "k18_working_memory": "select id, spent from (select id, sum(length(content)) over (order by created_h desc, id rows between unbounded preceding and current row) as spent, row_number() over (order by created_h desc, id) as rn from @fragments where session_id = 's9') x where spent <= 20000 and rn <= 10",
     "k19_topic_suggestion": "select topic, case when topic = 'src1' then 1.0e0 when topic like '%src1%' then 0.75e0 else 0.0e0 end as score, count(*) as n from @fragments group by topic having topic like '%src1%' order by score desc, n desc, topic limit 3",

@@ -288,6 +288,19 @@ def k10(spark, sf_dir):
     return search.rerank(top, lambda f: (F.col("id") * 31 % 97) / 97, NOW_H).select("id", F.round("reranked", 6).alias("score"))
 
 
+@register("k13_cursor_page", duckdb_sql("select id from @fragments where type = 'decision' order by importance desc, id limit 10 offset 10"))
+def k13(spark, sf_dir):
+    offset, _ = search.from_cursor(search.cursor(10, NOW_H))
+    return search.page(view(spark, sf_dir, "fragments").where("type = 'decision'"), [F.desc("importance"), "id"], offset, 10).select("id")
+
+
+@register("k14_page_list", duckdb_sql("select id, (select count(*) from @fragments where type = 'fact' and importance >= 0.2 and key_id = 'k1') as total from @fragments where type = 'fact' and importance >= 0.2 and key_id = 'k1' order by created_h desc, id limit 20 offset 5"))
+def k14(spark, sf_dir):
+    wanted = {"type": "fact", "key_id": "k1", "workspace": None, "case_id": None, "phase": None}
+    f = search.optional(view(spark, sf_dir, "fragments"), wanted).where("importance >= 0.2")
+    return search.page(f, [F.desc("created_h"), "id"], 5, 20).select("id", F.lit(f.count()).alias("total"))
+
+
 # inverted index
 
 

@@ -15,7 +15,7 @@ NOW_US = 30 * 86_400_000_000
 SHARED = {
     # scans, sinks
     "s05_export_rows": "select id, topic, type, importance, created_h from @fragments where topic = 'src3' and created_h >= 500 order by created_h, id limit 200",
-    "s17_last_job_state": "select session_id, max_by(search_path, us * 1000000 + id) as state, max(us) as us from @search_events group by session_id",
+    "s17_last_job_state": "select session_id, search_path as state, us from (select session_id, search_path, us, row_number() over (partition by session_id order by us desc, id desc) as rn from @search_events) x where rn = 1",
     "s24_log_statistics": "select event_type as level, count(*) as n, min(micros(ts)) as oldest_us, max(micros(ts)) as newest_us from @events group by event_type",
     # projections
     "p01_search_projection": "select id, content_hash, topic, type, importance, access_count, created_h, workspace, key_id, agent_id, case_id, resolution_status, phase, affect, tokens from @fragments",
@@ -62,7 +62,7 @@ SHARED = {
     "j20_interval_neighbours": "select a_id, b_id, round(greatest(0.3e0, 1 - dh / 24.0e0), 6) as weight from (select a.id as a_id, b.id as b_id, abs(a.created_h - b.created_h) as dh, row_number() over (partition by a.id order by abs(a.created_h - b.created_h), b.id) as rn from @fragments a join @fragments b on b.topic = a.topic and b.id <> a.id and b.created_h between a.created_h - 24 and a.created_h + 24) x where rn <= 5",
     "j21_nearby_context": "select a_id, b_id from (select a.id as a_id, b.id as b_id, row_number() over (partition by a.id order by abs(a.us - b.us), b.id) as rn from @search_events a join @search_events b on b.session_id = a.session_id and b.id <> a.id and abs(a.us - b.us) < 1800000000) x where rn <= 3",
     "j25_count_per_key": "select k.key_id, coalesce(c.n, 0) as fragments from @api_keys k left join (select key_id, count(*) as n from @fragments group by key_id) c on c.key_id = k.key_id where k.group_id = 0",
-    "j26_last_milestone": "select case_id, max_by(event_id, us * 1000000 + event_id) as event_id from @case_events where event_type = 'milestone_reached' group by case_id",
+    "j26_last_milestone": "select case_id, event_id from (select case_id, event_id, row_number() over (partition by case_id order by us desc, event_id desc) as rn from @case_events where event_type = 'milestone_reached') x where rn = 1",
     "j28_co_retrieval": "select a_id, b_id, count(*) as weight from (select a.id as a_id, b.id as b_id from (select session_id, result_count as id, row_number() over (partition by session_id order by us, id) as rn from @search_events) a join (select session_id, result_count as id, row_number() over (partition by session_id order by us, id) as rn from @search_events) b on a.session_id = b.session_id and a.rn <= 5 and b.rn <= 5 and a.rn < b.rn) x group by a_id, b_id",
     "j29_session_detail": "select id, search_path, result_count from @search_events where session_id = '7' or session_id like '7#%' order by us desc, id limit 20",
     "j30_inspect_links": "select dir, other, weight from (select 'out' as dir, to_id as other, weight from @links where from_id = 11 union all select 'in', from_id, weight from @links where to_id = 11) x",
@@ -113,8 +113,7 @@ SHARED = {
     # order, limit, paging
     "k02_topic_search": "select id, importance, created_h from @fragments where topic = 'src7' and valid_to_h is null order by importance desc nulls last, created_h desc, id limit 20",
     "k03_time_search": "select id, created_h from @fragments where created_h >= 100 and created_h < 3000 and valid_to_h is null order by created_h desc, id limit 30",
-    "k05_by_ids_order": "select id, importance, accessed_h from @fragments where id % 17 = 3 order by importance desc, accessed_h desc nulls last, id limit 25",
-    "k14_page_list": "select id, total from (select id, count(*) over () as total, row_number() over (order by created_h desc, id) as rn from @fragments where type = 'fact' and importance >= 0.2) x where rn between 21 and 40",
+    "k05_by_ids_order": "select session_id, id, row_number() over (partition by session_id order by importance desc, accessed_h desc nulls last, id) as place from @fragments",
     "k17_anchors": "select id, importance from @fragments where is_anchor and valid_to_h is null order by importance desc, id limit 10",
     "k20_recent": "select id from @fragments order by created_h desc, id limit 50",
     "k21_case_order": "select case_id, resolved, relevance from (select case_id, max(case when resolution_status = 'resolved' then 1 else 0 end) as resolved, round(sum(importance), 6) as relevance from @fragments group by case_id) x order by resolved desc, relevance desc, case_id limit 10",

@@ -28,42 +28,51 @@ def t01_idle(spark, sf_dir):
 def t06(spark, sf_dir):
     def step(state, row):
         state = adaptive.evict([*state, (row.id, row.importance, row.tokens)])
-        return state, (row.session_id, row.id, len(state))
+        return state, (row.session_id, row.id, len(state), sum(t for _, _, t in state))
 
-    rows = view(spark, sf_dir, "fragments").select("session_id", "id", "importance", (F.col("tokens") % 200).cast("int").alias("tokens"), "created_h")
-    return adaptive.folded(rows, "session_id", ["created_h", "id"], "session_id string, id long, held int", list, step)
+    rows = view(spark, sf_dir, "fragments").select("session_id", "id", "importance", F.col("tokens").cast("int").alias("tokens"), "created_h")
+    return adaptive.folded(rows, "session_id", ["created_h", "id"], "session_id string, id long, held int, tokens long", list, step)
 
 
-@register("t10_feedback_sampling")
+_DRAW = "id * 7919 % 1000 / 1000.0e0"
+
+
+@register("t10_feedback_sampling", duckdb_sql(
+    "with recursive e as (select session_id, id, us / 1e6 as t, row_number() over (partition by session_id order by us, id) as n, " + _DRAW + " as draw from @search_events), "
+    "r as (select session_id, id, n, draw < 0.2 as hit, case when draw < 0.2 then t else -1e18 end as last, case when draw < 0.2 then 1 else 0 end as took from e where n = 1 union all "
+    "select e.session_id, e.id, e.n, r.took < 2 and e.t - r.last >= 900 and e.draw < 0.2, case when r.took < 2 and e.t - r.last >= 900 and e.draw < 0.2 then e.t else r.last end, r.took + case when r.took < 2 and e.t - r.last >= 900 and e.draw < 0.2 then 1 else 0 end "
+    "from r join e on e.session_id = r.session_id and e.n = r.n + 1) select session_id, id, hit as sampled from r").replace("with search_events as", "with recursive search_events as", 1).replace(", recursive e as", ", e as", 1))
 def t10(spark, sf_dir):
     def step(state, row):
         state, hit = adaptive.sampled(state, row.us / 1e6, row.draw)
         return state, (row.session_id, row.id, hit)
 
-    draw = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
-    rows = view(spark, sf_dir, "search_events").select("session_id", "id", "us", draw.alias("draw"))
+    rows = view(spark, sf_dir, "search_events").select("session_id", "id", "us", (F.col("id") * 7919 % 1000 / 1000.0).alias("draw"))
     return adaptive.folded(rows, "session_id", ["us", "id"], "session_id string, id long, sampled boolean", lambda: (float("-inf"), 0), step)
 
 
-@register("t11_activation")
+@register("t11_activation", duckdb_sql(
+    "with e as (select id % 97 as target, id, us, 0.3e0 / sqrt(greatest(coalesce((us - lag(us) over w) / 1e6, 86400), 1)) as s from @search_events window w as (partition by id % 97 order by us, id)) "
+    "select target, id, round(list_reduce(list_prepend(0.0e0, list(s) over (partition by target order by us, id rows between 119 preceding and current row)), lambda a, x: 0.7e0 * a + x), 6) as ema from e"))
 def t11(spark, sf_dir):
-    def step(state, row):
-        ema, last = state
-        ema = adaptive.activation(ema, last, row.us / 1e6)
-        return (ema, row.us / 1e6), (row.target, row.id, round(ema, 6))
-
     rows = view(spark, sf_dir, "search_events").select((F.col("id") % 97).alias("target"), "id", "us")
-    return adaptive.folded(rows, "target", ["us", "id"], "target long, id long, ema double", lambda: (0.0, None), step)
+    return adaptive.activations(rows, "target", "us", "id").select("target", "id", F.round("ema", 6).alias("ema"))
 
 
-@register("t12_adaptive_threshold")
+@register("t12_adaptive_threshold", duckdb_sql(
+    "with e as (select key_id, query_type, us // 3600000000 % 24 as hour, row_number() over w as n, sum(result_count) over w as total from @search_events window w as (partition by key_id, query_type, us // 3600000000 % 24 order by us, id rows between unbounded preceding and current row)), "
+    "m as (select *, case when n < 5 then 0.0e0 when total < 2 * n then -0.01e0 when total > 3 * n then 0.01e0 else 0.0e0 end as move from e) "
+    "select key_id || '/' || query_type || '/' || hour as slot, max(n) as n, round(list_reduce(list_prepend(0.4e0, list(move order by n)), lambda a, x: least(0.6e0, greatest(0.1e0, a + x))), 6) as threshold from m group by key_id, query_type, hour"))
 def t12(spark, sf_dir):
+    """By tenant, kind of query and hour; the tables are small, so the gate is 5 samples and the band 2 to 3 results here."""
+
     def step(state, row):
         threshold, n, total = state
         n, total = n + 1, total + row.result_count
-        threshold = adaptive.adapt(threshold, n, total / n)
-        return (threshold, n, total), (row.slot, row.id, round(threshold, 6))
+        threshold = adaptive.adapt(threshold, n, total / n, gate=5, few=2, many=3)
+        return (threshold, n, total), (row.slot, n, round(threshold, 6))
 
-    slot = F.concat_ws("/", "key_id", "query_type")
+    slot = F.concat_ws("/", "key_id", "query_type", F.expr("us div 3600000000 % 24"))
     rows = view(spark, sf_dir, "search_events").select(slot.alias("slot"), "id", "us", "result_count")
-    return adaptive.folded(rows, "slot", ["us", "id"], "slot string, id long, threshold double", lambda: (0.4, 0, 0), step)
+    out = adaptive.folded(rows, "slot", ["us", "id"], "slot string, n long, threshold double", lambda: (0.4, 0, 0), step)
+    return out.groupBy("slot").agg(F.max("n").alias("n"), F.max_by("threshold", "n").alias("threshold"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def activation(ema: float, last_s: float | None, now_s: float, rate: float = 0.3) -> float:
@@ -15,11 +15,20 @@ def activation(ema: float, last_s: float | None, now_s: float, rate: float = 0.3
     return rate * gap**-0.5 + (1 - rate) * ema
 
 
-def adapt(threshold: float, samples: int, mean: float, gate: int = 50, step: float = 0.01, low: float = 0.10, high: float = 0.60) -> float:
-    """After ``gate`` samples: few results lower a similarity threshold, many raise it, inside [low, high]."""
+def activations(accesses: DataFrame, key: str, time_us: str, id_: str, rate: float = 0.3, reach: int = 120) -> DataFrame:
+    """Accesses with ``ema``, the activation of their key after them. Accesses more than ``reach`` back weigh under 1e-18 of the newest and are left out, so no state grows."""
+    w = Window.partitionBy(key).orderBy(time_us, id_)
+    gap = (F.col(time_us) - F.lag(time_us).over(w)) / 1e6
+    sample = rate * F.pow(F.greatest(F.coalesce(gap, F.lit(86_400.0)), F.lit(1.0)), F.lit(-0.5))
+    near = F.collect_list("sample_").over(w.rowsBetween(1 - reach, 0))
+    return accesses.withColumn("sample_", sample).withColumn("ema", F.aggregate(near, F.lit(0.0), lambda a, x: (1 - rate) * a + x)).drop("sample_")
+
+
+def adapt(threshold: float, samples: int, mean: float, gate: int = 50, step: float = 0.01, low: float = 0.10, high: float = 0.60, few: float = 1, many: float = 8) -> float:
+    """After ``gate`` samples: a mean under ``few`` results lowers a similarity threshold, over ``many`` raises it, inside [low, high]."""
     if samples < gate:
         return threshold
-    move = -step if mean < 1 else step if mean > 8 else 0.0
+    move = -step if mean < few else step if mean > many else 0.0
     return min(high, max(low, round(threshold + move, 10)))
 
 

@@ -37,6 +37,11 @@ def test_mmr_prefers_new_words():
     assert greedy.mmr_order([0.1, 0.9], [{"a"}, {"b"}], near=[False, True]) == [0, 1]
 
 
+def test_cursors():
+    assert search.from_cursor(search.cursor(30, 7)) == (30, 7)
+    assert search.from_cursor(None) == search.from_cursor("not one") == (0, None)
+
+
 def test_core_memory_guarantees_types(spark):
     rows = spark.createDataFrame([("k", 1, "fact", 0.9, 10), ("k", 2, "fact", 0.8, 10), ("k", 3, "error", 0.1, 10), ("k", 4, "fact", 0.7, 10)], "owner string, id long, type string, score double, chars int")
     assert {r.id for r in greedy.core_memory(rows, {"fact": 2}).collect()} == {1, 2, 3}
