@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scores, text
 from tessera.functions import vectors as vectors_of
 from tessera.operators import greedy, index, knn, write
+from tessera.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -340,8 +341,8 @@ STAGES: list[tuple[str, Callable[[Snapshot], Snapshot]]] = [
 ]
 
 
-def run(s: Snapshot, stages=None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[Snapshot, list[dict]]:
-    """Apply stages in order; ``cut`` may write and reread a frame. Returns the snapshot and one report row a stage."""
+def run(s: Snapshot, stages=None, cut: Callable[[DataFrame], DataFrame] = written) -> tuple[Snapshot, list[dict]]:
+    """Apply stages in order; ``cut`` writes and rereads what a stage leaves, so that plans don't grow from stage to stage. Returns the snapshot and one report row a stage."""
     report = []
     for name, stage in stages or STAGES:
         try:
