@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_text, lm, minhash, mixing, quality, rules, substrings, toxicity, url_filter
+from tessera.llm import collocations, decontaminate, html_text, lm, minhash, mixing, quality, rules, substrings, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_url_filter, op5_html_text, op6_minhash, op7_decontaminate, op8_substrings, op9_rules, op10_lm)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
 
-ORACLES = {"op4_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_lm": lm.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_url_filter, op5_html_text, op6_minhash, op7_decontaminate, op8_substrings, op9_rules, op10_lm, op13_collocations)}
+
+ORACLES = {"op4_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_lm": lm.ORACLE, "op13_collocations": collocations.ORACLE}
