@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import collocations, decontaminate, html_text, lm, minhash, mixing, quality, ranked, rules, substrings, toxicity, url_filter
+from tessera.llm import collocations, cover_tree, decontaminate, html_text, lm, minhash, mixing, quality, ranked, rules, substrings, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -58,10 +58,14 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_url_filter, op5_html_text, op6_minhash, op7_decontaminate, op8_substrings, op9_rules, op10_lm, op11_ranked, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_mixing, op4_url_filter, op5_html_text, op6_minhash, op7_decontaminate, op8_substrings, op9_rules, op10_lm, op11_ranked, op12_cover_tree, op13_collocations)}
 
-ORACLES = {"op4_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_lm": lm.ORACLE, "op11_ranked": ranked.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLES = {"op4_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_lm": lm.ORACLE, "op11_ranked": ranked.ORACLE, "op12_cover_tree": cover_tree.ORACLE, "op13_collocations": collocations.ORACLE}
