@@ -1,49 +1,179 @@
-"""Graph operators over an edge table: bounded breadth-first frontiers, chains, spreading activation."""
+"""Graph operators over an edge table: strong components, searches for pairs from both ends, set frontiers, chains, spreading activation."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import index
-from tessera.sources.scratch import cut
+from tessera.sources.scratch import cut, workspace, written
+
+
+#: Steps of a propagation between two written tables: fewer jobs, and plans that stay short.
+STEPS = 3
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = 20) -> DataFrame:
-    """(root, id, depth): every node within ``max_depth`` steps of a root (None: any number), at its least depth; ends early when a frontier is empty."""
-    seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    step = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct()
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        frontier = frontier.join(step, "id").select("root", F.col("next").alias("id"), F.lit(depth).alias("depth")).distinct()
-        frontier = cut(frontier.join(seen, ["root", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    """(root, id, depth): every node within ``max_depth`` steps of a root (None: any number), at its least depth; ends early when a frontier is empty.
+
+    The result holds a row for each root and node of its chain. For a question about given pairs take ``paths``, for one about sets ``reached``.
+    """
+    with workspace(edges.sparkSession) as step:
+        ahead = step(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct())
+        layers = [step(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())]
+        for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+            found = layers[-1].join(ahead, "id").select("root", F.col("next").alias("id"), F.lit(depth).alias("depth")).distinct()
+            layers.append(step(found.join(_union(layers), ["root", "id"], "left_anti")))
+            if layers[-1].isEmpty():
+                break
+        return written(_union(layers))
+
+
+def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id): the seeds and all that any of them reaches. One row a node, however many seeds: O(edges) a step."""
+    with workspace(edges.sparkSession) as step:
+        ahead = step(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct())
+        layers = [step(seeds.select("id").distinct())]
+        for _ in count(1) if max_depth is None else range(max_depth):
+            found = layers[-1].join(ahead, "id").select(F.col("next").alias("id")).distinct()
+            layers.append(step(found.join(_union(layers), "id", "left_anti")))
+            if layers[-1].isEmpty():
+                break
+        return written(_union(layers))
+
+
+def paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(from_id, to_id, depth) of the given pairs with a path of 1 to ``max_depth`` edges, and its least length.
+
+    All pairs are searched at once from both ends, in rounds of a step forward from the sources and a step back from the targets. A pair leaves
+    when its sides meet or one of them finds nothing new; ends that no pair left needs go no further. Sets are kept by end, not by pair.
+    """
+    ends, near, along = ("from_id", "to_id"), ("x", "y"), ("y", "x")
+    with workspace(edges.sparkSession) as step:
+        steps = step(edges.select(F.col("from_id").alias("x"), F.col("to_id").alias("y")).distinct())
+        left = step(pairs.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct())
+        frontier = [left.select(F.col(e).alias("end"), F.col(e).alias("id")).distinct() for e in ends]
+        # a source counts as seen once an edge leads back to it
+        seen, met = [[frontier[0].limit(0)], [frontier[1]]], []
+        for depth in range(1, max_depth + 1, 2):
+            hits, live = [], left
+            for k in (0, 1):
+                wanted = left.select(F.col(ends[k]).alias("end")).distinct()
+                found = frontier[k].join(wanted, "end", "left_semi").join(steps, F.col("id") == F.col(near[k])).select("end", F.col(along[k]).alias("id")).distinct()
+                found = frontier[k] = step(found.join(_union(seen[k]), ["end", "id"], "left_anti"))
+                if depth + k <= max_depth:
+                    there = _union(seen[1 - k]).select(F.col("end").alias(ends[1 - k]), "id")
+                    hit = left.join(found.withColumnRenamed("end", ends[k]), ends[k]).join(there, [ends[1 - k], "id"], "left_semi")
+                    hits.append(hit.select(*ends, F.lit(depth + k).alias("depth")))
+                live = live.join(found.select(F.col("end").alias(ends[k])).distinct(), ends[k], "left_semi")
+                seen[k] = [*seen[k], found]
+            first = _union(hits).groupBy(*ends).agg(F.min("depth").alias("depth"))
+            judged = step(left.join(first, list(ends), "left").join(live.withColumn("live", F.lit(True)), list(ends), "left").where("depth is not null or live"))
+            met.append(judged.where("depth is not null").select(*ends, "depth"))
+            left = judged.where("depth is null").select(*ends)
+            if left.isEmpty():
+                break
+            if len(seen[0]) > 2 * STEPS:
+                seen = [[step(_union(layers).join(left.select(F.col(e).alias("end")).distinct(), "end", "left_semi"))] for layers, e in zip(seen, ends)]
+        return written(_union(met))
+
+
+def _trimmed(edges: DataFrame, step) -> DataFrame:
+    """Edges between nodes that have both an edge in and an edge out; no other lies on a cycle."""
+    n = -1
+    while True:
+        for _ in range(STEPS):
+            edges = edges.join(edges.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(edges.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
+        edges = step(edges.select("from_id", "to_id"))
+        before, n = n, edges.count()
+        if n == before or not n:
+            return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes on cycles of two nodes or more: the largest id that a node reaches and is reached by.
+
+    Trimming takes away what has no way in or out. Then the largest id that reaches a node becomes its colour; the nodes of a colour that reach
+    the node it is named after are a component. What is left goes round again, without the edges between colours. Work is O(edges) a step.
+    """
+    with workspace(edges.sparkSession) as step:
+        left = step(edges.where("from_id != to_id").select("from_id", "to_id").distinct())
+        done = [left.select(F.col("from_id").alias("id"), F.col("from_id").alias("component")).limit(0)]
+        while True:
+            left = _trimmed(left, step)
+            if left.isEmpty():
+                break
+            colour, state = left.select(F.col("from_id").alias("id"), F.col("from_id").alias("colour")).distinct(), None
+            while True:
+                for _ in range(STEPS):
+                    sent = left.join(colour.withColumnRenamed("id", "from_id"), "from_id").select(F.col("to_id").alias("id"), "colour")
+                    colour = colour.unionByName(sent).groupBy("id").agg(F.max("colour").alias("colour"))
+                colour = step(colour)
+                mixed = F.xxhash64("id", "colour")
+                before, state = state, colour.agg(F.bit_xor(mixed), F.sum(mixed.cast("decimal(38,0)"))).first()
+                if state == before:
+                    break
+            side = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"of_{end}"))  # noqa: E731, B023
+            same = step(left.join(side("from_id"), "from_id").join(side("to_id"), "to_id").where("of_from_id = of_to_id").select("from_id", "to_id"))
+            back = same.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+            members = reached(back, colour.where("id = colour").select("id"))
+            done.append(step(colour.join(members, "id", "left_semi").select("id", F.col("colour").alias("component"))))
+            for end in ("from_id", "to_id"):
+                same = same.join(members.withColumnRenamed("id", end), end, "left_anti")
+            left = same.select("from_id", "to_id")
+        found = _union(done)
+        # a component of one node is no cycle
+        return written(found.join(found.groupBy("component").count().where("count > 1"), "component", "left_semi").select("id", "component"))
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """(from_id, to_id) of the edges that lie on a cycle of any length: both ends in one strong component, or one and the same node."""
+    of = strong_components(edges)
+    side = lambda end: of.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = edges.select("from_id", "to_id").distinct()
+    inside = ends.join(side("from_id"), "from_id").join(side("to_id"), "to_id").where("of_from_id = of_to_id").select("from_id", "to_id")
+    return inside.unionByName(ends.where("from_id = to_id")).distinct()
 
 
 def would_cycle(edges: DataFrame, candidates: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Candidate edges (from_id, to_id) whose target already reaches their source."""
-    found = reachable(edges, candidates.select(F.col("to_id").alias("id")), max_depth)
-    return candidates.join(found.select(F.col("root").alias("to_id"), F.col("id").alias("from_id")), ["to_id", "from_id"], "left_semi")
+    """Candidate edges (from_id, to_id) whose target already reaches their source in ``max_depth`` steps."""
+    back = candidates.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    found = paths(edges, back, max_depth).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    return candidates.join(found, ["from_id", "to_id"], "left_semi")
+
+
+def _roots(causal: DataFrame) -> DataFrame:
+    """(id) of nodes with causal edges out and none in."""
+    return causal.select(F.col("from_id").alias("id")).distinct().join(causal.select(F.col("to_id").alias("id")), "id", "left_anti")
 
 
 def causal_chains(edges: DataFrame, relations: tuple[str, ...] = ("caused_by", "resolved_by"), max_depth: int | None = None) -> DataFrame:
     """(root, id, depth, is_resolved): chains from nodes with no incoming causal edge; resolved if any edge of theirs is resolved_by."""
     causal = edges.where(F.col("relation_type").isin(*relations))
-    roots = causal.select(F.col("from_id").alias("id")).distinct().join(causal.select(F.col("to_id").alias("id")), "id", "left_anti")
-    chains = reachable(causal, roots, max_depth)
+    chains = reachable(causal, _roots(causal), max_depth)
     solved = causal.where("relation_type = 'resolved_by'").select(F.col("from_id").alias("id")).distinct().withColumn("solved", F.lit(1))
     flag = chains.join(solved, "id", "left").groupBy("root").agg(F.max(F.coalesce("solved", F.lit(0))).alias("s"))
     return chains.join(flag, "root").select("root", "id", "depth", (F.col("s") == 1).alias("is_resolved"))
 
 
-def unresolved(fragments: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
+def on_resolved_chain(edges: DataFrame, relations: tuple[str, ...] = ("caused_by", "resolved_by")) -> DataFrame:
+    """(id) of the nodes on any resolved chain, without listing chains: roots that reach a resolved_by edge, and all that these reach."""
+    causal = edges.where(F.col("relation_type").isin(*relations))
+    solved = causal.where("relation_type = 'resolved_by'").select(F.col("from_id").alias("id"))
+    leading = reached(causal.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), solved)
+    return reached(causal, _roots(causal).join(leading, "id", "left_semi"))
+
+
+def unresolved(fragments: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids of open rows on no resolved chain and of errors without a resolved_by edge."""
-    on_resolved = chains.where("is_resolved").select("id").distinct()
+    on_resolved = on_resolved_chain(edges)
     still_open = fragments.where("resolution_status = 'open'").select("id").join(on_resolved, "id", "left_anti")
     fixed = edges.where("relation_type = 'resolved_by'").select(F.col("from_id").alias("id")).distinct()
     errors = fragments.where("type = 'error'").select("id").join(fixed, "id", "left_anti")
@@ -113,7 +243,7 @@ def session_links(fragments: DataFrame, edges: DataFrame, least: float = 0.6, de
     fit = best.join(side("from_id"), "from_id").join(side("to_id"), "to_id")
     fit = fit.withColumn("fits", (F.col("overlap") >= least) & F.coalesce(F.col("p_from_id") <= F.col("p_to_id"), F.lit(True)))
     fit = cut(fit.select("from_id", "to_id", "relation_type", "fits"))
-    loops = would_cycle(edges, fit.where("fits").select("from_id", "to_id").distinct(), depth - 1).distinct().withColumn("loop", F.lit(True))
+    loops = would_cycle(edges, fit.where("fits").select("from_id", "to_id").distinct(), depth).distinct().withColumn("loop", F.lit(True))
     return fit.join(loops, ["from_id", "to_id"], "left").select("from_id", "to_id", "relation_type", (F.col("fits") & F.col("loop").isNull()).alias("accepted"))
 
 

@@ -230,28 +230,59 @@ def recall_hybrid(spark, sf_dir):
     return search.recall(f, v, links, WORDS, q, SCOPE, NOW_H, contents=view(spark, sf_dir, "fragments").select("id", "content"))
 
 
-@register("g04_reachability")
+_CAUSAL = "e as (select distinct from_id, to_id from @links where relation_type in ('caused_by', 'resolved_by'))"
+_ROOTS = "select distinct from_id as root from e where from_id not in (select to_id from e)"
+#: Chains from the roots with each node's least depth.
+_CHAINS = (
+    f"{_CAUSAL}, r(root, id, depth) using key (root, id) as (select root, root, 0 from ({_ROOTS}) x union select r.root, e.to_id, r.depth + 1 from r join e on e.from_id = r.id "
+    "where not exists (select 1 from recurring.r o where o.root = r.root and o.id = e.to_id)), "
+    "solved as (select distinct root from r where id in (select from_id from @links where relation_type = 'resolved_by'))"
+)
+
+
+def recursive(text: str) -> str:
+    """A recursive text (``with recursive``) for DuckDB, with its views."""
+    return duckdb_sql(text.replace("with recursive", "with", 1)).replace("with ", "with recursive ", 1)
+
+
+@register(
+    "g04_reachability",
+    recursive(
+        f"with recursive {_CAUSAL}, q as (select distinct to_id as from_id, from_id as to_id from @links where relation_type not in ('caused_by', 'resolved_by')), "
+        "r(root, id, depth) using key (root, id) as (select from_id, to_id, 1 from e where from_id in (select from_id from q) union select r.root, e.to_id, r.depth + 1 from r join e on e.from_id = r.id "
+        "where r.depth < 20 and not exists (select 1 from recurring.r o where o.root = r.root and o.id = e.to_id)) select q.from_id, q.to_id, r.depth from q join r on r.root = q.from_id and r.id = q.to_id"
+    ),
+)
 def g04(spark, sf_dir):
-    """Every row reachable from any row with a causal edge, in fewer than 20 steps; beyond SQL at this size."""
-    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by')")
-    return graph.reachable(edges, edges.select(F.col("from_id").alias("id")).distinct(), 19)
+    """For every link of another kind: does its target reach its source over causal edges in 20 steps, and in how many?"""
+    links = view(spark, sf_dir, "links")
+    causal = F.col("relation_type").isin("caused_by", "resolved_by")
+    return graph.paths(links.where(causal), links.where(~causal).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
 
 
-@register("g06_causal_chains")
+@register("g06_causal_chains", recursive(f"with recursive {_CHAINS} select root, id, depth, root in (select root from solved) as is_resolved from r"))
 def g06(spark, sf_dir):
     return graph.causal_chains(view(spark, sf_dir, "links"))
 
 
-@register("g05_would_cycle")
+@register(
+    "g05_would_cycle",
+    recursive(f"with recursive {_CAUSAL}, r(root, id) as (select from_id, to_id from e union select r.root, e.to_id from r join e on e.from_id = r.id) select e.from_id, e.to_id from e join r on r.root = e.to_id and r.id = e.from_id"),
+)
 def g05(spark, sf_dir):
-    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by')")
-    return graph.would_cycle(edges, edges.select("from_id", "to_id"))
+    """Causal edges that lie on a cycle of any length."""
+    return graph.on_cycle(view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by')"))
 
 
-@register("g07_unresolved")
+@register(
+    "g07_unresolved",
+    recursive(
+        f"with recursive {_CHAINS} select id from @fragments where resolution_status = 'open' and id not in (select id from r where root in (select root from solved)) "
+        "union select id from @fragments where type = 'error' and id not in (select from_id from @links where relation_type = 'resolved_by')"
+    ),
+)
 def g07(spark, sf_dir):
-    links = view(spark, sf_dir, "links")
-    return graph.unresolved(view(spark, sf_dir, "fragments"), links, graph.causal_chains(links))
+    return graph.unresolved(view(spark, sf_dir, "fragments"), view(spark, sf_dir, "links"))
 
 
 _SEEDS = "select id from @fragments where id in (3, 14, 15, 92, 65)"

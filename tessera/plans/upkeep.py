@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
 from tessera.operators import consolidate, graph, write
-from tessera.plans.core import _BOTH, _PAIRS
+from tessera.plans.core import _BOTH, _CAUSAL, _CHAINS, _PAIRS, recursive
 from tessera.plans.registry import register
 from tessera.plans.scoring import _AGE, _HALF, _UTILITY
 from tessera.sources.views import NOW_H, duckdb_sql, view
@@ -110,11 +110,7 @@ def c09(spark, sf_dir):
     return made.select("id", F.round(F.get("embedding", F.lit(0)), 6).alias("x"), F.round(F.get("embedding", F.lit(1)), 6).alias("y"))
 
 
-def _few_links(s):
-    return replace(s, links=s.links.where("weight > 4.6"))
-
-
-_ALONE = "select f.id, f.type, f.created_h, f.content from @fragments f where f.id in (select id from @vectors) and f.id not in (select from_id from @links where weight > 4.6 union select to_id from @links where weight > 4.6) order by f.created_h desc, f.id limit 20"
+_ALONE = "select f.id, f.type, f.created_h, f.content from @fragments f where f.id in (select id from @vectors) and f.id not in (select from_id from @links union select to_id from @links) order by f.created_h desc, f.id limit 20"
 _NEAR = (
     f"select b.neighbour as from_id, n.id as to_id, n.type as nt, n.created_h as nh, n.content, o.type as ot, o.created_h as oh, b.s, row_number() over (partition by n.id order by b.s desc, b.neighbour) as rn from ({_ALONE}) n join ({_BOTH}) b on b.id = n.id join @fragments o on o.id = b.neighbour where b.s > 0.7"
 )
@@ -122,13 +118,13 @@ _NEAR = (
 
 @register("g13_isolated_batch", duckdb_sql(f"select id from ({_ALONE}) a"))
 def g13(spark, sf_dir):
-    return consolidate.isolated(_few_links(snapshot(spark, sf_dir)))
+    return consolidate.isolated(snapshot(spark, sf_dir))
 
 
 @register("c10_retro_link", duckdb_sql(
     f"select from_id, to_id, case when nt = ot and s > 0.85 and nh > oh then 'superseded_by' when nt = 'error' and ot = 'error' and (contains(content, '[해결됨]') or contains(content, 'resolved')) then 'resolved_by' else 'related' end as relation_type from ({_NEAR}) x where rn <= 3"))
 def c10(spark, sf_dir):
-    s = _few_links(snapshot(spark, sf_dir))
+    s = snapshot(spark, sf_dir)
     return consolidate.linked_to_nearest(s, consolidate.isolated(s)).select("from_id", "to_id", "relation_type")
 
 
@@ -477,16 +473,16 @@ def _shared_sql(a: str, b: str) -> str:
 _PHASE = "case {}.phase when 'planning' then 0 when 'debugging' then 1 when 'implementation' then 1 when 'verification' then 2 end"
 
 
-@register("g10_session_links", duckdb_sql(
+@register("g10_session_links", recursive(
     "with recursive "
     f"p as (select a, b, o, 'caused_by' as rel from ({_shared_sql('error', 'decision')}) x where o > 0 union all select a, b, o, 'resolved_by' from ({_shared_sql('procedure', 'error')}) y where o > 0), "
     "best as (select a, b, o, rel from (select *, row_number() over (partition by rel, a order by o desc, b) as rn from p) z where rn = 1), "
     f"fit as (select best.*, o >= 0.6 and coalesce({_PHASE.format('fa')} <= {_PHASE.format('fb')}, true) as fits from best join @fragments fa on fa.id = a join @fragments fb on fb.id = b), "
-    "e as (select distinct from_id, to_id from @links where relation_type in ('caused_by', 'resolved_by') and weight >= 4), "
-    "r as (select distinct b as root, b as id, 0 as depth from fit where fits union select r.root, e.to_id, depth + 1 from r join e on e.from_id = r.id where depth < 19) "
-    "select a as from_id, b as to_id, rel as relation_type, fits and not exists (select 1 from r where r.root = fit.b and r.id = fit.a) as accepted from fit").replace("with fragments as", "with recursive fragments as", 1).replace(", recursive p as", ", p as", 1))
+    f"{_CAUSAL}, r(root, id, depth) using key (root, id) as (select distinct b, b, 0 from fit where fits union select r.root, e.to_id, r.depth + 1 from r join e on e.from_id = r.id "
+    "where r.depth < 20 and not exists (select 1 from recurring.r o where o.root = r.root and o.id = e.to_id)) "
+    "select a as from_id, b as to_id, rel as relation_type, fits and not exists (select 1 from r where r.root = fit.b and r.id = fit.a) as accepted from fit"))
 def g10(spark, sf_dir):
-    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by') and weight >= 4")
+    edges = view(spark, sf_dir, "links").where("relation_type in ('caused_by', 'resolved_by')")
     return graph.session_links(view(spark, sf_dir, "fragments"), edges)
 
 
@@ -526,9 +522,9 @@ def g08(spark, sf_dir):
     return out.unionByName(part("unresolved", "id", none)).unionByName(part("supporting", "id", none))
 
 
-@register("w10_chain_position")
+@register("w10_chain_position", recursive(f"with recursive {_CHAINS} select root, id, row_number() over (partition by root order by depth, id) - 1 as position from r"))
 def w10(spark, sf_dir):
-    return graph.chain_positions(graph.causal_chains(view(spark, sf_dir, "links").where("weight >= 4"))).select("root", "id", "position")
+    return graph.chain_positions(graph.causal_chains(view(spark, sf_dir, "links"))).select("root", "id", "position")
 
 
 @register("j08_polarity_conflicts", duckdb_sql(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a step's table and reads it back; all its tables go when the block is left.
+
+    A table read back has a known size, so that small sides of later joins are broadcast. What the block returns must be ``written`` in it.
+    """
+    path = f"{shared_dir(spark)}/w-{uuid.uuid4().hex}"
+
+    def step(df: DataFrame) -> DataFrame:
+        one = f"{path}/{uuid.uuid4().hex}"
+        df.write.parquet(one)
+        return spark.read.schema(df.schema).parquet(one)
+
+    try:
+        yield step
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
