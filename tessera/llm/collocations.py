@@ -5,14 +5,14 @@ its texts into shards of about ``SHARD`` words, numbers a shard's (lang, word) p
 with 0 between pieces. Prefix doubling sorts its suffixes by their first words; runs of suffixes whose common prefix (LCP)
 has n words or more are the occurrences of one n-gram, so the run's length is its count in the shard.
 
-A phrase that occurs ``least`` times is made of words and shorter phrases that do, so three passes suffice:
+A phrase that occurs ``least`` times is made of words and shorter phrases that do, so two passes suffice (one more for each length above 3):
 
-1. words, and 2. pairs of words and every longer length but the last, by a 64-bit key (pairs of frequent words only, and so
-   on): summed over shards, keys with ``least`` or more are kept as the bits of a filter of bounded size (``FILTER_BITS``);
-3. phrases of all lengths whose parts the filters let through, as text: summed over shards and held against ``least``.
+1. words and pairs of words (then every longer length but the last, of admitted parts only) by a 64-bit key: summed over shards, keys
+   with ``least`` or more are kept as the bits of a filter of bounded size (``FILTER_BITS``);
+2. phrases of all lengths whose parts the filters let through, as text: summed over shards and held against ``least``.
 
-The keys and filters may let a phrase through that is too rare, never hold a frequent one back, and only pass 3 counts:
-results are exact whatever collides. Filters that fill up (some 10^8 frequent phrases) spare less of pass 3, no more.
+The keys and filters may let a phrase through that is too rare, never hold a frequent one back, and only the last pass counts:
+results are exact whatever collides. Filters that fill up (some 10^8 frequent phrases) spare less of that pass, no more.
 
 Defined cases: a null or empty text has no words; a null lang is ``und``; repeated rows are texts of their own; doc_id and other
 columns are not read; a table without a candidate, an empty one too, gives no rows; equal ranks can't be, the phrase decides.
@@ -156,12 +156,12 @@ def _shards(batches, filters: list[np.ndarray]) -> Iterator[Shard]:
         yield shard
 
 
-def key_counts(docs: DataFrame, length: int, filters: list) -> DataFrame:
-    """(key, a): occurrences of every phrase of ``length`` words whose shorter parts pass the filters, by 64-bit key."""
+def key_counts(docs: DataFrame, shortest: int, longest: int, filters: list) -> DataFrame:
+    """(key, a): occurrences of every phrase of the lengths asked for whose shorter parts pass the filters, by 64-bit key."""
 
     def run(batches):
         for shard in _shards(batches, [f.value for f in filters]):
-            for m, seq, at, count in shard.intervals(length, length):
+            for m, seq, at, count in shard.intervals(shortest, longest):
                 key = shard.gram_keys(seq, at, m)
                 for k in range(0, len(key), 1 << 18):
                     yield batch(key=(key[k : k + (1 << 18)].view(np.int64), pa.int64()), a=(count[k : k + (1 << 18)].astype(np.int64), pa.int64()))
@@ -196,8 +196,11 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
                     yield batch(lang=([shard.words[gram[0]][0] for gram in numbers], pa.string()), words=([m] * len(here), pa.int32()), phrase=(phrases, pa.string()), a=(count[k : k + (1 << 16)].astype(np.int64), pa.int64()))
 
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH):
-        for length in range(1, longest):
-            filters.append(_filter(key_counts(docs, length, list(filters)), least))
+        # words and pairs share a scan and a filter
+        first = min(2, longest - 1)
+        filters += [_filter(key_counts(docs, 1, first, []), least)] * first
+        for length in range(first + 1, longest):
+            filters.append(_filter(key_counts(docs, length, length, list(filters)), least))
         found = docs.select("lang", "text").mapInArrow(run, "lang string, words int, phrase string, a long")
         merged = found.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
         return materialise(merged.where((F.col("a") >= least) | (F.col("words") == 0)))
