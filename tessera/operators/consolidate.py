@@ -353,3 +353,14 @@ def run(s: Snapshot, stages=None, cut: Callable[[DataFrame], DataFrame] = writte
         except Exception as e:  # a stage that fails is recorded and the next one runs
             report.append({"stage": name, "fragments": None, "error": str(e)[:500]})
     return s, report
+
+
+def low_utility(fragments: DataFrame, utility: Column, floor: float = 0.15) -> DataFrame:
+    """Rows under the floor of usefulness that are neither permanent nor anchors: what a collection may reach."""
+    return fragments.where((utility < floor) & (F.col("ttl_tier") != "permanent") & ~F.col("is_anchor"))
+
+
+def compressible(fragments: DataFrame, vectors: DataFrame, now_h: int, age_days: int = 30) -> DataFrame:
+    """Active rows with a vector, of middling importance at most, that nobody has read for ``age_days``."""
+    idle = fragments.where((F.col("accessed_h") < now_h - 24 * age_days) & (F.col("importance") < 0.5) & ~F.col("is_anchor") & F.col("valid_to_h").isNull())
+    return idle.join(vectors.where("embedding is not null").select("id"), "id", "left_semi")

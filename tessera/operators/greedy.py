@@ -98,23 +98,29 @@ def core_memory(rows: DataFrame, slots: dict[str, int], most: int = 15, chars: i
 
 
 def resolve_duplicates(pairs: DataFrame) -> DataFrame:
-    """(topic, a, b, a_h, b_h, a_anchor, b_anchor) near-duplicate pairs -> (topic, kept, dropped): newest first, anchors stay, each row is dropped once."""
+    """(topic, a, b, a_h, b_h, a_anchor, b_anchor) near-duplicate pairs -> (topic, kept, dropped): newest first, anchors stay, each row is dropped once.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        newest = g.assign(top=g[["a_h", "b_h"]].max(axis=1)).sort_values(["top", "a", "b"], ascending=[False, True, True])
-        for r in newest.itertuples():
-            if r.a in gone or r.b in gone:
-                continue
-            keep_a = (r.a_h, -r.a) >= (r.b_h, -r.b)
-            kept, dropped, anchor = (r.a, r.b, r.b_anchor) if keep_a else (r.b, r.a, r.a_anchor)
-            if anchor:
-                continue
-            gone.add(dropped)
-            out.append((r.topic, kept, dropped))
-        return pd.DataFrame(out, columns=["topic", "kept", "dropped"])
-
-    return pairs.groupBy("topic").applyInPandas(run, "topic string, kept long, dropped long")
+    The order is that of a loop over the pairs (the newer end's time, then a, b), the work is not: in every round all pairs are decided whose outcome no undecided
+    pair before them can change, that is, none that would drop either of their ends. A row that nothing newer is near to settles all its pairs in one round.
+    """
+    keep_a = (F.col("a_h") > F.col("b_h")) | ((F.col("a_h") == F.col("b_h")) & (F.col("a") < F.col("b")))
+    turn = F.struct((-F.greatest("a_h", "b_h")).alias("top"), "a", "b")
+    rows = pairs.select("topic", F.when(keep_a, F.col("a")).otherwise(F.col("b")).alias("kept"), F.when(keep_a, F.col("b")).otherwise(F.col("a")).alias("dropped"), F.when(keep_a, F.col("b_anchor")).otherwise(F.col("a_anchor")).alias("anchor"), turn.alias("turn"))
+    with workspace(pairs.sparkSession) as step:
+        # a pair that would drop an anchor does nothing, whenever its turn comes
+        left, done = step(rows.where("not anchor").drop("anchor")), []
+        while True:
+            first = left.groupBy("topic", "dropped").agg(F.min("turn").alias("first"))
+            own = left.join(first, ["topic", "dropped"]).where("turn = first").drop("first")
+            before = first.withColumnRenamed("dropped", "kept").withColumnRenamed("first", "fate")
+            decided = step(own.join(before, ["topic", "kept"], "left").where("fate is null or fate > turn").select("topic", "kept", "dropped", "turn"))
+            done.append(decided.select("topic", "kept", "dropped"))
+            gone = decided.select("topic", F.col("dropped").alias("row"), F.col("turn").alias("gone"))
+            rest = left.join(gone.select("topic", F.col("row").alias("dropped")), ["topic", "dropped"], "left_anti")
+            rest = rest.join(gone.withColumnRenamed("row", "kept"), ["topic", "kept"], "left").where("gone is null or gone > turn").drop("gone")
+            left = step(rest)
+            if left.isEmpty():
+                return written(reduce(DataFrame.unionByName, done))
 
 
 def compress_groups(pairs: DataFrame, least: int = 3, most: int = 10) -> DataFrame:

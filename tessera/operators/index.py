@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import morphemes
 
 
 def postings(fragments: DataFrame, terms: int = 8) -> DataFrame:
     """(kind, ns, term, id): keywords and up to ``terms`` words of the text, topic and type by tenant, session for all tenants."""
     explicit = fragments.select("key_id", F.explode("keywords").alias("term"), "id").withColumn("term", F.lower("term"))
-    words = text.keywords(fragments, "id", "content", terms).select("id", F.explode("keywords").alias("term"))
-    words = words.join(fragments.select("id", "key_id"), "id").select("key_id", "term", "id")
+    words = fragments.select("key_id", F.explode(morphemes.keywords(F.col("content"), terms)).alias("term"), "id")
     parts = [explicit.unionByName(words).distinct().select(F.lit("keyword").alias("kind"), F.col("key_id").alias("ns"), "term", "id")]
     for kind, column, ns in (("topic", "topic", F.col("key_id")), ("type", "type", F.col("key_id")), ("session", "session_id", F.lit(None).cast("string"))):
         parts.append(fragments.select(F.lit(kind).alias("kind"), ns.alias("ns"), F.col(column).alias("term"), "id"))

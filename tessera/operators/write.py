@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scores, text
+from tessera.functions import morphemes, scores, text
 
 
 def upsert(fragments: DataFrame, new: DataFrame) -> DataFrame:
@@ -203,6 +203,6 @@ def reward(fragments: DataFrame, evidence: DataFrame, gain: float) -> DataFrame:
 def body_keywords(fragments: DataFrame) -> DataFrame:
     """(id, keywords) of active rows with a camel-case name in the text and none among their keywords: extracted ones are added, up to ten."""
     rows = fragments.where(F.col("valid_to_h").isNull() & text.hidden_identifier(F.col("content"), F.col("keywords")))
-    more = text.keywords(rows, "id", "content").withColumnRenamed("keywords", "extracted")
+    more = morphemes.with_keywords(rows, "id", "content").withColumnRenamed("keywords", "extracted")
     merged = rows.select("id", "keywords").join(more, "id").withColumn("merged", text.merged_keywords(F.col("keywords"), F.col("extracted")))
     return merged.where(F.size("merged") > F.size("keywords")).select("id", F.col("merged").alias("keywords"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import core, ingest, more, scoring, shared, stateful, upkeep  # noqa: F401  (they register on import)
+from tessera.plans import core, ingest, language, more, scoring, shared, stateful, upkeep  # noqa: F401  (they register on import)
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

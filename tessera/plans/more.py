@@ -37,7 +37,6 @@ MORE = {
     "k04_source_search": "select id from @fragments where session_id = 's12' order by created_h desc, id limit 20",
     "k15_ranked_injection": "select id, spent from (select id, sum(tokens) over (order by case when is_anchor then 0 else 1 end, 0.6e0 * importance + 0.4e0 * ema desc, id rows between unbounded preceding and current row) as spent from @fragments where session_id = 's8') x where spent <= 3000",
     "k18_working_memory": "select id, spent from (select id, sum(length(content)) over (order by created_h desc, id rows between unbounded preceding and current row) as spent, row_number() over (order by created_h desc, id) as rn from @fragments where session_id = 's9') x where spent <= 20000 and rn <= 10",
-    "k19_topic_suggestion": "select topic, case when topic = 'src1' then 1.0e0 when topic like '%src1%' then 0.75e0 else 0.0e0 end as score, count(*) as n from @fragments group by topic having topic like '%src1%' order by score desc, n desc, topic limit 3",
     "k23_keyset_page": "select id from @fragments where key_id = 'k1' and id < 500 order by id desc limit 25",
     "u02_union_distinct": "select to_id as id from @links where from_id = 11 union select from_id from @links where to_id = 11",
     "u04_keyword_intersection": "select id from (select id, explode_kw as keyword from @fragments, lateral_kw) x where keyword in ('that', 'thble') group by id having count(*) = 2",
@@ -45,7 +44,6 @@ MORE = {
     "g02_linked_with_rank": "select f.id, max(l.weight) as weight from @links l join @fragments f on f.id = l.to_id where l.from_id = 77 and f.valid_to_h is null group by f.id",
     # maintenance
     # scalar
-    "x39_search_path": "select id, 'L1:' || cast(l1_count as varchar(9)) || ' L2:' || cast(l2_count as varchar(9)) || ' L3:' || cast(l3_count as varchar(9)) || case when used_rrf then ' RRF' else '' end as path from @search_events",
     "x42_topic_score": "select distinct topic, case when topic = 'src1' then 1.0e0 when position('src1' in topic) > 0 then 0.75e0 else 0.0e0 end as score from @fragments",
     "x43_normal_keywords": "select id, joined_kw as keywords from @fragments",
     "x44_normal_agent": "select id, coalesce(nullif(lower(trim(agent_id)), ''), 'default') as agent from @fragments",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scores, text, vectors
+from tessera.functions import morphemes, scores, text, vectors
 from tessera.operators import index, knn, search
 from tessera.plans.core import _COS, _PAIRS, _QUERY, _lexical_sql, _query_vector
 from tessera.plans.registry import register
@@ -316,7 +316,7 @@ def terms_sql(most: int) -> str:
 
 @register("x28_keywords", duckdb_sql(f"select f.id, coalesce(k.keywords, '') as keywords from @fragments f left join (select id, string_agg(term, ' ' order by rank) as keywords from ({terms_sql(5)}) t group by id) k on k.id = f.id"))
 def x28(spark, sf_dir):
-    return text.keywords(view(spark, sf_dir, "fragments"), "id", "content").select("id", F.array_join("keywords", " ").alias("keywords"))
+    return morphemes.with_keywords(view(spark, sf_dir, "fragments"), "id", "content").select("id", F.array_join("keywords", " ").alias("keywords"))
 
 
 _POSTINGS = (

@@ -43,11 +43,8 @@ SHARED = {
     "f27_case_eligibility": "select id, case when key_id <> 'k0' then 'tenant' when case_id is null then 'no_case' when coalesce(resolution_status, 'resolved') <> 'resolved' then 'unresolved' end as blocked from @fragments",
     "f31_noise": "select 'short' as category, count(*) as n from @fragments where length(content) < 40 union all select 'weak', count(*) from @fragments where importance < 0.1 union all select 'stale', count(*) from @fragments where accessed_h is null and importance < 0.3",
     "f33_stale_by_type": f"select id, type, ({NOW_H} - coalesce(verified_h, created_h)) // 24 as days from @fragments where valid_to_h is null and ({NOW_H} - coalesce(verified_h, created_h)) // 24 >= case type when 'procedure' then 30 when 'fact' then 60 when 'decision' then 90 else 60 end order by days desc, id limit 20",
-    "f36_compression_candidates": f"select id, topic from @fragments where valid_to_h is null and importance < 0.4 and created_h < {NOW_H} - 720 and not is_anchor",
-    "f37_requeue": "select id, ema from @fragments where ema > 1.0 and importance < 0.4 and quality_verified is null order by ema desc, id limit 20",
     "f38_reflection_gate": "select session_id, count(*) as calls, (max(us) - min(us)) // 1000000 as seconds from @search_events group by session_id having count(*) >= 3 and max(us) - min(us) >= 30000000",
     "f40_size_cap": "select id, length(content) as chars from @fragments where length(content) > 4000",
-    "f45_pending_sessions": "select distinct s.session_id from @search_events s where not exists (select 1 from @task_feedback t where t.session_id = s.session_id and t.outcome = 'failed' and t.unmet = 2)",
     "f47_consolidation_gate": "select n_new >= 100 or n_pending >= 50 or n_dup >= 5 as fire, n_new, n_pending, n_dup from (select count(*) filter (where created_h > 4000) as n_new, count(*) filter (where quality_verified is null) as n_pending, count(*) - count(distinct content_hash) as n_dup from @fragments) x",
     # joins
     "j01_link_targets": "select l.from_id, l.relation_type, f.id, f.type from @links l join @fragments f on f.id = l.to_id where l.relation_type = 'superseded_by'",
@@ -95,14 +92,12 @@ SHARED = {
     "a30_workspace_fill": "select key_id, count(*) as total, count(workspace) as filled, round(count(workspace) / cast(count(*) as double), 6) as rate from @fragments group by key_id",
     "a31_key_stats": "select key_id, count(*) as total, count(*) filter (where type = 'fact') as facts, count(*) filter (where type = 'decision') as decisions, count(*) filter (where type = 'error') as errors, count(*) filter (where type = 'procedure') as procedures, count(*) filter (where is_anchor) as anchors, count(*) filter (where valid_to_h is null) as active, count(*) filter (where workspace is null) as unscoped, count(distinct topic) as topics from @fragments group by key_id",
     "a32_majority_vote": "select topic, workspace, n from (select topic, workspace, count(*) as n, sum(count(*)) over (partition by topic) as total, row_number() over (partition by topic order by count(*) desc, workspace) as rn from @fragments where workspace is not null group by topic, workspace) x where rn = 1 and n >= 0.4e0 * total",
-    "a33_utility_baseline": "select coalesce(round(avg(importance), 6), 1.0e0) as baseline from @fragments where is_anchor and valid_to_h is null",
     "a34_case_frequency": "select case_id, count(*) as n from @fragments where topic = 'src2' group by case_id order by n desc, case_id limit 10",
     "a35_daily_usage": "select key_id, us // 86400000000 as day, count(*) as calls from @search_events group by key_id, us // 86400000000",
     "a37_counter_rates": "select key_id, day, calls, greatest(0, calls - lag(calls) over (partition by key_id order by day)) as delta from (select key_id, us // 86400000000 as day, count(*) as calls from @search_events group by key_id, us // 86400000000) x",
     "a38_zero_hits": "select query_type, count(*) as n, round(avg(case when result_count = 0 then 1.0e0 else 0.0e0 end), 6) as zero_rate from @search_events group by query_type",
     "a39_recall_quality": "select round(100.0e0 * count(*) filter (where quality_verified) / nullif(count(*), 0), 6) as verified_pct, round(100.0e0 * count(*) filter (where accessed_h is not null) / nullif(count(*), 0), 6) as accessed_pct, round(100.0e0 * count(*) filter (where workspace is null) / nullif(count(*), 0), 6) as unscoped_pct from @fragments",
     "a40_group_members": "select n.n_nationkey as group_id, count(k.key_id) as members from @nation n left join @api_keys k on k.group_id = n.n_nationkey group by n.n_nationkey",
-    "a43_gate_preview": "select type, count(*) as n from @fragments where importance < 0.2 and not is_anchor group by type",
     "a44_calls_today": f"select coalesce(sum(calls), 0) as calls from (select count(*) as calls from @search_events where us >= {NOW_US} - 172800000000 and us < {NOW_US} - 86400000000 group by key_id) x",
     # windows
     "w03_keep_per_type": "select id, type, rn from (select id, type, row_number() over (partition by type order by importance desc, created_h desc, id) as rn from @fragments) x where rn > 5",
@@ -131,7 +126,6 @@ SHARED = {
     "c22_event_retention": f"select count(*) filter (where us < {NOW_US} - 2160000000000) as expired, count(*) filter (where us >= {NOW_US} - 2160000000000) as kept from @search_events",
     # scalar functions
     "x21_token_estimate": "select id, (length(content) + 3) // 4 as tokens from @fragments",
-    "x38_query_type": "select id, case when l1_count > 0 and l3_count > 0 then 'mixed' when l3_count > 0 then 'text' when l1_count > 0 then 'keywords' else 'none' end as kind from @search_events",
     # writes as change sets
     # batch forms of stateful pieces
     "t09_rate_window": "select id, n from (select id, count(*) over (partition by session_id order by us range between 60000000 preceding and current row) as n from @search_events) x",

@@ -531,8 +531,8 @@ def w10(spark, sf_dir):
     "with c as (select id, key_id, topic, type, case_id, importance, case when id % 4 = 0 then 'negative' when id % 4 = 1 then 'uncertain' else 'positive' end as p from @fragments) "
     "select least(a.id, b.id) as a, greatest(a.id, b.id) as b from c a join c b on a.p = 'positive' and b.p = 'negative' and a.topic = b.topic and a.case_id % 2 = b.case_id % 2 and a.key_id is not distinct from b.key_id and a.importance >= 0.4 and b.importance >= 0.4"))
 def j08(spark, sf_dir):
-    told = F.concat(F.lit("x "), F.when(F.col("id") % 4 == 0, "is not so").when(F.col("id") % 4 == 1, "might be so").otherwise("is so"))
-    claims = view(spark, sf_dir, "fragments").select("id", "key_id", F.col("topic").alias("subject"), F.lit("state").alias("predicate"), (F.col("case_id") % 2).alias("object"), text.polarity(told).alias("polarity"), (0.5 + F.col("importance") / 2).alias("confidence"))
+    told = F.when(F.col("id") % 4 == 0, "negative").when(F.col("id") % 4 == 1, "uncertain").otherwise("positive")
+    claims = view(spark, sf_dir, "fragments").select("id", "key_id", F.col("topic").alias("subject"), F.lit("state").alias("predicate"), (F.col("case_id") % 2).alias("object"), told.alias("polarity"), (0.5 + F.col("importance") / 2).alias("confidence"))
     return graph.polarity_conflicts(claims)
 
 

@@ -99,13 +99,9 @@ def test_sentences_pack(spark):
     assert r.p == ["One. Two!", "Three?", "Four"]
 
 
-def test_polarity_and_gates(spark):
-    r = one(spark, u=text.polarity(F.lit("Maybe it is not so")), n=text.polarity(F.lit("It is not so")), p=text.polarity(F.lit("It is so")), m=text.modalities(F.lit("확인해야 한다. 곧 제출할 예정이다")), a=text.missing_anchors(F.lit("v1.2 in 30% of 5"), F.lit("30% of them")))
-    assert (r.u, r.n, r.p) == ("uncertain", "negative", "positive") and r.m == ["future", "obligation"] and r.a == ["1.2", "5"]
-
-
-def test_scripts():
-    assert text.scripts("한국어abc 漢字カナ") == [("hangul", "한국어"), ("latin", "abc"), ("han", "漢字"), ("kana", "カナ")]
+def test_modalities_and_anchors(spark):
+    r = one(spark, m=text.modalities(F.lit("확인해야 한다. 곧 제출할 예정이다")), a=text.missing_anchors(F.lit("v1.2 in 30% of 5"), F.lit("30% of them")))
+    assert r.m == ["future", "obligation"] and r.a == ["1.2", "5"]
 
 
 @pytest.mark.parametrize("phrase, day", [("3일 전", "2026-03-25"), ("1주 전", "2026-03-21"), ("3주 전", "2026-03-07"), ("2개월 전", "2026-01-28"), ("1개월 전", "2026-02-28"), ("1년 전", "2025-03-28"), ("yesterday", "2026-03-27")])
