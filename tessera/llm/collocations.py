@@ -32,7 +32,7 @@ from tessera.llm.common import K1, K3, batch, materialise, mix, raw_bytes, setti
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 #: Words of a shard; texts of an Arrow batch.
-SHARD, BATCH = 1_500_000, 500
+SHARD, BATCH = 1_000_000, 250
 #: Bits of a filter (16 MB) at most.
 FILTER_BITS = 1 << 27
 #: Parts of a language that are ranked apart before they meet.
