@@ -155,9 +155,9 @@ def merge_duplicates(s: Snapshot) -> Snapshot:
     return replace(s, fragments=s.fragments.join(moved.select("id"), "id", "left_anti"), links=links)
 
 
-def semantic_dedup(s: Snapshot, floor: float = 0.92) -> Snapshot:
-    """Newer rows of near-equal meaning replace older ones inside a topic; access counts are summed."""
-    pairs = knn.similar_pairs(s.vectors.join(s.fragments.where("valid_to_h is null").select("id"), "id", "left_semi"), floor)
+def semantic_dedup(s: Snapshot, floor: float = 0.92, k: int = 3) -> Snapshot:
+    """Newer rows of near-equal meaning replace older ones among a row's k nearest inside a topic; access counts are summed."""
+    pairs = knn.nearest_pairs(s.vectors.join(s.fragments.where("valid_to_h is null").select("id"), "id", "left_semi"), k, floor)
     side = lambda c: s.fragments.select(F.col("id").alias(c), F.col("created_h").alias(f"{c}_h"), F.col("is_anchor").alias(f"{c}_anchor"))
     gone = greedy.resolve_duplicates(pairs.join(side("a"), "a").join(side("b"), "b"))
     add = gone.join(s.fragments.select(F.col("id").alias("dropped"), "access_count"), "dropped").groupBy(F.col("kept").alias("id")).agg(F.sum("access_count").alias("__add"))

@@ -1,12 +1,14 @@
-"""Order-dependent selections on small result lists, one group at a time by applyInPandas.
-
-Groups are result lists of a query (tens of rows), or one topic's candidate pairs after thresholds.
-"""
+"""Order-dependent selections: on result lists of a query (tens of rows) one list at a time by applyInPandas; of near duplicates in rounds over all pairs."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.sources.scratch import workspace, written
 
 
 def _overlap(a: set, b: set) -> float:

@@ -74,6 +74,12 @@ def similar_pairs(vectors: DataFrame, floor: float, block: int = BLOCK, k: int |
     return rows.repartition("topic", "i", "j").sortWithinPartitions("topic", "i", "j").mapInArrow(run, "topic string, a long, b long, similarity double")
 
 
+def nearest_pairs(vectors: DataFrame, k: int, floor: float, block: int = BLOCK) -> DataFrame:
+    """(topic, a, b, similarity) for a < b where either is among the k nearest of the other: at most k pairs a row."""
+    near = nearest(vectors, k, floor, block).select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return near.join(vectors.select(F.col("id").alias("a"), "topic"), "a").select("topic", "a", "b", "similarity")
+
+
 def nearest(vectors: DataFrame, k: int, floor: float, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, similarity, rank): the k nearest rows of the same topic at or above the floor."""
     pairs = similar_pairs(vectors, floor, block, k)

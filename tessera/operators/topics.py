@@ -36,15 +36,15 @@ def suggest(topics: DataFrame, asked: DataFrame, limit: int = LIMIT, floor: floa
     weight), so topics without a common word are never paired for it. Topics at ``floor`` or above come first, by cosine; then those that are lexically near, by
     that score and their size. ``words`` makes the words and may be an analyser's. ``topics`` is a pool of bounded size (``candidates``); it is broadcast.
     """
-    total = topics.agg(F.count("*").alias("total"))
+    total = topics.count()
     posted = topics.select("topic", "n", F.explode(words(F.col("topic"))).alias("word"))
-    df = posted.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
+    df = posted.groupBy("word").agg(F.log(1 + total / F.count("*")).alias("idf"))
     weighed = posted.join(df, "word")
     norms = weighed.groupBy("topic").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     weighed = weighed.join(norms, "topic").select("word", "topic", (F.col("idf") / F.col("norm")).alias("weight"))
     names = asked.select("asked").where("trim(asked) != ''").distinct()
     # a word that no topic has still lengthens the asked vector, as the rarest word would
-    mine = names.select("asked", F.explode(words(F.col("asked"))).alias("word")).join(df, "word", "left").crossJoin(F.broadcast(total)).select("asked", "word", F.coalesce("idf", F.log(1 + F.col("total"))).alias("idf"))
+    mine = names.select("asked", F.explode(words(F.col("asked"))).alias("word")).join(df, "word", "left").select("asked", "word", F.coalesce("idf", F.log(F.lit(1.0 + total))).alias("idf"))
     mine = mine.withColumn("weight_a", F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("asked"))))
     cosine = mine.join(weighed, "word").groupBy("asked", "topic").agg(F.round(F.sum(F.col("weight_a") * F.col("weight")), 9).alias("cosine")).where(F.col("cosine") >= floor)
     # the pool is bounded, so are its pairs with each name

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import morphemes, records
-from tessera.operators import claims, consolidate, topics
+from tessera.operators import claims, consolidate, ivf, topics
 from tessera.plans.registry import register
 from tessera.plans.scoring import _UTILITY, quoted, utility, utility_baseline
 from tessera.plans.shared import NOW_US
@@ -159,3 +159,34 @@ def x39(spark, sf_dir):
     third = F.when(F.col("result_count") % 2 == 0, F.concat(F.lit("L3:"), F.col("l3_count").cast("string"))).otherwise(F.concat(F.lit("L3kw:"), (F.col("l3_count") + 10).cast("string")))
     path = F.concat_ws(" → ", F.when(F.col("l1_count") > 0, F.concat(F.lit("L1:"), F.col("l1_count").cast("string"))), F.concat(F.lit("L2:"), F.col("l2_count").cast("string")), third, F.when(F.col("used_rrf"), F.lit("RRF")))
     return e.select("id", records.search_path(path).alias("p")).select("id", "p.*")
+
+
+# the stored vector index
+
+_INDEXED = ("agent_id", "key_id", "workspace", "type", "topic", "valid_to_h")
+_SCOPED = "(agent_id = 'agent1' or agent_id = 'default') and valid_to_h is null and (workspace = 'en' or workspace is null)"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: cast(z[1] as double) * cast(z[2] as double)))"
+_COSINE = "{d} / (sqrt({x}) * sqrt({y}))".format(d=_DOT.format(a="v.embedding", b="q.embedding"), x=_DOT.format(a="v.embedding", b="v.embedding"), y=_DOT.format(a="q.embedding", b="q.embedding"))
+
+
+def _index(spark, sf_dir):
+    """The index over all vectors with the columns that searches filter by, and the vectors of rows with ids divisible by 50 as queries."""
+    f, v = view(spark, sf_dir, "fragments").select("id", *_INDEXED), view(spark, sf_dir, "vectors")
+    built = ivf.build(v.select("id", "embedding").join(f, "id"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", _INDEXED, "key_id")
+    return built, v.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+
+
+@register("j15_indexed_exact", duckdb_sql(
+    f"select qid, id, rank from (select q.id as qid, v.id, row_number() over (partition by q.id order by round({_COSINE}, 9) desc, v.id) as rank from @vectors v join @vectors q on q.id % 50 = 0 where v.id in (select id from @fragments where {_SCOPED})) x where rank <= 10"))
+def j15_indexed_exact(spark, sf_dir):
+    """Filtered nearest neighbours through the index with every cell probed."""
+    built, asked = _index(spark, sf_dir)
+    return ivf.search(built, asked, where=F.expr(_SCOPED), exact=True).select("qid", "id", "rank")
+
+
+@register("j15_indexed_recall")
+def j15_indexed_recall(spark, sf_dir):
+    """Recall at 10 of the filtered search that probes 16 cells."""
+    built, asked = _index(spark, sf_dir)
+    found = ivf.search(built, asked, where=F.expr(_SCOPED))
+    return ivf.recall(found, ivf.search(built, asked, where=F.expr(_SCOPED), exact=True))

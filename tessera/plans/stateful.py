@@ -61,15 +61,13 @@ def t11(spark, sf_dir):
 
 @register("t12_adaptive_threshold", duckdb_sql(
     "with e as (select key_id, query_type, us // 3600000000 % 24 as hour, row_number() over w as n, sum(result_count) over w as total from @search_events window w as (partition by key_id, query_type, us // 3600000000 % 24 order by us, id rows between unbounded preceding and current row)), "
-    "m as (select *, case when n < 5 then 0.0e0 when total < 2 * n then -0.01e0 when total > 3 * n then 0.01e0 else 0.0e0 end as move from e) "
+    "m as (select *, case when n < 50 then 0.0e0 when total < n then -0.01e0 when total > 8 * n then 0.01e0 else 0.0e0 end as move from e) "
     "select key_id || '/' || query_type || '/' || hour as slot, max(n) as n, round(list_reduce(list_prepend(0.4e0, list(move order by n)), lambda a, x: least(0.6e0, greatest(0.1e0, a + x))), 6) as threshold from m group by key_id, query_type, hour"))
 def t12(spark, sf_dir):
-    """By tenant, kind of query and hour; the tables are small, so the gate is 5 samples and the band 2 to 3 results here."""
-
     def step(state, row):
         threshold, n, total = state
         n, total = n + 1, total + row.result_count
-        threshold = adaptive.adapt(threshold, n, total / n, gate=5, few=2, many=3)
+        threshold = adaptive.adapt(threshold, n, total / n)
         return (threshold, n, total), (row.slot, n, round(threshold, 6))
 
     slot = F.concat_ws("/", "key_id", "query_type", F.expr("us div 3600000000 % 24"))
