@@ -1,12 +1,13 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 The words of a source's documents, in a pseudorandom document order, are one stream cut into blocks of
-``block_words``. A source has as many output slots as its target is blocks (rounded, so no target is missed by more than half a
-block and its last short one), and every slot falls to an output shard by a uniform draw: given the totals, a source's counts over
-the shards are multinomial. Shards number one for every ``shard_blocks`` slots. Slot i of a source takes block
-perm(i mod blocks), perm being a keyed pseudorandom permutation of the source's block numbers, so that every block
+``block_words``. The mix has as many slots as the targets are blocks, in output shards of ``shard_blocks`` slots. Every slot of the first
+half draws its source by the targets' shares: a shard's counts are multinomial. The shards of the second half draw by what each source still
+lacks: whole parts of the expectation, and a multinomial draw of the rest, so that totals end within about a slot of the targets whatever came before. The
+counts by (shard, source) are written (``counts_of``), and a shard's slots of a source are the next so many numbers of that source.
+Slot i of a source takes block perm(i mod blocks), perm being a keyed pseudorandom permutation of the source's block numbers, so that every block
 comes before any comes again. Slots and blocks are joined by (source, block): ``mixed`` has one row for every part of a
-document in a slot, ``texts`` cuts out the words, and ``mix`` sums what each document gave.
+document in a slot, ``texts`` cuts out the words, and ``mix`` sums what each document gave. A source never has more than ``cap`` slots a block.
 
 Sources sorted by code point (null last) weigh 1, 2, 3, repeating, unless weights are given; a target stops
 at ``cap`` times its source's size and the excess is reshared by weight, which is the level where the sum
@@ -24,6 +25,7 @@ passed over. Reruns agree: every draw is a hash.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,26 +66,63 @@ def target_table(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return ranked.select("no_source", "source", "source_size", "weight", target.alias("target"))
 
 
-def drawn(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(no_source, source, blocks, slot, shard) from sources with ``blocks`` and ``want`` (slots wanted): every slot's shard."""
-    zero = F.lit(0).cast("long")
-    s = sources.withColumn("slots", F.round("want").cast("long")).where("slots > 0").select("no_source", "source", "blocks", "slots")
-    shards = -(-(s.agg(F.sum("slots")).first()[0] or 0) // shard_blocks)
-    s = s.withColumn("chunk", F.explode(F.sequence(zero, F.floor((F.col("slots") - 1) / CHUNK).cast("long"))))
-    # few short rows become very many: a fixed number of partitions, which isn't merged by their size before
-    wide = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = s.repartition(wide, "no_source", "source", "chunk")
-    last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
-    s = s.select("no_source", "source", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
-    shard = F.floor(_unit(F.col("no_source"), F.col("source"), F.col("slot"), F.lit(seed + 2)) * shards).cast("long")
-    return s.select("no_source", "source", "blocks", "slot", shard.alias("shard"))
+def _shares(rows: DataFrame, share: str) -> DataFrame:
+    """One row: ``cdf``, an array of (no_source, source, upto) with running sums of the share over sources that have any; ``share`` sums up to ``total``."""
+    running = Window.orderBy("no_source", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.where(F.col(share) > 0).select("no_source", "source", F.sum(share).over(running).alias("upto"))
+    return own.agg(F.array_sort(F.collect_list(F.struct("no_source", "source", "upto"))).alias("cdf"), F.max("upto").alias("total")).withColumn("one", F.lit(1))
+
+
+def _picked(slots: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
+    """(shard, no_source, source, slots): slots (shard, j) that each draw a source, counted."""
+    at = _unit("shard", "j", F.lit(seed)) * F.col("total")
+    found = slots.withColumn("one", F.lit(1)).join(shares, "one").withColumn("at", at)
+    k = F.least(F.size(F.filter("cdf", lambda c: c["upto"] <= F.col("at"))), F.size("cdf") - 1)
+    return found.select("shard", F.get("cdf", k).alias("s")).groupBy("shard", "s.no_source", "s.source").agg(F.count("*").alias("slots"))
+
 
+def _numbered(first: int, shards: int, total: int, each: int, spark) -> DataFrame:
+    """(shard, j): slots 0.. of each shard from ``first`` on, ``each`` of them but for the last, ``total`` in all."""
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(0, shards, 1, wide).select(F.col("id"), F.least(F.lit(each).cast("long"), F.lit(total) - F.col("id") * each).alias("n"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK).cast("long")))).repartition(wide, "id", "chunk")
+    j = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1))
+    return rows.select((F.col("id") + first).alias("shard"), j.alias("j"))
 
-def shard_counts(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """(no_source, source, shard, slots, first): how many slots of a source each shard drew, and how many earlier shards did."""
-    s = drawn(sources, shard_blocks, seed).groupBy("no_source", "source", "shard").agg(F.count("*").alias("slots"))
+
+def counts_of(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, draw_seed: int = SEED + 2) -> DataFrame:
+    """(no_source, source, shard, slots, first): how many slots of a source each shard draws, and the first of their numbers. Written once.
+
+    ``sources`` has ``blocks`` and ``want`` (slots wanted) and may have ``most_slots``, which a source's slots never pass.
+    """
+    spark = sources.sparkSession
+    s = sources.where("want > 0").select("no_source", "source", "want")
+    total = round(s.agg(F.sum("want")).first()[0] or 0)
+    free = total - total // 2
+    shards, rest = -(-free // shard_blocks), total - free
+    drawn = materialise(_picked(_numbered(0, shards, free, shard_blocks, spark), _shares(s, "want"), draw_seed))
+    parts = [drawn]
+    if rest:
+        have = drawn.groupBy("no_source", "source").agg(F.sum("slots").alias("have"))
+        lacks = s.join(have, ["no_source", "source"], "left").withColumn("lack", F.greatest(F.lit(0.0), F.col("want") - F.coalesce("have", F.lit(0))))
+        lacks = materialise(lacks)
+        scale = rest / (lacks.agg(F.sum("lack")).first()[0] or 1.0)
+        lacks = lacks.withColumn("whole", F.floor(F.col("lack") * scale).cast("long")).withColumn("part", F.col("lack") * scale - F.col("whole"))
+        left = rest - (lacks.agg(F.sum("whole")).first()[0] or 0)
+        more = -(-rest // shard_blocks)
+        extra = _picked(spark.range(left).select(F.lit(-1).cast("long").alias("shard"), F.col("id").alias("j")), _shares(lacks, "part"), draw_seed).drop("shard")
+        late = lacks.select("no_source", "source", F.col("whole").alias("slots")).unionByName(extra).groupBy("no_source", "source").agg(F.sum("slots").alias("slots")).where("slots > 0")
+        # every slot of the second half falls to one of the last shards
+        late = late.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long"))))
+        late = late.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "no_source", "source", "chunk")
+        late = late.select("no_source", "source", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("j"))
+        shard = F.floor(_unit("no_source", "source", "j", F.lit(draw_seed)) * more).cast("long") + shards
+        parts.append(late.groupBy(shard.alias("shard"), "no_source", "source").agg(F.count("*").alias("slots")).select("shard", "no_source", "source", "slots"))
     before = Window.partitionBy("no_source", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return s.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long")))
+    counts = reduce(DataFrame.unionByName, parts).withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long")))
+    if "most_slots" in sources.columns:
+        counts = counts.join(sources.select("no_source", "source", "most_slots"), ["no_source", "source"]).withColumn("slots", F.least("slots", F.col("most_slots") - F.col("first"))).where("slots > 0")
+    return materialise(counts.select("no_source", "source", "shard", "slots", "first"))
 
 
 def permuted(i: Column, blocks: Column, no_source: Column, source: Column, seed: int = SEED, rounds: int = 16) -> Column:
@@ -113,17 +152,24 @@ def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int | No
     sizes = sums.groupBy("no_source", "source").agg(F.sum("bucket_size").alias("source_size"))
     sources = target_table(sizes, cap)
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    sources = sources.withColumn("blocks", blocks).withColumn("want", F.when(F.col("blocks") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0))
+    sources = sources.withColumn("blocks", blocks).withColumn("most_slots", F.floor(blocks * float(cap)).cast("long")).withColumn("want", F.when(F.col("blocks") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0))
     placed = sized.join(sums.drop("bucket_size"), ["no_source", "source", "bucket"])
     inside = Window.partitionBy("no_source", "source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
     placed = placed.withColumn("off", F.col("base") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     return materialise(placed.drop("base", "bucket")), materialise(sources)
 
 
-def slots_of(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """The mix as (shard, no_source, source, slot, block)."""
+def slots_of(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, draw_seed: int | None = None) -> DataFrame:
+    """The mix as (shard, no_source, source, slot, block): the slots that the written counts give each shard, and the blocks they take."""
+    counts = counts_of(sources, shard_blocks, seed + 2 if draw_seed is None else draw_seed)
+    # few short rows become very many: a fixed number of partitions, which isn't merged by their size before
+    counts = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long"))))
+    counts = counts.join(sources.select("no_source", "source", "blocks"), ["no_source", "source"])
+    counts = counts.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "no_source", "source", "shard", "chunk")
+    last = F.col("first") + F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
+    slots = counts.select("shard", "no_source", "source", "blocks", F.explode(F.sequence(F.col("first") + F.col("chunk") * CHUNK, last)).alias("slot"))
     place = permuted(F.col("slot"), F.col("blocks"), F.col("no_source"), F.col("source"), seed)
-    return drawn(sources, shard_blocks, seed).select("shard", "no_source", "source", "slot", place.alias("block"))
+    return slots.select("shard", "no_source", "source", "slot", place.alias("block"))
 
 
 def pieces_of(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -135,13 +181,13 @@ def pieces_of(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return full.withColumns({"from": begin - F.col("off"), "words": words})
 
 
-def mixed(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+def mixed(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, draw_seed: int | None = None) -> DataFrame:
     """The mixed corpus by reference: (shard, no_source, source, slot, block, off, doc_id, size, from, words), a row for each part of a document in a slot.
 
     A slot holds the parts of its block in order of ``off``: ``words`` words of the document from word ``from`` on. A block is in at most ``cap`` slots.
     """
     # the planner takes exploded rows for as few as the table they come from: no broadcast here
-    return slots_of(sources, shard_blocks, seed).join(pieces_of(placed, block_words).hint("merge"), ["no_source", "source", "block"])
+    return slots_of(sources, shard_blocks, seed, draw_seed).join(pieces_of(placed, block_words).hint("merge"), ["no_source", "source", "block"])
 
 
 def texts(docs: DataFrame, **options: object) -> DataFrame:
@@ -162,12 +208,12 @@ def texts(docs: DataFrame, **options: object) -> DataFrame:
     return cut.groupBy("shard", "no_source", "source", "slot").agg(joined.alias("text"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int | None = None, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int | None = None, cap: float = 3.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, draw_seed: int | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row: what the mixed corpus has of it."""
     placed, sources = blocks_of(docs, block_words, buckets, cap, seed)
     # an offset is one row's own: only rows of size 0 share theirs
     own = ["no_source", "source", "off", "doc_id", "size"]
-    taken = mixed(placed, sources, block_words, shard_blocks, seed).groupBy(*own).agg(F.sum("words").alias("taken"))
+    taken = mixed(placed, sources, block_words, shard_blocks, seed, draw_seed).groupBy(*own).agg(F.sum("words").alias("taken"))
     none = placed.select(*own, F.lit(0).cast("long").alias("taken"))
     by_row = taken.unionByName(none.where("size > 0")).groupBy(*own).agg(F.max("taken").alias("taken")).unionByName(none.where("size = 0"))
     # one row a source: broadcast by the optimiser when it is small, else joined by shuffle

@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 pytest.importorskip("tessera.llm")
 
@@ -224,57 +225,123 @@ def test_mix_takes_odd_rows(spark):
 
 def test_shards_follow_expectation(spark):
     sources = spark.createDataFrame([(False, "a", 100, 70.4), (False, "b", 300, 500.3), (True, "", 50, 29.3)], "no_source boolean, source string, blocks long, want double")
-    got = mixing.shard_counts(sources, shard_blocks=60).collect()
+    got = mixing.counts_of(sources, shard_blocks=60).collect()
+    assert sum(r.slots for r in got) == 600 and sum(r.slots for r in got if r.shard == 0) == 60
     for key, want in (("a", 70.4), ("b", 500.3), ("", 29.3)):
         mine = sorted((r.shard, r["first"], r.slots) for r in got if r.source == key)
         assert abs(sum(m[2] for m in mine) - want) <= 10 and all(a[1] + a[2] == b[1] for a, b in zip(mine, mine[1:]))
+    capped = mixing.counts_of(sources.withColumn("most_slots", F.lit(70).cast("long")), shard_blocks=60).groupBy("source").agg(F.sum("slots").alias("n")).collect()
+    assert max(r.n for r in capped) == 70
+
+
+def spark_hash(*parts):
+    """The engine's 64-bit hash of columns, once more: XXH64 with the hash of the columns before as seed."""
+    h = 42
+    for p in parts:
+        if p is not None:
+            data = p.encode() if isinstance(p, str) else p[0].to_bytes(4, "little", signed=True) if isinstance(p, tuple) else int(p).to_bytes(4 if isinstance(p, bool) else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, h)
+    return h
+
+
+def brute_mix(rows, block_words, shard_blocks, seed, draw_seed):
+    """Taken words by (source, doc_id, size): targets given, everything drawn and placed anew. ``rows`` are (doc_id, source, size)."""
+    signed = lambda h: h - (h >> 63 << 64)
+    unit = lambda *p: (spark_hash(*p) >> 11) * 2.0**-53
+    buckets = 1 + math.isqrt(len(rows))
+    of = collections.defaultdict(list)
+    for doc, source, size in rows:
+        of[source is None, source or ""].append((signed(spark_hash(doc, (seed,))) % buckets, signed(spark_hash(doc, (seed + 1,))), doc if doc is not None else -1, size, doc))
+    sizes = {k: sum(r[3] for r in v) for k, v in of.items()}
+    order = sorted(of, key=lambda k: (k[0], k[1].encode()))
+    weight = {k: i % 3 + 1 for i, k in enumerate(order)}
+    fixed, free = {}, dict(sizes)
+    while free:
+        level = (sum(sizes.values()) - sum(fixed.values())) / sum(weight[k] for k in free)
+        over = [k for k in free if weight[k] * level > 3 * free[k]]
+        if not over:
+            break
+        for k in over:
+            fixed[k] = 3 * free.pop(k)
+    target = fixed | {k: weight[k] * level for k in free}
+    blocks = {k: -(-sizes[k] // block_words) for k in order}
+    want = {k: target[k] / sizes[k] * blocks[k] for k in order if sizes[k]}
+    total = round(sum(want.values()))
+
+    def pick(shares, at):
+        upto, names = 0.0, [k for k in order if shares.get(k, 0) > 0]
+        ends = [upto := upto + shares[k] for k in names]
+        return names[min(sum(e <= at * ends[-1] for e in ends), len(names) - 1)]
+
+    counts, number = collections.Counter(), total - total // 2
+    for i in range(number):
+        counts[pick(want, unit(i // shard_blocks, i % shard_blocks, (draw_seed,)))] += 1
+    lack = {k: max(0.0, want[k] - counts[k]) for k in want}
+    scale = (total - number) / sum(lack.values())
+    whole = {k: math.floor(lack[k] * scale) for k in lack}
+    part = {k: lack[k] * scale - whole[k] for k in lack}
+    for j in range(total - number - sum(whole.values())):
+        counts[pick(part, unit(-1, j, (draw_seed,)))] += 1
+    taken = collections.Counter()
+    for k in want:
+        times = collections.Counter()
+        for i in range(min(counts[k] + whole[k], 3 * blocks[k])):
+            x = i % blocks[k]
+            for r in range(1, 17):
+                other = (signed(spark_hash(k[0], k[1], (r,), (seed,))) % blocks[k] - x) % blocks[k]
+                if spark_hash(max(x, other), (r,), k[0], k[1], (seed + 1,)) & 1:
+                    x = other
+            times[x] += 1
+        off = 0
+        for *_, size, doc in sorted(of[k], key=lambda r: r[:4]):
+            for w in range(off, off + size):
+                taken[k, doc, size] += times[w // block_words]
+            off += size
+    return +taken, target
 
 
 def test_taken_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows += [(9_001, "one two three", None), (9_001, "one two three", None), (9_002, None, None), (9_003, "solo", "zz")]
     docs = docs_of(spark, rows)
+    brief = [(i, source, len((t or "").split())) for i, t, source in rows]
+    seen = []
+    for draw_seed in (7, 8):
+        want, target = brute_mix(brief, 16, 500, mixing.SEED, draw_seed)
+        got = collections.Counter()
+        for r in mixing.mix(docs, block_words=16, shard_blocks=500, draw_seed=draw_seed).collect():
+            key = (r.source is None, r.source or "")
+            got[key, r.doc_id, r["size"]] += r.taken
+            assert abs(r.target - target[key]) < 1e-6
+        assert +got == want
+        seen.append(got)
+    assert seen[0] != seen[1]  # what is taken follows from the draw
+
+
+def test_texts_hold_the_blocks_of_their_slots(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     placed, sources = mixing.blocks_of(docs, block_words=16)
-    plan = {(r.no_source, r.source): r for r in sources.collect()}
-    slots = collections.defaultdict(list)
-    for r in mixing.slots_of(sources, shard_blocks=500).collect():
-        slots[r.no_source, r.source].append(r)
-    # each source's stream of words, rebuilt one word at a time
+    text = {r.doc_id: (r.text or "").split() for r in docs.collect()}
     stream = collections.defaultdict(list)
     for r in sorted(placed.collect(), key=lambda r: r.off):
-        assert not r["size"] or len(stream[r.no_source, r.source]) == r.off
         stream[r.no_source, r.source] += [(r.doc_id, k) for k in range(r["size"])]
-    want = collections.Counter()
-    for key, mine in slots.items():
-        blocks = math.ceil(len(stream[key]) / 16)
-        times = collections.Counter(r.block for r in mine)
-        assert len(mine) == round(plan[key].want) and set(times) <= set(range(blocks)) and sorted(r.slot for r in mine) == list(range(len(mine)))
-        assert all(times[b] in (len(mine) // blocks, -(-len(mine) // blocks)) for b in range(blocks))
-        for b, n in times.items():
-            for doc_id, _ in stream[key][b * 16 : b * 16 + 16]:
-                want[doc_id] += n
-    got = collections.Counter()
-    for r in mixing.mix(docs, block_words=16, shard_blocks=500).collect():
-        got[r.doc_id] += r.taken
-        assert abs(r.target - plan[r.source is None, r.source or ""].target) < 1e-9
-    assert +got == +want
-    text = {i: (t or "").split() for i, t, _ in rows}
+    slots = {(r.no_source, r.source, r.slot): (r.shard, r.block) for r in mixing.slots_of(sources).collect()}
     blocks = mixing.texts(docs, block_words=16).collect()
-    assert len(blocks) == sum(map(len, slots.values()))
+    assert len(blocks) == len(slots)
     for r in blocks[:200]:
-        b = next(x.block for x in slots[r.no_source, r.source] if x.slot == r.slot)
-        assert r.text.split() == [text[i][k] for i, k in stream[r.no_source, r.source][b * 16 : b * 16 + 16]]
+        shard, b = slots[r.no_source, r.source, r.slot]
+        assert r.shard == shard and r.text.split() == [text[i][k] for i, k in stream[r.no_source, r.source][b * 16 : b * 16 + 16]]
 
 
 def test_shards_draw_multinomial_counts(spark):
-    sources = spark.createDataFrame([(False, "a", 100, 30_000.0), (False, "b", 300, 9_000.2), (True, "", 50, 1_000.4)], "no_source boolean, source string, blocks long, want double")
-    got = mixing.shard_counts(sources, shard_blocks=1000).collect()
+    sources = spark.createDataFrame([(False, "a", 100, 30_000.0), (False, "b", 300, 9_000.2), (True, "", 50, 999.8)], "no_source boolean, source string, blocks long, want double")
+    got = mixing.counts_of(sources, shard_blocks=1000).collect()
     for key, want in (("a", 30_000), ("b", 9_000), ("", 1_000)):
-        n = [r.slots for r in got if r.source == key]
-        assert sum(n) == want and max(r.shard for r in got) == 39
-        n += [0] * (40 - len(n))
-        spread = sum((x - want / 40) ** 2 for x in n) / (want / 40)
-        assert 18 < spread < 70  # chi square of 39 degrees: neither fixed counts nor clumps
+        n = [r.slots for r in got if r.source == key and r.shard < 20]
+        assert abs(sum(r.slots for r in got if r.source == key) - want) <= 2 and max(r.shard for r in got) == 39
+        n += [0] * (20 - len(n))
+        spread = sum((x - want / 40) ** 2 for x in n) / (want / 40 * (1 - want / 40_000))
+        assert 6 < spread < 45  # chi square of 20 degrees: neither fixed counts nor clumps
 
 
 # URL filter
