@@ -5,7 +5,8 @@ lines (blocks) are aligned by longest common subsequence. What a page shares wit
 deleted; with two neighbours, a near copy on one side doesn't pass for a template, and a neighbour with the very same
 lines says nothing and isn't asked. Markup settles what differencing can't. Lines in menus, headers, footers, sidebars,
 forms, adverts, notices and comments go even if no other page has them: sites fill these in page by page. Lines in an article or main
-element stay even if near copies of the page share them. Any other line stays unless it is shared.
+element stay even if near copies of the page share them, unless a container in it is of a class that is surely no text of the article (``SURE_WORDS``); classes that may be (a
+related list, a notice) leave their lines to the comparison. Any other line stays unless it is shared.
 
 Pages are dealt out by (host, path) ranges, so a host with a third of all rows lies in many partitions; each
 range also gets the last page of the range before and the first of the range after it. The ranges' bounds are a hash sample
@@ -53,6 +54,14 @@ BOILER_WORDS = frozenset(
     "replies share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs toolbar widget "
     "pagination pager search".split()
 )
+#: Of these words, those that inside an article settle a container by themselves; the others leave it to the comparison with other pages there.
+SURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation menu sidebar cookie cookies consent gdpr popup modal comments commentlist "
+    "disqus newsletter breadcrumb breadcrumbs pagination pager share sharing".split()
+)
+#: Words for a part of a page, which a sure word may be joined to (``share-bar``).
+PART_WORDS = frozenset("area bar block bottom box button buttons container inline item items left links list panel right section slot top unit wrap wrapper".split())
+CONTAINERS = frozenset("div section ul ol dl table details fieldset figure".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
@@ -63,7 +72,11 @@ MAIN, BODY, BOILER = 2, 1, 0
 
 
 def _zone(tag: str, attrs: str, zone: int) -> int:
-    """Zone inside an element that stands in ``zone``; what is boilerplate stays so."""
+    """Zone inside an element that stands in ``zone``; what is boilerplate stays so.
+
+    Outside articles a word of a class or id is enough. Inside one only whole names of containers count, as they are or joined to a word for a part: headings,
+    paragraphs and names that merely contain a word (``search-tips``) say nothing about an article's own text.
+    """
     if zone == BOILER or tag in BOILER_TAGS:
         return BOILER
     if tag == "header" and zone != MAIN:
@@ -74,6 +87,13 @@ def _zone(tag: str, attrs: str, zone: int) -> int:
             if name.lower() == "role":
                 if value.lower() in BOILER_ROLES:
                     return BOILER
+            elif zone == MAIN:
+                if tag in CONTAINERS:
+                    whole = value.lower().split()
+                    for parts in (set(re.split("[-_]+", w)) for w in whole):
+                        if parts & SURE_WORDS and parts <= SURE_WORDS | PART_WORDS:
+                            return BOILER
+                    zone = BODY if BOILER_WORDS.intersection(whole) else zone
             elif tag not in WHOLE_TAGS and {w.lower() for w in _WORD.findall(value)} & BOILER_WORDS:
                 return BOILER
     return MAIN if tag in MAIN_TAGS else zone

@@ -381,6 +381,18 @@ def test_html_blocks():
     assert html_text.blocks(None) == [] and html_text.blocks("") == [] and html_text.blocks("<p>open <b>never closed") == [("open never closed", 1)]
 
 
+def test_html_keeps_what_an_article_says():
+    text = lambda h, *others: html_text.main_text(html_text.blocks(h), [html_text.blocks(o) for o in others])
+    said = "<div class='search-tips'><p>How to search well</p></div><p id='related-work'>Related work</p><p class='notice'>Note</p><div class='notice-period'>Two weeks</div><h2 class='menu'>Menu</h2><ul class='comment-style'><li>Be brief</li></ul>"
+    assert text(f"<article><p>one</p>{said}</article>") == "one\n\nHow to search well\n\nRelated work\n\nNote\n\nTwo weeks\n\nMenu\n\nBe brief"
+    for part in ("class='ad'", "class='box ads'", "id=comments", "class='share-bar'", "class='nav_list'", "class='ad-slot top'"):
+        assert text(f"<article><p>one</p><div {part}><p>Buy</p></div></article>") == "one"
+    # a list that may be part of the article goes if other pages have it too
+    related = "<div class='related'><p>See also</p></div></article>"
+    assert text("<article><p>one</p>" + related) == "one\n\nSee also" and text("<article><p>one</p>" + related, "<article><p>two</p>" + related) == "one"
+    assert text("<p>x</p><div class='search-tips'>y</div>") == "x"
+
+
 def test_html_that_is_not_well_formed():
     text = lambda h, *others: html_text.main_text(html_text.blocks(h), [html_text.blocks(o) for o in others])
     assert text("<article><p>one</p><button>Go<p>two</p></article>") == "one\n\ntwo"
