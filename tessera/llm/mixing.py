@@ -37,6 +37,8 @@ BLOCK_WORDS = 64
 SHARD_BLOCKS = 65_536
 #: Slots that one row is exploded to.
 CHUNK = 65_536
+#: Cells of [0, 1) by which draws meet the sources' shares.
+GRID = 1024
 SEED = 20_240_101
 
 
@@ -67,18 +69,20 @@ def target_table(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 def _shares(rows: DataFrame, share: str) -> DataFrame:
-    """One row: ``cdf``, an array of (no_source, source, upto) with running sums of the share over sources that have any; ``share`` sums up to ``total``."""
-    running = Window.orderBy("no_source", "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = rows.where(F.col(share) > 0).select("no_source", "source", F.sum(share).over(running).alias("upto"))
-    return own.agg(F.array_sort(F.collect_list(F.struct("no_source", "source", "upto"))).alias("cdf"), F.max("upto").alias("total")).withColumn("one", F.lit(1))
+    """(cell, no_source, source, low, high): the part of [0, 1) that falls to each source by its share, a row for each of ``GRID`` cells it touches."""
+    order = Window.orderBy("no_source", "source")
+    own = rows.where(F.col(share) > 0).select("no_source", "source", F.sum(share).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
+    total = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    own = own.select("no_source", "source", (F.coalesce(F.lag("upto").over(order), F.lit(0.0)) / total).alias("low"), (F.col("upto") / total).alias("high"))
+    first, last = F.floor(F.col("low") * GRID), F.least(F.floor(F.col("high") * GRID), F.lit(GRID - 1))
+    return own.select(F.explode(F.sequence(first, last)).alias("cell"), "no_source", "source", "low", "high")
 
 
 def _picked(slots: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
     """(shard, no_source, source, slots): slots (shard, j) that each draw a source, counted."""
-    at = _unit("shard", "j", F.lit(seed)) * F.col("total")
-    found = slots.withColumn("one", F.lit(1)).join(shares, "one").withColumn("at", at)
-    k = F.least(F.size(F.filter("cdf", lambda c: c["upto"] <= F.col("at"))), F.size("cdf") - 1)
-    return found.select("shard", F.get("cdf", k).alias("s")).groupBy("shard", "s.no_source", "s.source").agg(F.count("*").alias("slots"))
+    at = slots.select("shard", _unit("shard", "j", F.lit(seed)).alias("at")).withColumn("cell", F.floor(F.col("at") * GRID))
+    found = at.join(shares, "cell").where((F.col("low") <= F.col("at")) & (F.col("at") < F.col("high")))
+    return found.groupBy("shard", "no_source", "source").agg(F.count("*").alias("slots"))
 
 
 def _numbered(first: int, shards: int, total: int, each: int, spark) -> DataFrame:
