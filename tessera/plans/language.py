@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions import morphemes, records
+from tessera.functions import dates, morphemes, records, tokens
 from tessera.operators import claims, consolidate, ivf, topics
 from tessera.plans.registry import register
 from tessera.plans.scoring import _UTILITY, quoted, utility, utility_baseline
@@ -190,3 +191,34 @@ def j15_indexed_recall(spark, sf_dir):
     built, asked = _index(spark, sf_dir)
     found = ivf.search(built, asked, where=F.expr(_SCOPED))
     return ivf.recall(found, ivf.search(built, asked, where=F.expr(_SCOPED), exact=True))
+
+
+# dates in words, tokens
+
+_PHRASES = {0: "오늘", 1: "어제", 2: "그저께", 3: "이번 주", 4: "지난 주", 5: "이번 달", 6: "지난달"}
+
+
+@register("x40_said_dates", duckdb_sql(
+    "with e as (select event_id, ts, cast(ts as date) as d, cast(date_trunc('month', ts) as date) as m, cast(event_id % 40 as integer) as n, cast(event_id % 12 as integer) as k, cast(event_id % 7 as integer) as w from @events) "
+    "select event_id, cast(case k when 0 then d when 1 then d - 1 when 2 then d - 2 when 3 then cast(date_trunc('week', ts) as date) when 4 then cast(date_trunc('week', ts) as date) - 7 when 5 then m when 6 then cast(m - interval 1 month as date) "
+    "when 7 then d - n when 8 then d - 7 * n when 9 then cast(m - to_months(n) as date) + cast(day(d) - 1 as integer) when 10 then cast(m - to_months(12 * n) as date) + cast(day(d) - 1 as integer) "
+    "else d - (case when cast(isodow(d) as integer) - 1 > w then cast(isodow(d) as integer) - 1 - w else cast(isodow(d) as integer) + 6 - w end) end as timestamp) as since from e"))
+def x40(spark, sf_dir):
+    """What phrases of all kinds mean at the time of each event."""
+    n = (F.col("event_id") % 40).cast("string")
+    k = F.col("event_id") % 12
+    fixed = F.create_map(*(F.lit(x) for kv in _PHRASES.items() for x in kv))[k.cast("int")]
+    day = F.create_map(*(F.lit(x) for d, w in dates.DAYS.items() for x in (w, d)))[(F.col("event_id") % 7).cast("int")]
+    phrase = F.when(k == 7, F.concat(n, F.lit("일 전"))).when(k == 8, F.concat(n, F.lit("주 전"))).when(k == 9, F.concat(n, F.lit(" 개월 전"))).when(k == 10, F.concat(n, F.lit("년 전"))).when(k == 11, F.concat(F.lit("지난 "), day)).otherwise(fixed)
+    return view(spark, sf_dir, "events").select("event_id", dates.said_time(phrase, F.col("ts")).alias("since"))
+
+
+#: Where the rank table of the token counts lies; without it they are estimates.
+RANKS = os.environ.get("TESSERA_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+@register("x21_bpe_tokens")
+def x21_bpe(spark, sf_dir):
+    """Tokens of documents and conversations by byte-pair merging."""
+    ranks = tokens.read_ranks(RANKS) if os.path.exists(RANKS) else None
+    return _texts(spark, sf_dir).select("kind", "id", "turn", tokens.token_count(spark, F.col("text"), ranks).alias("tokens"))

@@ -2,9 +2,10 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import morphemes, records
+from tessera.functions import dates, morphemes, records, tokens
 from tessera.operators import claims, topics
 from tessera.sources.scratch import shared_dir
 
@@ -98,3 +99,45 @@ def test_records(spark):
     assert [r.session_id for r in records.pending_sessions(of("a#1", "a#2", "b#1", "c#1"), of("a#1"), of("c")).orderBy("session_id").collect()] == ["a#2", "b#1"]
 
 
+
+
+@pytest.mark.parametrize(
+    "phrase, day",
+    [("3일 전", "2026-03-25"), ("1주 전", "2026-03-21"), ("2개월 전", "2026-01-28"), ("1달 전", "2026-02-28"), ("1년 전", "2025-03-28"), ("오늘", "2026-03-28"), ("어제", "2026-03-27"), ("그제", "2026-03-26"), ("이번 주", "2026-03-23"), ("지난 주", "2026-03-16"),
+     ("이번 달", "2026-03-01"), ("지난 달", "2026-02-01"), ("지난 월요일", "2026-03-23"), ("지난 토요일", "2026-03-21"), ("지난 일요일", "2026-03-22"), ("2026-01-05", "2026-01-05"), ("soon", None), ("", None), (None, None)],
+)
+def test_said_times(spark, phrase, day):
+    now = F.lit("2026-03-28 15:30:00").cast("timestamp_ntz")
+    got = spark.range(1).select(F.date_format(dates.said_time(F.lit(phrase).cast("string"), now), "yyyy-MM-dd HH").alias("d")).first().d
+    assert got == (f"{day} 00" if day else None)
+
+
+def test_said_months_run_over(spark):
+    now = F.lit("2026-03-31 01:00:00").cast("timestamp_ntz")
+    r = spark.range(1).select(dates.said_time(F.lit("1개월 전"), now).cast("string").alias("d"), dates.said_range(F.lit("어제"), F.lit(None).cast("string"), now).alias("r"), dates.said_time(F.lit("2026-03-02T04:05:06"), now).cast("string").alias("t")).first()
+    assert r.d == "2026-03-03 00:00:00" and str(r.r.since) == "2026-03-30 00:00:00" and r.r.until is None and r.t == "2026-03-02 04:05:06"
+
+
+def test_token_counts(spark):
+    """Merging against a loop that always merges the first pair of least rank."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for k, token in enumerate(["th", "he", "the", " t", " the", "in", "ing", "er", "é", "aa", "aaaa"]):
+        ranks[token.encode()] = 300 + k
+
+    def brute(piece):
+        parts = [bytes([b]) for b in piece.encode()]
+        while True:
+            found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return len(parts)
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    merger = tokens.Merger(ranks, most=3)
+    for piece in ("the", " the", "thething", "singer", "éé", "aaaaaaa", "xyz", " their"):
+        assert merger.word(piece.encode()) == brute(piece)
+    rows = [(1, "the singer's thing, 42!  there"), (2, None), (3, ""), (4, "aaaa " * 3000)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    want = {i: sum(map(brute, merger.pattern.findall(t or ""))) for i, t in rows}
+    assert {r.id: r.n for r in df.select("id", tokens.token_count(spark, F.col("t"), ranks).alias("n")).collect()} == want
+    assert [r.n for r in df.select(tokens.token_count(spark, F.col("t")).alias("n")).collect()] == [8, 0, 0, 3750]
