@@ -175,10 +175,28 @@ def _fused_sql(limit: int = 30) -> str:
     )
 
 
+#: Search tables made so far, by application and folder: where they lie and their schema.
+_STORED: dict = {}
+
+
+def _search_tables(spark, sf_dir):
+    """The tables that searches read: fragments without their texts (sorted so that scopes prune row groups), vectors and links. Made once for a folder, as a write path would; a search writes none."""
+    made = {}
+    for name in ("fragments", "vectors", "links"):
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _STORED:
+            rows = view(spark, sf_dir, name)
+            rows = rows.drop("content", "content_hash").sortWithinPartitions("agent_id", "workspace", "id") if name == "fragments" else rows
+            _STORED[key] = scratch.stored(rows)
+        path, schema = _STORED[key]
+        made[name] = spark.read.schema(schema).parquet(path)
+    return made
+
+
 def _layers(spark, sf_dir):
-    """The fragments without their texts, written once for all layers; vectors, links and the query's vector."""
-    f, v, links = (view(spark, sf_dir, n) for n in ("fragments", "vectors", "links"))
-    return scratch.written(f.drop("content", "content_hash")), v, links, _query_vector(spark, sf_dir)
+    """The search tables and the query's vector."""
+    t = _search_tables(spark, sf_dir)
+    return t["fragments"], t["vectors"], t["links"], _query_vector(spark, sf_dir)
 
 
 @register("k06_rrf_merge", duckdb_sql(_fused_sql() + "select id, round(rrf, 6) as rrf, layers from fused"))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Folders made for local sessions that name none, by application.
 _OWN: dict[str, str] = {}
@@ -25,11 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table written once and read back: cuts lineage, survives lost executors and is computed once however often it is read."""
+def stored(df: DataFrame) -> tuple[str, StructType]:
+    """Write a table to the shared folder: its path and schema."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.schema
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written once and read back: cuts lineage, survives lost executors and is computed once however often it is read."""
+    path, schema = stored(df)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 @contextmanager
