@@ -12,6 +12,7 @@ from tessera.operators import claims, consolidate, ivf, topics
 from tessera.plans.registry import register
 from tessera.plans.scoring import _UTILITY, quoted, utility, utility_baseline
 from tessera.plans.shared import NOW_US
+from tessera.sources import logs
 from tessera.sources.scratch import shared_dir
 from tessera.sources.views import NOW_H, duckdb_sql, view
 
@@ -222,3 +223,22 @@ def x21_bpe(spark, sf_dir):
     """Tokens of documents and conversations by byte-pair merging."""
     ranks = tokens.read_ranks(RANKS) if os.path.exists(RANKS) else None
     return _texts(spark, sf_dir).select("kind", "id", "turn", tokens.token_count(spark, F.col("text"), ranks).alias("tokens"))
+
+
+# logs
+
+_LEVEL = "case event_type when 'error' then 'error' when 'purchase' then 'warn' when 'click' then 'debug' else 'info' end"
+
+
+@register("s24_log_statistics", duckdb_sql(
+    f"select {_LEVEL} as level, count(*) as n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as oldest, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as newest, cast(sum(length(props)) as bigint) as chars from @events group by {_LEVEL}"))
+def s24(spark, sf_dir):
+    """The events written as logs, an error's properties on a line of its own, and read back by the log source."""
+    e = view(spark, sf_dir, "events").withColumn("level", F.expr(_LEVEL))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), F.upper("level"), F.lit("]: "), F.when(F.col("level") == "error", F.lit("failed\n")).otherwise(F.lit("")), "props")
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    e.select(line.alias("value")).write.text(path)
+    spark.dataSource.register(logs.LogSource)
+    found = spark.read.format("applog").load(path)
+    chars = found.groupBy("level").agg(F.sum(F.length(F.regexp_replace("message", "^failed\n", ""))).alias("chars"))
+    return logs.statistics(found).join(chars, "level")

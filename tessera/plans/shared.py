@@ -16,7 +16,6 @@ SHARED = {
     # scans, sinks
     "s05_export_rows": "select id, topic, type, importance, created_h from @fragments where topic = 'src3' and created_h >= 500 order by created_h, id limit 200",
     "s17_last_job_state": "select session_id, search_path as state, us from (select session_id, search_path, us, row_number() over (partition by session_id order by us desc, id desc) as rn from @search_events) x where rn = 1",
-    "s24_log_statistics": "select event_type as level, count(*) as n, min(micros(ts)) as oldest_us, max(micros(ts)) as newest_us from @events group by event_type",
     # projections
     "p01_search_projection": "select id, content_hash, topic, type, importance, access_count, created_h, workspace, key_id, agent_id, case_id, resolution_status, phase, affect, tokens from @fragments",
     "p05_preview": "select id, substring(content, 1, 60) as preview60, substring(content, 1, 300) as preview300 from @fragments",
