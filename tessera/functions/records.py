@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Filters a query may carry, in the order in which they are recorded.
@@ -33,3 +33,48 @@ def pending_sessions(activity: DataFrame, reflected: DataFrame, active: DataFram
     left = activity.select("session_id").distinct().join(reflected.select("session_id").distinct(), "session_id", "left_anti")
     own = left.withColumn("own", F.split_part("session_id", F.lit("#"), F.lit(1)))
     return own.join(active.select(F.col("session_id").alias("own")).distinct(), "own", "left_anti").select("session_id")
+
+
+def worth_reflecting(calls: Column, started_us: Column, last_us: Column, fragments: Column, least_s: int = 30, least_activity: int = 3) -> Column:
+    """Whether a session is to be reflected on: it called tools, lasted ``least_s`` seconds, stored nothing by itself, and was active enough. Unknown times count as none."""
+    lasted = F.coalesce((last_us - started_us) >= least_s * 1_000_000, F.lit(False))
+    none = F.lit(0)
+    return (F.coalesce(calls, none) > 0) & lasted & (F.coalesce(fragments, none) == 0) & (F.coalesce(calls, none) + F.coalesce(fragments, none) >= least_activity)
+
+
+def rate(current: Column, previous: Column, elapsed_s: Column, window_s: float) -> Column:
+    """A counter's growth since the sample before, per ``window_s`` seconds, to two places: 0 without an earlier sample or after a reset."""
+    grown = F.greatest(current - previous, F.lit(0.0)) / elapsed_s * window_s
+    return F.when(previous.isNull() | (elapsed_s <= 0), 0.0).otherwise(F.round(grown, 2))
+
+
+def blocked_because(key: Column, asked: Column, case_id: Column, quarantine: Column, status: Column) -> Column:
+    """First reason why a fragment isn't taken as a precedent of a tenant's case, or null."""
+    return (
+        F.when(~key.eqNullSafe(asked), "tenant")
+        .when(case_id.isNull(), "no_case")
+        .when(quarantine == "soft", "quarantine")
+        .when(status != "resolved", "unresolved")
+    )
+
+
+# What a fragment of a case stands for.
+EVENT_OF = {"error": "error_observed", "decision": "decision_committed", "procedure": "fix_attempted"}
+
+
+def case_events(fragments: DataFrame) -> DataFrame:
+    """(event_id, case_id, event_type, sequence_no) of fragments that tell of a case, in order of their time: one event each, numbered from 0."""
+    kind = F.create_map(*(F.lit(x) for kv in EVENT_OF.items() for x in kv))[F.col("type")]
+    told = fragments.where("case_id is not null").withColumn("event_type", kind).where("event_type is not null")
+    order = Window.partitionBy("case_id").orderBy("created_h", "id")
+    return told.select(F.col("id").alias("event_id"), "case_id", "event_type", (F.row_number().over(order) - 1).cast("long").alias("sequence_no"))
+
+
+def case_edges(events: DataFrame) -> DataFrame:
+    """(from_event, to_event, edge_type): every event to the one before it in its case (preceded_by), and every fix to the errors before it (resolved_by)."""
+    before = F.lag("event_id").over(Window.partitionBy("case_id").orderBy("sequence_no"))
+    chain = events.select(F.col("event_id").alias("from_event"), before.alias("to_event"), F.lit("preceded_by").alias("edge_type")).where("to_event is not null")
+    fixes = events.where("event_type = 'fix_attempted'").select("case_id", F.col("event_id").alias("from_event"), F.col("sequence_no").alias("at"))
+    errors = events.where("event_type = 'error_observed'").select("case_id", F.col("event_id").alias("to_event"), "sequence_no")
+    solved = fixes.join(errors, "case_id").where("sequence_no < at").select("from_event", "to_event", F.lit("resolved_by").alias("edge_type"))
+    return chain.unionByName(solved)

@@ -69,3 +69,12 @@ def split_candidates(fragments: DataFrame, now_h: int, meta_topics: list[str], l
     own = F.col("source").isNull() | ~F.col("source").startswith("split:")
     f = fragments.where((F.length("content") > least) & F.col("valid_to_h").isNull() & ~F.col("is_anchor") & own & fresh & ~F.col("topic").isin(*meta_topics))
     return f.orderBy(F.desc(F.length("content")), "id").limit(most)
+
+
+def by_all_or_any(postings_of: DataFrame, terms: list[str], least: int = 3) -> DataFrame:
+    """(ns, id) of keyword lists, by namespace: the ids that all terms have, or where these are fewer than ``least`` the ids that any has."""
+    wanted = sorted({t.lower() for t in terms})
+    met = postings_of.where((F.col("kind") == "keyword") & F.col("term").isin(*wanted)).groupBy("ns", "id").agg(F.countDistinct("term").alias("met"))
+    enough = met.groupBy(F.col("ns").alias("of_ns")).agg((F.count_if(F.col("met") == len(wanted)) >= least).alias("enough"))
+    found = met.join(enough, F.col("ns").eqNullSafe(F.col("of_ns")))
+    return found.where(~F.col("enough") | (F.col("met") == len(wanted))).select("ns", "id")

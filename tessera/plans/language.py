@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, morphemes, records, tokens
-from tessera.operators import claims, consolidate, ivf, topics
+from tessera.operators import claims, consolidate, index, ivf, topics
 from tessera.plans.registry import register
-from tessera.plans.scoring import _UTILITY, quoted, utility, utility_baseline
+from tessera.plans.scoring import _POSTINGS, _UTILITY, quoted, utility, utility_baseline
 from tessera.plans.shared import NOW_US
 from tessera.sources import logs
 from tessera.sources.scratch import shared_dir
@@ -242,3 +243,73 @@ def s24(spark, sf_dir):
     found = spark.read.format("applog").load(path)
     chars = found.groupBy("level").agg(F.sum(F.length(F.regexp_replace("message", "^failed\n", ""))).alias("chars"))
     return logs.statistics(found).join(chars, "level")
+
+
+# cases, sessions, samples, retention
+
+
+@register("f27_case_eligibility", duckdb_sql(
+    "select f.id, case when f.key_id <> 'k0' then 'tenant' when f.case_id is null then 'no_case' when q.id is not null then 'quarantine' when f.resolution_status <> 'resolved' then 'unresolved' end as blocked "
+    "from (select id, key_id, resolution_status, nullif(case_id, 7) as case_id from @fragments) f left join (select distinct to_id as id from @links where relation_type = 'contradicts' and weight >= 3) q on q.id = f.id"))
+def f27(spark, sf_dir):
+    """Why each fragment is no precedent of tenant k0: rows that a strong link contradicts count as softly quarantined, and case 7 as none."""
+    doubted = view(spark, sf_dir, "links").where("relation_type = 'contradicts' and weight >= 3").select(F.col("to_id").alias("id")).distinct().withColumn("quarantine", F.lit("soft"))
+    f = view(spark, sf_dir, "fragments").join(doubted, "id", "left")
+    return f.select("id", records.blocked_because(F.col("key_id"), F.lit("k0"), F.nullif("case_id", F.lit(7)), F.col("quarantine"), F.col("resolution_status")).alias("blocked"))
+
+
+@register("f38_reflection_gate", duckdb_sql(
+    "select s.sid as session_id, s.calls from (select session_id || '#' || cast(us // 14400000000 as varchar(9)) as sid, count(*) as calls, max(us) - min(us) as lasted from @search_events group by sid) s "
+    "left join (select session_id || '#' || cast(us // 14400000000 as varchar(9)) as sid, count(*) as n from @tool_feedback where tool_name = 'remember' group by sid) t on t.sid = s.sid where s.calls >= 3 and s.lasted >= 30000000 and coalesce(t.n, 0) = 0"))
+def f38(spark, sf_dir):
+    """Four-hour segments of sessions to be reflected on; what they stored by themselves is told by their feedback on remember."""
+    segment = F.concat("session_id", F.lit("#"), F.expr("us div 14400000000").cast("string")).alias("session_id")
+    e = view(spark, sf_dir, "search_events").groupBy(segment).agg(F.count("*").alias("calls"), F.min("us").alias("started"), F.max("us").alias("last"))
+    own = view(spark, sf_dir, "tool_feedback").where("tool_name = 'remember'").groupBy(segment).agg(F.count("*").alias("fragments"))
+    gate = records.worth_reflecting(F.col("calls"), F.col("started"), F.col("last"), F.col("fragments"))
+    return e.join(own, "session_id", "left").where(gate).select("session_id", "calls")
+
+
+@register("w09_previous_sample", duckdb_sql(
+    "select id, case when p is null or us <= pu then 0 else round(greatest(total - p, 0) / ((us - pu) / 1000000.0e0) * 60, 2) end as per_minute from (select id, us, total, lag(total) over w as p, lag(us) over w as pu from "
+    "(select id, us, session_id, result_count, sum(result_count) over (partition by session_id order by us, id) % 50 as total from @search_events) c window w as (partition by session_id order by us, id)) x"))
+def w09(spark, sf_dir):
+    """Results a minute between a session's searches, from a running counter that starts again at 50."""
+    w = Window.partitionBy("session_id").orderBy("us", "id")
+    e = view(spark, sf_dir, "search_events").withColumn("total", F.sum("result_count").over(w) % 50)
+    return e.select("id", records.rate(F.col("total").cast("double"), F.lag("total").over(w).cast("double"), (F.col("us") - F.lag("us").over(w)) / 1e6, 60).alias("per_minute"))
+
+
+_TOLD = "select id, case_id, case type when 'error' then 'error_observed' when 'decision' then 'decision_committed' else 'fix_attempted' end as t, row_number() over (partition by case_id order by created_h, id) - 1 as n from @fragments where case_id is not null and type in ('error', 'decision', 'procedure')"
+
+
+@register("g16_case_edges", duckdb_sql(
+    f"with e as ({_TOLD}) select b.id as from_event, a.id as to_event, 'preceded_by' as edge_type from e a join e b on b.case_id = a.case_id and b.n = a.n + 1 "
+    "union all select f.id, e.id, 'resolved_by' from e f join e on e.case_id = f.case_id and e.n < f.n where f.t = 'fix_attempted' and e.t = 'error_observed'"))
+def g16(spark, sf_dir):
+    return records.case_edges(records.case_events(view(spark, sf_dir, "fragments")))
+
+
+@register("u04_keyword_intersection", duckdb_sql(
+    f"with m as (select ns, id, count(distinct term) as met from ({_POSTINGS}) p where kind = 'keyword' and term in ('that', 'thble') group by ns, id), e as (select ns, count(*) filter (met = 2) >= 3 as enough from m group by ns) "
+    "select m.ns, m.id from m join e on e.ns = m.ns where not enough or met = 2"))
+def u04(spark, sf_dir):
+    """Ids that both keywords have, by tenant; those that either has where there are fewer than three."""
+    return index.by_all_or_any(index.postings(view(spark, sf_dir, "fragments")), ["that", "Thble"])
+
+
+#: Microseconds of the clean-up's "now": ten days after the last event.
+_LATER = NOW_US + 10 * 86_400_000_000
+
+
+@register("c22_event_retention", duckdb_sql(f"select id from @search_events where us >= {_LATER} - 2592000000000"))
+def c22(spark, sf_dir):
+    """The search events that a clean-up leaves."""
+    return consolidate.retained(view(spark, sf_dir, "search_events"), _LATER, 30).select("id")
+
+
+@register("m23_retention", duckdb_sql(f"select 'search' as kind, id from @search_events where us >= {_LATER} - 2592000000000 union all select 'case', event_id from @case_events where us >= {_LATER} + 4752000000000 - 7776000000000"))
+def m23(spark, sf_dir):
+    """What is left of search events after 30 days and of case events after 90 (the latter cleaned up 55 days later)."""
+    cases = consolidate.retained(view(spark, sf_dir, "case_events"), _LATER + 55 * 86_400_000_000, 90)
+    return consolidate.retained(view(spark, sf_dir, "search_events"), _LATER, 30).select(F.lit("search").alias("kind"), "id").unionByName(cases.select(F.lit("case").alias("kind"), F.col("event_id").alias("id")))

@@ -39,7 +39,6 @@ MORE = {
     "k18_working_memory": "select id, spent from (select id, sum(length(content)) over (order by created_h desc, id rows between unbounded preceding and current row) as spent, row_number() over (order by created_h desc, id) as rn from @fragments where session_id = 's9') x where spent <= 20000 and rn <= 10",
     "k23_keyset_page": "select id from @fragments where key_id = 'k1' and id < 500 order by id desc limit 25",
     "u02_union_distinct": "select to_id as id from @links where from_id = 11 union select from_id from @links where to_id = 11",
-    "u04_keyword_intersection": "select id from (select id, explode_kw as keyword from @fragments, lateral_kw) x where keyword in ('that', 'thble') group by id having count(*) = 2",
     # graph
     "g02_linked_with_rank": "select f.id, max(l.weight) as weight from @links l join @fragments f on f.id = l.to_id where l.from_id = 77 and f.valid_to_h is null group by f.id",
     # maintenance
@@ -50,7 +49,6 @@ MORE = {
     # change sets
     "m17_idempotency": "select content_hash, min(id) as id from @fragments group by content_hash having count(*) > 1",
     "m19_case_append": "select case_id, max(sequence_no) + 1 as next_sequence from @case_events group by case_id",
-    "m23_retention": "select count(*) filter (where us < 864000000000) as dropped, count(*) filter (where us >= 864000000000) as kept from @case_events",
     # stateful pieces as batches
     "t04_backlog_overflow": "select id from (select id, row_number() over (partition by session_id order by us desc, id desc) as rn from @search_events) x where rn > 20",
     "t07_first_seen": "select session_id, result_count, min(us) as first_us from @search_events group by session_id, result_count",

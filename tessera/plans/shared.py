@@ -39,10 +39,8 @@ SHARED = {
     "f22_importance_cutoff": "select id from @fragments where is_anchor or importance is null or importance >= 0.35",
     "f25_depth_types": "select id, case when type in ('decision', 'episode') then 'high' else 'tool' end as depth from @fragments where type in ('decision', 'episode', 'procedure', 'error', 'fact')",
     "f26_unseen": "select f.id from @fragments f where not exists (select 1 from @search_events e where e.id = f.id)",
-    "f27_case_eligibility": "select id, case when key_id <> 'k0' then 'tenant' when case_id is null then 'no_case' when coalesce(resolution_status, 'resolved') <> 'resolved' then 'unresolved' end as blocked from @fragments",
     "f31_noise": "select 'short' as category, count(*) as n from @fragments where length(content) < 40 union all select 'weak', count(*) from @fragments where importance < 0.1 union all select 'stale', count(*) from @fragments where accessed_h is null and importance < 0.3",
     "f33_stale_by_type": f"select id, type, ({NOW_H} - coalesce(verified_h, created_h)) // 24 as days from @fragments where valid_to_h is null and ({NOW_H} - coalesce(verified_h, created_h)) // 24 >= case type when 'procedure' then 30 when 'fact' then 60 when 'decision' then 90 else 60 end order by days desc, id limit 20",
-    "f38_reflection_gate": "select session_id, count(*) as calls, (max(us) - min(us)) // 1000000 as seconds from @search_events group by session_id having count(*) >= 3 and max(us) - min(us) >= 30000000",
     "f40_size_cap": "select id, length(content) as chars from @fragments where length(content) > 4000",
     "f47_consolidation_gate": "select n_new >= 100 or n_pending >= 50 or n_dup >= 5 as fire, n_new, n_pending, n_dup from (select count(*) filter (where created_h > 4000) as n_new, count(*) filter (where quality_verified is null) as n_pending, count(*) - count(distinct content_hash) as n_dup from @fragments) x",
     # joins
@@ -103,7 +101,6 @@ SHARED = {
     "w05_sequence_numbers": "select event_id, case_id, sequence_no from @case_events",
     "w06_best_per_hash": "select content_hash, id from (select content_hash, id, row_number() over (partition by content_hash order by importance desc nulls last, id) as rn from @fragments) x where rn = 1",
     "w07_running_budget": "select id, cost from (select id, tokens, sum(tokens) over (order by importance desc, id rows between unbounded preceding and current row) as cost from @fragments where topic = 'src5') x where cost <= 2000",
-    "w09_previous_sample": "select event_id, us - lag(us) over (partition by case_id order by us, event_id) as gap_us from @case_events",
     # order, limit, paging
     "k02_topic_search": "select id, importance, created_h from @fragments where topic = 'src7' and valid_to_h is null order by importance desc nulls last, created_h desc, id limit 20",
     "k03_time_search": "select id, created_h from @fragments where created_h >= 100 and created_h < 3000 and valid_to_h is null order by created_h desc, id limit 30",
@@ -120,9 +117,7 @@ SHARED = {
     "g03_root_cause": "select 0 as depth, id, cast(null as varchar(20)) as relation from @fragments where id = 30 union select 1, f.id, l.relation_type from @links l join @fragments f on f.id = l.to_id where l.from_id = 30 and l.relation_type in ('caused_by', 'resolved_by')",
     "g14_supersede_chain": "select l.from_id as id, l.to_id as newer from @links l join @fragments f on f.id = l.to_id where l.relation_type = 'superseded_by'",
     "g15_episode_continuity": "select event_id as to_event, lag(event_id) over (partition by case_id order by us, event_id) as from_event from @case_events where event_type = 'milestone_reached'",
-    "g16_case_edges": "select e.event_id as from_event, f.event_id as to_event from @case_events e join @case_events f on f.case_id = e.case_id and f.event_type = 'fix_attempted' and e.event_type = 'error_observed' and f.sequence_no = e.sequence_no + 1",
     # maintenance
-    "c22_event_retention": f"select count(*) filter (where us < {NOW_US} - 2160000000000) as expired, count(*) filter (where us >= {NOW_US} - 2160000000000) as kept from @search_events",
     # scalar functions
     "x21_token_estimate": "select id, (length(content) + 3) // 4 as tokens from @fragments",
     # writes as change sets

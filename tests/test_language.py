@@ -141,3 +141,26 @@ def test_token_counts(spark):
     want = {i: sum(map(brute, merger.pattern.findall(t or ""))) for i, t in rows}
     assert {r.id: r.n for r in df.select("id", tokens.token_count(spark, F.col("t"), ranks).alias("n")).collect()} == want
     assert [r.n for r in df.select(tokens.token_count(spark, F.col("t")).alias("n")).collect()] == [8, 0, 0, 3750]
+
+
+def test_sessions_samples_and_cases(spark):
+    rows = [(3, 0, 30_000_000, None), (3, 0, 29_999_999, 0), (0, 0, 10**9, 0), (2, 0, 10**9, 0), (5, 0, 10**9, 1), (5, None, 10**9, 0), (None, 0, 10**9, 0)]
+    df = spark.createDataFrame(rows, "c long, s long, l long, f long")
+    assert [r.ok for r in df.select(records.worth_reflecting(F.col("c"), F.col("s"), F.col("l"), F.col("f")).alias("ok")).collect()] == [True, False, False, False, False, False, False]
+    df = spark.createDataFrame([(10.0, 4.0, 3.0), (1.0, 4.0, 3.0), (10.0, None, 3.0), (10.0, 4.0, 0.0)], "now double, before double, s double")
+    assert [r.x for r in df.select(records.rate(F.col("now"), F.col("before"), F.col("s"), 60).alias("x")).collect()] == [120.0, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([("a", 1, None, None), ("b", 1, None, None), (None, 1, None, None), ("a", None, "soft", None), ("a", 1, "soft", "open"), ("a", 1, "hard", "open"), ("a", 1, None, "resolved")], "k string, c int, q string, s string")
+    got = [r.b for r in df.select(records.blocked_because(F.col("k"), F.lit("a"), F.col("c"), F.col("q"), F.col("s")).alias("b")).collect()]
+    assert got == [None, "tenant", "tenant", "no_case", "quarantine", "unresolved", None]
+    told = spark.createDataFrame([(1, 7, "error", 5), (2, 7, "fact", 6), (3, 7, "procedure", 6), (4, 7, "error", 7), (5, 7, "procedure", 7), (6, 8, "procedure", 1), (7, None, "error", 1)], "id long, case_id long, type string, created_h long")
+    edges = {tuple(r) for r in records.case_edges(records.case_events(told)).collect()}
+    assert edges == {(3, 1, "preceded_by"), (4, 3, "preceded_by"), (5, 4, "preceded_by"), (3, 1, "resolved_by"), (5, 1, "resolved_by"), (5, 4, "resolved_by")}
+
+
+def test_all_or_any(spark):
+    from tessera.operators import index
+
+    rows = [("keyword", ns, t, i) for ns, t, i in [("a", "x", 1), ("a", "y", 1), ("a", "x", 2), (None, "x", 3), (None, "y", 4), *(("b", t, i) for t in "xy" for i in (5, 6, 7)), ("b", "x", 8)]] + [("topic", "a", "x", 9)]
+    p = spark.createDataFrame(rows, "kind string, ns string, term string, id long")
+    got = {tuple(r) for r in index.by_all_or_any(p, ["X", "y"]).collect()}
+    assert got == {("a", 1), ("a", 2), (None, 3), (None, 4), ("b", 5), ("b", 6), ("b", 7)}
