@@ -39,6 +39,8 @@ SHARD_BLOCKS = 65_536
 CHUNK = 65_536
 #: Cells of [0, 1) by which draws meet the sources' shares.
 GRID = 1024
+#: Rows of shares that are broadcast; more are joined by shuffle.
+MOST_SENT = 100_000
 SEED = 20_240_101
 
 
@@ -81,6 +83,8 @@ def _shares(rows: DataFrame, share: str) -> DataFrame:
 def _picked(slots: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
     """(shard, no_source, source, slots): slots (shard, j) that each draw a source, counted."""
     at = slots.select("shard", _unit("shard", "j", F.lit(seed)).alias("at")).withColumn("cell", F.floor(F.col("at") * GRID))
+    # the planner takes exploded slots for as few as the rows they come from: the shares are sent if they are few, else both sides are shuffled
+    shares = shares.hint("broadcast" if shares.count() <= MOST_SENT else "merge")
     found = at.join(shares, "cell").where((F.col("low") <= F.col("at")) & (F.col("at") < F.col("high")))
     return found.groupBy("shard", "no_source", "source").agg(F.count("*").alias("slots"))
 
