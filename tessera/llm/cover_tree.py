@@ -359,7 +359,7 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, most: int = CELL) ->
 
 
 ORACLE = r"""
-with e as (
+with recursive e as (
   select row_number() over () as r, vec_id, label, embedding::double[] as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm
   from embeddings),
 fit as (
