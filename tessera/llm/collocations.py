@@ -51,32 +51,37 @@ class Numbers(dict):
 
     def __init__(self, shard: Shard, lang: str):
         super().__init__({b".": 0})
-        self.shard, self.lang = shard, lang
+        # not the shard itself: in a ring with its numbers it would stay until the collector happens to come by
+        self.words, self.whose, self.keys, self.lang = shard.words, shard.whose, shard.keys, lang
+        self.bits = shard.filters[0] if shard.filters else None
         self.seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
     def __missing__(self, word: bytes) -> int:
         key = xxhash.xxh3_64_intdigest(word, self.seed)
         at = 0
-        if self.shard.passes(key):
-            self.shard.words.append((self.lang, word))
-            self.shard.keys.append(key)
-            at = len(self.shard.words) - 1
+        if self.passes(key):
+            at = len(self.words)
+            self.words.append(word)
+            self.whose.append(self.lang)
+            self.keys.append(key)
         self[word] = at
         return at
 
+    def passes(self, key: int) -> bool:
+        if self.bits is None:
+            return True
+        p = key % (len(self.bits) * 64)
+        return bool(int(self.bits[p >> 6]) >> (p & 63) & 1)
+
 
 class Shard:
-    """Texts of some ``SHARD`` words as one array of word numbers; n-grams from its suffix array."""
+    """Texts of some ``SHARD`` words as one array of word numbers; n-grams from its suffix array.
 
-    def __init__(self, filters: list[np.ndarray]):
-        self.filters, self.words, self.keys, self.langs, self.parts, self.n, self.totals = filters, [("", b"")], [0], {}, [], 0, {}
+    ``sequence`` ends the reading of texts: it gives back the numbers by word, which take most of a shard's memory.
+    """
 
-    def passes(self, key: int) -> bool:
-        if not self.filters:
-            return True
-        bits = self.filters[0]
-        p = key % (len(bits) * 64)
-        return bool(int(bits[p >> 6]) >> (p & 63) & 1)
+    def __init__(self, filters: list[np.ndarray]):
+        self.filters, self.words, self.whose, self.keys, self.langs, self.parts, self.n, self.totals = filters, [b""], [""], [0], {}, [], 0, {}
 
     def add(self, lang: str | None, text: str | None) -> None:
         lang = "und" if lang is None else lang
@@ -95,6 +100,9 @@ class Shard:
         Filter k + 1 speaks of phrases of k + 1 words: a stretch of m words is admitted if all its stretches of that length are.
         """
         seq = np.concatenate([*self.parts, np.zeros(longest + 1, np.int32)])
+        self.keys = np.array(self.keys, np.uint64)
+        self.parts.clear()
+        self.langs.clear()
         length = (seq > 0).astype(np.int8)
         for m in range(2, longest + 1):
             longer = np.zeros(len(seq), bool)
@@ -109,10 +117,9 @@ class Shard:
 
     def gram_keys(self, seq: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
         """64-bit keys of the phrases of m words at the places given."""
-        keys = np.array(self.keys, np.uint64)
-        h = keys[seq[at]]
+        h = self.keys[seq[at]]
         for k in range(1, m):
-            h = mix(h * K1 + keys[seq[at + k]] * K3)
+            h = mix(h * K1 + self.keys[seq[at + k]] * K3)
         return h
 
     def intervals(self, shortest: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,14 +129,22 @@ class Shard:
         if not len(at):
             return
         # prefix doubling: after each step suffixes are ranked by twice as many words
-        rank, depth = seq.astype(np.int64), 1
+        rank, depth = seq, 1
         while depth < longest:
-            behind = np.zeros(len(rank), np.int64)
-            behind[:-depth] = rank[depth:]
-            pair = rank * (rank.max() + 1) + behind
-            _, rank = np.unique(pair, return_inverse=True)
+            pair = rank.astype(np.int64)
+            pair *= int(rank.max()) + 1
+            pair[:-depth] += rank[depth:]
             depth *= 2
-        suffixes = at[np.argsort(rank[at], kind="stable")]
+            if depth < longest:
+                order = np.argsort(pair)
+                pair = pair[order]
+                rank = np.empty(len(pair), np.int32)
+                rank[order] = np.cumsum(np.r_[False, pair[1:] != pair[:-1]], dtype=np.int32)
+                del order
+            else:
+                rank = pair  # the last step's pairs are sorted themselves, only where phrases start
+        suffixes = at[np.argsort(rank[at])]
+        del rank, at
         # words that neighbours in the array have in common, no further than either's phrase reaches
         lcp, alike = np.zeros(len(suffixes), np.int8), np.ones(len(suffixes) - 1, bool)
         reach = np.minimum(length[suffixes[1:]], length[suffixes[:-1]])
@@ -144,29 +159,30 @@ class Shard:
             yield m, seq, suffixes[begin[whole]], count[whole]
 
 
-def _shards(batches, filters: list[np.ndarray]) -> Iterator[Shard]:
+def _by_shard(batches, filters: list[np.ndarray], rows) -> Iterator[pa.RecordBatch]:
+    """``rows(shard)`` of one shard after another; a shard is gone before the next is begun."""
     shard = Shard(filters)
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
             shard.add(lang, text)
             if shard.n >= SHARD:
-                yield shard
+                yield from rows(shard)
                 shard = Shard(filters)
     if shard.n:
-        yield shard
+        yield from rows(shard)
 
 
 def key_counts(docs: DataFrame, shortest: int, longest: int, filters: list) -> DataFrame:
     """(key, a): occurrences of every phrase of the lengths asked for whose shorter parts pass the filters, by 64-bit key."""
 
-    def run(batches):
-        for shard in _shards(batches, [f.value for f in filters]):
-            for m, seq, at, count in shard.intervals(shortest, longest):
-                key = shard.gram_keys(seq, at, m)
-                for k in range(0, len(key), 1 << 18):
-                    yield batch(key=(key[k : k + (1 << 18)].view(np.int64), pa.int64()), a=(count[k : k + (1 << 18)].astype(np.int64), pa.int64()))
+    def rows(shard):
+        for m, seq, at, count in shard.intervals(shortest, longest):
+            for k in range(0, len(at), 1 << 16):
+                key = shard.gram_keys(seq, at[k : k + (1 << 16)], m)
+                yield batch(key=(key.view(np.int64), pa.int64()), a=(count[k : k + (1 << 16)].astype(np.int64), pa.int64()))
 
-    return docs.select("lang", "text").mapInArrow(run, "key long, a long").groupBy("key").agg(F.sum("a").alias("a"))
+    made = docs.select("lang", "text").mapInArrow(lambda batches: _by_shard(batches, [f.value for f in filters], rows), "key long, a long")
+    return made.groupBy("key").agg(F.sum("a").alias("a"))
 
 
 def _filter(counts: DataFrame, least: int):
@@ -185,15 +201,14 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     """(lang, words, phrase, a) of all phrases of up to ``longest`` words with ``least`` occurrences or more; words 0 and phrase '' have the count of all words of lang."""
     filters: list = []
 
-    def run(batches):
-        for shard in _shards(batches, [f.value for f in filters]):
-            yield batch(lang=(list(shard.totals), pa.string()), words=([0] * len(shard.totals), pa.int32()), phrase=([""] * len(shard.totals), pa.string()), a=(list(shard.totals.values()), pa.int64()))
-            for m, seq, at, count in shard.intervals(1, longest):
-                for k in range(0, len(at), 1 << 16):
-                    here = at[k : k + (1 << 16)]
-                    numbers = np.stack([seq[here + j] for j in range(m)], 1).tolist()
-                    phrases = [b" ".join([shard.words[j][1] for j in gram]).decode("utf-8", "replace") for gram in numbers]
-                    yield batch(lang=([shard.words[gram[0]][0] for gram in numbers], pa.string()), words=([m] * len(here), pa.int32()), phrase=(phrases, pa.string()), a=(count[k : k + (1 << 16)].astype(np.int64), pa.int64()))
+    def rows(shard):
+        yield batch(lang=(list(shard.totals), pa.string()), words=([0] * len(shard.totals), pa.int32()), phrase=([""] * len(shard.totals), pa.string()), a=(list(shard.totals.values()), pa.int64()))
+        for m, seq, at, count in shard.intervals(1, longest):
+            for k in range(0, len(at), 1 << 14):
+                here = at[k : k + (1 << 14)]
+                numbers = np.stack([seq[here + j] for j in range(m)], 1).tolist()
+                phrases = [b" ".join([shard.words[j] for j in gram]).decode("utf-8", "replace") for gram in numbers]
+                yield batch(lang=([shard.whose[gram[0]] for gram in numbers], pa.string()), words=([m] * len(here), pa.int32()), phrase=(phrases, pa.string()), a=(count[k : k + (1 << 14)].astype(np.int64), pa.int64()))
 
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH):
         # words and pairs share a scan and a filter
@@ -201,7 +216,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         filters += [_filter(key_counts(docs, 1, first, []), least)] * first
         for length in range(first + 1, longest):
             filters.append(_filter(key_counts(docs, length, length, list(filters)), least))
-        found = docs.select("lang", "text").mapInArrow(run, "lang string, words int, phrase string, a long")
+        found = docs.select("lang", "text").mapInArrow(lambda batches: _by_shard(batches, [f.value for f in filters], rows), "lang string, words int, phrase string, a long")
         merged = found.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
         return materialise(merged.where((F.col("a") >= least) | (F.col("words") == 0)))
 

@@ -1,10 +1,13 @@
 """Ranked search, cover trees and collocations against brute force, and on odd tables."""
 
 import collections
+import gc
 import math
 import random
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tessera.llm")
@@ -215,3 +218,28 @@ def test_collocations_odd_tables(spark):
     assert collocations.collocations(empty_docs(spark)).count() == 0
     got = collocations.collocations(odd_docs(spark)).collect()
     assert {r.lang for r in got} <= {"en"} and [r.rank for r in sorted(got)] == list(range(1, len(got) + 1))
+
+
+def test_one_shard_at_a_time(monkeypatch):
+    """Without the collector's help a shard is gone before the next has its words: memory follows a shard, not the texts of a task."""
+    monkeypatch.setattr(collocations, "SHARD", 30)
+    alive, most = weakref.WeakSet(), []
+    begin = collocations.Shard.__init__
+
+    def counted(self, filters):
+        begin(self, filters)
+        alive.add(self)
+
+    def rows(shard):
+        most.append(len(alive))
+        yield from shard.intervals(1, 3)
+        assert not shard.langs and not shard.parts
+
+    monkeypatch.setattr(collocations.Shard, "__init__", counted)
+    texts = pa.RecordBatch.from_pydict({"lang": ["en", None] * 50, "text": [f"a b c. word{i} a b" for i in range(100)]})
+    gc.disable()
+    try:
+        found = sum(int(count.sum()) for m, _, _, count in collocations._by_shard([texts], [], rows) if m == 3)
+    finally:
+        gc.enable()
+    assert found == 200 and len(most) == 20 and max(most) == 1
