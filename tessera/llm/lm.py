@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, ddl, discard, map_batches, materialise, mix, settings
+from tessera.llm.common import K1, K3, batch, blank_words, ddl, discard, map_batches, materialise, mix, settings, word_hashes
 
 ALPHA = 0.4
 VOCABULARY = 500_000
@@ -45,10 +45,8 @@ def tokens(docs: DataFrame) -> DataFrame:
     """(row, doc_id, words) of every row: word hashes in order, written once."""
 
     def start():
-        hashes = WordHashes()
-
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            every = [hashes.of(blank_words(t)) for t in b.column("text").to_pylist()]
+            every = [word_hashes(blank_words(t)) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, every)], dtype=np.int32)
             flat = np.concatenate(every).view(np.int64) if every else np.zeros(0, np.int64)
             return batch(row=b.column("row"), doc_id=b.column("doc_id"), words=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))

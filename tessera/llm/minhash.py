@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import K1, K3, WordHashes, batch, blank_words, ddl, map_batches, materialise, mix, settings
+from tessera.llm.common import K1, K3, batch, blank_words, ddl, map_batches, materialise, mix, settings, word_hashes
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
@@ -132,12 +132,10 @@ def _signatures(col: pa.Array) -> np.ndarray:
 
 def _described(size: int):
     def start():
-        hashes = WordHashes()
-
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             n, sid, sig = [], [], []
             for t in b.column("text").to_pylist():
-                s = shingles(hashes.of(blank_words(t)), size)
+                s = shingles(word_hashes(blank_words(t)), size)
                 n.append(len(s))
                 sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
@@ -225,12 +223,12 @@ def _sets_of(docs: DataFrame, sids: DataFrame, classes: DataFrame, size: int) ->
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def start():
-        bits, hashes = sent.value, WordHashes()
+        bits = sent.value
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             p = b.column("p").to_numpy()
             b = b.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
-            sets = [x for x in (shingles(hashes.of(blank_words(t)), size) for t in b.column("text").to_pylist()) if len(x)]
+            sets = [x for x in (shingles(word_hashes(blank_words(t)), size) for t in b.column("text").to_pylist()) if len(x)]
             return batch(sid=([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), hashes=([packed(x) for x in sets], pa.binary()))
 
         return run

@@ -29,57 +29,112 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, ddl, fresh, map_batches, materialise
+from tessera.llm.common import K1, K3, batch, ddl, fresh, materialise, mix, raw_bytes, word_hashes
 
 SPAN, MIN_WORDS, MAX_WORDS = 3, 12, 8
 LEAST_PIECE = 4
 
+#: Bytes of text that are cut at a time.
+CUT_BYTES = 1 << 20
+#: More than the value of any place.
+_NONE = np.uint64(2**64 - 1)
+
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 CHARS_PER_PART, PACK_RUNS = 20_000_000, 1_000_000
 
 
-def _cuts(v: list[int], most: int) -> list[int]:
-    """Places to cut at, by the value of each place; the first isn't one."""
-    near, n = min(LEAST_PIECE, (most + 1) // 2), len(v)
-    out, last = [], 0
-    for p in [*range(near, n - near + 1), n]:
-        if p < n and not (v[p] < v[p - 1] and v[p] < min(v[p - near + 1 : p]) and v[p] <= min(v[p : p + near])):
-            continue
-        while p - last > most:
-            last = min(range(last + near, min(last + most, p - near) + 1), key=v.__getitem__)
-            out.append(last)
-        if p < n:
-            out.append(p)
-            last = p
-    return out
+class Cut:
+    """Texts cut into pieces, and their words' hashes; all texts lie in one array of words.
+
+    ``words`` are the words' hashes, ``first`` is the first word of every text (and the number of words, at the end), ``start`` that of
+    every piece, ``whose`` the text of every piece.
+    """
+
+    def __init__(self, texts: list[str | None], most: int = MAX_WORDS):
+        """texts: of some MB together."""
+        low = [raw_bytes(t).lower() for t in texts]
+        every = [word_hashes(t.split()) for t in low]
+        self.words = np.concatenate(every) if every else np.zeros(0, np.uint64)
+        self.first = np.cumsum([0, *map(len, every)])
+        n = np.diff(self.first)
+        value, total = self._values(b"\n".join([*low, b""])), len(self.words)
+        # cuts: places of less value than those nearer than ``near``
+        near = min(LEAST_PIECE, (most + 1) // 2)
+        ahead = np.arange(total) - np.repeat(self.first[:-1], n)
+        low_here = (ahead >= near) & (np.repeat(n, n) - ahead >= near)
+        low_here[1:] &= value[1:] < value[:-1]
+        for d in range(1, near):
+            if d > 1:
+                low_here[d:] &= value[d:] < value[:-d]
+            low_here[:-d] &= value[:-d] <= value[d:]
+        low_here[self.first[:-1][n > 0]] = True
+        found = [np.flatnonzero(low_here)]
+        # where that leaves a longer piece, the place of least value in reach of the last cut, again and again
+        at, end = found[0], np.r_[found[0][1:], total]
+        while len(far := np.flatnonzero(end - at > most)):
+            at, end = at[far], end[far]
+            reach = at[:, None] + np.arange(near, most + 1)
+            at = at + near + np.where(reach <= (end - near)[:, None], value[np.minimum(reach, total - 1)], _NONE).argmin(1)
+            found.append(at)
+        self.start = np.sort(np.concatenate(found))
+        self.whose = np.searchsorted(self.first, self.start, "right") - 1
+
+    def _values(self, data: bytes) -> np.ndarray:
+        """Of the place before each word: the hash of both words round it, sentence ends before all others, a text's first place last."""
+        byte = np.frombuffer(data, np.uint8)
+        white = (byte == 32) | ((byte >= 9) & (byte <= 13))
+        last = np.flatnonzero(~white[:-1] & white[1:])
+        after = np.r_[np.flatnonzero(white[:-1] & ~white[1:]) + 1, len(byte)]  # where words begin; with a first word at 0 it is not among them
+        lines = np.r_[np.flatnonzero(byte == 10), len(byte)]
+        mark = byte[last]
+        ends = (mark == 46) | (mark == 33) | (mark == 63) | (lines[np.searchsorted(lines, last)] < after[np.searchsorted(after, last, "right")])
+        value = np.full(len(self.words), _NONE)
+        if len(value) > 1:
+            value[1:] = mix(self.words[:-1] * K1 + self.words[1:] * K3) >> np.uint64(1)
+            value[1:] |= (~ends[:-1]).astype(np.uint64) << np.uint64(63)
+        value[self.first[:-1][np.diff(self.first) > 0]] = _NONE
+        return value
+
+    def runs(self, span: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first piece, hash) of every run of ``span`` pieces with ``min_words`` words."""
+        end = np.r_[self.start[1:], len(self.words)]
+        i = np.arange(max(0, len(self.start) - span + 1))
+        i = i[(self.whose[i] == self.whose[i + span - 1]) & (end[i + span - 1] - self.start[i] >= min_words)]
+        begin, size = self.start[i], end[i + span - 1] - self.start[i]
+        h = np.zeros(len(i), np.uint64)
+        for k in range(int(size.max(initial=0))):
+            on = np.flatnonzero(size > k)
+            h[on] = mix(h[on] * K1 + self.words[begin[on] + k] * K3)
+        return self.whose[i], i - np.searchsorted(self.whose, self.whose[i]), h
+
+    def counts(self) -> np.ndarray:
+        """Pieces of every text."""
+        return np.bincount(self.whose, minlength=len(self.first) - 1)
+
+    def strings(self, k: int, text: str) -> list[str]:
+        """The pieces of text k; joined they are the text again."""
+        whole = _WORDS.findall(text)
+        if not whole:
+            return [text] if text else []
+        a, b = np.searchsorted(self.whose, [k, k + 1])
+        cuts = (self.start[a:b] - self.first[k]).tolist()
+        whole[0] = text[: len(text) - sum(map(len, whole))] + whole[0]
+        return ["".join(whole[x:y]) for x, y in zip(cuts, [*cuts[1:], len(whole)])]
 
 
 def sentences(text: str, max_words: int = MAX_WORDS) -> list[str]:
     """The text cut into pieces; joined they are the text again."""
-    whole = _WORDS.findall(text)
-    if not whole:
-        return [text] if text else []
-    low = text.encode("utf-8", "surrogatepass").lower().split()
-    ends = ["\n" in w or w.rstrip(" \t\n\r\v\f")[-1] in ".!?" for w in whole]
-    v = [1 << 65, *(xxhash.xxh3_64_intdigest(a + b" " + b) | (0 if e else 1 << 64) for a, b, e in zip(low, low[1:], ends))]
-    whole[0] = text[: len(text) - sum(map(len, whole))] + whole[0]
-    cuts = _cuts(v, max_words)
-    return ["".join(whole[a:b]) for a, b in zip([0, *cuts], [*cuts, len(whole)])]
-
-
-def spans(pieces: list[str], span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(first piece, hash) of every run."""
-    clean = [p.encode("utf-8", "surrogatepass").lower().split() for p in pieces]
-    out = []
-    for i in range(len(clean) - span + 1):
-        run = clean[i : i + span]
-        if sum(map(len, run)) >= min_words and all(run):
-            out.append((i, xxhash.xxh3_64_intdigest(b" ".join(w for s in run for w in s)) - (1 << 63)))
-    return out
+    return Cut([text], max_words).strings(0, text)
+
+
+def _slices(b: pa.RecordBatch):
+    """Parts of a batch with about CUT_BYTES of text."""
+    per = max(1, CUT_BYTES * b.num_rows // max(b.column("text").nbytes, 1))
+    for k in range(0, b.num_rows, per):
+        yield b.slice(k, per)
 
 
 _PACK = "part long, h binary, doc binary, at binary, ids binary"
@@ -87,10 +142,10 @@ _PACK = "part long, h binary, doc binary, at binary, ids binary"
 
 def _packed(batches, parts: int, span: int, min_words: int, max_words: int):
     """Batches of (doc_id, th, text) -> rows of packed runs by hash range."""
-    pend, docs, held = [], [], 0
+    pend, docs, held, before = [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        h, doc, at = (np.concatenate(x) for x in zip(*pend))
+        doc, at, h = (np.concatenate(x) for x in zip(*pend))
         order = np.argsort(h)
         h, doc, at = (x[order] for x in (h, doc, at))
         part = (h >> np.uint64(33)).astype(np.int64) * parts >> 31  # ascends with the hash
@@ -107,19 +162,16 @@ def _packed(batches, parts: int, span: int, min_words: int, max_words: int):
         return batch(part=([r[0] for r in out], pa.int64()), **blobs)
 
     for b in batches:
-        row, at, hashes = [], [], []
-        for k, t in enumerate(b.column("text").to_pylist()):
-            found = spans(sentences(t, max_words), span, min_words)
-            row += [k] * len(found)
-            at += [r[0] for r in found]
-            hashes += [r[1] for r in found]
-        before = sum(d.num_rows for d in docs)
-        pend.append((np.array(hashes, np.int64).view(np.uint64), np.array(row, np.uint32) + np.uint32(before), np.array(at, np.int32)))
-        docs.append(b.select(["doc_id", "th"]))
-        held += len(row)
-        if held >= PACK_RUNS:
-            yield flush()
-            pend, docs, held = [], [], 0
+        for part in _slices(b):
+            doc, at, h = Cut(part.column("text").to_pylist(), max_words).runs(span, min_words)
+            pend.append((doc.astype(np.uint32) + np.uint32(before), at.astype(np.int32), h))
+            # copied, or else they hold the batch and its texts
+            docs.append(part.select(["doc_id", "th"]).take(pa.array(np.arange(part.num_rows))))
+            before += part.num_rows
+            held += len(h)
+            if held >= PACK_RUNS:
+                yield flush()
+                pend, docs, held, before = [], [], 0, 0
     if held:
         yield flush()
 
@@ -171,21 +223,21 @@ def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, max_wor
     cuts = cuts.select(F.col("doc_id").alias(doc), F.col("th").alias(theirs), F.col("cut").alias(at))
     joined = keyed.join(cuts, (F.col(own) == F.col(theirs)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(own, doc, theirs)
 
-    def start():
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts, total, removed = [], [], []
-            for t, cut in zip(b.column("text").to_pylist(), b.column(at).to_pylist()):
-                pieces = sentences(t, max_words) if t else []
+    def run(batches):
+        for b in (part for whole in batches for part in _slices(whole)):
+            texts, removed = b.column("text").to_pylist(), []
+            made = Cut(texts, max_words)
+            # a text of blanks alone is one piece
+            total = [int(n) if n or not t else 1 for n, t in zip(made.counts(), texts)]
+            for k, cut in enumerate(b.column(at).to_pylist()):
                 gone = {j for i in cut or () for j in range(i, i + span)}
-                texts.append("".join(p for j, p in enumerate(pieces) if j not in gone) if gone else t)
-                total.append(len(pieces))
+                if gone:
+                    texts[k] = "".join(p for j, p in enumerate(made.strings(k, texts[k])) if j not in gone)
                 removed.append(len(gone))
             new = {n: (texts, pa.string()) if n == "text" else b.column(n) for n in names}
-            return batch(**new, n_sentences=(total, pa.int32()), n_removed=(removed, pa.int32()))
-
-        return run
+            yield batch(**new, n_sentences=(total, pa.int32()), n_removed=(removed, pa.int32()))
 
-    return map_batches(joined, f"{ddl(docs.select(*names))}, n_sentences int, n_removed int", start)
+    return joined.mapInArrow(run, f"{ddl(docs.select(*names))}, n_sentences int, n_removed int")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:

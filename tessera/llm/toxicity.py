@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _ALNUM, K1, K2, K3, WordHashes, appended, batch, ddl, least_hashed, map_batches, mix
+from tessera.llm.common import _ALNUM, K1, K2, K3, appended, batch, ddl, least_hashed, map_batches, mix, word_hashes
 
 BITS = 20
 MAX_TRAIN = 12_288
@@ -33,14 +33,11 @@ def held_out(doc_id: Column | str) -> Column:
 class _Hashes:
     """Words and stems of texts as 64-bit hashes."""
 
-    def __init__(self):
-        self.words, self.stems = WordHashes(), WordHashes()
-
     def features(self, text: str | None, bits: int) -> np.ndarray:
         """Hashed feature indices of a text, repeats included."""
         tokens = (text or "").lower().encode("utf-8", "surrogatepass").translate(_ALNUM).split()
-        h = self.words.of(tokens)
-        stems = self.stems.of([t[:5] for t in tokens])
+        h = word_hashes(tokens)
+        stems = word_hashes([t[:5] for t in tokens])
         parts = (mix(h * K1), mix(stems * K2 + K1), mix(h[:-1] * K1 + h[1:] * K3 + K2), mix(h[:-2] * K3 + h[2:] * K1 + K3))
         return (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.uint32)
 

@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -584,6 +585,42 @@ def test_sentences_join_to_the_text():
         assert "".join(substrings.sentences(t)) == t
 
 
+def test_cuts_follow_the_rule():
+    """Texts cut together, in arrays, against one text's places one after another; runs against their words."""
+    rng = random.Random(4)
+    some = lambda: "".join(rng.choice(["a", "b ", "c. ", "\n", "d! ", "e  ", "\u00e9 ", "| \n"]) for _ in range(rng.randint(0, 150)))
+    texts = ["", None, "  ", " a", " \n a b\n", "a\vb.\fc d", " ".join(["x"] * 100), *(some() for _ in range(200))]
+    made = substrings.Cut(texts)
+    for k, t in enumerate(texts):
+        alone, words = substrings.Cut([t]), re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or "")
+        v = alone._values((t or "").encode().lower() + b"\n").tolist()
+        assert [x >> 63 == 0 for x in v[1:]] == ["\n" in w or w.split()[0][-1] in ".!?" for w in words[:-1]]
+        cuts, last = [], 0
+        for p in [*range(4, len(v) - 3), len(v)]:
+            if p < len(v) and not (v[p] < min(v[p - 3 : p]) and v[p] <= min(v[p : p + 4])):
+                continue
+            while p - last > 8:
+                last = min(range(last + 4, min(last + 8, p - 4) + 1), key=v.__getitem__)
+                cuts.append(last)
+            if p < len(v):
+                cuts.append(p)
+                last = p
+        assert (made.start[made.whose == k] - made.first[k]).tolist() == ([0, *cuts] if words else []), t
+        assert made.strings(k, t or "") == substrings.sentences(t or "")
+    hashes = {}
+    for k, i, h in zip(*(x.tolist() for x in made.runs(3, 12))):
+        words = tuple("".join(made.strings(k, texts[k])[i : i + 3]).encode().lower().split())
+        assert len(words) >= 12 and hashes.setdefault(h, words) == words
+    assert len(set(hashes.values())) == len(hashes) > 100
+
+
+def test_substring_slices_are_small():
+    """A batch is cut a MB of text at a time, whatever its size."""
+    b = pa.RecordBatch.from_pydict({"text": ["word " * 2000] * 1000 + [None]})
+    parts = list(substrings._slices(b))
+    assert sum(x.num_rows for x in parts) == 1001 and max(x.num_rows for x in parts) <= 105
+
+
 def test_substring_dedup_removes_later_copies(spark):
     passage = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen seventeen. Alpha beta gamma delta epsilon zeta eta."
     rows = [(1, f"Start of the first. {passage} End of the first.", "s"), (2, f"Other words open this one. {passage} And others close it.", "s"), (3, "Nothing shared at all here. Truly nothing. Nor there.", "s"), (4, passage, "s")]
