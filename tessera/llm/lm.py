@@ -108,12 +108,32 @@ def frequent(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.
     return w[order], np.asarray(c, np.int64)[order]
 
 
+def _places(known: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Where each of w stands among the sorted hashes known; any place if it isn't there.
+
+    Hashes are spread evenly, so the top bits lead to a bucket of few: less time than a binary search of all of them for each word.
+    """
+    shift = np.uint64(64 - max(1, len(known).bit_length()))
+    bucket = (known >> shift).astype(np.int64)
+    begin = np.r_[0, np.cumsum(np.bincount(bucket, minlength=1 << (64 - int(shift))))]
+    at = begin[(w >> shift).astype(np.int64)]
+    most = int(np.diff(begin).max(initial=1))
+    at = np.minimum(at, len(known) - 1)
+    left = np.flatnonzero(known[at] < w)
+    for _ in range(most - 1):
+        if not len(left):
+            break
+        at[left] = np.minimum(at[left] + 1, len(known) - 1)
+        left = left[known[at[left]] < w[left]]
+    return at
+
+
 def _pairs(b: pa.RecordBatch, known: np.ndarray):
     """Every pair of a batch: place of its first word, key, whether a word is rare; and the words, and the text of each."""
     w, doc = _words(b)
     first = np.flatnonzero(doc[1:] == doc[:-1])
     if len(known):
-        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+        at = _places(known, w)
         rare = known[at] != w
     else:
         at, rare = np.zeros(len(w), np.int64), np.ones(len(w), bool)
@@ -141,6 +161,13 @@ def exploded(made: DataFrame, sent, rare: bool, part: int = 0, parts: int = 1) -
             if parts > 1:
                 take &= mix(key.view(np.uint64) * K1) % np.uint64(parts) == part
             first, key, whose = first[take], key[take], doc[first[take]]
+            if not rare and b.num_rows * max(len(known), 1) ** 2 < 1 << 62:
+                # text and pair as one number, which needs no order of places
+                n = max(len(known), 1)
+                one = (whose.astype(np.int64) * n + (key >> WORD_BITS)) * n + (key & ((1 << WORD_BITS) - 1))
+                one, times = np.unique(one, return_counts=True)
+                pair = one % (n * n)
+                return batch(key=((pair // n) << WORD_BITS | pair % n, pa.int64()), row=b.column("row").take(pa.array(one // (n * n))), times=(times.astype(np.int64), pa.int64()))
             order = np.argsort(key, kind="stable")
             order = order[np.argsort(whose[order], kind="stable")]
             key, whose, first = key[order], whose[order], first[order]

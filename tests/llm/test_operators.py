@@ -821,3 +821,16 @@ def test_queries_match_their_sql(spark, sf, name):
     assert sorted(got.columns) == cols
     rows = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_places_of_words_and_pairs_by_number():
+    """Bucketed search against a binary one; pairs numbered with their text against counting by hand."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 1000):
+        known = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        if n == 1000:
+            known = np.unique(np.r_[known, known[500] + np.arange(40, dtype=np.uint64), np.uint64(0), np.uint64(2**64 - 1)])
+        w = np.r_[known, known + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64)]
+        at = lm._places(known, w)
+        inside = np.isin(w, known)
+        assert (known[at][inside] == w[inside]).all() and (known[at][~inside] != w[~inside]).all()
