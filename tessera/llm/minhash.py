@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import K1, K3, batch, blank_words, ddl, map_batches, materialise, mix, settings, word_hashes
+from tessera.llm.common import K1, K3, batch, blank_words, ddl, discard, map_batches, materialise, mix, settings, word_hashes
 
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
@@ -42,7 +42,7 @@ HASHES = BANDS * ROWS
 MISS = 1e-5
 #: Rows of a cell's side.
 CELL = 512
-#: Rows of an Arrow batch where rows carry shingle sets.
+#: Rows of an Arrow batch: rows carry texts or shingle sets.
 SET_BATCH = 500
 #: Classes that one copy of a hub meets.
 HUB_ROWS = 2048
@@ -194,7 +194,7 @@ def _likely(threshold: float):
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             kept = b.filter(pa.array(looks.matches(_signatures(b.column("sa")), _signatures(b.column("sb"))) >= 0))
-            return batch(**{c: kept.column(c) for c in ("a", "b", "sid_a", "sid_b")})
+            return batch(**{c: kept.column(c) for c in ("a", "b", "sid_a", "sid_b", "at_a", "at_b")})
 
         return run
 
@@ -209,14 +209,13 @@ def _salted(pairs: DataFrame, hubs: DataFrame, hot: DataFrame, on: str) -> DataF
     return dealt.join(copies, [on, "salt"]).drop("salt")
 
 
-def _sets_of(docs: DataFrame, sids: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(sid, hashes) of the classes (sid) asked for; the texts are shingled again.
+def _sets_of(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """(sid, hub, hashes) of the classes asked for by (sid, at, hub), where at is the hash of the class's document; the texts are shingled again.
 
     A filter over the classes' documents, of bounded size and set on the executors, spares the other texts.
     """
-    sids = sids.distinct()
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * sids.count()).bit_length()))
-    at = sids.join(classes, "sid").select(F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("p"))
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * asked.count()).bit_length()))
+    at = asked.select(F.pmod("at", F.lit(bits)).alias("p"))
     words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).toArrow()
     held = np.zeros(bits // 64, np.int64)
     held[words.column("w").to_numpy()] = words.column("v").to_numpy()
@@ -234,14 +233,20 @@ def _sets_of(docs: DataFrame, sids: DataFrame, classes: DataFrame, size: int) ->
         return run
 
     narrow = docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p"))
-    return map_batches(narrow, "sid binary, hashes binary", start).join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("hashes").alias("hashes"))
+    sids = asked.groupBy("sid").agg(F.max("hub").alias("hub"))
+    return map_batches(narrow, "sid binary, hashes binary", start).join(sids, "sid").groupBy("sid").agg(F.max("hub").alias("hub"), F.min("hashes").alias("hashes"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u of the edges (u, v), u > v, hangs on one v, which hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").count()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of the edges (a, b): comp is the least node reachable. Large-star and small-star."""
+    """(node, comp) of every node of the edges (a, b): comp is the least node reachable. Large-star and small-star until only stars are left."""
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
-    while True:
+    while not _are_stars(now):
         # large star: every larger neighbour of u hangs on u's least neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -250,10 +255,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = now.groupBy("u").agg(F.min("v").alias("m"))
         hung = now.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialise(hung.where("u != v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if seen == state:
-            break
-        state = seen
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
 
@@ -326,7 +327,7 @@ def _by_cell(batches, columns: tuple[str, ...]):
         yield cell, rows
 
 
-_CELL = ("node", "comp", "n", "sig", "side", "own", "sid")
+_CELL = ("node", "comp", "n", "sig", "side", "own", "sid", "at")
 
 
 def _plausible(threshold: float, percent: int):
@@ -345,7 +346,7 @@ def _plausible(threshold: float, percent: int):
             if k:
                 place = {n: (np.full(k, cell[p]), pa.int64()) for p, n in enumerate(("key", "i", "j"))}
                 sig = ([rows[r][3] for r in kept], pa.binary())
-                yield batch(**place, node=(c.node[kept], pa.int64()), comp=(c.comp[kept], pa.int64()), n=(c.n[kept], pa.int64()), sig=sig, side=(c.side[kept], pa.int64()), own=(c.own[kept], pa.int64()), sid=([rows[r][6] for r in kept], pa.binary()))
+                yield batch(**place, node=(c.node[kept], pa.int64()), comp=(c.comp[kept], pa.int64()), n=(c.n[kept], pa.int64()), sig=sig, side=(c.side[kept], pa.int64()), own=(c.own[kept], pa.int64()), sid=([rows[r][6] for r in kept], pa.binary()), at=([rows[r][7] for r in kept], pa.int64()))
 
     return run
 
@@ -357,7 +358,7 @@ def _joined_in_cells(threshold: float, percent: int):
         looks = Looks(threshold)
         for cell, rows in _by_cell(batches, (*_CELL, "hashes")):
             c = Cell(cell, rows, looks, percent)
-            sets = [unpacked(r[7]) for r in rows]
+            sets = [unpacked(r[8]) for r in rows]
             up: dict[int, int] = {}
 
             def find(v: int) -> int:
@@ -380,42 +381,49 @@ def _joined_in_cells(threshold: float, percent: int):
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every row, (sid, node, doc, ...) of every class, and confirmed (a, b) links of nodes that join all components."""
-    spark, threshold = docs.sparkSession, percent / 100
-    small = {"spark__sql__execution__arrow__maxRecordsPerBatch": SET_BATCH}
+    """(doc_id, n, sid) of every row, (sid, node, doc) of every class, and confirmed (a, b) links of nodes that join all components."""
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=SET_BATCH):
+        return _links(docs, size, percent)
+
+
+def _links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    threshold = percent / 100
     rows = materialise(map_batches(docs.select("doc_id", "text"), f"{ddl(docs.select('doc_id'))}, n long, sid binary, sig binary", _described(size)))
     classes = rows.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
-    names, sigs = classes.select("sid", "doc"), classes.select("node", "sig")
+    classes = materialise(classes.withColumns({"node": F.monotonically_increasing_id(), "at": F.xxhash64("doc")}))
+    sigs = classes.select("node", "sig")
     buckets = map_batches(sigs, "key long, node long", _banded)
     hubs = materialise(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = materialise(buckets.join(hubs, "key"))
 
     # one hub a class: the one it shares most bands with; a pair left out here is compared below
-    offered = met.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("n")).where("n > 1")
+    offered = met.where("node != hub").select("node", "hub").repartition("node").groupBy("node", "hub").agg(F.count("*").alias("n")).where("n > 1")
     chosen = offered.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     pairs = materialise(chosen.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     hot = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("salts")).where("salts > 1"))
-    of = lambda side: classes.select(F.col("node").alias(side), F.col("sig").alias(f"s{side}"), F.col("sid").alias(f"sid_{side}"))
+    of = lambda side: classes.select(F.col("node").alias(side), *(F.col(c).alias(f"{as_}{side}") for c, as_ in (("sig", "s"), ("sid", "sid_"), ("at", "at_"))))
     own = of("a").join(pairs.select("a").distinct(), "a")
     hub = F.col("a").alias("hub")
     signed = _salted(pairs.join(of("b"), "b").select("*", hub), own.select("*", hub), hot, "hub")
-    likely = materialise(map_batches(signed.select("a", "b", "sa", "sb", "sid_a", "sid_b"), "a long, b long, sid_a binary, sid_b binary", _likely(threshold)))
-    sets = lambda side: _sets_of(docs, likely.select(F.col(f"sid_{side}").alias("sid")), names, size).select(F.col("sid").alias(f"sid_{side}"), F.col("hashes").alias(f"h{side}"))
-    named = likely.select("a", "sid_a").distinct()
-    full = _salted(likely.join(sets("b"), "sid_b"), sets("a").join(named, "sid_a"), hot, "sid_a")
-    with settings(spark, **small):
-        first = materialise(map_batches(full.select("a", "b", "ha", "hb"), "a long, b long", _verified(percent)))
+    kept = ["a", "b", "sid_a", "sid_b", "at_a", "at_b"]
+    likely = materialise(map_batches(signed.select(*kept, "sa", "sb"), "a long, b long, sid_a binary, sid_b binary, at_a long, at_b long", _likely(threshold)))
+    # the texts of both sides are read once
+    asked = likely.selectExpr("sid_a as sid", "at_a as at", "a as hub").unionByName(likely.selectExpr("sid_b as sid", "at_b as at", "cast(null as long) as hub"))
+    sets = materialise(_sets_of(docs, asked, size))
+    hub_sets = sets.where("hub is not null").selectExpr("hub as a", "sid as sid_a", "hashes as ha")
+    full = _salted(likely.join(sets.selectExpr("sid as sid_b", "hashes as hb"), "sid_b"), hub_sets, hot, "sid_a")
+    first = materialise(map_batches(full.select("a", "b", "ha", "hb"), "a long, b long", _verified(percent)))
+    discard(sets)
 
     # what is left: buckets with several components
     labelled = materialise(met.select("key", "node").join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     cells = materialise(_cells(labelled))
     place = ["key", "i", "j"]
-    dealt = cells.join(classes.select("node", "n", "sig", "sid"), "node").select(*place, *_CELL).repartition(*place).sortWithinPartitions(*place)
-    wanted = materialise(dealt.mapInArrow(_plausible(threshold, percent), "key long, i long, j long, node long, comp long, n long, sig binary, side long, own long, sid binary"))
-    again = wanted.join(_sets_of(docs, wanted.select("sid"), names, size), "sid").repartition(*place).sortWithinPartitions(*place)
-    with settings(spark, **small):
-        second = materialise(again.select(*place, *_CELL, "hashes").mapInArrow(_joined_in_cells(threshold, percent), "a long, b long"))
+    dealt = cells.join(classes.select("node", "n", "sig", "sid", "at"), "node").select(*place, *_CELL).repartition(*place).sortWithinPartitions(*place)
+    wanted = materialise(dealt.mapInArrow(_plausible(threshold, percent), "key long, i long, j long, node long, comp long, n long, sig binary, side long, own long, sid binary, at long"))
+    asked = wanted.selectExpr("sid", "at", "cast(null as long) as hub")
+    again = wanted.join(_sets_of(docs, asked, size).drop("hub"), "sid").repartition(*place).sortWithinPartitions(*place)
+    second = materialise(again.select(*place, *_CELL, "hashes").mapInArrow(_joined_in_cells(threshold, percent), "a long, b long"))
     return rows.select("doc_id", "n", "sid"), classes.select("sid", "node", "doc"), first.unionByName(second)
 
 

@@ -523,6 +523,28 @@ def test_minhash_against_brute_force(spark):
     assert one.columns == docs.columns and one.count() == len({c for _, c in brute_components(texts, 5, 80).values()})
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    real, written = minhash.materialise, []
+    monkeypatch.setattr(minhash, "materialise", lambda df, **o: written.append(1) or real(df, **o))
+    comps = lambda pairs: {(r.node, r.comp) for r in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert comps([(1, 5), (1, 6), (2, 7), (3, 3)]) == {(1, 1), (5, 1), (6, 1), (2, 2), (7, 2)}
+    assert len(written) == 1  # stars already: only the edges are written
+    assert comps([(9, 8), (8, 7), (7, 4), (4, 5), (5, 2), (20, 21), (21, 22)]) == {(n, 2) for n in (2, 4, 5, 7, 8, 9)} | {(n, 20) for n in (20, 21, 22)}
+    assert comps([]) == set()
+
+
+def test_minhash_reads_few_texts_at_a_time(spark, monkeypatch):
+    real, sets_of, sizes, scans = minhash.materialise, minhash._sets_of, [], []
+    monkeypatch.setattr(minhash, "materialise", lambda df, **o: sizes.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or real(df, **o))
+    monkeypatch.setattr(minhash, "_sets_of", lambda *a: scans.append(1) or sets_of(*a))
+    base = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(base[:39] + [f"x{i}"])) for i in range(30)] + [(100, "alone in the world"), (101, None)]
+    got = minhash.links(spark.createDataFrame(texts, "doc_id long, text string"), 2, 80)
+    assert set(sizes[:5]) == {str(minhash.SET_BATCH)}  # texts and signatures are described in small batches too
+    assert len(scans) == 2  # both sides of the hub round in one scan, the cells in another
+    assert {r.node for r in minhash.components(got[2]).collect()} == {r.node for r in got[1].where("doc < 30").collect()}
+
+
 def test_minhash_odd_rows(spark):
     got = minhash.classes_of(odd_docs(spark), 2, 80).collect()
     assert len(got) == 9
