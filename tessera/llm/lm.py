@@ -8,9 +8,10 @@ model backs off. A document's score is the mean natural log over its pairs. Coun
 The relational plan: texts become rows of word hashes once (``tokens``). Words and pairs are counted by aggregations
 whose map side has summed each batch, so a very frequent pair reaches the count table as one row a task. The count
 table keeps pairs counted at least twice; no other can be seen elsewhere. Documents are exploded to distinct pairs with
-their count in the document, joined to the count table by the hash of the pair (a shuffle join of its own, which spills
-and whose hot keys AQE splits), and what each pair adds is summed by document. Pairs are taken in ``slices`` of their
-keys, one after another; what a slice shuffles is gone before the next, which bounds the disk.
+their count in the document, joined to the count table by the hash of the pair (a shuffle join of its own that hashes the
+table's part, where each key stands once; hot keys of the documents' side AQE splits), and what each pair adds is summed
+by document. Pairs are taken in ``slices`` of their keys, one after another, each with its own rows of the table only;
+what a slice shuffles is gone before the next, which bounds the disk.
 
 The most frequent words, at most ``vocabulary`` of them (16 bytes each, 8 MB), travel to every task and are numbered, so
 a pair of two of them is an exact key of one number, from which its words' counts are found again. Pairs with a rarer word
@@ -146,7 +147,16 @@ def _pairs(b: pa.RecordBatch, known: np.ndarray):
 def pair_counts(made: DataFrame, sent) -> DataFrame:
     """(key, c) of the pairs that occur twice or more in the corpus."""
     keys = made.select("words").mapInArrow(_counted(lambda b: _pairs(b, sent.value)[1], "key"), "key long, c long")
-    return keys.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1")
+    # a task's keys are distinct already: they are shuffled as they are, not aggregated before it once more
+    return keys.repartition("key").groupBy("key").agg(F.sum("c").alias("c")).where("c > 1")
+
+
+def counted(table: DataFrame, rare: bool, part: int = 0, parts: int = 1) -> DataFrame:
+    """The rows of the count table that ``exploded`` with the same arguments can meet."""
+    if rare:
+        return table.where("key < 0")
+    mine = F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", WORD_BITS)), F.lit(parts)) == part
+    return table.where((F.col("key") >= 0) & mine if parts > 1 else F.col("key") >= 0)
 
 
 def exploded(made: DataFrame, sent, rare: bool, part: int = 0, parts: int = 1) -> DataFrame:
@@ -159,7 +169,7 @@ def exploded(made: DataFrame, sent, rare: bool, part: int = 0, parts: int = 1) -
             first, key, odd, w, doc = _pairs(b, known)
             take = odd == rare
             if parts > 1:
-                take &= mix(key.view(np.uint64) * K1) % np.uint64(parts) == part
+                take &= (key ^ (key >> WORD_BITS)) % parts == part
             first, key, whose = first[take], key[take], doc[first[take]]
             if not rare and b.num_rows * max(len(known), 1) ** 2 < 1 << 62:
                 # text and pair as one number, which needs no order of places
@@ -205,12 +215,12 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, slices: int = SLICES) -
 
         sums = []
         for k in range(slices):
-            found = exploded(made, sent, False, k, slices).join(table.hint("merge"), "key", "left")
+            found = exploded(made, sent, False, k, slices).join(counted(table, False, k, slices).hint("shuffle_hash"), "key", "left")
             for word, name in ((F.shiftright("key", WORD_BITS), "nb"), (F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1)), "nc")):
                 of = numbered.select(F.col("id").alias(f"id_{name}"), F.col("nw").alias(name))
                 found = found.join(F.broadcast(of), word == F.col(f"id_{name}"))
             sums.append(materialise(_summed(found, total)))
-        found = exploded(made, sent, True).join(table.hint("merge"), "key", "left")
+        found = exploded(made, sent, True).join(counted(table, True).hint("shuffle_hash"), "key", "left")
         found = found.join(counts.select(F.col("w").alias("b"), F.col("c").alias("nb")).hint("merge"), "b")
         found = found.join(counts.select(F.col("w").alias("c"), F.col("c").alias("nc")).hint("merge"), "c")
         sums.append(materialise(_summed(found, total)))

@@ -523,6 +523,24 @@ def test_minhash_against_brute_force(spark):
     assert one.columns == docs.columns and one.count() == len({c for _, c in brute_components(texts, 5, 80).values()})
 
 
+def test_lm_slices_share_no_counts(spark):
+    texts = [(i, f"the cat sat on the mat and the {w} ran from the cat to a{i % 3} mat") for i, w in enumerate(("dog", "cow", "dog", "hen") * 5)]
+    made = lm.tokens(spark.createDataFrame(texts, "doc_id long, text string"))
+    counts = lm.word_counts(made)
+    for most in (4, 1000):  # with rare words and without
+        sent = spark.sparkContext.broadcast(lm.frequent(counts, most)[0])
+        table = lm.materialise(lm.pair_counts(made, sent))
+        keys = lambda df: [r.key for r in df.select("key").collect()]
+        parts = [(False, k, 3) for k in range(3)] + [(True, 0, 1)]
+        got = [set(keys(lm.counted(table, *p))) for p in parts]
+        assert sorted(k for g in got for k in g) == sorted(keys(table))  # each row of the table goes to one join
+        for g, p in zip(got, parts):
+            met = set(keys(lm.exploded(made, sent, *p)))
+            assert met & set(keys(table)) == g
+    assert lm.score(spark.createDataFrame(texts, "doc_id long, text string"), 4, 3).select("doc_id", F.round("score", 9)).exceptAll(
+        lm.score(spark.createDataFrame(texts, "doc_id long, text string"), 1000, 1).select("doc_id", F.round("score", 9))).count() == 0
+
+
 def test_components_stop_at_stars(spark, monkeypatch):
     real, written = minhash.materialise, []
     monkeypatch.setattr(minhash, "materialise", lambda df, **o: written.append(1) or real(df, **o))
