@@ -211,7 +211,7 @@ def f18(spark, sf_dir):
 
 @register("f20_similarity_band", duckdb_sql(f"select topic, count(*) as n from ({_PAIRS}) p where similarity between 0.7 and 0.85 group by topic"))
 def f20(spark, sf_dir):
-    return knn.similar_pairs(view(spark, sf_dir, "vectors"), 0.7).where("similarity <= 0.85").groupBy("topic").agg(F.count("*").alias("n"))
+    return knn.counted_pairs(view(spark, sf_dir, "vectors"), 0.7, 0.85)
 
 
 @register("f24_threshold_or_unknown", duckdb_sql(f"select v.id from @vectors v, (select embedding from @embeddings where vec_id = 5) q where v.id % 5 = 0 or {_COS} >= 0.3"))
