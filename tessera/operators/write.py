@@ -166,11 +166,23 @@ def resolve_contradictions(fragments: DataFrame, pairs: DataFrame, now_h: int) -
 def assertion_status(fragments: DataFrame, new: DataFrame, window_h: int = 168, newest: int = 10, floor: float = 0.3) -> DataFrame:
     """(id, status, candidates) of new rows: the newest active rows of topic and tenant within a week that share words with them; inferred if one of those is verified or rejected."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    have = fragments.where("valid_to_h is null").select(F.col("id").alias("other"), "topic", "key_id", F.col("created_h").alias("at"), "assertion_status", F.col("content").alias("other_content"))
-    n = new.select("id", "topic", "key_id", "created_h", "content").alias("n")
-    near = n.join(have.alias("h"), (F.col("n.topic") == F.col("h.topic")) & F.col("n.key_id").eqNullSafe(F.col("h.key_id")) & F.col("at").between(F.col("created_h") - window_h, F.col("created_h") + window_h) & (F.col("id") != F.col("other")))
-    rn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at"), "other"))
-    near = near.withColumn("rn", rn).where(F.col("rn") <= newest).where(scores.jaccard(words(F.col("content")), words(F.col("other_content"))) > floor)
+    have = fragments.where("valid_to_h is null and topic is not null and created_h is not null").select(F.col("id").alias("other"), "topic", "key_id", F.col("created_h").alias("at"), "assertion_status")
+    asked = new.where("topic is not null and created_h is not null").select("id", "topic", "key_id", "created_h", (F.col("created_h") + window_h).alias("at"))
+    # places of a topic and tenant run by time, then by id descending: a count an hour and a place inside it. What a new row looks at ends at the last place of its window
+    group = ("topic", "key_id")
+    hours = have.groupBy(*group, "at").agg(F.count("*").alias("n")).unionByName(asked.select(*group, "at", F.lit(0).cast("long").alias("n"))).groupBy(*group, "at").agg(F.sum("n").alias("n"))
+    hours = hours.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("at"))).drop("n").toDF("h_topic", "h_key", "h_at", "upto")
+    of_hour = (F.col("topic") == F.col("h_topic")) & F.col("key_id").eqNullSafe(F.col("h_key")) & (F.col("at") == F.col("h_at"))
+    inside = F.row_number().over(Window.partitionBy(*group, "at").orderBy("other")) - 1
+    have = have.withColumn("inside", inside).join(hours, of_hour).select("other", F.col("topic").alias("o_topic"), F.col("key_id").alias("o_key"), F.col("at").alias("o_at"), "assertion_status", (F.col("upto") - F.col("inside")).alias("o_place"))
+    # one more than wanted, for the row itself may be among them
+    asked = asked.join(hours, of_hour).select("id", *group, "created_h", F.explode(F.sequence(F.col("upto") - newest, F.col("upto"))).alias("place")).where("place > 0")
+    near = asked.join(have, (F.col("topic") == F.col("o_topic")) & F.col("key_id").eqNullSafe(F.col("o_key")) & (F.col("place") == F.col("o_place"))).where((F.col("id") != F.col("other")) & (F.col("o_at") >= F.col("created_h") - window_h))
+    rn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("o_at"), "other"))
+    near = near.withColumn("rn", rn).where(F.col("rn") <= newest).select("id", "other", "assertion_status")
+    # texts come last, to ten pairs a row
+    near = near.join(fragments.select(F.col("id").alias("other"), F.col("content").alias("other_content")), "other").join(new.select("id", "content"), "id")
+    near = near.where(scores.jaccard(words(F.col("content")), words(F.col("other_content"))) > floor)
     found = near.groupBy("id").agg(F.max(F.col("assertion_status").isin("verified", "rejected")).alias("judged"), F.array_sort(F.collect_list("other")).alias("candidates"))
     out = new.select("id").join(found, "id", "left")
     return out.select("id", F.when(F.col("judged"), "inferred").otherwise("observed").alias("status"), F.coalesce("candidates", F.array().cast("array<bigint>")).alias("candidates"))
