@@ -3,7 +3,8 @@
 Cells are fitted on a bounded sample (``SAMPLE`` rows of least hash), every row is indexed. The index is a table partitioned by cell and sorted by tenant
 inside, so a search reads the cells it probes and, of them, the row groups of its tenants. Filters are plain predicates on the index's own columns: they are applied
 inside the probe, before anything is ranked, so that a narrow filter costs no results. A search ranks by codes (a byte a dimension, the embeddings aren't read), then
-fetches the embeddings of ``refine`` times k rows a query and ranks these by exact cosine. ``exact`` probes every cell and ranks by the embeddings from the start.
+fetches the embeddings of ``refine`` times k rows a query and ranks these by exact cosine. ``exact`` leaves the cells aside and multiplies all rows that pass with all
+queries, in blocks (``knn``).
 
 Work is dealt in units of (cell, block of rows, block of queries) of bounded size: neither a cell with a third of all rows nor a cell that all queries probe is one task.
 """
@@ -19,8 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import knn
+
 #: Rows the cells are fitted on; cells at most; rows and queries of a unit; rounds of k-means.
 SAMPLE, CELLS, BLOCK, QUERIES, ROUNDS = 16_384, 4096, 8192, 1024, 12
+#: Queries whose cells are listed at once.
+ASKED = 64
 
 
 @dataclass
@@ -73,7 +78,7 @@ def build(vectors: DataFrame, path: str, keep: tuple[str, ...] = (), sort: str |
     sent = spark.sparkContext.broadcast(centres)  # at most CELLS of them
 
     def coded(batches):
-        for b in batches:
+        for b in (b.slice(lo, QUERIES) for b in batches for lo in range(0, b.num_rows, QUERIES)):
             v = _vectors(b.column("embedding"))
             cell = (v @ sent.value.T).argmax(1) if len(v) else np.zeros(0, int)
             rest = v - sent.value[cell] if len(v) else v
@@ -104,7 +109,8 @@ def _probed(queries: DataFrame, sent, probes: int) -> DataFrame:
     """(qid, q, cell): the ``probes`` cells nearest to every query."""
 
     def run(batches):
-        for b in batches:
+        # a query is written once a cell
+        for b in (b.slice(lo, ASKED) for b in batches for lo in range(0, b.num_rows, ASKED)):
             v = _vectors(b.column("embedding"))
             n = min(probes, len(sent.value))
             cells = np.argsort(-(v @ sent.value.T), axis=1, kind="stable")[:, :n] if len(v) else np.zeros((0, n), int)
@@ -171,6 +177,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 16, floo
     ``exact`` looks at every row. Queries that are null, zero or not finite find nothing.
     """
     spark = queries.sparkSession
+    if exact and index.rows.schema["id"].dataType == T.LongType() == queries.schema["qid"].dataType:
+        one = F.lit("").alias("topic")
+        rows = index.rows if where is None else index.rows.where(where)
+        found = knn.nearest_to(_usable(queries).select(one, F.col("qid").alias("id"), "embedding"), rows.select(one, "id", "embedding"), k, floor)
+        return found.select(F.col("id").alias("qid"), F.col("neighbour").alias("id"), "similarity", "rank")
     if not len(index.centres):
         found = T.StructType([queries.schema["qid"], index.rows.schema["id"], T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())])
         return spark.createDataFrame([], found)
